@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontaminate, neardup
+from lectern.llm import decontaminate, language, neardup
+from lectern.llm.shared import crc_mod
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,3 +55,13 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hw.n, 0) AS BIGI
   sha256(coalesce(hi.ids, '')) AS items_sha256, coalesce(hw.n, 0) > 0 AND 20 * coalesce(hw.n, 0) >= len(w) AS contaminated
 FROM dw LEFT JOIN hit_words hw USING (doc_id) LEFT JOIN hit_items hi USING (doc_id)
 """
+
+
+@_query
+def op7_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    network = language.fit(docs, crc_mod(F.col("doc_id"), 4) != 2)
+    found = language.identify(docs.select("doc_id", "text"), network)
+    # a row without an id is never learned from
+    held_out = F.coalesce(crc_mod(F.col("row.doc_id"), 4) == 2, F.lit(True))
+    return found.select(F.col("row.doc_id").alias("doc_id"), held_out.alias("held_out"), "lang_pred", "score")
