@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontaminate, language, neardup
+from lectern.llm import decontaminate, language, mixing, neardup
 from lectern.llm.shared import crc_mod
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,13 @@ def op7_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a row without an id is never learned from
     held_out = F.coalesce(crc_mod(F.col("row.doc_id"), 4) == 2, F.lit(True))
     return found.select(F.col("row.doc_id").alias("doc_id"), held_out.alias("held_out"), "lang_pred", "score")
+
+
+@_query
+def op5_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts, texts, plan = mixing.mix(spark, _table(spark, sf_dir, "documents"), with_text=False)
+    taken = parts.groupBy("source", "start").agg(F.sum("n_words").alias("taken")).select(F.col("source").alias("s"), F.col("start").alias("a"), "taken")
+    rows = texts.join(taken, (F.col("size") > 0) & F.col("source").eqNullSafe(F.col("s")) & (F.col("start") == F.col("a")), "left")
+    named = spark.createDataFrame(list(zip(plan.sources, plan.sizes, plan.targets, strict=True)), "name string, source_size long, target double")
+    rows = rows.join(F.broadcast(named), F.col("source").eqNullSafe(F.col("name")), "left")
+    return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
