@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontaminate, language, mixing, neardup
+from lectern.llm import decontaminate, language, mixing, neardup, tokens
 from lectern.llm.shared import crc_mod
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,11 @@ def op5_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = spark.createDataFrame(list(zip(plan.sources, plan.sizes, plan.targets, strict=True)), "name string, source_size long, target double")
     rows = rows.join(F.broadcast(named), F.col("source").eqNullSafe(F.col("name")), "left")
     return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+@_query
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = tokens.token_counts(spark, _table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    return found.select(F.col("row.doc_id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))

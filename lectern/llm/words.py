@@ -61,12 +61,12 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A uint64 per span ``data[start:end]``, equal for equal bytes."""
-    up, down = _power_tables(len(data) + 1)
-    total = np.empty(len(data) + 1, np.uint64)
+def hash_spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A uint64 per span ``values[start:end]`` (uint64 per symbol), equal for equal spans."""
+    up, down = _power_tables(len(values) + 1)
+    total = np.empty(len(values) + 1, np.uint64)
     total[0] = 0
-    np.cumsum(_BYTE_VALUES[data] * up[:-1], out=total[1:])
+    np.cumsum(values * up[:-1], out=total[1:])
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
@@ -92,7 +92,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = SPACE
     if len(touching):
         places = np.sort(np.concatenate([places, touching, touching]), kind="stable")
     starts, ends = places[0::2], places[1::2]
-    hashes = hash_spans(low, starts, ends)
+    hashes = hash_spans(_BYTE_VALUES[low], starts, ends)
     return hashes, np.searchsorted(starts, offsets), starts, ends
 
 
