@@ -49,6 +49,8 @@ def read(root: str, bucket: str, columns: dict[str, str]) -> dict[str, np.ndarra
     held = _maps.get((root, bucket))
     if held is not None:
         return held
+    for other in [k for k in _maps if k[0] != root]:  # a worker may outlive a table
+        del _maps[other]
     uri = f"{root}/{bucket}"
     data = b"\0" * 8
     if (path := _local(uri)) is not None:

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontaminate, language, mixing, neardup, tokens
-from lectern.llm.shared import crc_mod
+from lectern.llm import decontaminate, language, mixing, neardup, ngrams, tokens
+from lectern.llm.shared import Scratch, crc_mod
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,3 +83,21 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = tokens.token_counts(spark, _table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
     return found.select(F.col("row.doc_id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
+@_query
+def op3_kneser_ney_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_mod(F.col("doc_id"), 7)
+    model = ngrams.train(spark, docs.where(held_out != 2), Scratch(spark))
+    found = ngrams.score(docs, model)
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"),
+        # a row without an id is never learned from
+        F.coalesce(crc_mod(F.col("row.doc_id"), 7) == 2, F.lit(True)).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
