@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import Scratch, connected_components
+from lectern.llm.shared import Scratch, connected_components, small_batches
 from lectern.llm.words import shingle_hashes, text_chunks, word_hashes
 
 #: Longest list of which pairs are made; longer ones become blocks.
@@ -70,7 +70,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, k: i
                 n.append(len(s))
                 names.append(blake2b(s.tobytes(), digest_size=16).digest())
                 need.append(least_shared(len(s), k, percent) if len(s) else 0)
-                kept.append(s[:k])
+                kept.append(s[:k].copy())
             named = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in kept])]).astype(np.int32)
             values = np.concatenate(kept).view(np.int64) if kept else np.empty(0, np.int64)
@@ -187,6 +187,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     * Repeated rows have the same component; each is kept if it has its id.
     * An empty table gives an empty result; other columns of ``docs`` are not read.
     """
+    small_batches(spark)
     scratch = Scratch(spark)
     all_rows = scratch.keep(sketch(docs, id_col, text_col, shingle_words, k, percent), "sketches")
     linked = all_rows.where("n_shingles > 0 AND id IS NOT NULL")
