@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontaminate, html, language, mixing, neardup, ngrams, tokens
+from lectern.llm import decontaminate, language, maintext, mixing, neardup, ngrams, tokens, urls, warc
 from lectern.llm.shared import Scratch, crc_mod
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,5 +105,21 @@ def op3_kneser_ney_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = html.extract(_table(spark, sf_dir, "pages"))
+    found = maintext.extract(_table(spark, sf_dir, "pages"))
     return found.select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+@_query
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = urls.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return found.select("row.page_id", "host", "path", "rule", "verdict")
+
+
+@_query
+def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.build_derivatives(warc.responses_of_pages(_table(spark, sf_dir, "pages")), ["page_id"])
+    sizes = F.octet_length("block").cast("long").alias("content_length")
+    return records.select("page_id", "type", "record_id", "refers_to", "target_uri", "date", "content_type", "payload_digest", "block_digest", sizes, F.decode("block", "UTF-8").alias("content"))
