@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontaminate, language, maintext, mixing, neardup, ngrams, tokens, urls, warc
+from lectern.llm import decontaminate, fingerprints, language, maintext, mixing, neardup, ngrams, tokens, urls, warc
 from lectern.llm.shared import Scratch, crc_mod
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,8 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.build_derivatives(warc.responses_of_pages(_table(spark, sf_dir, "pages")), ["page_id"])
     sizes = F.octet_length("block").cast("long").alias("content_length")
     return records.select("page_id", "type", "record_id", "refers_to", "target_uri", "date", "content_type", "payload_digest", "block_digest", sizes, F.decode("block", "UTF-8").alias("content"))
+
+
+@_query
+def op2_weighted_sampling_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
