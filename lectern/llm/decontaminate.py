@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.shared import small_batches
+from lectern.llm.shared import small_batches, tidy
 from lectern.llm.words import ALNUM, mix, text_chunks, word_hashes
 
 #: Benchmark words whose index is sent to workers at once (some 40 bytes a word).
@@ -175,7 +175,7 @@ def contaminated_spans(spark: SparkSession, docs: DataFrame, benchmark: DataFram
         own = items.where(F.pmod(F.xxhash64("id"), F.lit(pieces)) == piece) if pieces > 1 else items
         held = own.orderBy("id", "text").collect()
         index = spark.sparkContext.broadcast(Index([r.id for r in held], [r.text for r in held], gram, window))
-        rows = rows.mapInArrow(_pass(index, text_col), schema)
+        rows = rows.mapInArrow(tidy(_pass(index, text_col)), schema)
     return rows
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.shared import small_batches
+from lectern.llm.shared import small_batches, tidy
 from lectern.llm.words import text_chunks
 
 WINDOW = 128
@@ -30,7 +30,7 @@ EMBED = 6
 #: The label of texts without letters.
 UNKNOWN = "und"
 #: Windows that go through the network at once.
-BATCH = 1024
+BATCH = 256
 
 
 @dataclass
@@ -151,7 +151,7 @@ def fit(docs: DataFrame, train_when: Column, text_col: str = "text", label_col:
                     out[1].extend(x.tobytes() for x in window_bytes(data, starts[take], ends[take]))
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.binary())], names=["label", "window"])
 
-    held = sorted((bytes(r.window), r.label) for r in chosen.mapInArrow(each, "label string, window binary").collect())
+    held = sorted((bytes(r.window), r.label) for r in chosen.mapInArrow(tidy(each), "label string, window binary").collect())
     return train(np.frombuffer(b"".join(w for w, _ in held), np.uint8).reshape(-1, WINDOW), [label for _, label in held])
 
 
@@ -188,4 +188,4 @@ def identify(docs: DataFrame, network: Network | None, text_col: str = "text") -
                 score[row:end] = np.where(lettered, np.round(mean[np.arange(len(best)), best].clip(0, 1), 6), 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(label, pa.string()), pa.array(score)], names=["row", "lang_pred", "score"])
 
-    return rows.mapInArrow(each, schema)
+    return rows.mapInArrow(tidy(each), schema)

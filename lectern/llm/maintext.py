@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.shared import small_batches
+from lectern.llm.shared import small_batches, tidy
 
 # Element names by their part in a page, and words of class, id and role that name parts which aren't main text.
 INLINE = frozenset("a abbr b bdi bdo cite code del dfn em font i ins kbd mark q s samp small span strong sub sup time tt u var".split())
@@ -305,4 +305,4 @@ def extract(pages: DataFrame, html_col: str = "html", weights: dict[str, float]
             texts = [main_text(x.as_py(), weights) for x in batch.column(0).field(html_col)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["row", "text"])
 
-    return rows.mapInArrow(each, schema)
+    return rows.mapInArrow(tidy(each), schema)

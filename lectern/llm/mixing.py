@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import Scratch, small_batches
+from lectern.llm.shared import Scratch, small_batches, tidy
 from lectern.llm.words import text_chunks, word_hashes
 
 BLOCK_WORDS = 128
@@ -203,7 +203,7 @@ def mix(spark: SparkSession, docs: DataFrame, doc_col: str = "doc_id", text_col:
     numbered = texts.where("size > 0").join(F.broadcast(numbers.select("source_no", "source_name")), F.col("source").eqNullSafe(F.col("source_name"))).drop("source", "source_name")
     if with_text:
         id_type = docs.schema[doc_col].dataType.simpleString()
-        parts = numbered.select("source_no", "doc_id", "start", "text").mapInArrow(_cut(block_words), f"source_no int, block long, doc_id {id_type}, start long, first_word long, n long, text string")
+        parts = numbered.select("source_no", "doc_id", "start", "text").mapInArrow(tidy(_cut(block_words)), f"source_no int, block long, doc_id {id_type}, start long, first_word long, n long, text string")
     else:
         b = F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words)))
         parts = numbered.select("source_no", b.alias("block"), "doc_id", "start", "size")

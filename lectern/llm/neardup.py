@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import Scratch, connected_components, small_batches
+from lectern.llm.shared import Scratch, connected_components, small_batches, tidy
 from lectern.llm.words import shingle_hashes, text_chunks, word_hashes
 
 #: Longest list of which pairs are made; longer ones become blocks.
@@ -80,7 +80,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, k: i
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(each, "id long, n_shingles long, set_hi long, set_lo long, need int, retained array<long>")
+    return rows.mapInArrow(tidy(each), "id long, n_shingles long, set_hi long, set_lo long, need int, retained array<long>")
 
 
 def listed(sketches: DataFrame) -> DataFrame:
@@ -158,7 +158,7 @@ def exact_links(docs: DataFrame, blocks: DataFrame, id_col: str, text_col: str,
             sets = list(shingle_sets(batch.column(2), shingle_words))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "block", "n", "shingles"])
 
-    sets = scratch.keep(texts.select("id", "block", "text").mapInArrow(each, "id long, block long, n long, shingles binary").dropDuplicates(["id"]), "sets")
+    sets = scratch.keep(texts.select("id", "block", "text").mapInArrow(tidy(each), "id long, block long, n long, shingles binary").dropDuplicates(["id"]), "sets")
     sized = sets.groupBy("block").agg(F.sum("n").alias("total"), F.count("*").alias("m")).where("m > 1")
     chunk = F.least(F.greatest((F.col("total") / 8).cast("long"), F.lit(ONE_TASK)), F.lit(MOST_CHUNK))
     sized = sized.select("block", F.when(F.col("total") <= ONE_TASK, 1).otherwise(F.greatest(F.lit(3), F.ceil(F.col("total") / chunk))).cast("int").alias("chunks"))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm import arrays
-from lectern.llm.shared import Scratch, small_batches
+from lectern.llm.shared import Scratch, small_batches, tidy
 from lectern.llm.words import mix, text_chunks, word_hashes
 
 #: Marks before the first word and after the last, beside the words' hashes.
@@ -245,7 +245,7 @@ def train(spark: SparkSession, texts: DataFrame, scratch: Scratch, text_col: str
         arrays.write(root, f"w-{key[0]}", keys, {"c": c.astype(np.uint32), "before": before.astype(np.uint32), **{f"n{k}": x.astype(np.uint32) for k, x in ((1, n1), (2, n2), (3, n3))}})
         return pd.DataFrame({"words": [int((c > 0).sum())], "tokens": [int(c.sum())], "texts": [int(c[keys == END].sum())], **{f"n{k}": [int((before == k).sum())] for k in (1, 2, 3, 4)}})
 
-    cells = texts.mapInArrow(count, "i int, j int, blob binary")
+    cells = texts.mapInArrow(tidy(count), "i int, j int, blob binary")
     known = scratch.keep(cells.groupBy("i", "j").applyInPandas(add_pairs, "kind int, line int, blob binary, n1 long, n2 long, n3 long, n4 long, pairs long"), "lines")
     pairs = known.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n1", "n2", "n3", "n4", "pairs"))).first()
     total = known.groupBy("line").applyInPandas(add_words, "words long, tokens long, texts long, n1 long, n2 long, n3 long, n4 long").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "tokens", "texts", "n1", "n2", "n3", "n4"))).first()
@@ -285,4 +285,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 out["perplexity"][part] = 10 ** np.minimum(-out["score"][part] / out["n_tokens"][part], 300)
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, out.values())], names=["row", *out])
 
-    return rows.mapInArrow(each, schema)
+    return rows.mapInArrow(tidy(each), schema)

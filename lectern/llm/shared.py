@@ -36,6 +36,26 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def tidy(each):
+    """Wraps a batch function so that a worker gives freed memory back when its task ends; workers outlive tasks."""
+
+    def run(batches):
+        try:
+            yield from each(batches)
+        finally:
+            import ctypes
+            import gc
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # not in every C library
+                pass
+
+    return run
+
+
 class Scratch:
     """Written tables of one run, each dropped when it is no longer needed."""
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm import arrays
-from lectern.llm.shared import Scratch, small_batches
+from lectern.llm.shared import Scratch, small_batches, tidy
 from lectern.llm.words import hash_spans, mix, text_chunks
 
 #: Distinct pre-tokens that one bucket of the piece table holds about.
@@ -146,8 +146,8 @@ def piece_table(spark: SparkSession, texts: DataFrame, vocabulary, scratch: Scra
                 n += [len(e) for e in bare.encode_batch(tokens[i : i + 2000], add_special_tokens=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["hash", "n"])
 
-    once = texts.mapInArrow(distinct, "hash long, token string").distinct()
-    counted = scratch.keep(once.mapInArrow(count, "hash long, n long"), "pieces")
+    once = texts.mapInArrow(tidy(distinct), "hash long, token string").distinct()
+    counted = scratch.keep(once.mapInArrow(tidy(count), "hash long, n long"), "pieces")
     bits = max(0, int(np.ceil(np.log2(max(counted.count() / BUCKET_KEYS, 1)))))
     root = scratch.path("piece-arrays")
 
@@ -211,4 +211,4 @@ def token_counts(spark: SparkSession, docs: DataFrame, vocabulary_file: str, tex
                 n[i] = len(whole.encode(text[int(i)].as_py(), add_special_tokens=False))
             yield pa.RecordBatch.from_arrays([batch.column(0), n_bytes.cast(pa.int64()), pa.array(n)], names=["row", "n_bytes", "n_tokens"])
 
-    return rows.mapInArrow(each, schema)
+    return rows.mapInArrow(tidy(each), schema)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.shared import small_batches
+from lectern.llm.shared import small_batches, tidy
 
 ALLOW, BLOCK = "allow", "block"
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])|(?<=[0-9])(?=[a-z])")
@@ -146,4 +146,4 @@ def judge(pages: DataFrame, rules: list[Rule], url_col: str = "url", model: Filt
             yield frame.drop(columns="hit").assign(rule=[rules[i][1] + rules[i][2] if i >= 0 else None for i in hits], words=words, verdict=[rules[i][0] if i >= 0 else v for i, v in zip(hits, said, strict=True)])
 
     schema = T.StructType([*rows.drop("hit").schema, T.StructField("rule", T.StringType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("verdict", T.StringType())])
-    return rows.mapInPandas(each, schema)
+    return rows.mapInPandas(tidy(each), schema)

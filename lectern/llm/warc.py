@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import small_batches
+from lectern.llm.shared import small_batches, tidy
 
 #: The date of responses made from pages, which have none.
 PAGE_DATE = "2024-01-01T00:00:00Z"
@@ -102,7 +102,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([list(headers.items())], pa.map_(pa.string(), pa.string())), pa.array([block], pa.binary())], names=["path", "headers", "block"])
 
     small_batches(spark)
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(each, "path string, headers map<string,string>, block binary")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(tidy(each), "path string, headers map<string,string>, block binary")
 
 
 def response_of(url: str | None, page: str | None, key: object) -> tuple[dict[str, str], bytes]:
@@ -174,7 +174,7 @@ def build_derivatives(responses: DataFrame, key_cols: list[str] | None = None) -
             )
 
     key_type = rows.schema["key"].dataType.simpleString()
-    out = rows.mapInArrow(each, f"key {key_type}, {RECORD}")
+    out = rows.mapInArrow(tidy(each), f"key {key_type}, {RECORD}")
     return out.select(*(F.col("key")[k].alias(k) for k in keys), *(x.split()[0] for x in RECORD.split(", ")))
 
 
@@ -188,4 +188,4 @@ def responses_of_pages(pages: DataFrame, key_col: str = "page_id", url_col: str
             made = [response_of(u, h, k) for k, u, h in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([list(h.items()) for h, _ in made], pa.map_(pa.string(), pa.string())), pa.array([b for _, b in made], pa.binary())], names=["key", "headers", "block"])
 
-    return rows.mapInArrow(each, f"key {rows.schema['key'].dataType.simpleString()}, headers map<string,string>, block binary").withColumnRenamed("key", key_col)
+    return rows.mapInArrow(tidy(each), f"key {rows.schema['key'].dataType.simpleString()}, headers map<string,string>, block binary").withColumnRenamed("key", key_col)
