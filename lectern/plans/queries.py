@@ -1,14 +1,337 @@
-"""The driver's queries over its tables, and their DuckDB equivalents."""
+"""The driver's queries over its tables, and their DuckDB equivalents.
+
+Each query puts an operator of the engine to work on a driver table whose
+columns stand for the operator's own (an order is a document added on its date,
+a conversation a document whose turns are blocks, and so on).
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from lectern.functions import ids, vectors
+from lectern.functions import text as X
+from lectern.operators import catalog, retrieval
+from lectern.operators.annotate import annotate, block_rows, outline
+from lectern.operators.chunk import ChunkConfig, chunk
+from lectern.operators.ingest import point_id
+from lectern.operators.metadata import find_doi, rebuild_abstracts, title_likeness
+from lectern.operators.models import HashingEmbedder, OverlapReranker, embed_column
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: ASCII letters in DuckDB's translate.
+FOLD = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def orders_as_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderpriority").alias("title"), F.when(F.col("o_orderkey") % 7 != 0, F.year("o_orderdate")).alias("year"), F.lit(None).cast("string").alias("journal"), F.col("o_orderstatus").alias("first_author"), F.lit(None).cast("string").alias("doi"), F.col("o_orderdate").alias("added_at"))
+
+
+def parts_as_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    return p.select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("title"), F.col("p_size").alias("year"), F.col("p_brand").alias("journal"), F.lit("").alias("first_author"), F.lit(None).cast("string").alias("doi"), F.col("p_retailprice").alias("added_at"), F.col("p_type").alias("abstract"), F.array(F.col("p_brand")).alias("keywords"))
+
+
+_LISTED = "SELECT o_orderkey AS doc_id, o_orderpriority AS title, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(year(o_orderdate) AS INTEGER) END AS year FROM orders"
+
+
+@query("SELECT doc_id, title, year FROM (SELECT o_orderkey AS doc_id, o_orderpriority AS title, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(year(o_orderdate) AS INTEGER) END AS year, o_orderdate FROM orders) ORDER BY o_orderdate DESC, doc_id LIMIT 20 OFFSET 40")
+def q01_list_added(spark, sf_dir):
+    return catalog.list_documents(orders_as_documents(spark, sf_dir), "added", 3, 20).select("doc_id", "title", "year")
+
+
+@query(f"{_LISTED} ORDER BY title NULLS FIRST, doc_id LIMIT 20 OFFSET 20")
+def q02_list_title(spark, sf_dir):
+    return catalog.list_documents(orders_as_documents(spark, sf_dir), "title", 2, 20).select("doc_id", "title", "year")
+
+
+@query(f"{_LISTED} ORDER BY year NULLS FIRST, doc_id LIMIT 20 OFFSET 0")
+def q03_list_year(spark, sf_dir):
+    return catalog.list_documents(orders_as_documents(spark, sf_dir), "year", 1, 20).select("doc_id", "title", "year")
+
+
+@query(f"SELECT p_partkey AS doc_id, p_name AS title, p_size AS year FROM part WHERE contains(translate(p_name, {FOLD}), 'in') AND contains(translate(p_brand, {FOLD}), 'brand#1') AND p_size >= 5 AND p_size <= 40 ORDER BY p_retailprice DESC, doc_id LIMIT 20")
+def q04_search_like(spark, sf_dir):
+    rows, _ = catalog.search_documents(parts_as_documents(spark, sf_dir), 1, 20, title="IN", journal="BRAND#1", year_from=5, year_to=40)
+    return rows.select("doc_id", "title", "year")
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS total FROM part p WHERE p_size >= 10 AND EXISTS (SELECT 1 FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey WHERE l.l_partkey = p.p_partkey AND contains(lower(s.s_name), '7'))")
+def q05_search_exists_author(spark, sf_dir):
+    names = table(spark, sf_dir, "supplier").where(X.contains_ci(F.col("s_name"), "7")).select("s_suppkey")
+    authored = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").join(names, F.col("l_suppkey") == F.col("s_suppkey"), "left_semi")
+    docs = parts_as_documents(spark, sf_dir).where(catalog.search_filter(year_from=10))
+    return docs.join(authored, F.col("doc_id") == F.col("l_partkey"), "left_semi").agg(F.count("*").alias("total"))
+
+
+@query("SELECT doc_id, source FROM documents WHERE (contains(lower(text), 'the') OR contains(lower(source), 'the')) AND (contains(lower(text), 'src1') OR contains(lower(source), 'src1'))")
+def q06_search_fulltext(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where(X.fulltext([F.col("text"), F.col("source")], 'The "SRC1" of')).select("doc_id", "source")
+
+
+@query("SELECT o_orderkey AS doc_id, coalesce(string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, CAST(l_partkey AS VARCHAR)), '') AS authors, coalesce(string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag), '') AS keywords FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
+def q07_get_document_nested(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "doc_id")
+    authors = lines.select("doc_id", F.col("l_linenumber").alias("position"), F.col("l_partkey").cast("string").alias("name"))
+    found = catalog.nested(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id")), authors, lines.select("doc_id", F.col("l_returnflag").alias("keyword")))
+    return found.select("doc_id", F.array_join("authors", ",").alias("authors"), F.array_join("keywords", ",").alias("keywords"))
+
+
+@query("SELECT doc_id, substr(text, 501, 500) AS content, CAST(greatest(1, ceil(length(text) / 500.0)) AS INTEGER) AS pages FROM documents WHERE greatest(1, ceil(length(text) / 500.0)) >= 2")
+def q08_text_page(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", X.page(F.col("text"), 2, 500).alias("content"), X.page_count(F.col("text"), 500).alias("pages"))
+    return docs.where("pages >= 2")
+
+
+def first_vector(spark: SparkSession, sf_dir: str) -> list[float]:
+    return list(table(spark, sf_dir, "embeddings").where("vec_id = 0").first().embedding)
+
+
+_COSINE = "list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0))"
+
+
+@query(f"SELECT vec_id, round({_COSINE}, 6) AS embed_score FROM embeddings e ORDER BY {_COSINE} DESC, vec_id LIMIT 50")
+def q09_knn_topk(spark, sf_dir):
+    got = retrieval.nearest(table(spark, sf_dir, "embeddings"), first_vector(spark, sf_dir), retrieval.pool_size(10), "vec_id")
+    return got.select("vec_id", F.round("embed_score", 6).alias("embed_score"))
+
+
+def points_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.col("source").alias("section"), F.col("n_chars").cast("int").alias("year"), F.lower("lang").alias("journal_norm"))
+    return table(spark, sf_dir, "embeddings").join(d, "vec_id")
+
+
+@query(f"SELECT vec_id, round({_COSINE}, 6) AS embed_score FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id WHERE d.source IN ('src0', 'src3', 'src5') AND lower(d.lang) = 'en' ORDER BY {_COSINE} DESC, vec_id LIMIT 25")
+def q10_knn_filtered_in(spark, sf_dir):
+    kept = points_of(spark, sf_dir).where(retrieval.compile_filter({"section": ["src0", "src3", "src5"], "journal": "EN"}))
+    return retrieval.nearest(kept, first_vector(spark, sf_dir), 25, "vec_id").select("vec_id", F.round("embed_score", 6).alias("embed_score"))
+
+
+@query(f"SELECT vec_id, round({_COSINE}, 6) AS embed_score FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id WHERE d.n_chars BETWEEN 300 AND 2000 ORDER BY {_COSINE} DESC, vec_id LIMIT 25")
+def q11_knn_filtered_range(spark, sf_dir):
+    kept = points_of(spark, sf_dir).where(retrieval.compile_filter({"year": {"gte": 300, "lte": 2000}}))
+    return retrieval.nearest(kept, first_vector(spark, sf_dir), 25, "vec_id").select("vec_id", F.round("embed_score", 6).alias("embed_score"))
+
+
+_POOL = f"(SELECT vec_id, label, {_COSINE} AS s FROM embeddings e ORDER BY s DESC, vec_id LIMIT 50)"
+
+
+def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = table(spark, sf_dir, "embeddings")
+    return retrieval.nearest(points, first_vector(spark, sf_dir), 50, "vec_id").join(points.select("vec_id", "label"), "vec_id")
+
+
+@query(f"SELECT vec_id, label / 10.0::DOUBLE AS rerank_score FROM {_POOL} WHERE label / 10.0::DOUBLE >= 0.2 ORDER BY label DESC, s DESC, vec_id LIMIT 10")
+def q12_rerank_stable(spark, sf_dir):
+    pool = _pool(spark, sf_dir).withColumn("rerank_score", F.col("label") / 10.0)
+    return retrieval.rerank(pool, 10, 0.2, id_col="vec_id").select("vec_id", "rerank_score")
+
+
+@query(f"SELECT vec_id, CAST(NULL AS DOUBLE) AS rerank_score, round(s, 6) AS embed_score FROM {_POOL} WHERE s >= 0.1 ORDER BY s DESC, vec_id LIMIT 10")
+def q13_degraded(spark, sf_dir):
+    return retrieval.degraded(_pool(spark, sf_dir), 10, 0.1, "vec_id").select("vec_id", "rerank_score", F.round("embed_score", 6).alias("embed_score"))
+
+
+@query("SELECT vec_id, label FROM embeddings WHERE false")
+def q14_empty_in_list(spark, sf_dir):
+    return points_of(spark, sf_dir).where(retrieval.compile_filter({"section": []})).select("vec_id", "label")
+
+
+@query(r"""SELECT doc_id, CASE WHEN trim(text) = '' THEN '' ELSE trim(regexp_replace(regexp_replace(text, '(?im)^Table\s+S?\d+.*$', '', 'g'), '\n{3,}', E'\n\n', 'g'), E' \n\t\r') || chr(10) END AS cleaned
+FROM (SELECT doc_id, array_to_string(list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(text, '!\[.*?\]\(.*?\)\s*', '', 'g'), '(?im)^(?:Figure|Fig\.)\s+S?\d+.*$', '', 'g'), '(?is)<table.*?</table>', '', 'g'), chr(10)), lambda x: NOT starts_with(ltrim(x, E' \t\r'), '|')), chr(10)) AS text FROM documents)""")
+def q15_clean(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.clean_markdown(F.col("text")).alias("cleaned"))
+
+
+def line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of documents as blocks; a block's lines are parted by blank ones first."""
+    spread = F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.split_blocks(spread)).alias("idx", "block"))
+
+
+_LINES = r"(SELECT doc_id, unnest(b) AS block, generate_subscripts(b, 1) - 1 AS idx, len(b) AS n FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, E' \t\r')), lambda x: x <> '') AS b FROM documents))"
+
+
+@query(f"SELECT doc_id, CAST(idx AS INTEGER) AS idx, block, idx / greatest(n - 1, 1)::DOUBLE AS ratio FROM {_LINES}")
+def q16_blocks(spark, sf_dir):
+    last = F.greatest(F.count("*").over(W.partitionBy("doc_id")) - 1, F.lit(1))
+    return line_blocks(spark, sf_dir).withColumn("ratio", F.col("idx") / last)
+
+
+@query(rf"""SELECT doc_id, CAST(idx AS INTEGER) AS idx,
+  CAST(regexp_matches(block, '(?i)^(?:fig(?:ure)?\.?)\s*[A-Za-z]?\d+') AS INTEGER) AS figure, CAST(regexp_matches(block, '(?i)^(?:table)\s*[A-Za-z]?\d+') AS INTEGER) AS tabular,
+  CAST(regexp_matches(block, '^(?:\(?\d+\)?[\].:]?\s+|[A-Z][A-Za-z'' -]+,\s*[A-Z]\.)') AS INTEGER) AS reference,
+  CAST(length(replace(block, ' ', '')) <= 12 AND regexp_matches(replace(block, ' ', ''), '^[A-Za-z0-9_.:-]+$') AS INTEGER) AS short
+FROM {_LINES}""")
+def q17_signals(spark, sf_dir):
+    s = X.signals(F.col("block"))
+    named = {"figure": "starts_with_figure_token", "tabular": "starts_with_table_token", "reference": "has_reference_markers", "short": "looks_like_short_label"}
+    return line_blocks(spark, sf_dir).select("doc_id", "idx", *(s[v].cast("int").alias(k) for k, v in named.items()))
+
+
+@query("SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS anchor FROM conversations")
+def q18_anchor(spark, sf_dir):
+    before = W.partitionBy("conv_id").orderBy("turn").rowsBetween(W.unboundedPreceding, -1)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(before).alias("anchor"))
+
+
+@query("SELECT conv_id, role AS section, CAST(min(turn) AS BIGINT) AS first_turn, CAST(sum(CASE WHEN turn % 3 = 0 THEN 0 ELSE length(text) END) AS BIGINT) AS char_count FROM conversations GROUP BY conv_id, role")
+def q19_outline(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    return c.groupBy("conv_id", F.col("role").alias("section")).agg(F.min("turn").cast("long").alias("first_turn"), F.sum(F.when(F.col("turn") % 3 == 0, 0).otherwise(F.length("text"))).cast("long").alias("char_count"))
+
+
+@query("SELECT conv_id, role AS section, string_agg(text, '' ORDER BY turn) AS content FROM conversations GROUP BY conv_id, role")
+def q20_section_text(spark, sf_dir):
+    texts = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    return table(spark, sf_dir, "conversations").groupBy("conv_id", F.col("role").alias("section")).agg(F.array_join(F.transform(texts, lambda x: x["text"]), "").alias("content"))
+
+
+@query("SELECT user_id, CAST(island AS BIGINT) AS island, any_value(event_type) AS event_type, CAST(count(*) AS BIGINT) AS n, CAST(row_number() OVER (PARTITION BY user_id ORDER BY island) - 1 AS BIGINT) AS chunk_index FROM (SELECT user_id, event_type, sum(starts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM (SELECT *, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) THEN 1 ELSE 0 END AS starts FROM events)) GROUP BY user_id, island")
+def q21_islands(spark, sf_dir):
+    by = W.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    e = e.withColumn("starts", F.when(F.col("event_type").eqNullSafe(F.lag("event_type").over(by)) & F.lag("event_id").over(by).isNotNull(), 0).otherwise(1))
+    groups = e.withColumn("island", F.sum("starts").over(by)).groupBy("user_id", "island").agg(F.first("event_type").alias("event_type"), F.count("*").alias("n"))
+    return groups.withColumn("chunk_index", (F.row_number().over(W.partitionBy("user_id").orderBy("island")) - 1).cast("long"))
+
+
+def annotated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as papers: each line a block, so the annotator has something to decide."""
+    return annotate(table(spark, sf_dir, "documents").select("doc_id", F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n")).alias("text")))
+
+
+@query()
+def q22_chunk(spark, sf_dir):
+    return chunk(annotated_documents(spark, sf_dir), ChunkConfig(200, 800, 80))
+
+
+@query("SELECT sha256(text) AS content_hash, CAST(min(doc_id) AS BIGINT) AS doc_id, CAST(count(*) - 1 AS BIGINT) AS skipped FROM documents GROUP BY 1")
+def q23_sha256_dedup(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", ids.content_hash(F.col("text")).alias("content_hash")).groupBy("content_hash").agg(F.min("doc_id").alias("doc_id"), (F.count("*") - 1).alias("skipped"))
+
+
+@query("SELECT doc_id, i AS chunk_index, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab89ab89ab89ab', strpos('0123456789abcdef', substr(h, 17, 1)), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id FROM (SELECT doc_id, i, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || (doc_id || '#' || i)::BLOB) AS h FROM documents, (SELECT unnest([0, 1, 2])::INTEGER AS i))")
+def q24_point_id(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("chunk_index")).withColumn("point_id", point_id(F.col("doc_id"), F.col("chunk_index")))
+
+
+@query(r"""WITH parts AS (SELECT doc_id, unnest(p) AS k, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, string_split_regex(split_part(text, chr(10), 1) || ',', '[;,|]+') AS p FROM documents)),
+bare AS (SELECT doc_id, i, trim(regexp_replace(trim(regexp_replace(k, '\s+', ' ', 'g')), '^(?:[-*•]|\d+[.)])\s*', ''), ' .,:;/-_') AS k FROM parts),
+keyed AS (SELECT doc_id, i, k, regexp_replace(lower(k), '[^a-z0-9]+', '', 'g') AS key FROM bare WHERE k <> '' AND length(k) <= 80 AND lower(k) NOT IN ('abstract', 'article', 'keyword', 'keywords', 'paper', 'research', 'review', 'study')),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY i) AS turn FROM keyed WHERE key <> ''),
+capped AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS place FROM firsts WHERE turn = 1)
+SELECT d.doc_id, coalesce(string_agg(k, ';' ORDER BY i), '') AS keywords FROM documents d LEFT JOIN capped c ON c.doc_id = d.doc_id AND c.place <= 10 GROUP BY d.doc_id""")
+def q25_keyword_normalise(spark, sf_dir):
+    line = F.concat(F.substring_index("text", "\n", 1), F.lit(","))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(X.keyword_list(line), ";").alias("keywords"))
+
+
+@query(r"SELECT doc_id, TRY_CAST(nullif(regexp_extract(substr(text, 1, 1000), '\b((?:19|20)\d{2})\b', 1), '') AS INTEGER) AS year FROM documents")
+def q26_year_sniff(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.year_sniff(F.col("text")).alias("year"))
+
+
+@query(r"SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[\s\x{00a0}\x1c-\x1f\x{0085}]+', ' ', 'g')) AS content FROM pages")
+def q27_html_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", X.strip_tags(F.col("html")).alias("content"))
+
+
+@query(r"SELECT doc_id, trim(regexp_replace(text, '[ \n]+', ' ', 'g')) AS abstract FROM documents")
+def q28_inverted_index(spark, sf_dir):
+    words = F.filter(F.split("text", "[ \n]+"), lambda w: w != "")
+    placed = table(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(words).alias("place", "token"))
+    index = placed.groupBy("doc_id", "token").agg(F.collect_list("place").alias("places")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "places"))).alias("index"))
+    return rebuild_abstracts(index, "doc_id", "index")
+
+
+@query("SELECT event_type AS status, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE json_extract_string(props, '$.k') IS NOT NULL) AS BIGINT) AS with_result, CAST(min(event_id) AS BIGINT) AS first_job FROM events GROUP BY event_type")
+def q29_job_summary(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.groupBy(F.col("event_type").alias("status")).agg(F.count("*").alias("n"), F.count(F.get_json_object("props", "$.k")).alias("with_result"), F.min("event_id").alias("first_job"))
+
+
+@query("SELECT d.source AS kb, CAST(count(DISTINCT d.doc_id) AS BIGINT) AS doc_count, CAST(count(e.vec_id) AS BIGINT) AS chunk_count FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id GROUP BY d.source")
+def q30_kb_counts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("kb"), "doc_id")
+    chunks = table(spark, sf_dir, "embeddings").join(docs, F.col("vec_id") == F.col("doc_id")).groupBy("kb").agg(F.count("*").alias("chunk_count"))
+    return docs.groupBy("kb").agg(F.count("*").alias("doc_count")).join(chunks, "kb", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)))
+
+
+@query()
+def q31_annotate(spark, sf_dir):
+    return block_rows(annotated_documents(spark, sf_dir)).select("doc_id", "idx", "role", "section", "confidence", "kept")
+
+
+@query()
+def q32_section_outline(spark, sf_dir):
+    return outline(annotated_documents(spark, sf_dir)).drop("text")
+
+
+@query()
+def q33_title_likeness(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
+    return p.select("p_partkey", F.udf(lambda a, b: title_likeness(a, b), "double")("p_name", "p_type").alias("likeness"))
+
+
+@query()
+def q34_find_doi(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    text = F.concat(F.col("text"), F.lit("\ndoi: 10.1234/x."), F.col("doc_id"), F.lit(")."))
+    return d.select("doc_id", F.udf(lambda t: find_doi(t), "string")(text).alias("doi"))
+
+
+@query("SELECT q.vec_id AS query, e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 5) AS embed_score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 20) q QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) DESC, e.vec_id) <= 10")
+def q35_knn_batch(spark, sf_dir):
+    import numpy as np
+
+    points = table(spark, sf_dir, "embeddings")
+    asked = points.where("vec_id < 20").orderBy("vec_id").collect()
+    got = retrieval.nearest_batch(points, np.array([r.embedding for r in asked], np.float64), 10, "vec_id")
+    return got.select(F.col("query").cast("long").alias("query"), "vec_id", F.round("embed_score", 5).alias("embed_score"))
+
+
+@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 6) AS size FROM embeddings")
+def q36_vector_norm(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(vectors.norm(F.col("embedding")), 6).alias("size"))
+
+
+@query()
+def q37_embed_and_rerank(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", embed_column(F.col("text"), HashingEmbedder()).alias("embedding"), "text")
+    pool = retrieval.nearest(docs, HashingEmbedder().embed(["the of and in"])[0], 50, "doc_id").join(docs.select("doc_id", "text"), "doc_id")
+    score: Column = F.udf(lambda t: float(OverlapReranker().score("the of and in", [t])[0]), "double")(F.col("text"))
+    return retrieval.rerank(pool.withColumn("rerank_score", score), 10, id_col="doc_id").select("doc_id", "embed_score", "rerank_score")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    """Documents of new content, cut into chunks, joined to vectors; the filtered pool in stable re-rank order."""
+    docs = table(spark, sf_dir, "documents")
+    first = docs.groupBy(ids.content_hash(F.col("text")).alias("h")).agg(F.min("doc_id").alias("doc_id"))
+    fresh = docs.join(first, "doc_id", "left_semi").where("lang = 'en'")
+    spread = fresh.select("doc_id", F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n")).alias("text"))
+    chunks = chunk(annotate(spread), ChunkConfig(100, 800, 80)).where("chunk_index = 0")
+    points = table(spark, sf_dir, "embeddings").join(chunks.select(F.col("doc_id").alias("vec_id"), "content"), "vec_id")
+    pool = retrieval.nearest(points, first_vector(spark, sf_dir), 50, "vec_id").join(points.select("vec_id", "content"), "vec_id")
+    ranked = pool.withColumn("rerank_score", F.length("content") / 800.0)
+    return retrieval.rerank(ranked, 10, id_col="vec_id").select("vec_id", "embed_score", "rerank_score", F.substring("content", 1, 80).alias("begins"))
