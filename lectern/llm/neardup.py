@@ -163,7 +163,8 @@ def exact_links(docs: DataFrame, blocks: DataFrame, id_col: str, text_col: str,
     chunk = F.least(F.greatest((F.col("total") / 8).cast("long"), F.lit(ONE_TASK)), F.lit(MOST_CHUNK))
     sized = sized.select("block", F.when(F.col("total") <= ONE_TASK, 1).otherwise(F.greatest(F.lit(3), F.ceil(F.col("total") / chunk))).cast("int").alias("chunks"))
     mine = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
-    dealt = sets.join(sized, "block").withColumn("mine", mine)
+    # there are no more blocks than texts in them
+    dealt = sets.join(F.broadcast(sized) if n <= MOST_SENT_IDS else sized, "block").withColumn("mine", mine)
     others = F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: x != F.col("mine")))
     dealt = dealt.select("block", F.explode(others).alias("other"), "mine", "id", "shingles").select("block", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "id", "shingles")
 

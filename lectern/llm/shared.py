@@ -95,10 +95,11 @@ def large_strings(batch: pa.RecordBatch, name: str) -> pa.Array:
 def connected_components(edges: DataFrame, scratch: Scratch, name: str = "components", most_rounds: int = 60) -> DataFrame:
     """(node, component): each node of ``edges`` (u, v) with the smallest node it reaches.
 
-    Alternating large-star and small-star steps: every round is two
-    minimum aggregations (combined map-side, so a node of very many edges costs
-    one row a task) and an equi-join, with no neighbour lists in memory.  Stops
-    when a round leaves the edges as they were.
+    Alternating large-star and small-star steps: each is a minimum aggregation
+    (combined map-side, so a node of very many edges costs one row a task) and
+    an equi-join, with no neighbour lists in memory.  The minima are written
+    before they are joined, so the join deals out both sides itself and a node of
+    very many edges can be split.  Stops when a round leaves the edges as they were.
     """
     e = scratch.keep(
         edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}-0"
@@ -113,15 +114,15 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "compon
             break
         # large star: larger neighbours of a node go to the least of it and its neighbours
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = scratch.keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}-least")
         big = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small star: smaller neighbours, and the node itself, go to the least of them
-        big = big.where("u <> v").distinct()
-        low = big.groupBy("u").agg(F.min("v").alias("m"))
+        big = scratch.keep(big.where("u <> v").distinct(), f"{name}-big")
+        low = scratch.keep(big.groupBy("u").agg(F.min("v").alias("m")), f"{name}-low")
         out = big.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
         new = scratch.keep(out.distinct(), f"{name}-{i}")
         now = state(new)
-        scratch.drop(f"{name}-{i - 1}")
+        scratch.drop(f"{name}-{i - 1}", f"{name}-least", f"{name}-big", f"{name}-low")
         e, same = new, now == was
         was = now
         if same:
