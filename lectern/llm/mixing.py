@@ -34,8 +34,8 @@ from lectern.llm.words import text_chunks, word_hashes
 BLOCK_WORDS = 128
 #: Slots of a shard at least; with more slots than MOST_SHARDS of these, shards grow.
 SHARD_SLOTS, MOST_SHARDS = 4096, 4096
-#: Rows of a source that one bucket of the prefix sum holds about.
-BUCKET_ROWS = 20_000
+#: Rows of a source that one bucket of the prefix sum holds about: a share of all rows, within bounds.
+BUCKET_SHARE, LEAST_BUCKET, MOST_BUCKET = 20_000, 200, 20_000
 #: Totals of buckets sent to all tasks at most; with more, a shuffled join takes their place.
 MOST_SENT_TOTALS = 200_000
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -132,15 +132,17 @@ def placed(docs: DataFrame, doc_col: str, text_col: str, source_col: str, scratc
     named = [F.col(doc_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.xxhash64(text).alias("tie")]
     sized = scratch.keep(docs.select(*named), "sized")
     counted = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
-    buckets = max(1, math.ceil(max([r["n"] for r in counted], default=1) / BUCKET_ROWS)) * 16
-    bucket = F.pmod(F.xxhash64("doc_id", "tie"), F.lit(buckets))
+    held = min(max(sum(r["n"] for r in counted) // BUCKET_SHARE, LEAST_BUCKET), MOST_BUCKET)
+    many = [(r["source"], math.ceil(r["n"] / held)) for r in counted]
+    cut = F.broadcast(docs.sparkSession.createDataFrame(many, "cut_source string, buckets int"))
+    in_buckets = lambda df: df.join(cut, F.col("source").eqNullSafe(F.col("cut_source"))).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tie"), F.col("buckets"))).drop("cut_source", "buckets")
     before = F.sum("n").over(W.partitionBy("s").orderBy("b").rowsBetween(W.unboundedPreceding, -1))
-    totals = sized.groupBy(F.col("source").alias("s"), bucket.alias("b")).agg(F.sum("size").alias("n")).select("s", "b", F.coalesce(before, F.lit(0)).alias("base"))
-    if len(counted) * buckets <= MOST_SENT_TOTALS:
+    totals = in_buckets(sized).groupBy(F.col("source").alias("s"), F.col("bucket").alias("b")).agg(F.sum("size").alias("n")).select("s", "b", F.coalesce(before, F.lit(0)).alias("base"))
+    if sum(n for _, n in many) <= MOST_SENT_TOTALS:
         totals = F.broadcast(totals)
     within = F.sum("size").over(W.partitionBy("source", "bucket").orderBy("doc_id", "tie").rowsBetween(W.unboundedPreceding, -1))
     rows = docs.select(*named, text.alias("text")) if with_text else sized
-    rows = rows.withColumn("bucket", bucket).withColumn("within", F.coalesce(within, F.lit(0)))
+    rows = in_buckets(rows).withColumn("within", F.coalesce(within, F.lit(0)))
     rows = rows.join(totals, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     return rows.select("doc_id", "source", "size", "tie", (F.col("base") + F.col("within")).alias("start"), *(["text"] * with_text)), {r["source"]: r["size"] for r in counted}
 
