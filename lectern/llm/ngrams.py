@@ -120,6 +120,15 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.0), float(k)) for k in (1, 2, 3))
 
 
+def word_file(h: np.ndarray, side: int) -> np.ndarray:
+    """The file of words: their line, cut into as many parts as keep files alike in size at every corpus size."""
+    return line(h, side) * parts_of(side) + ((h >> np.uint64(8)) % np.uint64(parts_of(side))).astype(np.int64)
+
+
+def parts_of(side: int) -> int:
+    return max(1, side // 4)
+
+
 @dataclass
 class Model:
     root: str
@@ -135,9 +144,12 @@ class Model:
     def word_table(self, wanted: np.ndarray) -> dict[str, np.ndarray]:
         """The stored columns of each of the sorted distinct word hashes ``wanted``, zero for unknown ones."""
         out = {name: np.zeros(len(wanted), np.int64) for name in WORD_COLUMNS}
-        of = line(wanted, self.side)
-        for i in np.unique(of):
-            at = np.flatnonzero(of == i)
+        of = word_file(wanted, self.side)
+        order = np.argsort(of, kind="stable")
+        edges = np.flatnonzero(np.diff(of[order], prepend=-1, append=-1))
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            at = order[a:b]
+            i = of[at[0]]
             held = arrays.read(self.root, f"w-{i}", WORD_COLUMNS)
             place, found = arrays.find(held["keys"], wanted[at])
             for name in WORD_COLUMNS if found.any() else ():
@@ -231,8 +243,13 @@ def train(spark: SparkSession, texts: DataFrame, scratch: Scratch, text_col: str
         arrays.write(root, name, keys, {"n": np.minimum(n, BIG).astype(np.uint16)})
         begins, of = _sums(u, [(n == 1).astype(np.int64), (n == 2).astype(np.int64), (n >= 3).astype(np.int64)])
         ends, by = _sums(w, [np.ones(len(n), np.int64), n])
-        rows = [(0, key[0], _pack([begins, *of])), (1, key[1], _pack([ends, *by]))]
-        return pd.DataFrame({"kind": [r[0] for r in rows], "line": [int(r[1]) for r in rows], "blob": [r[2] for r in rows], **{f"n{k}": [int((n == k).sum()), 0] for k in (1, 2, 3, 4)}, "pairs": [len(n), 0]})
+        rows = []
+        for kind, words, columns in ((0, begins, of), (1, ends, by)):
+            own = word_file(words, side)
+            for f in np.unique(own):
+                rows.append((kind, int(f), _pack([words[own == f], *(c[own == f] for c in columns)])))
+        zeros = [0] * (len(rows) - 1)
+        return pd.DataFrame({"kind": [r[0] for r in rows], "file": [r[1] for r in rows], "blob": [r[2] for r in rows], **{f"n{k}": [int((n == k).sum()), *zeros] for k in (1, 2, 3, 4)}, "pairs": [len(n), *zeros]})
 
     def add_words(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         begins = [_unpack(b, "hnnn") for b in pdf["blob"][pdf["kind"] == 0]]
@@ -246,9 +263,9 @@ def train(spark: SparkSession, texts: DataFrame, scratch: Scratch, text_col: str
         return pd.DataFrame({"words": [int((c > 0).sum())], "tokens": [int(c.sum())], "texts": [int(c[keys == END].sum())], **{f"n{k}": [int((before == k).sum())] for k in (1, 2, 3, 4)}})
 
     cells = texts.mapInArrow(tidy(count), "i int, j int, blob binary")
-    known = scratch.keep(cells.groupBy("i", "j").applyInPandas(add_pairs, "kind int, line int, blob binary, n1 long, n2 long, n3 long, n4 long, pairs long"), "lines")
+    known = scratch.keep(cells.groupBy("i", "j").applyInPandas(add_pairs, "kind int, file int, blob binary, n1 long, n2 long, n3 long, n4 long, pairs long"), "lines")
     pairs = known.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n1", "n2", "n3", "n4", "pairs"))).first()
-    total = known.groupBy("line").applyInPandas(add_words, "words long, tokens long, texts long, n1 long, n2 long, n3 long, n4 long").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "tokens", "texts", "n1", "n2", "n3", "n4"))).first()
+    total = known.groupBy("file").applyInPandas(add_words, "words long, tokens long, texts long, n1 long, n2 long, n3 long, n4 long").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "tokens", "texts", "n1", "n2", "n3", "n4"))).first()
     scratch.drop("lines")
     words, tokens, n_texts, *of = total
     by = discounts(of)
