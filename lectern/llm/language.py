@@ -66,8 +66,8 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(axis=1, keepdims=True)
 
 
-def train(windows: np.ndarray, labels: list[str], epochs: int = 8, batch: int = 128, rate: float = 0.004, seed: int = 7) -> Network:
-    """Fits the network with Adam; the same input gives the same network."""
+def train(windows: np.ndarray, labels: list[str], steps: int = 1200, batch: int = 128, rate: float = 0.004, seed: int = 7) -> Network:
+    """Fits the network with Adam in a number of steps; the same input gives the same network."""
     rng = np.random.default_rng(seed)
     names = sorted(set(labels))
     y = np.searchsorted(names, labels)
@@ -80,8 +80,8 @@ def train(windows: np.ndarray, labels: list[str], epochs: int = 8, batch: int =
     net.embed[0] = 0
     weights = [net.embed, net.filters, net.bias, net.out, net.out_bias]
     first, second, step = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights], 0
-    for epoch in range(epochs):
-        for at in np.array_split(rng.permutation(len(y)), max(1, len(y) // batch)):
+    while step < steps:
+        for at in np.array_split(rng.permutation(len(y)), max(1, len(y) // batch))[: steps - step]:
             x = windows[at].copy()
             # a third of the windows are cut short, as short texts are
             cut = np.where(rng.random(len(at)) < 0.33, rng.integers(12, WINDOW + 1, len(at)), WINDOW)
@@ -104,7 +104,7 @@ def train(windows: np.ndarray, labels: list[str], epochs: int = 8, batch: int =
             for i, grad in enumerate((d_embed, d_filters, back.sum(0), hidden.T @ error, error.sum(0))):
                 first[i] = 0.9 * first[i] + 0.1 * grad
                 second[i] = 0.999 * second[i] + 0.001 * grad * grad
-                weights[i] -= (rate * 0.5 ** (epoch / 3)) * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-7)
+                weights[i] -= (rate * 0.5 ** (3 * step / steps)) * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-7)
     return net
 
 

@@ -35,7 +35,7 @@ from lectern.llm.words import shingle_hashes, text_chunks, word_hashes
 #: Longest list of which pairs are made; longer ones become blocks.
 SHORT_LIST = 32
 #: Shingles of a block up to which it is one task; chunks of larger blocks hold an eighth of it, within bounds.
-ONE_TASK, MOST_CHUNK = 1 << 17, 1 << 21
+ONE_TASK, MOST_CHUNK = 1 << 15, 1 << 21
 #: Ids sent to all tasks at most; with more, a shuffled join takes their place.
 MOST_SENT_IDS = 300_000
 

@@ -92,6 +92,10 @@ def large_strings(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name)).cast(pa.large_string())
 
 
+#: Rows of one file of a round's tables, about.
+ROWS_OF_A_FILE = 250_000
+
+
 def connected_components(edges: DataFrame, scratch: Scratch, name: str = "components", most_rounds: int = 60) -> DataFrame:
     """(node, component): each node of ``edges`` (u, v) with the smallest node it reaches.
 
@@ -105,6 +109,10 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "compon
         edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}-0"
     )
 
+    def keep(df: DataFrame, table: str) -> DataFrame:
+        # files and tasks follow the edges that are left, not the session's setting
+        return scratch.keep(df.coalesce(1 + was[0] // ROWS_OF_A_FILE), f"{name}-{table}")
+
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
@@ -114,13 +122,13 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "compon
             break
         # large star: larger neighbours of a node go to the least of it and its neighbours
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = scratch.keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}-least")
+        least = keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         big = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small star: smaller neighbours, and the node itself, go to the least of them
-        big = scratch.keep(big.where("u <> v").distinct(), f"{name}-big")
-        low = scratch.keep(big.groupBy("u").agg(F.min("v").alias("m")), f"{name}-low")
+        big = keep(big.where("u <> v").distinct(), "big")
+        low = keep(big.groupBy("u").agg(F.min("v").alias("m")), "low")
         out = big.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
-        new = scratch.keep(out.distinct(), f"{name}-{i}")
+        new = keep(out.distinct(), str(i))
         now = state(new)
         scratch.drop(f"{name}-{i - 1}", f"{name}-least", f"{name}-big", f"{name}-low")
         e, same = new, now == was

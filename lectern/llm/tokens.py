@@ -59,8 +59,8 @@ def tokenizer(vocabulary: str):
         from tokenizers import Tokenizer, normalizers
 
         spec = json.loads(vocabulary)
-        steps = [s["type"] for s in spec["normalizer"]["normalizers"]]
-        splits = [s.get("pattern", {}).get("Regex") for s in spec["pre_tokenizer"]["pretokenizers"]]
+        steps = [s["type"] for s in (spec.get("normalizer") or {}).get("normalizers", ())]
+        splits = [s.get("pattern", {}).get("Regex") for s in (spec.get("pre_tokenizer") or {}).get("pretokenizers", ())]
         if steps != ["NFC", "Replace", "Lowercase"] or splits != [SPLIT, None]:
             raise ValueError("only tokenizers with this module's normalizer and split are supported")
         whole, bare = Tokenizer.from_str(vocabulary), Tokenizer.from_str(vocabulary)
@@ -189,7 +189,9 @@ def token_counts(spark: SparkSession, docs: DataFrame, vocabulary_file: str, tex
     small_batches(spark)
     scratch = Scratch(spark)
     with open(vocabulary_file, encoding="utf-8") as f:
-        vocabulary = spark.sparkContext.broadcast(f.read())
+        content = f.read()
+    tokenizer(content)  # fails here, not in tasks, if it is of another kind
+    vocabulary = spark.sparkContext.broadcast(content)
     root, bits = piece_table(spark, docs.select(F.col(text_col).cast("string").alias("text")), vocabulary, scratch)
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     schema = T.StructType([rows.schema["row"], T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
