@@ -162,32 +162,32 @@ def _dated_or_placed(b: Block) -> bool:
 
 Rule = tuple[Callable[[Block, str, Facts], bool], str, float, str]
 HEADING_RULES: list[Rule] = [
-    (lambda b, active, doc: b.signals.starts_with_figure_token, "figure_caption", 0.99, "figure-token heading"),
-    (lambda b, active, doc: b.signals.starts_with_table_token, "table_caption", 0.99, "table-token heading"),
-    (lambda b, active, doc: b.key in V.FRONT_HEADINGS, "front_matter", 0.96, "known front-matter heading"),
-    (lambda b, active, doc: b.key in V.ACK_HEADINGS, "ack_meta", 0.96, "ack/meta heading"),
-    (lambda b, active, doc: b.key in V.SUPPLEMENT_HEADINGS, "supplementary_meta", 0.96, "supplementary heading"),
-    (lambda b, active, doc: b.signals.looks_like_summary_heading, "summary_box", 0.92, "summary-like heading"),
-    (lambda b, active, doc: b.key in V.CANONICAL_HEADINGS and b.level <= 1, "section_heading", 0.95, "canonical section heading"),
-    (lambda b, active, doc: b.key in V.CANONICAL_HEADINGS, "subsection_heading", 0.95, "canonical subsection heading"),
-    (lambda b, active, doc: b.index == 0 and b.ratio <= 0.08 and (len(b.text) >= 20 or _near_preamble(doc, 0)), "title", 0.97, "leading long heading"),
-    (lambda b, active, doc: active in ("section_heading", "summary_box", "supplementary_meta"), "subsection_heading", 0.78, "nested under active major heading"),
-    (lambda b, active, doc: 0.05 <= b.ratio <= 0.92, "subsection_heading", 0.62, "mid-document free-form heading"),
-    (lambda b, active, doc: True, "unknown", 0.35, "unresolved heading"),
+    (lambda b, active, doc: b.signals.starts_with_figure_token, "figure_caption", 0.99, "figure token"),
+    (lambda b, active, doc: b.signals.starts_with_table_token, "table_caption", 0.99, "table token"),
+    (lambda b, active, doc: b.key in V.FRONT_HEADINGS, "front_matter", 0.96, "front matter text"),
+    (lambda b, active, doc: b.key in V.ACK_HEADINGS, "ack_meta", 0.96, "thanks"),
+    (lambda b, active, doc: b.key in V.SUPPLEMENT_HEADINGS, "supplementary_meta", 0.96, "supplement"),
+    (lambda b, active, doc: b.signals.looks_like_summary_heading, "summary_box", 0.92, "summary word"),
+    (lambda b, active, doc: b.key in V.CANONICAL_HEADINGS and b.level <= 1, "section_heading", 0.95, "known heading"),
+    (lambda b, active, doc: b.key in V.CANONICAL_HEADINGS, "subsection_heading", 0.95, "known lower heading"),
+    (lambda b, active, doc: b.index == 0 and b.ratio <= 0.08 and (len(b.text) >= 20 or _near_preamble(doc, 0)), "title", 0.97, "leads the document"),
+    (lambda b, active, doc: active in ("section_heading", "summary_box", "supplementary_meta"), "subsection_heading", 0.78, "under a major heading"),
+    (lambda b, active, doc: 0.05 <= b.ratio <= 0.92, "subsection_heading", 0.62, "free heading"),
+    (lambda b, active, doc: True, "unknown", 0.35, "undecided"),
 ]
 PARAGRAPH_RULES: list[Rule] = [
-    (lambda b, active, doc: b.signals.looks_like_caption_body, "figure_caption", 0.92, "caption-like paragraph"),
-    (lambda b, active, doc: b.signals.starts_with_table_token, "table_caption", 0.95, "table-token paragraph"),
-    (lambda b, active, doc: b.signals.has_reference_markers and b.ratio >= 0.6, "reference_entry", 0.86, "reference-like tail paragraph"),
-    (lambda b, active, doc: active == "ack_meta", "ack_meta", 0.95, "inside ack/meta region"),
-    (lambda b, active, doc: active == "supplementary_meta", "supplementary_meta", 0.94, "inside supplementary region"),
-    (lambda b, active, doc: active == "unknown" and b.index <= doc.marker and is_summary_label(b.text), "summary_box", 0.91, "summary-like paragraph label"),
-    (lambda b, active, doc: active == "unknown" and b.index <= doc.marker and (_dated_or_placed(b) or is_preamble(b.text)), "front_matter", 0.9, "preamble metadata paragraph"),
-    (lambda b, active, doc: active == "unknown" and b.index <= doc.marker and _leads_as_title(b, doc), "title", 0.91, "title-like preamble paragraph"),
-    (lambda b, active, doc: active == "summary_box" and is_preamble(b.text), "front_matter", 0.9, "summary-region metadata paragraph"),
-    (lambda b, active, doc: active == "unknown" and _dated_or_placed(b) and (b.ratio <= 0.35 or b.anchor == 0), "front_matter", 0.93, "front-matter metadata paragraph"),
-    (lambda b, active, doc: b.signals.looks_like_short_label, "unknown", 0.42, "short unresolved label"),
-    (lambda b, active, doc: True, "body_paragraph", 0.88, "default body paragraph"),
+    (lambda b, active, doc: b.signals.looks_like_caption_body, "figure_caption", 0.92, "caption words"),
+    (lambda b, active, doc: b.signals.starts_with_table_token, "table_caption", 0.95, "table token"),
+    (lambda b, active, doc: b.signals.has_reference_markers and b.ratio >= 0.6, "reference_entry", 0.86, "numbered in the tail"),
+    (lambda b, active, doc: active == "ack_meta", "ack_meta", 0.95, "under thanks"),
+    (lambda b, active, doc: active == "supplementary_meta", "supplementary_meta", 0.94, "under a supplement"),
+    (lambda b, active, doc: active == "unknown" and b.index <= doc.marker and is_summary_label(b.text), "summary_box", 0.91, "summary label"),
+    (lambda b, active, doc: active == "unknown" and b.index <= doc.marker and (_dated_or_placed(b) or is_preamble(b.text)), "front_matter", 0.9, "preamble facts"),
+    (lambda b, active, doc: active == "unknown" and b.index <= doc.marker and _leads_as_title(b, doc), "title", 0.91, "preamble title"),
+    (lambda b, active, doc: active == "summary_box" and is_preamble(b.text), "front_matter", 0.9, "facts in a summary"),
+    (lambda b, active, doc: active == "unknown" and _dated_or_placed(b) and (b.ratio <= 0.35 or b.anchor == 0), "front_matter", 0.93, "front matter facts"),
+    (lambda b, active, doc: b.signals.looks_like_short_label, "unknown", 0.42, "short label"),
+    (lambda b, active, doc: True, "body_paragraph", 0.88, "body"),
 ]
 
 
@@ -231,7 +231,7 @@ def _collect(doc: Facts) -> None:
 
 
 def _from_sample(sample: str) -> tuple[str, float, str] | None:
-    return next(((s, c, "section inferred from local body cue") for s, c, p in V.BODY_CUES if sample and p.search(sample)), None)
+    return next(((s, c, "cue in the text below") for s, c, p in V.BODY_CUES if sample and p.search(sample)), None)
 
 
 CARRIED = frozenset(["Methods", "Results", "Discussion", "Introduction", "Supplementary", "Acknowledgments", "Author_Info", "References"])
@@ -247,33 +247,33 @@ def by_position(current: str, ratio: float, abstract_seen: bool) -> str:
 
 def _last_resort(b: Block, doc: Facts, current: str, abstract_seen: bool, weak: tuple[float, float], unresolved: str, what: str) -> tuple[str, float, str]:
     if (section := by_position(current, b.ratio, abstract_seen)) != "Other":
-        return section, 0.66 if abstract_seen else weak[0], f"{what} abstained: positional fallback only"
+        return section, 0.66 if abstract_seen else weak[0], f"{what}: by place"
     if b.ratio <= 0.18:
-        return "Introduction", weak[1], f"{what} abstained: weak early-position fallback"
+        return "Introduction", weak[1], f"{what}: early"
     if b.ratio >= 0.8:
-        return "Discussion", weak[1], f"{what} abstained: weak late-position fallback"
+        return "Discussion", weak[1], f"{what}: late"
     return "Other", 0.42, unresolved
 
 
 def infer_heading(b: Block, doc: Facts, current: str, abstract_seen: bool) -> tuple[str, float, str]:
     if (section := cued_section(b.key)) != "Other":
-        return section, 0.84, "heading inferred from lexical cue"
+        return section, 0.84, "cue word"
     if current in ("Methods", "Results", "Discussion", "Introduction", "Conclusion"):
-        return current, 0.82, "heading inherits active section context"
+        return current, 0.82, "active section"
     following = doc.next_direct[b.index]
     if following == "Results" and b.ratio <= 0.2:
-        return "Introduction", 0.74, "heading inferred from early pre-results position"
+        return "Introduction", 0.74, "early before results"
     if following == "Methods" and b.ratio >= 0.55:
-        return "Discussion", 0.73, "heading inferred from late pre-methods position"
+        return "Discussion", 0.73, "late before methods"
     if found := _from_sample(doc.samples[b.index]):
         return found
     if doc.review_like:
         if b.ratio <= 0.25:
-            return "Introduction", 0.61, "heading weakly inferred from early review position"
+            return "Introduction", 0.61, "early in a review"
         if b.ratio >= 0.82:
-            return "Conclusion" if "conclusion" in b.key else "Discussion", 0.6, "heading weakly inferred from late review position"
-        return "Discussion", 0.56, "heading abstained: review-style fallback too weak"
-    return _last_resort(b, doc, current, abstract_seen, (0.6, 0.56), "unresolved heading", "heading")
+            return "Conclusion" if "conclusion" in b.key else "Discussion", 0.6, "late in a review"
+        return "Discussion", 0.56, "inside a review"
+    return _last_resort(b, doc, current, abstract_seen, (0.6, 0.56), "undecided", "heading")
 
 
 def infer_body(b: Block, doc: Facts, abstract_seen: bool) -> tuple[str, float, str]:
@@ -282,22 +282,22 @@ def infer_body(b: Block, doc: Facts, abstract_seen: bool) -> tuple[str, float, s
     if found := _from_sample(doc.samples[b.index]):
         return found
     if (section := doc.previous_direct[b.index]) != "Other":
-        return section, 0.78, "body inferred from previous direct heading"
+        return section, 0.78, "mapped heading above"
     if doc.next_direct[b.index] == "Results" and b.ratio <= 0.18:
-        return "Introduction", 0.72, "body inferred from early pre-results region"
+        return "Introduction", 0.72, "early before results"
     if doc.review_like:
         if doc.has_title and 0.08 <= b.ratio <= 0.2 and is_substantive(b.text):
-            return "Introduction", 0.72, "body inferred from title-led review lede"
+            return "Introduction", 0.72, "lede of a review"
         if b.ratio <= 0.2:
-            return "Introduction", 0.6, "body abstained: weak early review fallback"
+            return "Introduction", 0.6, "early in a review"
         if b.ratio >= 0.82:
             summing = "in summary" in b.text.lower()
-            return ("Conclusion", 0.62, "body abstained: weak late review fallback") if summing else ("Discussion", 0.58, "body abstained: weak late review fallback")
-        return "Discussion", 0.54, "body abstained: review-style fallback too weak"
-    return _last_resort(b, doc, "Other", abstract_seen, (0.58, 0.54), "body inherits unresolved section", "body")
+            return ("Conclusion", 0.62, "late in a review") if summing else ("Discussion", 0.58, "late in a review")
+        return "Discussion", 0.54, "inside a review"
+    return _last_resort(b, doc, "Other", abstract_seen, (0.58, 0.54), "undecided", "body")
 
 
-INLINE = "inline section label in body"
+INLINE = "numbered label in body"
 
 
 def _title_like(b: Block, doc: Facts) -> bool:
@@ -313,22 +313,22 @@ def decide_heading(b: Block, doc: Facts, current: str, abstract_seen: bool) -> t
     """(section, subsection, confidence, rationale, whether the state moves on)."""
     author = is_author_line(b.text)
     if V.PAGE_MARKER.fullmatch(b.key) or V.RUNNING_HEADER.search(b.text) or doc.counts[b.key] >= 3 and b.index > 3 or author and b.ratio >= 0.2:
-        return current, b.text if current != "Other" else "", 0.35, "running header / page marker", False
+        return current, b.text if current != "Other" else "", 0.35, "running header", False
     if b.role == "front_matter" or b.role != "title" and author:
-        return "Author_Info", "", 0.9, "author/front-matter heading", False
+        return "Author_Info", "", 0.9, "names", False
     if b.role == "ack_meta":
-        return "Acknowledgments", "", 0.95, "ack/meta heading", True
+        return "Acknowledgments", "", 0.95, "thanks", True
     if b.role == "supplementary_meta":
-        return "Supplementary", "", 0.95, "supplementary heading", True
+        return "Supplementary", "", 0.95, "supplement", True
     if b.role == "summary_box":
         section = "Abstract" if b.ratio <= 0.2 else "Other"
-        return section, "", 0.9, "summary box heading", section != "Other"
+        return section, "", 0.9, "summary box", section != "Other"
     major = b.role == "section_heading" or is_major_free(squeeze(b.text))
     if (section := V.SECTION_OF_HEADING.get(b.key, "Other")) != "Other":
-        return section, "" if major else b.text, 0.84 if b.role == "unknown" else 0.95, "heading mapped directly", True
+        return section, "" if major else b.text, 0.84 if b.role == "unknown" else 0.95, "mapped heading", True
     title_like = _title_like(b, doc)
     if b.role == "title" or title_like:
-        return "Other", "", 0.92, "title block", False
+        return "Other", "", 0.92, "title", False
     section, confidence, rationale = infer_heading(b, doc, current, abstract_seen)
     major = major or doc.review_like and not abstract_seen and b.ratio >= 0.15 and not author
     taken = section != "Other" and confidence >= 0.72
@@ -348,18 +348,18 @@ class State:
 def _decode_shared(b: Block, s: State) -> bool:
     """The roles that both decoders treat alike; whether this was one."""
     if b.role == "front_matter":
-        b.section, b.subsection, b.rationale = "Author_Info", "", "front matter mapped to author info"
+        b.section, b.subsection, b.rationale = "Author_Info", "", "front matter"
     elif b.role in ("ack_meta", "supplementary_meta"):
         b.section, b.subsection = ("Acknowledgments" if b.role == "ack_meta" else "Supplementary"), ""
-        b.rationale = "ack/meta region" if b.role == "ack_meta" else "supplementary region"
+        b.rationale = "thanks region" if b.role == "ack_meta" else "supplement region"
         s.move(b.section)
     elif b.role == "reference_entry":
         inline = numbered_section(b.text)
         b.section, b.subsection = (inline if inline != "Other" else "References"), ""
-        b.rationale = "inline section label recovered from reference-like paragraph" if inline != "Other" else "reference entry"
+        b.rationale = "numbered label" if inline != "Other" else "reference"
         s.move(b.section)
     elif b.role in ("figure_caption", "table_caption"):
-        b.rationale, b.confidence = "caption inherits local section", min(b.confidence, 0.8)
+        b.rationale, b.confidence = "caption", min(b.confidence, 0.8)
     else:
         return False
     return True
@@ -370,7 +370,7 @@ def decode_by_context(doc: Facts) -> None:
     _collect(doc)
     s = State()
     for b in doc.blocks:
-        b.section, b.subsection, b.rationale = s.section, s.subsection, "inherit previous section"
+        b.section, b.subsection, b.rationale = s.section, s.subsection, "inherited"
         if b.heading:
             b.section, b.subsection, confidence, b.rationale, moves = decide_heading(b, doc, s.section, s.abstract_seen)
             b.confidence = min(b.confidence, confidence)
@@ -379,12 +379,12 @@ def decode_by_context(doc: Facts) -> None:
                 s.abstract_seen |= b.section == "Abstract"
         elif not _decode_shared(b, s) and b.role == "body_paragraph":
             if s.section not in ("Other", "Author_Info"):
-                b.rationale = "body inherits current section"
+                b.rationale = "inherited body"
                 continue
             section, confidence, why = infer_body(b, doc, s.abstract_seen)
             b.confidence = min(b.confidence, confidence)
             if section != "Other" and confidence >= 0.7:
-                b.section, b.rationale = section, "body inferred from local context"
+                b.section, b.rationale = section, "inferred body"
                 if why == INLINE:
                     s.move(section)
                     b.subsection = ""
@@ -396,28 +396,28 @@ def decode_by_rules(doc: Facts) -> None:
     """The alternative decoder: headings by map and position only."""
     s = State()
     for b in doc.blocks:
-        b.section, b.subsection, b.rationale = s.section, s.subsection, "inherit previous section"
+        b.section, b.subsection, b.rationale = s.section, s.subsection, "inherited"
         if b.role == "title":
-            b.section, b.subsection, b.rationale, b.confidence = "Other", "", "title block", min(b.confidence, 0.95)
+            b.section, b.subsection, b.rationale, b.confidence = "Other", "", "title", min(b.confidence, 0.95)
         elif b.role == "summary_box":
-            b.section, b.subsection, b.rationale = ("Abstract" if b.ratio <= 0.2 else "Other"), "", "summary box heading"
+            b.section, b.subsection, b.rationale = ("Abstract" if b.ratio <= 0.2 else "Other"), "", "summary box"
             s.move(b.section)
         elif b.role == "section_heading":
-            b.section, b.subsection, b.rationale = V.SECTION_OF_HEADING.get(b.key, "Other"), "", "major section heading"
+            b.section, b.subsection, b.rationale = V.SECTION_OF_HEADING.get(b.key, "Other"), "", "section heading"
             s.move(b.section)
             s.abstract_seen |= b.section == "Abstract"
         elif b.role == "subsection_heading":
             section = V.SECTION_OF_HEADING.get(b.key, "Other")
-            b.rationale = "subsection heading mapped directly"
+            b.rationale = "mapped lower heading"
             if section == "Other":
                 section = by_position(s.section, b.ratio, s.abstract_seen)
-                b.rationale, b.confidence = "subsection inferred from context", min(b.confidence, 0.72)
+                b.rationale, b.confidence = "inferred lower heading", min(b.confidence, 0.72)
             b.section, b.subsection = section, b.text
             s.move(section, b.text)
         elif not _decode_shared(b, s) and b.role == "body_paragraph":
-            b.rationale = "body inherits current section"
+            b.rationale = "inherited body"
             if s.section == "Other" and s.abstract_seen and b.ratio <= 0.75:
-                b.section, b.rationale, b.confidence = "Results", "body in unresolved post-abstract region defaults to results", min(b.confidence, 0.68)
+                b.section, b.rationale, b.confidence = "Results", "after the abstract", min(b.confidence, 0.68)
 
 
 DECODERS = {"context": decode_by_context, "rules": decode_by_rules}

@@ -30,7 +30,7 @@ def candidates(blocks: list[Block], most: int = MOST_CANDIDATES) -> list[dict]:
         if len(out) == most:
             break
         running = bool(b.key) and bool(V.PAGE_MARKER.fullmatch(b.key) or b.ratio >= 0.2 and is_author_line(b.text, V.WIDE_NAME) or i >= 3 and len(b.key) <= 80 and b.key in lead or i > 3 and len(b.key) <= 60 and counts[b.key] >= 2)
-        if b.section != "Other" or b.rationale == "title block" or b.role in SETTLED_ROLES or running or not (b.heading or b.role == "body_paragraph"):
+        if b.section != "Other" or b.rationale == "title" or b.role in SETTLED_ROLES or running or not (b.heading or b.role == "body_paragraph"):
             continue
         headings = [(x.index, x.text) for x in blocks if x.heading]
         stop = next((j for j, _ in headings if j > i), len(blocks))
@@ -65,9 +65,9 @@ def apply(blocks: list[Block], items: list[dict], apply_from: float = APPLY_FROM
             continue
         b = blocks[i]
         if item["decision"] == "keep_current":
-            b.confidence, b.rationale = max(b.confidence, item["confidence"]), f"llm keep_current: {item['rationale']}"
+            b.confidence, b.rationale = max(b.confidence, item["confidence"]), f"kept by model: {item['rationale']}"
         else:
-            b.section, b.confidence, b.rationale = item["section_type"], item["confidence"], f"llm override: {item['rationale']}"
+            b.section, b.confidence, b.rationale = item["section_type"], item["confidence"], f"set by model: {item['rationale']}"
             b.subsection = "" if item.get("clear_subsection") else b.subsection
 
 
