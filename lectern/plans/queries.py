@@ -21,6 +21,7 @@ from lectern.operators.chunk import ChunkConfig, chunk
 from lectern.operators.ingest import point_id
 from lectern.operators.metadata import find_doi, rebuild_abstracts, title_likeness
 from lectern.operators.models import HashingEmbedder, OverlapReranker, embed_column
+from lectern.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -218,7 +219,7 @@ def q21_islands(spark, sf_dir):
 
 def annotated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as papers: each line a block, so the annotator has something to decide."""
-    return annotate(table(spark, sf_dir, "documents").select("doc_id", F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n")).alias("text")))
+    return annotate(spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n")).alias("text")))
 
 
 @query()

@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _sent: set[str] = set()
 
@@ -25,6 +25,15 @@ def ship_package(spark: SparkSession) -> None:
     _sent.add(app)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A table as it is read, dealt out to all cores if it has fewer files and row groups than there are cores.
+
+    Only for plain scans, whose partitions are known without running anything.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and benches on one machine."""
     spark = (
