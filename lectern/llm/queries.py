@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm import decontaminate, fingerprints, language, maintext, mixing, neardup, ngrams, tokens, urls, warc
 from lectern.llm.shared import Scratch, crc_mod
+from lectern.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -20,7 +21,8 @@ def _query(f):
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    # a small table may be one file; its texts are then dealt out to all cores
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 @_query
