@@ -27,19 +27,22 @@ _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])|(?<=[0-9])(?=[a-z])")
 #: Letters of the longest piece that the segmentation considers.
 LONGEST_WORD = 24
 
+# Words that are in URLs of any kind, so they speak for neither side.
+NEUTRAL = frozenset("www m blog example com net org index html htm php en de fr es page ref source utm feed top".split())
+
 # Labelled URL texts that the classifier and the word frequencies are learned from.
 LABELLED = {
     BLOCK: [
         "cheap pills online pharmacy no prescription", "buy cheap pills viagra cialis", "online casino bonus free spins", "best casino slots jackpot win", "poker betting odds bet now",
         "free porn videos xxx adult", "hot sex cams live girls", "xxx tube sex porn", "payday loans fast cash no credit", "get rich quick money earn cash", "replica watches cheap luxury",
         "weight loss pills diet miracle", "free download crack keygen warez", "torrent pirate movies free stream", "click here win prize free gift", "lottery winner claim prize",
-        "escort girls dating hookup", "cheap meds discount drugs pills", "bitcoin doubler invest profit", "spam seo backlinks buy traffic", "adult dating sex chat", "gambling roulette blackjack casino",
+        "ads ad tracker track click banner pixel", "free bets bet tips odds", "adult rated video", "spam link farm", "escort girls dating hookup", "cheap meds discount drugs pills", "bitcoin doubler invest profit", "spam seo backlinks buy traffic", "adult dating sex chat", "gambling roulette blackjack casino",
     ],
     ALLOW: [
-        "news article today world", "blog post travel photos", "university research science paper", "school education learning students", "recipe food kitchen cooking", "health medicine hospital doctor",
+        "news article today world", "post travel photos", "university research science paper", "school education learning students", "recipe food kitchen cooking", "health medicine hospital doctor",
         "sports football team results", "technology computer software code", "library books reading history", "city government public service", "music concert artist band", "garden plants flowers home",
         "weather forecast local report", "shop store product review", "help support docs guide", "forum question answer topic", "about contact team company", "wiki page history talk", "museum art gallery exhibition",
-        "the mobile site en de fr es html index", "www blog m example page ref source feed", "market finance business economy",
+        "market finance business economy", "the mobile site of a city", "family travel guide and map", "open data project archive",
     ],
 }
 
@@ -85,11 +88,11 @@ def _split(model: Filter, text: str) -> list[str]:
 def train(labelled: dict[str, list[str]]) -> Filter:
     """Unigram costs (-log p) and naive Bayes log odds with add-one smoothing."""
     counts = {label: Counter(w for text in texts for w in words_of(text)) for label, texts in labelled.items()}
-    every = counts[ALLOW] + counts[BLOCK]
+    every = counts[ALLOW] + counts[BLOCK] + Counter(NEUTRAL)
     total = sum(every.values())
     costs = {w: -math.log(n / total) for w, n in every.items()}
     size = {label: sum(c.values()) + len(every) for label, c in counts.items()}
-    odds = {w: math.log((counts[BLOCK][w] + 1) / size[BLOCK]) - math.log((counts[ALLOW][w] + 1) / size[ALLOW]) for w in every}
+    odds = {w: math.log((counts[BLOCK][w] + 1) / size[BLOCK]) - math.log((counts[ALLOW][w] + 1) / size[ALLOW]) for w in every if w not in NEUTRAL}
     prior = math.log(len(labelled[BLOCK]) / len(labelled[ALLOW]))
     # one unknown letter costs more than a rare word, so known words are not broken up
     return Filter(costs, odds, min(prior, -0.5), math.log(total) * 0.6)
