@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.shared import small_batches, tidy
+from lectern.llm.shared import prepare_workers, tidy
 from lectern.llm.words import ALNUM, mix, text_chunks, word_hashes
 
 #: Benchmark words whose index is sent to workers at once (some 40 bytes a word).
@@ -162,7 +162,7 @@ def contaminated_spans(spark: SparkSession, docs: DataFrame, benchmark: DataFram
     * Repeated rows each have their result; repeated items count once by id.
     * Empty documents give an empty result, an empty benchmark no spans.
     """
-    small_batches(spark)
+    prepare_workers(spark)
     items = benchmark.where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("string").alias("id"), F.col(item_text_col).cast("string").alias("text"))
     # a word takes two bytes with what parts it from the next, so this bounds the words
     size = items.agg(F.sum((F.octet_length("text") + 1) / 2)).first()[0] or 0

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.shared import small_batches, tidy
+from lectern.llm.shared import prepare_workers, tidy
 from lectern.llm.words import text_chunks
 
 WINDOW = 128
@@ -130,7 +130,7 @@ def fit(docs: DataFrame, train_when: Column, text_col: str = "text", label_col:
     Only rows with a label, a text and a true ``train_when`` are looked at.  The
     sample is by hash of the text, so reruns agree.  None without such rows.
     """
-    small_batches(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     rows = docs.where(train_when & F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(label_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text"))
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if not counts:
@@ -163,7 +163,7 @@ def identify(docs: DataFrame, network: Network | None, text_col: str = "text") -
     score 0, as is everything where there is no network.  Repeated rows each have
     their result; an empty table gives an empty result.
     """
-    small_batches(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     schema = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 

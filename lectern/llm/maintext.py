@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.shared import small_batches, tidy
+from lectern.llm.shared import prepare_workers, tidy
 
 # Element names by their part in a page, and words of class, id and role that name parts which aren't main text.
 INLINE = frozenset("a abbr b bdi bdo cite code del dfn em font i ins kbd mark q s samp small span strong sub sup time tt u var".split())
@@ -296,7 +296,7 @@ def extract(pages: DataFrame, html_col: str = "html", weights: dict[str, float]
     result; an empty table gives an empty result.
     """
     weights = default_weights() if weights is None else weights
-    small_batches(pages.sparkSession)
+    prepare_workers(pages.sparkSession)
     rows = pages.select(F.struct(*(F.col(f"`{c}`") for c in pages.columns)).alias("row"))
     schema = T.StructType([rows.schema["row"], T.StructField("text", T.StringType())])
 

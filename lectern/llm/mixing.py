@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import Scratch, small_batches, tidy
+from lectern.llm.shared import Scratch, prepare_workers, tidy
 from lectern.llm.words import text_chunks, word_hashes
 
 BLOCK_WORDS = 128
@@ -184,7 +184,7 @@ def mix(spark: SparkSession, docs: DataFrame, doc_col: str = "doc_id", text_col:
     * Repeated rows are texts of their own, each taken.  Reruns agree.
     * An empty table gives an empty mix.  Other columns are not read.
     """
-    small_batches(spark)
+    prepare_workers(spark)
     scratch = Scratch(spark)
     texts, sizes = placed(docs, doc_col, text_col, source_col, scratch, with_text)
     if not with_text:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import Scratch, connected_components, small_batches, tidy
+from lectern.llm.shared import Scratch, connected_components, prepare_workers, tidy
 from lectern.llm.words import shingle_hashes, text_chunks, word_hashes
 
 #: Longest list of which pairs are made; longer ones become blocks.
@@ -188,7 +188,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     * Repeated rows have the same component; each is kept if it has its id.
     * An empty table gives an empty result; other columns of ``docs`` are not read.
     """
-    small_batches(spark)
+    prepare_workers(spark)
     scratch = Scratch(spark)
     all_rows = scratch.keep(sketch(docs, id_col, text_col, shingle_words, k, percent), "sketches")
     linked = all_rows.where("n_shingles > 0 AND id IS NOT NULL")

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm import arrays
-from lectern.llm.shared import Scratch, small_batches, tidy
+from lectern.llm.shared import Scratch, prepare_workers, tidy
 from lectern.llm.words import mix, text_chunks, word_hashes
 
 #: Marks before the first word and after the last, beside the words' hashes.
@@ -197,7 +197,7 @@ class Model:
 
 def train(spark: SparkSession, texts: DataFrame, scratch: Scratch, text_col: str = "text", cell_bytes: int = CELL_BYTES) -> Model:
     """Counts all rows of ``texts``; null texts are empty."""
-    small_batches(spark)
+    prepare_workers(spark)
     texts = texts.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     side = max(1, math.ceil(math.sqrt(size / cell_bytes)))
@@ -284,7 +284,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     one end.  Repeated rows each have their result; an empty table gives an
     empty result; a model of no texts gives every token the probability one.
     """
-    small_batches(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     real = ("base_score", "score", "perplexity")
     schema = T.StructType([rows.schema["row"], T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in real)])

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.session import ship_package
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder; where unset (as in tests), a temporary one of our own."""
@@ -31,8 +33,9 @@ def shared_dir(spark: SparkSession) -> str:
 BATCH_BYTES = 4 << 20
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bounds the batches of this session's Python operators by size, as texts may be long."""
+def prepare_workers(spark: SparkSession) -> None:
+    """Bounds the batches of this session's Python operators by size, as texts may be long, and sends them this package."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm import arrays
-from lectern.llm.shared import Scratch, small_batches, tidy
+from lectern.llm.shared import Scratch, prepare_workers, tidy
 from lectern.llm.words import hash_spans, mix, text_chunks
 
 #: Distinct pre-tokens that one bucket of the piece table holds about.
@@ -186,7 +186,7 @@ def token_counts(spark: SparkSession, docs: DataFrame, vocabulary_file: str, tex
     library's default has it.  Null and empty texts have no bytes and no tokens.
     Repeated rows each have their result; an empty table gives an empty result.
     """
-    small_batches(spark)
+    prepare_workers(spark)
     scratch = Scratch(spark)
     with open(vocabulary_file, encoding="utf-8") as f:
         content = f.read()

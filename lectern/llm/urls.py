@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.shared import small_batches, tidy
+from lectern.llm.shared import prepare_workers, tidy
 
 ALLOW, BLOCK = "allow", "block"
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])|(?<=[0-9])(?=[a-z])")
@@ -119,7 +119,7 @@ def judge(pages: DataFrame, rules: list[Rule], url_col: str = "url", model: Filt
     it is empty itself.  Repeated rows each have their result; an empty table
     gives an empty result.
     """
-    small_batches(pages.sparkSession)
+    prepare_workers(pages.sparkSession)
     model = model or default_filter()
     url = F.coalesce(F.col("row")[url_col].cast("string"), F.lit(""))
     rest = F.when(F.instr(url, "://") > 0, F.substring_index(url, "://", 1)).otherwise(F.lit(None))

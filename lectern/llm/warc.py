@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import small_batches, tidy
+from lectern.llm.shared import prepare_workers, tidy
 
 #: The date of responses made from pages, which have none.
 PAGE_DATE = "2024-01-01T00:00:00Z"
@@ -101,7 +101,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 for headers, block in parse(data.as_buffer().to_pybytes()):
                     yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([list(headers.items())], pa.map_(pa.string(), pa.string())), pa.array([block], pa.binary())], names=["path", "headers", "block"])
 
-    small_batches(spark)
+    prepare_workers(spark)
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(tidy(each), "path string, headers map<string,string>, block binary")
 
 
@@ -155,7 +155,7 @@ def build_derivatives(responses: DataFrame, key_cols: list[str] | None = None) -
     give none, nor do null headers; a null block is empty.  Repeated rows each
     give their records; an empty table gives an empty result.
     """
-    small_batches(responses.sparkSession)
+    prepare_workers(responses.sparkSession)
     keys = key_cols or []
     rows = responses.select(F.struct(F.lit(0).alias("_"), *keys).alias("key"), "headers", "block")
 
@@ -180,7 +180,7 @@ def build_derivatives(responses: DataFrame, key_cols: list[str] | None = None) -
 
 def responses_of_pages(pages: DataFrame, key_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """A response record (``headers``, ``block``) for every page, with its key."""
-    small_batches(pages.sparkSession)
+    prepare_workers(pages.sparkSession)
     rows = pages.select(F.col(key_col).alias("key"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
