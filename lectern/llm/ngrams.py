@@ -126,7 +126,7 @@ def word_file(h: np.ndarray, side: int) -> np.ndarray:
 
 
 def parts_of(side: int) -> int:
-    return max(1, side // 4)
+    return max(1, side // 2)
 
 
 @dataclass
