@@ -162,6 +162,35 @@ def test_keywords(spark):
     assert one(spark, X.keyword_list(F.col("t")), t="one phrase | still") == ["one phrase | still"]
 
 
+def test_answers_fill_abstracts_of_the_same_work(spark):
+    found = spark.createDataFrame([("h1", "A study of folds", 2001, None, "local"), ("h2", "Lamps", None, None, "unresolved"), ("h3", "Kept", None, "has one", "local")], "content_hash string, title string, year int, abstract string, source string")
+    answers = spark.createDataFrame([("h1", 0, "Another thing", 2001, "no"), ("h1", 1, "A Study of Folds.", 2005, "no"), ("h1", 2, "A <i>study</i> of folds", 2002, "It &lt;b&gt;is&lt;/b&gt; so &amp; so"), ("h1", 3, "A study of folds", 2001, "later"), ("h2", 0, "Lamps", None, "no"), ("h3", 0, "Kept", None, "no")], "content_hash string, rank int, title string, year int, abstract string")
+    assert {r.content_hash: r.abstract for r in M.enrich_from_answers(found, answers).collect()} == {"h1": "It is so & so", "h2": None, "h3": "has one"}
+
+
+def test_keywords_of_model_answers():
+    assert M.keywords_of(["a b; Review", ["1) c", None, "A-B"], "d,e"]) == ["a b", "c", "d", "e"]
+
+    class Chat:
+        def __init__(self, got):
+            self.got = got
+
+        def complete(self, prompt, json_schema):
+            if self.got is None:
+                raise RuntimeError
+            return self.got
+
+    assert M.chat_keywords(Chat({"keywords": ["one", "two"]}))("t", "a") == ["one", "two"]
+    assert M.chat_keywords(Chat({"keywords": ["one"]}))("t", "a") == M.chat_keywords(Chat(None))("t", "a") == []
+
+
+def test_parser_outputs(spark):
+    entries = spark.createDataFrame([("/o/b.md", "second"), ("/o/a.md", " "), ("/o/x/auto/x.md", "best"), ("/o/z.txt", "no")], "path string, content string")
+    assert files.pick_output(entries, "x").first().content == "best" and files.pick_output(entries, "y").first().content == "second"
+    answers = spark.createDataFrame([({"x": {"md_content": "", "markdown": "m"}},)], "results map<string,map<string,string>>")
+    assert files.answer_text(answers, "x").first().markdown == files.answer_text(answers, "other").first().markdown == "m"
+
+
 def test_staging_and_parse_cache(spark, tmp_path):
     (tmp_path / "x+y z.pdf").write_bytes(b"%PDF-1\nhello")
     (tmp_path / "bad.pdf").write_bytes(b"hello")
