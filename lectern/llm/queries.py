@@ -30,6 +30,20 @@ def op4_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(spark, _table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
 
 
+ORACLES["op4_minhash_neardup"] = r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 2 THEN list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS g FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+sized AS (SELECT doc_id, g, n FROM shingles JOIN sizes USING (doc_id)),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, a.n + b.n AS n, count(*) AS k FROM sized a JOIN sized b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n GROUP BY ALL),
+links AS (SELECT x, y FROM pairs WHERE 100 * k >= 80 * (n - k)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reached AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT y, root FROM reached JOIN both_ways ON x = node WHERE root < y)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.root AS component_id, d.doc_id = r.root AS kept
+FROM documents d JOIN (SELECT node, min(root) AS root FROM reached GROUP BY node) r ON r.node = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
+"""
+
+
 @_query
 def op9_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contaminated_spans(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
