@@ -12,15 +12,12 @@ from pyspark.sql import functions as F
 from lectern.llm import decontaminate, language, mixing, neardup
 from lectern.llm.shared import Scratch, crc_mod
 
-#: A text whose best language has a lower mean probability is in none of the learned languages.
-LEAST_SCORE = 0.3
-
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is in a learned language; those without letters or below LEAST_SCORE go."""
+    """Documents whose text is in a learned language; those without letters go."""
     network = language.fit(docs, crc_mod(F.col("doc_id"), 4) != 2)
     found = language.identify(docs, network)
-    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
+    return found.where(F.col("lang_pred") != language.UNKNOWN).select("row.*")
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
