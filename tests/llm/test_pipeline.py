@@ -25,9 +25,9 @@ def test_language_stage_drops_letterless_texts_only(spark, docs):
     assert got.columns == docs.columns
     network = language.fit(docs, crc_mod(F.col("doc_id"), 4) != 2)
     said = language.identify(docs, network).select("row.doc_id", "lang_pred", "score").collect()
-    assert {r.doc_id for r in got.collect()} == {r.doc_id for r in said if r.lang_pred != "und" and r.score >= P.LEAST_SCORE}
+    assert {r.doc_id for r in got.collect()} == {r.doc_id for r in said if r.lang_pred != "und"}
     assert {r.doc_id for r in said} - {r.doc_id for r in got.collect()} >= {10**6, 10**6 + 1, 10**6 + 2}
-    assert got.count() >= docs.count() - 5
+    assert got.count() == docs.count() - 3
 
 
 def test_dedup_stage_keeps_one_of_each_group(spark, docs):
