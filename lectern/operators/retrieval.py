@@ -15,10 +15,12 @@ from datetime import UTC, datetime
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lectern.errors import InvalidFilter
 from lectern.functions.vectors import dot, norm
@@ -101,26 +103,46 @@ def nearest_batch(points: DataFrame, queries: np.ndarray, k: int, id_col: str =
     sent = points.sparkSession.sparkContext.broadcast(unit)
     id_type = points.schema[id_col].dataType.simpleString()
 
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q, best = sent.value, None
-        for f in frames:
-            x = np.stack(f["v"].to_numpy()).astype(np.float64) if len(f) else np.empty((0, q.shape[1]))
-            size = np.linalg.norm(x, axis=1)
-            x, ids, size = x[size > 0], f["id"].to_numpy()[size > 0], size[size > 0]
-            if not len(x):
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = sent.value
+        held: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in q]
+        for batch in batches:
+            batch = batch.filter(pc.equal(pc.list_value_length(batch.column(1)), q.shape[1]))
+            if not len(batch):
                 continue
-            scores = (x @ q.T / size[:, None]).T
-            rows = [pd.DataFrame({"query": i, "id": ids[top], "embed_score": s[top]}) for i, s in enumerate(scores) for top in [np.lexsort((ids, -s))[:k] if len(s) <= 4 * k else _top(s, ids, k)]]
-            best = pd.concat([*([best] if best is not None else []), *rows]).sort_values(["query", "embed_score", "id"], ascending=[True, False, True]).groupby("query").head(k)
-        if best is not None:
-            yield best
-
-    local = points.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).mapInPandas(each, f"query int, id {id_type}, embed_score double")
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
+            size = np.sqrt(np.einsum("ij,ij->i", x, x, dtype=np.float64))
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            if x.dtype == np.float32 and len(q) == 1:
+                scores = np.einsum("ij,j->i", x, q[0], dtype=np.float64)[None]
+            else:
+                scores = q @ x.T.astype(np.float64)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                scores = np.where(size > 0, scores / size, -np.inf)
+            for mine, s in zip(held, scores, strict=True):
+                top = _top(s, ids, k)
+                mine.append((ids[top], s[top]))
+        rows = []
+        for i, parts in enumerate(held):
+            if parts:
+                ids, s = (np.concatenate(x) for x in zip(*parts, strict=True))
+                top = _top(s, ids, k)
+                rows.append((np.full(len(top), i, np.int32), ids[top], s[top]))
+        if rows:
+            n, ids, s = (np.concatenate(x) for x in zip(*rows, strict=True))
+            real = s > -np.inf
+            yield pa.RecordBatch.from_arrays([pa.array(n[real]), pa.array(ids[real], id_arrow), pa.array(s[real])], names=["query", "id", "embed_score"])
+
+    id_arrow = to_arrow_type(points.schema[id_col].dataType)
+    local = points.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).mapInArrow(each, f"query int, id {id_type}, embed_score double")
     rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("embed_score"), "id"))
     return local.withColumn("rank", rank).where(F.col("rank") <= k).withColumnRenamed("id", id_col)
 
 
 def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k highest scores; equal ones by id."""
+    if len(scores) <= k:
+        return np.lexsort((ids, -scores))
     least = np.partition(scores, -k)[-k]
     some = np.flatnonzero(scores >= least)
     return some[np.lexsort((ids[some], -scores[some]))[:k]]

@@ -38,7 +38,7 @@ def test_fulltext(spark, query, hits):
 
 
 @pytest.mark.parametrize("query", [None, "", "  ", '"" "'])
-def test_fulltext_without_phrases_filters_nothing(query):
+def test_fulltext_without_phrases_filters_nothing(spark, query):
     assert X.fulltext([F.lit("a")], query) is None
 
 
@@ -64,7 +64,7 @@ def test_cosine_of_zero_is_null(spark):
 
 
 @pytest.mark.parametrize("asked", [{"doc_id": 3}, {"journal": [1]}, {"year": "2020"}, {"year": [2020]}, {"year": True}, {"year": {"gt": 1}}, {"year": {"gte": 1.5}}, {"added_after": "soon"}, {"added_after": 3}, {"size": 1}])
-def test_bad_filters(asked):
+def test_bad_filters(spark, asked):
     with pytest.raises(InvalidFilter):
         retrieval.compile_filter(asked)
 
