@@ -38,6 +38,7 @@ SHORT_LIST = 32
 ONE_TASK, MOST_CHUNK = 1 << 15, 1 << 21
 #: Ids sent to all tasks at most; with more, a shuffled join takes their place.
 MOST_SENT_IDS = 300_000
+SIGN = np.uint64(1 << 63)
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -73,7 +74,8 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, k: i
                 kept.append(s[:k].copy())
             named = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in kept])]).astype(np.int32)
-            values = np.concatenate(kept).view(np.int64) if kept else np.empty(0, np.int64)
+            # the sign bit flipped, so that signed order is the order of the hashes
+            values = (np.concatenate(kept) ^ SIGN).view(np.int64) if kept else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(named[:, 0].copy()), pa.array(named[:, 1].copy()), pa.array(need, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
                 names=["id", "n_shingles", "set_hi", "set_lo", "need", "retained"],

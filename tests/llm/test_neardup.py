@@ -95,3 +95,15 @@ def test_components_of_a_path_and_a_star(spark):
     assert {r.node: r.component for r in got.collect()} == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 140)}
     assert connected_components(spark.createDataFrame([], "u long, v long"), Scratch(spark)).count() == 0
     assert got.agg(F.countDistinct("node")).first()[0] == got.count()
+
+
+def test_nested_pairs_just_over_the_likeness(spark):
+    """Isolated pairs, one text an extension of the other, of about 80 to 150 one-word shingles."""
+    sizes = [(80, 100), (96, 120), (104, 130), (112, 140), (120, 150)]
+    rows = []
+    for i in range(4000):
+        less, more = sizes[i % len(sizes)]
+        w = [f"p{i}w{j}" for j in range(more)]
+        rows += [(2 * i, " ".join(w[:less])), (2 * i + 1, " ".join(w))]
+    got = neardup.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), shingle_words=1)
+    assert {r.doc_id for r in got.collect() if r.component_id != r.doc_id // 2 * 2} == set()
