@@ -170,3 +170,17 @@ def test_fingerprints_of_null_ids_repeats_and_nothing(spark):
     assert len(got) == 4 and sorted(r.near_next for r in got if r.doc_id == 5)[-1] == 1.0
     assert fingerprints.fingerprints(df.limit(0)).count() == 0
     assert fingerprints.fingerprints(df.limit(1)).first().near_next == 1.0
+
+
+def test_each_fingerprint_is_near_the_true_likeness(spark):
+    """Not only on average: the root mean square error of single likenesses, of weighted texts of likeness 0.5."""
+    rows = []
+    for i in range(300):
+        common = [f"c{i}x{j}" for j in range(20) for _ in range(j % 3 + 1)]
+        apart = len(common) // 2
+        rows += [(i, v, " ".join(common + [f"{v}{i}y{j}" for j in range(apart + v * (len(common) % 2))])) for v in (0, 1)]
+    df = spark.createDataFrame(rows, "k int, version int, text string")
+    s = fingerprints.samples(df, ["k", "version"], "text")
+    both = s.where("version = 0").select("k", F.col("samples").alias("a")).join(s.where("version = 1").select("k", F.col("samples").alias("b")), "k")
+    got = [r.p for r in both.select(fingerprints.likeness(F.col("a"), F.col("b")).alias("p")).collect()]
+    assert len(got) == 300 and (sum((p - 0.5) ** 2 for p in got) / 300) ** 0.5 < 0.08
