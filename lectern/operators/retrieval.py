@@ -27,8 +27,8 @@ from lectern.functions.vectors import dot, norm
 
 FIELDS = ("doc_id", "section", "doi", "journal", "title", "first_author", "year", "added_after")
 EXACT, FOLDED = frozenset(["doc_id", "section", "doi"]), frozenset(["journal", "title", "first_author"])
-#: Values of one batch of queries' vectors that go to all tasks at most.
-MOST_QUERY_VALUES = 4_000_000
+#: Values of one block of queries' vectors that go to all tasks at most, and scores made at once.
+MOST_QUERY_VALUES, MOST_SCORES = 4_000_000, 8_000_000
 
 
 def _is_int(v: object) -> bool:
@@ -94,18 +94,27 @@ def nearest(points: DataFrame, query: list[float], k: int, id_col: str = "point_
 def nearest_batch(points: DataFrame, queries: np.ndarray, k: int, id_col: str = "point_id", vector_col: str = "embedding") -> DataFrame:
     """(query, id, embed_score, rank): the k nearest points of each row of ``queries``.
 
-    Tasks score batches of points against all queries at once and keep k of
-    each; the merge reads k rows a task and query.
+    Tasks score batches of points against a block of queries and keep k of
+    each; the merge reads k rows a task and query.  Each block of queries is of
+    bounded size and is a pass over the points.
     """
-    if queries.size > MOST_QUERY_VALUES:
-        raise ValueError(f"at most {MOST_QUERY_VALUES} query values at once; call again with the rest")
+    size = max(1, MOST_QUERY_VALUES // max(1, queries.shape[1]))
+    blocks = [_nearest_of_block(points, queries[i : i + size], i, k, id_col, vector_col) for i in range(0, max(1, len(queries)), size)]
+    local = reduce(DataFrame.unionAll, blocks)
+    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("embed_score"), "id"))
+    return local.withColumn("rank", rank).where(F.col("rank") <= k).withColumnRenamed("id", id_col)
+
+
+def _nearest_of_block(points: DataFrame, queries: np.ndarray, first: int, k: int, id_col: str, vector_col: str) -> DataFrame:
+    """(query, id, embed_score): the k nearest points in each task of these queries, numbered from ``first``."""
+    queries = queries.astype(np.float64)
     unit = queries / np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-300)
     sent = points.sparkSession.sparkContext.broadcast(unit)
     id_type = points.schema[id_col].dataType.simpleString()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = sent.value
-        held: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in q]
+        held: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(q)
         for batch in batches:
             batch = batch.filter(pc.equal(pc.list_value_length(batch.column(1)), q.shape[1]))
             if not len(batch):
@@ -113,30 +122,33 @@ def nearest_batch(points: DataFrame, queries: np.ndarray, k: int, id_col: str =
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
             size = np.sqrt(np.einsum("ij,ij->i", x, x, dtype=np.float64))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            if x.dtype == np.float32 and len(q) == 1:
-                scores = np.einsum("ij,j->i", x, q[0], dtype=np.float64)[None]
-            else:
-                scores = q @ x.T.astype(np.float64)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                scores = np.where(size > 0, scores / size, -np.inf)
-            for mine, s in zip(held, scores, strict=True):
-                top = _top(s, ids, k)
-                mine.append((ids[top], s[top]))
-        rows = []
-        for i, parts in enumerate(held):
-            if parts:
-                ids, s = (np.concatenate(x) for x in zip(*parts, strict=True))
-                top = _top(s, ids, k)
-                rows.append((np.full(len(top), i, np.int32), ids[top], s[top]))
-        if rows:
-            n, ids, s = (np.concatenate(x) for x in zip(*rows, strict=True))
-            real = s > -np.inf
-            yield pa.RecordBatch.from_arrays([pa.array(n[real]), pa.array(ids[real], id_arrow), pa.array(s[real])], names=["query", "id", "embed_score"])
+            turned = None if x.dtype == np.float32 and len(q) == 1 else x.T.astype(np.float64)
+            some = max(1, MOST_SCORES // len(batch))
+            for start in range(0, len(q), some):
+                if turned is None:
+                    scores = np.einsum("ij,j->i", x, q[0], dtype=np.float64)[None]
+                else:
+                    scores = q[start : start + some] @ turned
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    scores = np.where(size > 0, scores / size, -np.inf)
+                for i, s in enumerate(scores, start):
+                    top = _top(s, ids, k)
+                    mine = ids[top], s[top]
+                    if held[i] is not None:
+                        mine = tuple(np.concatenate(z) for z in zip(held[i], mine, strict=True))
+                        top = _top(mine[1], mine[0], k)
+                        mine = mine[0][top], mine[1][top]
+                    held[i] = mine
+        some = max(1, MOST_SCORES // (8 * k))
+        for start in range(0, len(held), some):
+            rows = [(np.full(len(h[0]), first + i, np.int32), *h) for i, h in enumerate(held[start : start + some], start) if h is not None]
+            if rows:
+                n, ids, s = (np.concatenate(z) for z in zip(*rows, strict=True))
+                real = s > -np.inf
+                yield pa.RecordBatch.from_arrays([pa.array(n[real]), pa.array(ids[real], id_arrow), pa.array(s[real])], names=["query", "id", "embed_score"])
 
     id_arrow = to_arrow_type(points.schema[id_col].dataType)
-    local = points.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).mapInArrow(each, f"query int, id {id_type}, embed_score double")
-    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("embed_score"), "id"))
-    return local.withColumn("rank", rank).where(F.col("rank") <= k).withColumnRenamed("id", id_col)
+    return points.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).mapInArrow(each, f"query int, id {id_type}, embed_score double")
 
 
 def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:

@@ -305,12 +305,15 @@ def q34_find_doi(spark, sf_dir):
 @query("SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 5) AS embed_score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) DESC, e.vec_id) <= 10")
 def q35_knn_batch(spark, sf_dir):
     import numpy as np
+    import pyarrow as pa
 
     points = table(spark, sf_dir, "embeddings")
-    asked = points.where("vec_id % 50 = 0").orderBy("vec_id").collect()
-    got = retrieval.nearest_batch(points, np.array([r.embedding for r in asked], np.float64), 10, "vec_id")
-    names = F.array(*(F.lit(r.vec_id).cast("long") for r in asked))
-    return got.select(F.get(names, F.col("query")).alias("query_id"), "vec_id", F.round("embed_score", 5).alias("embed_score"))
+    asked = points.where("vec_id % 50 = 0").select(F.col("vec_id").cast("long"), "embedding").orderBy("vec_id").toArrow().combine_chunks()
+    ids = asked.column("vec_id").to_numpy()
+    asked = asked.column("embedding").combine_chunks()
+    got = retrieval.nearest_batch(points, asked.flatten().to_numpy().reshape(len(ids), -1) if len(ids) else np.empty((0, 1)), 10, "vec_id")
+    names = spark.createDataFrame(pa.table({"query": pa.array(np.arange(len(ids)), pa.int32()), "query_id": pa.array(ids, pa.int64())}))
+    return got.join(names, "query").select("query_id", "vec_id", F.round("embed_score", 5).alias("embed_score"))
 
 
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 6) AS size FROM embeddings")

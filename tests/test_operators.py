@@ -240,3 +240,15 @@ def test_jobs_recover_running_only():
     jobs.register("fails", lambda job: 1 / 0)
     assert jobs.wait(jobs.submit("fails", "k", {})).status == "failed"
     jobs.close()
+
+
+@pytest.mark.parametrize("values,scores", [(24, 8_000_000), (8, 50), (4_000_000, 50)])
+def test_batch_search_takes_queries_beyond_one_block(spark, monkeypatch, values, scores):
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((60, 8)).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "point_id int, embedding array<float>").repartition(3)
+    monkeypatch.setattr(retrieval, "MOST_QUERY_VALUES", values)
+    monkeypatch.setattr(retrieval, "MOST_SCORES", scores, raising=False)
+    got = {(r.query, r["rank"]): r.point_id for r in retrieval.nearest_batch(df, v[:7].astype(float), 5).collect()}
+    cosine = (v[:7].astype(float) @ v.T) / np.linalg.norm(v, axis=1)
+    assert got == {(q, i + 1): p for q, row in enumerate(cosine) for i, p in enumerate(np.argsort(-row)[:5])}
