@@ -31,6 +31,8 @@ EMBED = 6
 UNKNOWN = "und"
 #: Windows that go through the network at once.
 BATCH = 256
+#: Tasks that merge what all tasks keep for the sample.
+MERGES = 8
 
 
 @dataclass
@@ -124,34 +126,71 @@ def window_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return out
 
 
+def least_hashes(rows: DataFrame, most: int) -> list[tuple[str, int]]:
+    """(label, hash) of the ``most`` least distinct hashes of each label.
+
+    A task keeps that many of each label; before the driver merges them, a few
+    tasks merge those of all others.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+        for batch in batches:
+            coded, hashes = batch.column(0).dictionary_encode(), batch.column(1).to_numpy()
+            code = coded.indices.to_numpy()
+            for i, label in enumerate(coded.dictionary.to_pylist()):
+                mine = np.unique(hashes[code == i])
+                held[label] = np.unique(np.append(held[label], mine))[:most] if label in held else mine[:most]
+        for label, mine in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([label] * len(mine), pa.string()), pa.array(mine, pa.int64())], names=["label", "h"])
+
+    found = rows.select("label", "h").mapInArrow(tidy(each), "label string, h long").repartition(MERGES).mapInArrow(tidy(each), "label string, h long").toArrow()
+    out: dict[str, set[int]] = {}
+    for label, h in zip(found.column("label").to_pylist(), found.column("h").to_pylist(), strict=True):
+        out.setdefault(label, set()).add(h)
+    return [(label, h) for label in sorted(out) for h in sorted(out[label])[:most]]
+
+
 def fit(docs: DataFrame, train_when: Column, text_col: str = "text", label_col: str = "lang", rows_per_label: int = 800, windows_per_row: int = 6) -> Network | None:
-    """Trains on a sample of about ``rows_per_label`` rows of each label (the bound of the sample).
+    """Trains on ``rows_per_label`` distinct texts of each label, or all it has.
 
     Only rows with a label, a text and a true ``train_when`` are looked at.  The
-    sample is by hash of the text, so reruns agree.  None without such rows.
+    sample is the texts of the least hashes, so reruns agree and copies of a text
+    count once.  None without such rows.
     """
     prepare_workers(docs.sparkSession)
-    rows = docs.where(train_when & F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(label_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text"))
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    if not counts:
+    rows = docs.where(train_when & F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(label_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    wanted = least_hashes(rows, rows_per_label)
+    if not wanted:
         return None
-    share = F.create_map(*(F.lit(x) for label, n in counts.items() for x in (label, min(1.0, rows_per_label / n))))
-    at = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / 1_000_003
-    chosen = rows.where(at < share[F.col("label")])
+    chosen = rows.join(F.broadcast(docs.sparkSession.createDataFrame(wanted, "label string, h long")), ["label", "h"], "left_semi").select("label", "h", "text")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
-            labels, out = batch.column(0).to_pylist(), ([], [])
-            for row, end, data, offsets in text_chunks(pc.utf8_lower(batch.column(1))):
+            new = []
+            for key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                new.append(key not in seen)
+                seen.add(key)
+            batch = batch.filter(pa.array(new, pa.bool_()))
+            labels, hashes, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), ([], [], [])
+            for row, end, data, offsets in text_chunks(pc.utf8_lower(batch.column(2))):
                 starts, ends, first_of = cut_windows(data, offsets)
                 n = np.diff(np.append(first_of, len(starts)))
                 for i in range(end - row):
                     take = first_of[i] + np.unique(np.linspace(0, n[i] - 1, windows_per_row).astype(int))
-                    out[0].extend([labels[row + i]] * len(take))
-                    out[1].extend(x.tobytes() for x in window_bytes(data, starts[take], ends[take]))
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.binary())], names=["label", "window"])
-
-    held = sorted((bytes(r.window), r.label) for r in chosen.mapInArrow(tidy(each), "label string, window binary").collect())
+                    out[0].append(labels[row + i])
+                    out[1].append(hashes[row + i])
+                    out[2].append(window_bytes(data, starts[take], ends[take]).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["label", "h", "windows"])
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {key for batch in batches for key in zip(*(c.to_pylist() for c in batch.columns), strict=True)}
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held) if held else ([], [], []), (pa.string(), pa.int64(), pa.binary()), strict=True)], names=["label", "h", "windows"])
+
+    schema = "label string, h long, windows binary"
+    found = {(r.label, r.h): bytes(r.windows) for r in chosen.mapInArrow(tidy(each), schema).repartition(MERGES).mapInArrow(tidy(once), schema).collect()}
+    held = sorted((w[i : i + WINDOW], label) for (label, _), w in found.items() for i in range(0, len(w), WINDOW))
     return train(np.frombuffer(b"".join(w for w, _ in held), np.uint8).reshape(-1, WINDOW), [label for _, label in held])
 
 

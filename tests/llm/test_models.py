@@ -175,3 +175,15 @@ def test_mix_of_repeated_rows_nulls_and_nothing(spark):
     assert plan.sources == ["x", None] and plan.words == [0, 12] and texts.count() == 4
     assert parts.agg(F.sum("n_words")).first()[0] == 12
     assert mixing.mix(spark, df.limit(0))[0].count() == 0
+
+
+def test_language_sample_takes_copies_once(spark, monkeypatch):
+    """Labels of few texts in many copies are learned, and the sample holds no copy."""
+    texts = [("en", f"the house and the garden {i}") for i in range(3)] + [("de", f"das haus und der garten {i}") for i in range(3)]
+    copied = spark.createDataFrame(texts, "lang string, text string").crossJoin(spark.range(4000)).drop("id").repartition(5)
+    seen = []
+    monkeypatch.setattr(language, "train", lambda windows, labels: seen.append((windows, labels)))
+    language.fit(copied, F.lit(True))
+    language.fit(copied, F.lit(True), rows_per_label=2)
+    assert [Counter(labels) for _, labels in seen] == [{"en": 3, "de": 3}, {"en": 2, "de": 2}]
+    assert {bytes(w).rstrip(b"\0").decode() for w in seen[0][0]} == {t for _, t in texts}
