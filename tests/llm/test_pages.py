@@ -136,7 +136,7 @@ def test_warc_of_other_records_and_contents():
 
 def test_fingerprints_of_edited_texts(spark):
     rows = made_documents(70)
-    got = {r.doc_id: r for r in fingerprints.fingerprints(clashing(spark.createDataFrame(rows, DOCUMENTS)), bucket_bytes=2000).collect()}
+    got = {r.doc_id: r for r in fingerprints.fingerprints(clashing(spark.createDataFrame(rows, DOCUMENTS)), partition_bytes=6000).collect()}
     down = sorted(rows, key=lambda r: -r[0])
     same: dict = {}
     for i, (d, t, *_) in enumerate(down):
@@ -164,6 +164,56 @@ def test_collision_rate_is_the_generalised_jaccard(spark):
     assert abs(got - want) < 4 * (want * (1 - want) / (n * fingerprints.SAMPLES)) ** 0.5
 
 
+def plain_samples(text: str) -> list[tuple]:
+    """The (word, t) of each sample by the definition, in plain Python."""
+    import math
+
+    import xxhash
+
+    weights = Counter(w for w in re.split("[ \t-\r]+", text.translate({c: c + 32 for c in range(65, 91)})) if w) or Counter([""])
+    out = []
+    for j in range(fingerprints.SAMPLES):
+        found = []
+        for word, n in weights.items():
+            h = xxhash.xxh64_intdigest((j).to_bytes(4, "little"), xxhash.xxh64_intdigest(xxhash.xxh64_intdigest(word.encode(), 42).to_bytes(8, "little"), 42))
+            u = lambda first, size: ((h >> first & (1 << size) - 1) + 0.5) / (1 << size)
+            r, c, beta = -math.log(u(0, 13) * u(13, 13)), -math.log(u(26, 13) * u(39, 13)), u(52, 12)
+            t = math.floor(math.log(n) / r + beta)
+            found.append((math.log(c) - r * (t - beta + 1), word, t))
+        out.append(min(found)[1:])
+    return out
+
+
+def test_likenesses_are_those_of_plain_gamma_samples(spark):
+    rows = [(i, t) for i, (_, t, *_) in enumerate(made_documents(40))] + [(1050, "  a b a a\tB\n"), (1051, "a b a a b"), (1052, " "), (1053, None)]
+    got = {r.doc_id: r for r in fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    down = sorted(((i, t or "") for i, t in rows), reverse=True)
+    share = lambda a, b: sum(x == y for x, y in zip(a, b, strict=True)) / len(a)
+    plain = {i: plain_samples(t) for i, t in down}
+    for (i, t), (j, following) in zip(down, [*down[1:], down[0]], strict=True):
+        third = len(t) // 3
+        edited = plain_samples(t[: len(t) - third] + following[:third])
+        assert got[i].near_next == share(plain[i], plain[j]) and got[i].near_edited == share(plain[i], edited)
+    assert got[1050].fingerprint == got[1051].fingerprint and got[1052].fingerprint == got[1053].fingerprint
+
+
+def test_hot_and_null_ids_are_cut_by_hash(spark):
+    rows = [(7 if i % 3 == 0 else None if i % 3 == 1 else i, f"text {i} " + "x y z " * (i % 7)) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    dealt = fingerprints._bucketed(spark, df.select("doc_id", "text", F.xxhash64("text").alias("tie")), 12).toPandas()
+    assert dealt.groupby("bucket").size().max() < 200 and dealt.bucket.nunique() >= 10
+    down = dealt.assign(n=dealt.doc_id.fillna(-1)).sort_values(["n", "tie"], ascending=False)
+    assert down.bucket.is_monotonic_increasing
+    got = fingerprints.fingerprints(df, partition_bytes=3000)
+    assert got.count() == 900 and fingerprints.fingerprints(df).exceptAll(got).isEmpty()
+
+
+def test_partitions_of_100_tb_are_bounded():
+    buckets, partitions = fingerprints.layout(10**14)
+    assert 100_000 < partitions < 250_000 and buckets == 3 * partitions
+    assert fingerprints.layout(0) == (1, 1) and fingerprints.layout(10**12)[1] < 70_000
+
+
 def test_fingerprints_of_null_ids_repeats_and_nothing(spark):
     df = spark.createDataFrame([(None, "a b"), (5, "c d e f"), (5, "c d e f"), (3, None)], "doc_id long, text string")
     got = fingerprints.fingerprints(df).collect()
