@@ -138,7 +138,7 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.build_derivatives(warc.responses_of_pages(_table(spark, sf_dir, "pages")), ["page_id"])
     sizes = F.octet_length("block").cast("long").alias("content_length")
-    return records.select("page_id", "type", "record_id", "refers_to", "target_uri", "date", "content_type", "payload_digest", "block_digest", sizes, F.decode("block", "UTF-8").alias("content"))
+    return records.select("key.page_id", "type", "record_id", "refers_to", "target_uri", "date", "content_type", "payload_digest", "block_digest", sizes, F.decode("block", "UTF-8").alias("content"))
 
 
 @_query

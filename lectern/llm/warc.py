@@ -14,31 +14,40 @@ import base64
 import gzip
 import hashlib
 import html as entities
+import io
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.llm import markup
 from lectern.llm.shared import prepare_workers, tidy
 
 #: The date of responses made from pages, which have none.
 PAGE_DATE = "2024-01-01T00:00:00Z"
-RECORD = "type string, record_id string, target_uri string, date string, refers_to string, content_type string, payload_digest string, block_digest string, headers map<string,string>, block binary"
+#: Bytes up to which a compressed payload is opened; of larger ones no text is made, and the metadata record says so.
+MOST_OPENED = 256 << 20
+#: WARC headers in their order; a name may come more than once.
+HEADERS = "array<struct<name:string,value:string>>"
+RECORD = {"type": "string", "record_id": "string", "target_uri": "string", "date": "string", "refers_to": "string", "content_type": "string", "payload_digest": "string", "block_digest": "string", "headers": HEADERS, "block": "binary"}
 _IDS = uuid.uuid5(uuid.NAMESPACE_URL, "warc-record")
+_HEADERS = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
 
-# Elements without visible text, and those that end a line.
-_UNSEEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|iframe|head|textarea|select|svg)(?=[\s>/])[^>]*>.*?(?:</\1(?=[\s>/])[^>]*>|\Z)", re.S | re.I)
-_LINE = re.compile(r"</?(?:address|article|aside|blockquote|body|br|center|dd|details|dialog|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|p|pre|section|summary|table|td|th|tr|ul)(?=[\s>/])[^>]*>", re.I)
-_ANY_TAG = re.compile(r"<[/!?a-zA-Z][^>]*>?")
-_TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.S | re.I)
-_LINK = re.compile(r"""<(a|link|img|script|iframe)\b[^>]*?\s(href|src)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_META = re.compile(r"""<meta\b[^>]*?\sname\s*=\s*["']?([^"'\s>]+)["']?[^>]*?\scontent\s*=\s*(?:"([^"]*)"|'([^']*)')""", re.I)
+# Elements without visible text, what may stand in a head, and elements that end a line.
+UNSEEN = frozenset(["script", "style", "template", "noscript", "iframe", "head", "textarea", "select", "svg", "title", "noembed", "noframes", "xmp"])
+IN_HEAD = frozenset(["base", "link", "meta", "noscript", "object", "script", "style", "template", "title"])
+LINES = frozenset(["address", "article", "aside", "blockquote", "body", "br", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "nav", "ol", "p", "pre", "section", "summary", "table", "td", "th", "tr", "ul"])
+LINKS = {"a": ("href",), "link": ("href",), "img": ("src",), "script": ("src",), "iframe": ("src",)}
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w-]+)", re.I)
 
+Headers = list[tuple[str, str]]
+
 
 def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
@@ -50,17 +59,41 @@ def record_id(*names: object) -> str:
 
 def plain_text(page: str) -> str:
     """All visible text: a line for each block, white space inside as one space, empty lines left out."""
-    page = _ANY_TAG.sub("", _LINE.sub("\n", _UNSEEN.sub(" ", page).replace("\n", " ").replace("\r", " ")))
-    lines = (" ".join(entities.unescape(x).split()) for x in page.split("\n"))
+    parts: list[str] = []
+    unseen = None  # the element whose end is waited for
+    for kind, value, _ in markup.tokens(page):
+        if unseen == "head" and kind == markup.OPEN and value not in IN_HEAD:
+            unseen = None  # a head without an end tag ends where something else begins
+        if unseen:
+            if kind == markup.CLOSE and value == unseen:
+                unseen = None
+                parts.append(" ")
+        elif kind == markup.TEXT:
+            parts.append(entities.unescape(value).replace("\n", " "))
+        elif kind == markup.OPEN and value in UNSEEN:
+            unseen = value
+        elif kind != markup.CONTENT and value in LINES:
+            parts.append("\n")
+    lines = (" ".join(x.split()) for x in "".join(parts).split("\n"))
     return "\n".join(x for x in lines if x)
 
 
 def page_facts(page: str) -> dict:
     """What a metadata record says of an HTML page: title, named metas and links in page order."""
     text = lambda s: " ".join(entities.unescape(s).split())
-    title = _TITLE.search(page)
-    links = [{"path": f"{m[1].upper()}@/{m[2].lower()}", "url": entities.unescape(m[3] or m[4] or m[5] or "")} for m in _LINK.finditer(page)]
-    return {"Head": {"Title": text(title[1]) if title else None, "Metas": [{"name": m[1], "content": text(m[2] or m[3] or "")} for m in _META.finditer(page)]}, "Links": links}
+    title, metas, links = None, [], []
+    for kind, name, value in markup.tokens(page):
+        if kind == markup.CONTENT and name == "title" and title is None:
+            title = text(value)
+        elif kind == markup.OPEN and name == "meta":
+            found = dict(reversed(markup.attributes(value)))
+            if found.get("name") and "content" in found:
+                metas.append({"name": found["name"], "content": text(found["content"])})
+        elif kind == markup.OPEN and name in LINKS:
+            found = next(((k, v) for k, v in markup.attributes(value) if k in LINKS[name]), None)
+            if found:
+                links.append({"path": f"{name.upper()}@/{found[0]}", "url": entities.unescape(found[1])})
+    return {"Head": {"Title": title, "Metas": metas}, "Links": links}
 
 
 def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
@@ -72,24 +105,84 @@ def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return lines[0] if lines else "", [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines[1:])], payload
 
 
-def serialize(headers: dict[str, str], block: bytes) -> bytes:
+def unchunked(payload: bytes) -> bytes:
+    """A payload without its chunked transfer coding; as it is from the first place that isn't coded so."""
+    out, at = [], 0
+    while (end := payload.find(b"\n", at)) >= 0:
+        size = payload[at:end].split(b";")[0].strip()
+        if not re.fullmatch(rb"[0-9a-fA-F]{1,15}", size):
+            break
+        n, at = int(size, 16), end + 1
+        if not n:
+            return b"".join(out)
+        out.append(payload[at : at + n])
+        at += n
+        at += 2 if payload[at : at + 2] == b"\r\n" else payload[at : at + 1] == b"\n"
+    return b"".join([*out, payload[at:]])
+
+
+def opened(payload: bytes, http: Headers, most: int = MOST_OPENED) -> bytes | None:
+    """A payload without transfer and content codings; None if it can't be opened or would be larger than ``most``."""
+    listed = lambda name: [x.strip().lower() for k, v in http if k.lower() == name for x in v.split(",") if x.strip()]
+    if "chunked" in listed("transfer-encoding"):
+        payload = unchunked(payload)
+    for coding in reversed(listed("content-encoding")):
+        if coding == "identity":
+            continue
+        if coding not in ("gzip", "x-gzip", "deflate"):
+            return None
+        for bits in (47,) if coding != "deflate" else (47, -15):
+            packed = zlib.decompressobj(bits)
+            try:
+                out = packed.decompress(payload, most + 1)
+                break
+            except zlib.error:
+                continue
+        else:
+            return None
+        if len(out) > most:
+            return None
+        payload = out
+    return payload
+
+
+def serialize(headers: Headers, block: bytes) -> bytes:
     """One record as WARC/1.0 has it."""
-    return b"".join([b"WARC/1.0\r\n", *(f"{k}: {v}\r\n".encode() for k, v in headers.items()), b"\r\n", block, b"\r\n\r\n"])
+    return b"".join([b"WARC/1.0\r\n", *(f"{k}: {v}\r\n".encode() for k, v in headers), b"\r\n", block, b"\r\n\r\n"])
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """The (headers, block) of every record of a WARC file, gzipped or not; bytes that are no record end it."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while (start := data.find(b"WARC/", at)) >= 0:
-        end = data.find(b"\r\n\r\n", start)
-        if end < 0:
-            return
-        headers = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in data[start:end].decode("utf-8", "replace").split("\r\n")[1:])}
-        size = next((int(v) for k, v in headers.items() if k.lower() == "content-length" and v.isdigit()), 0)
-        yield headers, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
+def parse(data: bytes | BinaryIO) -> Iterator[tuple[Headers, bytes]]:
+    """The (headers, block) of every record of a WARC file, gzipped or not.
+
+    Reads on record by record.  Lines that begin no record are passed over; a
+    record that is cut off, or a damaged gzip member, ends it.
+    """
+    source = io.BufferedReader(io.BytesIO(data)) if isinstance(data, bytes) else data
+    if source.peek(2)[:2] == b"\x1f\x8b":
+        source = io.BufferedReader(gzip.GzipFile(fileobj=source))
+    try:
+        while line := source.readline():
+            if not line.startswith(b"WARC/"):
+                continue
+            headers: list[list[str]] = []
+            while (line := source.readline()).strip():
+                text = line.decode("utf-8", "replace")
+                if text[0] in " \t" and headers:  # goes on with the line before
+                    headers[-1][1] += " " + text.strip()
+                    continue
+                name, _, value = text.partition(":")
+                headers.append([name.strip(), value.strip()])
+            size = next((int(v) for k, v in headers if k.lower() == "content-length" and v.isdecimal()), 0)
+            block = source.read(size)
+            if not line or len(block) < size:
+                return
+            yield [(k, v) for k, v in headers], block
+    except (EOFError, zlib.error, gzip.BadGzipFile):
+        return
+
+
+def _header_array(rows: list[Headers]) -> pa.Array:
+    return pa.array([[{"name": k, "value": v} for k, v in h] for h in rows], _HEADERS)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -98,94 +191,93 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for headers, block in parse(data.as_buffer().to_pybytes()):
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([list(headers.items())], pa.map_(pa.string(), pa.string())), pa.array([block], pa.binary())], names=["path", "headers", "block"])
+                for headers, block in parse(io.BufferedReader(pa.BufferReader(data.as_buffer()))):
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), _header_array([headers]), pa.array([block], pa.binary())], names=["path", "headers", "block"])
 
     prepare_workers(spark)
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(tidy(each), "path string, headers map<string,string>, block binary")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(tidy(each), f"path string, headers {HEADERS}, block binary")
 
 
-def response_of(url: str | None, page: str | None, key: object) -> tuple[dict[str, str], bytes]:
+def response_of(url: str | None, page: str | None, key: object) -> tuple[Headers, bytes]:
     """The headers and block of a response record made from a page: HTTP 200, UTF-8; null pages are empty."""
     payload = (page or "").encode()
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
-    headers = {"WARC-Type": "response", "WARC-Record-ID": record_id("response", key, url), "WARC-Date": PAGE_DATE}
+    headers = [("WARC-Type", "response"), ("WARC-Record-ID", record_id("response", key, url)), ("WARC-Date", PAGE_DATE)]
     if url is not None:
-        headers["WARC-Target-URI"] = " ".join(url.split())
-    headers |= {"WARC-Payload-Digest": digest(payload), "WARC-Block-Digest": digest(block), "Content-Type": "application/http; msgtype=response", "Content-Length": str(len(block))}
-    return headers, block
+        headers.append(("WARC-Target-URI", " ".join(url.split())))
+    return [*headers, ("WARC-Payload-Digest", digest(payload)), ("WARC-Block-Digest", digest(block)), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))], block
 
 
-def derived(headers: dict[str, str], block: bytes) -> list[tuple[dict[str, str], bytes]]:
+def derived(headers: Headers, block: bytes) -> list[tuple[Headers, bytes]]:
     """The metadata record and, of HTML and plain text, the conversion record of a response; of other records none."""
-    of = {k.lower(): v for k, v in headers.items()}
-    if of.get("warc-type") != "response":
+    of = {k.lower(): v for k, v in reversed(headers)}
+    if of.get("warc-type", "").lower() != "response":
         return []
     source = of.get("warc-record-id") or record_id("unnamed", digest(block))
     status, http, payload = split_http(block)
-    kind = next((v for k, v in http if k.lower() == "content-type"), "")
+    kind = next((v for k, v in http if k.lower() == "content-type"), "").lower()
+    body = opened(payload, http)
     charset = m[1] if (m := _CHARSET.search(kind)) else "utf-8"
     try:
-        text = payload.decode(charset, "replace")
+        text = (body or b"").decode(charset, "replace")
     except LookupError:
-        text = payload.decode("utf-8", "replace")
+        text = (body or b"").decode("utf-8", "replace")
     payload_digest = of.get("warc-payload-digest") or digest(payload)
-    kept = {k: of[k.lower()] for k in ("WARC-Target-URI", "WARC-Date") if k.lower() in of}
+    kept = [(k, of[k.lower()]) for k in ("WARC-Target-URI", "WARC-Date") if k.lower() in of]
     parts = status.split(None, 2)
-    http_facts = {"Status": parts[1] if len(parts) > 1 else None, "Reason": parts[2] if len(parts) > 2 else None, "Headers": [{"name": k, "value": v} for k, v in http], "Entity-Length": len(payload), "Entity-Digest": digest(payload)}
-    is_html = "html" in kind.lower()
+    pairs = lambda rows: [{"name": k, "value": v} for k, v in rows]
+    facts = {"Status": parts[1] if len(parts) > 1 else None, "Reason": parts[2] if len(parts) > 2 else None, "Headers": pairs(http), "Entity-Length": len(payload), "Entity-Digest": digest(payload)}
+    if body is None:
+        facts["Entity-Not-Opened"] = True
+    is_html = "html" in kind
     if is_html:
-        http_facts["HTML-Metadata"] = page_facts(text)
-    facts = json.dumps({"Envelope": {"WARC-Header-Length": sum(len(k) + len(v) + 4 for k, v in headers.items()), "WARC-Header-Metadata": headers, "Payload-Metadata": {"HTTP-Response-Metadata": http_facts}}}, ensure_ascii=False).encode()
-    out = [("metadata", "application/json", facts)]
-    if is_html or kind.lower().startswith("text/plain"):
-        out.append(("conversion", "text/plain", (plain_text(text) if is_html else text).encode()))
-    made = []
-    for name, content, body in out:
-        made.append(({"WARC-Type": name, "WARC-Record-ID": record_id(name, source), **kept, "WARC-Refers-To": source, "WARC-Source-Payload-Digest": payload_digest, "WARC-Block-Digest": digest(body), "Content-Type": content, "Content-Length": str(len(body))}, body))
-    return made
+        facts["HTML-Metadata"] = page_facts(text)
+    envelope = {"WARC-Header-Length": sum(len(k) + len(v) + 4 for k, v in headers), "WARC-Header-Metadata": pairs(headers), "Payload-Metadata": {"HTTP-Response-Metadata": facts}}
+    out = [("metadata", "application/json", json.dumps({"Envelope": envelope}, ensure_ascii=False).encode("utf-8", "replace"))]
+    if body is not None and (is_html or kind.startswith("text/plain")):
+        out.append(("conversion", "text/plain", (plain_text(text) if is_html else text).encode("utf-8", "replace")))
+    return [([("WARC-Type", name), ("WARC-Record-ID", record_id(name, source)), *kept, ("WARC-Refers-To", source), ("WARC-Source-Payload-Digest", payload_digest), ("WARC-Block-Digest", digest(made)), ("Content-Type", content), ("Content-Length", str(len(made)))], made) for name, content, made in out]
 
 
 def build_derivatives(responses: DataFrame, key_cols: list[str] | None = None) -> DataFrame:
-    """Derived records of every response among records (``headers`` map, ``block`` binary).
-
-    Returns the ``key_cols`` and, per derived record: type, record_id, target_uri,
-    date, refers_to, content_type, payload_digest (the source's), block_digest,
-    headers (in order, for ``serialize``) and block.  Rows that aren't responses
-    give none, nor do null headers; a null block is empty.  Repeated rows each
-    give their records; an empty table gives an empty result.
+    """Derived records of every response among records (``headers``, ``block`` binary).
+
+    Returns ``key`` (a struct of the ``key_cols``, so no name can clash; null
+    without any) and, per derived record: type, record_id, target_uri, date,
+    refers_to, content_type, payload_digest (the source's), block_digest, headers
+    (in order, for ``serialize``) and block.  Rows that aren't responses give
+    none, nor do null headers; a null block is empty.  A payload that can't be
+    opened has a metadata record only.  Repeated rows each give their records; an
+    empty table gives an empty result.
     """
     prepare_workers(responses.sparkSession)
-    keys = key_cols or []
-    rows = responses.select(F.struct(F.lit(0).alias("_"), *keys).alias("key"), "headers", "block")
+    keys = F.struct(*(F.col(f"`{k}`") for k in key_cols)) if key_cols else F.lit(None).cast("int")
+    rows = responses.select(keys.alias("key"), "headers", "block")
+    named = ("WARC-Type", "WARC-Record-ID", "WARC-Target-URI", "WARC-Date", "WARC-Refers-To", "Content-Type", "WARC-Source-Payload-Digest", "WARC-Block-Digest")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             which, made = [], []
             for i, (headers, block) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                new = derived(dict(headers or ()), bytes(block or b""))
+                new = derived([(h["name"], h["value"]) for h in headers or () if h and h["name"] and h["value"] is not None], bytes(block or b""))
                 which += [i] * len(new)
                 made += new
-            get = lambda name: pa.array([h.get(name) for h, _ in made], pa.string())
-            names = ("WARC-Type", "WARC-Record-ID", "WARC-Target-URI", "WARC-Date", "WARC-Refers-To", "Content-Type", "WARC-Source-Payload-Digest", "WARC-Block-Digest")
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(which, pa.int64())), *map(get, names), pa.array([list(h.items()) for h, _ in made], pa.map_(pa.string(), pa.string())), pa.array([b for _, b in made], pa.binary())],
-                names=["key", *(x.split()[0] for x in RECORD.split(", "))],
-            )
+            found = [dict(h) for h, _ in made]
+            columns = [pa.array([h.get(name) for h in found], pa.string()) for name in named]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which, pa.int64())), *columns, _header_array([h for h, _ in made]), pa.array([b for _, b in made], pa.binary())], names=["key", *RECORD])
 
     key_type = rows.schema["key"].dataType.simpleString()
-    out = rows.mapInArrow(tidy(each), f"key {key_type}, {RECORD}")
-    return out.select(*(F.col("key")[k].alias(k) for k in keys), *(x.split()[0] for x in RECORD.split(", ")))
+    return rows.mapInArrow(tidy(each), f"key {key_type}, " + ", ".join(f"{k} {v}" for k, v in RECORD.items()))
 
 
 def responses_of_pages(pages: DataFrame, key_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """A response record (``headers``, ``block``) for every page, with its key."""
+    """A response record (``headers``, ``block``) for every page, with its key; null pages are empty ones."""
     prepare_workers(pages.sparkSession)
-    rows = pages.select(F.col(key_col).alias("key"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    rows = pages.select(F.col(f"`{key_col}`").alias("key"), F.col(f"`{url_col}`").cast("string").alias("url"), F.col(f"`{html_col}`").cast("string").alias("html"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [response_of(u, h, k) for k, u, h in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([list(h.items()) for h, _ in made], pa.map_(pa.string(), pa.string())), pa.array([b for _, b in made], pa.binary())], names=["key", "headers", "block"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _header_array([h for h, _ in made]), pa.array([b for _, b in made], pa.binary())], names=["key", "headers", "block"])
 
-    return rows.mapInArrow(tidy(each), f"key {rows.schema['key'].dataType.simpleString()}, headers map<string,string>, block binary").withColumnRenamed("key", key_col)
+    return rows.mapInArrow(tidy(each), f"key {rows.schema['key'].dataType.simpleString()}, headers {HEADERS}, block binary").withColumnRenamed("key", key_col)

@@ -100,40 +100,6 @@ def test_segmentation_is_the_cheapest():
         assert abs(sum(map(cost, f.segment(text))) - min(sum(cost(text[a:b]) for a, b in zip(c, c[1:])) for c in cuts)) < 1e-9
 
 
-def test_warc_records_are_linked_and_round_trip(spark, tmp_path):
-    pages = spark.createDataFrame([(1, "http://a.example/x", PAGE), (2, None, None), (3, "http://b.example/", "")], "page_id int, url string, html string")
-    responses = warc.responses_of_pages(pages)
-    made = warc.build_derivatives(responses, ["page_id"]).collect()
-    assert Counter((r.page_id, r.type) for r in made) == Counter((i, t) for i in (1, 2, 3) for t in ("metadata", "conversion"))
-    source = {r.page_id: (dict(r.headers), bytes(r.block)) for r in responses.collect()}
-    for r in made:
-        headers, block = source[r.page_id]
-        assert r.refers_to == headers["WARC-Record-ID"] and r.payload_digest == headers["WARC-Payload-Digest"] and r.date == headers["WARC-Date"]
-        assert r.block_digest == warc.digest(bytes(r.block)) and r.target_uri == headers.get("WARC-Target-URI")
-        if r.type == "metadata":
-            facts = json.loads(bytes(r.block))["Envelope"]
-            assert facts["WARC-Header-Metadata"] == headers and facts["Payload-Metadata"]["HTTP-Response-Metadata"]["Status"] == "200"
-    text = next(bytes(r.block).decode() for r in made if r.page_id == 1 and r.type == "conversion")
-    assert text.startswith("Site\nA\nbuy things now\nA & title\n") and "var a" not in text and text.endswith("© all")
-    # written out and read again, gzipped and not
-    whole = b"".join(warc.serialize(dict(r.headers), bytes(r.block)) for r in made)
-    (tmp_path / "a.warc").write_bytes(whole)
-    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(warc.serialize(h, b)) for h, b in source.values()))
-    back = warc.read_warc(spark, str(tmp_path)).collect()
-    assert sorted((r.headers["WARC-Record-ID"], bytes(r.block)) for r in back if r.path.endswith("a.warc")) == sorted((r.record_id, bytes(r.block)) for r in made)
-    again = warc.build_derivatives(warc.read_warc(spark, str(tmp_path / "b.warc.gz"))).collect()
-    assert {r.record_id for r in again} == {r.record_id for r in made}
-
-
-def test_warc_of_other_records_and_contents():
-    http = b"HTTP/1.1 404 Not Found\r\nContent-Type: text/plain; charset=latin-1\r\n\r\ncaf\xe9"
-    made = warc.derived({"WARC-Type": "response", "WARC-Record-ID": "<urn:x>"}, http)
-    assert [h["WARC-Type"] for h, _ in made] == ["metadata", "conversion"] and made[1][1] == "café".encode()
-    assert [h["WARC-Type"] for h, _ in warc.derived({"WARC-Type": "response"}, b"HTTP/1.1 200\r\nContent-Type: image/png\r\n\r\n\x00")] == ["metadata"]
-    assert warc.derived({"WARC-Type": "request"}, b"") == [] and warc.derived({}, b"") == []
-    assert list(warc.parse(b"nothing")) == [] and list(warc.parse(b"WARC/1.0\r\ncut")) == []
-
-
 def test_fingerprints_of_edited_texts(spark):
     rows = made_documents(70)
     got = {r.doc_id: r for r in fingerprints.fingerprints(clashing(spark.createDataFrame(rows, DOCUMENTS)), partition_bytes=6000).collect()}
