@@ -154,7 +154,7 @@ def piece_table(spark: SparkSession, texts: DataFrame, vocabulary, scratch: Scra
     def store(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         keys = pdf["hash"].to_numpy(np.int64).view(np.uint64)
         order = np.argsort(keys)
-        arrays.write(root, str(key[0]), keys[order], {"n": pdf["n"].to_numpy(np.uint32)[order]})
+        arrays.write(root, str(key[0]), {"keys": keys[order], "n": pdf["n"].to_numpy(np.uint32)[order]})
         return pd.DataFrame({"bucket": [key[0]], "n": [len(pdf)]})
 
     bucket = F.shiftrightunsigned("hash", 64 - bits).cast("int") if bits else F.lit(0)
@@ -169,8 +169,8 @@ def lookup(root: str, bits: int, wanted: np.ndarray) -> np.ndarray:
     bucket = (wanted >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(wanted), np.int64)
     for b in np.unique(bucket):
         lo, hi = np.searchsorted(bucket, b), np.searchsorted(bucket, b, side="right")
-        held = arrays.read(root, str(b), {"n": "<u4"})
-        place, found = arrays.find(held["keys"], wanted[lo:hi])
+        held = arrays.read(root, str(b))
+        place, found = arrays.find(held.get("keys"), wanted[lo:hi])
         if not found.all():
             raise RuntimeError("a pre-token is not in the piece table")
         out[lo:hi] = held["n"][place]

@@ -65,6 +65,26 @@ def test_empty_tables(spark):
     assert D.contaminated_spans(spark, docs.limit(0), items).count() == 0
 
 
+def test_repeated_rows_and_items(spark):
+    docs = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (None, "a b c d")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "b c"), (7, "b c"), (7, "d"), (8, "b c")], "item_id long, text string")
+    for r in D.contaminated_spans(spark, docs, items).collect():
+        assert r["items"] == ["7", "8"] and [tuple(s) for s in r.spans] == [(1, 4)]
+
+
+def test_a_million_equal_words(spark):
+    import time
+
+    items = [(i, "the " * 2000) for i in range(50)] + [(50, "the")]
+    docs = spark.createDataFrame([(1, "The " * 1_000_000), (2, "other " + "the " * 12)], "doc_id long, text string")
+    found = D.contaminated_spans(spark, docs, spark.createDataFrame(items, "item_id long, text string"))
+    began = time.time()
+    got = {r.row.doc_id: r for r in found.collect()}
+    assert time.time() - began < 5
+    assert got[1].n_words == 1_000_000 and [tuple(s) for s in got[1].spans] == [(0, 1_000_000)] and len(got[1]["items"]) == 51
+    assert [tuple(s) for s in got[2].spans] == [(1, 13)] and got[2]["items"] == ["50"]
+
+
 def test_windows_share_a_fingerprint():
     import numpy as np
 
@@ -72,5 +92,5 @@ def test_windows_share_a_fingerprint():
     for _ in range(50):
         span = rng.integers(0, 2**63, 13).astype(np.uint64)
         texts = [np.concatenate([rng.integers(0, 2**63, 20).astype(np.uint64), span, rng.integers(0, 2**63, 20).astype(np.uint64)]) for _ in range(2)]
-        kept = [set(D.winnow(t, np.array([0, len(t)]), 8, 13)[0].tolist()) for t in texts]
+        kept = [set(D.winnow(t, np.array([0, len(t)]), 8, 13)[2].tolist()) for t in texts]
         assert kept[0] & kept[1]
