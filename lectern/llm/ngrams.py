@@ -40,8 +40,8 @@ BEGIN, END = np.uint64(1), np.uint64(2)
 #: Bytes of text whose pairs one cell of the grid holds about, and tokens counted in a task at once.
 CELL_BYTES, TASK_TOKENS = 24_000_000, 3_000_000
 _WIDE = np.uint64(0xD6E8FEB86659FD93)
-WORD_COLUMNS = {"c": "<u4", "before": "<u4", "n1": "<u4", "n2": "<u4", "n3": "<u4"}
-PAIR_COLUMNS = {"n": "<u2"}
+WORD_COLUMNS = ("c", "before", "n1", "n2", "n3")
+#: Counts of pairs are kept in two bytes; those from here on also in a file of their own.
 BIG = 65535
 
 
@@ -69,23 +69,29 @@ def tokens_of(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return u, w, at
 
 
+def narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in four bytes each, or in eight where one needs them."""
+    return counts.astype(np.uint32 if not len(counts) or int(counts.max()) < 1 << 32 else np.uint64)
+
+
 def _pack(columns: list[np.ndarray]) -> bytes:
-    """Arrays of one length: hashes (uint64) as they are, counts (uint32) compressed."""
-    out = [np.array([len(columns[0])], np.int64).tobytes()]
+    """Arrays of one length: hashes (uint64) as they are, counts (int64) compressed."""
+    out = []
     for c in columns:
-        raw = c.tobytes() if c.dtype == np.uint64 else zlib.compress(c.astype(np.uint32).tobytes(), 1)
-        out += [np.array([len(raw)], np.int64).tobytes(), raw]
+        held = c if c.dtype == np.uint64 else narrow(c)
+        raw = held.tobytes() if held is c else zlib.compress(held.tobytes(), 1)
+        out += [np.array([len(raw), held.itemsize], np.int64).tobytes(), raw]
     return b"".join(out)
 
 
 def _unpack(blob: bytes, kinds: str) -> list[np.ndarray]:
     """The arrays of ``_pack``; kinds has h for hashes and n for counts."""
-    at, out = 8, []
+    at, out = 0, []
     for kind in kinds:
-        size = int(np.frombuffer(blob, np.int64, 1, at)[0])
-        raw = blob[at + 8 : at + 8 + size]
-        out.append(np.frombuffer(raw, np.uint64) if kind == "h" else np.frombuffer(zlib.decompress(raw), np.uint32).astype(np.int64))
-        at += 8 + size
+        size, width = (int(x) for x in np.frombuffer(blob, np.int64, 2, at))
+        raw = blob[at + 16 : at + 16 + size]
+        out.append(np.frombuffer(raw, np.uint64) if kind == "h" else np.frombuffer(zlib.decompress(raw), f"<u{width}").astype(np.int64))
+        at += 16 + size
     return out
 
 
@@ -121,7 +127,12 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
 
 
 def word_file(h: np.ndarray, side: int) -> np.ndarray:
-    """The file of words: their line, cut into as many parts as keep files alike in size at every corpus size."""
+    """The file of words: their line, cut into as many parts as keep files alike in size at every corpus size.
+
+    A cell sends a blob to each part of its two lines.  Their volume is in
+    proportion to the corpus; at 100 TB, with 1,020 parts, a blob still holds
+    about 1,000 words (10 KB).
+    """
     return line(h, side) * parts_of(side) + ((h >> np.uint64(8)) % np.uint64(parts_of(side))).astype(np.int64)
 
 
@@ -150,8 +161,8 @@ class Model:
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             at = order[a:b]
             i = of[at[0]]
-            held = arrays.read(self.root, f"w-{i}", WORD_COLUMNS)
-            place, found = arrays.find(held["keys"], wanted[at])
+            held = arrays.read(self.root, f"w-{i}")
+            place, found = arrays.find(held.get("keys"), wanted[at])
             for name in WORD_COLUMNS if found.any() else ():
                 out[name][at[found]] = held[name][place[found]]
         return out
@@ -166,11 +177,13 @@ class Model:
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             at = order[a:b]
             name = f"p-{cell[at[0]] // self.side}-{cell[at[0]] % self.side}"
-            held = arrays.read(self.root, name, PAIR_COLUMNS)
-            place, found = arrays.find(held["keys"], keys[at])
-            n = np.where(found, held["n"][place] if len(held["keys"]) else 0, 0).astype(np.int64)
+            held = arrays.read(self.root, name)
+            place, found = arrays.find(held.get("keys"), keys[at])
+            n = np.zeros(len(at), np.int64)
+            if found.any():
+                n[found] = held["n"][place[found]]
             if (n == BIG).any():
-                big = arrays.read(self.root, f"{name}-big", {"n": "<u4"})
+                big = arrays.read(self.root, f"{name}-big")
                 at_big = np.flatnonzero(n == BIG)
                 n[at_big] = big["n"][arrays.find(big["keys"], keys[at[at_big]])[0]]
             counts[at] = n
@@ -239,8 +252,8 @@ def train(spark: SparkSession, texts: DataFrame, scratch: Scratch, text_col: str
         keys, u, w = keys[first], u[order][first], w[order][first]
         name = f"p-{key[0]}-{key[1]}"
         if (n >= BIG).any():
-            arrays.write(root, f"{name}-big", keys[n >= BIG], {"n": n[n >= BIG].astype(np.uint32)})
-        arrays.write(root, name, keys, {"n": np.minimum(n, BIG).astype(np.uint16)})
+            arrays.write(root, f"{name}-big", {"keys": keys[n >= BIG], "n": narrow(n[n >= BIG])})
+        arrays.write(root, name, {"keys": keys, "n": np.minimum(n, BIG).astype(np.uint16)})
         begins, of = _sums(u, [(n == 1).astype(np.int64), (n == 2).astype(np.int64), (n >= 3).astype(np.int64)])
         ends, by = _sums(w, [np.ones(len(n), np.int64), n])
         rows = []
@@ -259,7 +272,7 @@ def train(spark: SparkSession, texts: DataFrame, scratch: Scratch, text_col: str
         cat = lambda parts, k: np.concatenate([np.empty(0, np.int64), *(p[k] for p in parts)])
         columns = [np.concatenate([cat(begins, k), zeros(ends)]) for k in (1, 2, 3)] + [np.concatenate([zeros(begins), cat(ends, k)]) for k in (1, 2)]
         keys, (n1, n2, n3, before, c) = _sums(keys, columns)
-        arrays.write(root, f"w-{key[0]}", keys, {"c": c.astype(np.uint32), "before": before.astype(np.uint32), **{f"n{k}": x.astype(np.uint32) for k, x in ((1, n1), (2, n2), (3, n3))}})
+        arrays.write(root, f"w-{key[0]}", {"keys": keys, **{name: narrow(x) for name, x in zip(WORD_COLUMNS, (c, before, n1, n2, n3), strict=True)}})
         return pd.DataFrame({"words": [int((c > 0).sum())], "tokens": [int(c.sum())], "texts": [int(c[keys == END].sum())], **{f"n{k}": [int((before == k).sum())] for k in (1, 2, 3, 4)}})
 
     cells = texts.mapInArrow(tidy(count), "i int, j int, blob binary")

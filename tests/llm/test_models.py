@@ -95,13 +95,38 @@ def test_large_counts_are_exact(spark):
     assert list(model.pair_counts(w, w[::-1])) == [70_000, 69_999]
 
 
-def test_arrays_in_folders_and_other_stores(tmp_path):
-    for root in (f"file://{tmp_path}/a", str(tmp_path / "b")):
-        arrays.write(root, "x", np.array([1, 5, 9], np.uint64), {"n": np.array([7, 8, 9], np.uint32)})
-        held = arrays.read(root, "x", {"n": "<u4"})
+def test_arrays_in_folders_and_other_stores(tmp_path, monkeypatch):
+    for root in (f"file://{tmp_path}/a", f"{tmp_path}/b", "mock://x/c"):
+        if root.startswith("mock"):
+            monkeypatch.setattr(arrays, "_local", lambda path: None)
+            root = f"file://{tmp_path}/c"
+        arrays.write(root, "x", {"keys": np.array([1, 5, 9], np.uint64), "n": np.array([7, 8, 9], np.uint32), "odd": np.array([3], np.uint8)})
+        held = arrays.read(root, "x")
         place, found = arrays.find(held["keys"], np.array([0, 5, 9, 10], np.uint64))
-        assert list(found) == [False, True, True, False] and list(held["n"][place[found]]) == [8, 9]
-        assert len(arrays.read(root, "none", {"n": "<u4"})["keys"]) == 0
+        assert found.tolist() == [False, True, True, False] and held["n"][place[found]].tolist() == [8, 9] and held["odd"].tolist() == [3]
+        assert arrays.read(root, "none") == {}
+
+
+def test_mapped_files_are_bounded(tmp_path, monkeypatch):
+    monkeypatch.setattr(arrays, "MOST_MAPS", 5)
+    for i in range(40):
+        arrays.write(str(tmp_path), f"f{i}", {"keys": np.array([i], np.uint64)})
+    assert [int(arrays.read(str(tmp_path), f"f{i % 40}")["keys"][0]) for i in range(80)] == [*range(40)] * 2 and len(arrays._maps) <= 5
+
+
+def test_counts_above_four_bytes(tmp_path):
+    n = np.array([1, 5_000_000_000], np.int64)
+    u, w = np.array([3, 9], np.uint64), np.array([4, 4], np.uint64)
+    blob = ngrams._pack_pairs(u, w, n)
+    assert [x.tolist() for x in ngrams._unpack_pairs(blob)] == [[3, 9], [4, 4], n.tolist()]
+    assert ngrams._unpack(ngrams._pack([u, n, n * 0]), "hnn")[1].tolist() == n.tolist()
+    root, keys = str(tmp_path), ngrams.pair_hash(u, w)
+    order = np.argsort(keys)
+    arrays.write(root, "p-0-0", {"keys": keys[order], "n": np.minimum(n, ngrams.BIG).astype(np.uint16)[order]})
+    arrays.write(root, "p-0-0-big", {"keys": keys[n >= ngrams.BIG], "n": ngrams.narrow(n[n >= ngrams.BIG])})
+    arrays.write(root, "w-0", {"keys": u, **{c: ngrams.narrow(n) for c in ngrams.WORD_COLUMNS}})
+    model = ngrams.Model(root, 1, int(n.sum()), 2, 2, 1, (0.5, 1.0, 1.5), (0.5, 1.0, 1.5), 0.5)
+    assert model.pair_counts(u, w).tolist() == n.tolist() and model.word_table(u)["c"].tolist() == n.tolist()
 
 
 def library_counts(texts):
