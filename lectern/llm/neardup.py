@@ -1,12 +1,13 @@
 """MinHash near-dedup with bottom-k sketches from one hash function.
 
-Texts of the same shingle set form a class, of which one text goes on.  A
-sketch holds the k smallest shingle hashes of a set.  Inverted lists of the
+Texts of the same shingle set form a class, of which one text goes on; classes
+are numbered in the order of their smallest id.  A sketch holds the k smallest shingle hashes of a set.  Inverted lists of the
 retained values generate overlaps: values are ranked by rarity and a text is
 listed only under its rarest values, so many that two texts whose sketches
-share as much as 0.8-alike sets do must meet in a list (prefix filter).  Short
-lists give pairs, which the union-sketch estimate filters with a margin of
-over five standard deviations; the members of a long list are taken as one
+share as much as 0.8-alike sets do must meet in a list (prefix filter).  A long
+list is cut into bands of sizes that allow the likeness.  Short lists give
+pairs, which the union-sketch estimate filters with a margin of over five
+standard deviations; the members of a list that is still long are taken as one
 block.  Blocks are the components of what is left.  The exact step searches
 each block for links on full shingle sets, breadth first, with one mark array
 per text, so neither pairs nor lists of a group are ever written out; a large
@@ -28,8 +29,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lectern.llm.shared import Scratch, connected_components, prepare_workers, tidy
+from lectern.llm.shared import ROWS_OF_A_FILE, Scratch, connected_components, prepare_workers, tidy
 from lectern.llm.words import shingle_hashes, text_chunks, word_hashes
 
 #: Longest list of which pairs are made; longer ones become blocks.
@@ -38,6 +40,8 @@ SHORT_LIST = 32
 ONE_TASK, MOST_CHUNK = 1 << 15, 1 << 21
 #: Ids sent to all tasks at most; with more, a shuffled join takes their place.
 MOST_SENT_IDS = 300_000
+#: A value that makes up more than one part in so many of all retained ones is hot; there are fewer of these than that.
+HOT_SHARE = 50_000
 SIGN = np.uint64(1 << 63)
 
 
@@ -81,27 +85,47 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, k: i
                 names=["id", "n_shingles", "set_hi", "set_lo", "need", "retained"],
             )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(tidy(each), "id long, n_shingles long, set_hi long, set_lo long, need int, retained array<long>")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(tidy(each), f"id {rows.schema['id'].dataType.simpleString()}, n_shingles long, set_hi long, set_lo long, need int, retained array<long>")
 
 
 def listed(sketches: DataFrame) -> DataFrame:
-    """(value, id, n): each text under the rarest of its retained values that others have too."""
-    entries = sketches.select("id", "n_shingles", "need", F.size("retained").alias("s"), F.explode("retained").alias("value"))
+    """(value, node, n): each text under the rarest of its retained values that others have too.
+
+    Hot values, which one task could not take, are looked up in a table sent to
+    all tasks; the others meet their counts in a join.
+    """
+    entries = sketches.select("node", "n_shingles", "need", F.size("retained").alias("s"), F.explode("retained").alias("value"))
     often = entries.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = entries.join(often, "value").groupBy("id").agg(F.first("n_shingles").alias("n"), F.first("need").alias("need"), F.first("s").alias("s"), F.array_sort(F.collect_list(F.struct("df", "value"))).alias("had"))
+    total = sketches.agg(F.sum(F.size("retained").cast("long"))).first()[0] or 0
+    hot = often.where(F.col("df") > max(1000, total // HOT_SHARE)).withColumnRenamed("df", "hot_df")
+    marked = entries.join(F.broadcast(hot), "value", "left")
+    cold = marked.where("hot_df IS NULL").drop("hot_df").join(often, "value")
+    met = cold.unionByName(marked.where("hot_df IS NOT NULL").withColumnRenamed("hot_df", "df"))
+    ranked = met.groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("need").alias("need"), F.first("s").alias("s"), F.array_sort(F.collect_list(F.struct("df", "value"))).alias("had"))
     # values of a text alone come first in its order and are in no list
     length = F.col("s") - F.col("need") + 1 - (F.col("s") - F.size("had"))
-    return ranked.where(length > 0).select("id", "n", F.explode(F.slice("had", F.lit(1), length)).alias("x")).select(F.col("x.value").alias("value"), "id", "n")
+    return ranked.where(length > 0).select("node", "n", F.explode(F.slice("had", F.lit(1), length)).alias("x")).select(F.col("x.value").alias("value"), "node", "n")
+
+
+def with_lengths(lists: DataFrame, by: list[str]) -> DataFrame:
+    """The rows of lists of two or more, with their list's length and least node."""
+    return lists.join(lists.groupBy(*by).agg(F.count("*").alias("m"), F.min("node").alias("head")).where("m > 1"), by)
+
+
+def in_bands(lists: DataFrame, percent: int) -> DataFrame:
+    """(value, band, node, n): rows under two bands of sizes each, so that two sizes that allow the likeness share one."""
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) - 1e-9) if percent < 100 else F.col("n")
+    return lists.select("value", F.explode(F.array(band, band + 1)).alias("band"), "node", "n")
 
 
 def likely_pairs(lists: DataFrame, sketches: DataFrame, k: int, percent: int) -> DataFrame:
     """(u, v): pairs in short lists whose sizes allow the likeness and whose union sketch shows it."""
-    members = lists.groupBy("value").agg(F.array_sort(F.collect_list(F.struct("id", "n"))).alias("m"))
+    members = lists.groupBy("value", "band").agg(F.array_sort(F.collect_list(F.struct("node", "n"))).alias("m"))
     one = members.select("m", F.posexplode("m").alias("at", "a")).select("a", F.explode(F.slice("m", F.col("at") + 2, F.size("m"))).alias("b"))
     fits = F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent
-    pairs = one.where(fits).select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
-    of = lambda x: sketches.select(F.col("id").alias(x), F.col("retained").alias(f"{x}_kept"), F.col("need").alias(f"{x}_need"))
+    pairs = one.where(fits).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
+    of = lambda x: sketches.select(F.col("node").alias(x), F.col("retained").alias(f"{x}_kept"), F.col("need").alias(f"{x}_need"))
     pairs = pairs.join(of("u"), "u").join(of("v"), "v")
     union = F.slice(F.array_sort(F.array_union("u_kept", "v_kept")), 1, k)
     shared = F.size(F.array_intersect(F.array_intersect("u_kept", "v_kept"), union))
@@ -149,68 +173,112 @@ def search_block(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[
 
 
 def exact_links(docs: DataFrame, blocks: DataFrame, id_col: str, text_col: str, shingle_words: int, percent: int, scratch: Scratch) -> DataFrame:
-    """(u, v): spanning edges of the links inside each block (id, block), on full shingle sets."""
-    wanted = blocks.select("id", "block")
-    n = wanted.count()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = texts.join(F.broadcast(wanted) if n <= MOST_SENT_IDS else wanted, "id")
+    """(u, v): spanning edges of the links inside each block (node, block, id, set_hi, set_lo), on full shingle sets."""
+    n = blocks.count()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = texts.join(F.broadcast(blocks) if n <= MOST_SENT_IDS else blocks, "id")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = list(shingle_sets(batch.column(2), shingle_words))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "block", "n", "shingles"])
-
-    sets = scratch.keep(texts.select("id", "block", "text").mapInArrow(tidy(each), "id long, block long, n long, shingles binary").dropDuplicates(["id"]), "sets")
+            sets = list(shingle_sets(batch.column(4), shingle_words))
+            # a text of the class's id may be of another class
+            names = np.frombuffer(b"".join(blake2b(s.tobytes(), digest_size=16).digest() for s in sets), np.int64).reshape(-1, 2)
+            own = (names[:, 0] == batch.column(2).to_numpy()) & (names[:, 1] == batch.column(3).to_numpy())
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "block", "n", "shingles"])
+            yield out.filter(pa.array(own))
+
+    found = texts.select("node", "block", "set_hi", "set_lo", "text").mapInArrow(tidy(each), "node long, block long, n long, shingles binary")
+    sets = scratch.keep(found.dropDuplicates(["node"]), "sets")
     sized = sets.groupBy("block").agg(F.sum("n").alias("total"), F.count("*").alias("m")).where("m > 1")
     chunk = F.least(F.greatest((F.col("total") / 8).cast("long"), F.lit(ONE_TASK)), F.lit(MOST_CHUNK))
     sized = sized.select("block", F.when(F.col("total") <= ONE_TASK, 1).otherwise(F.greatest(F.lit(3), F.ceil(F.col("total") / chunk))).cast("int").alias("chunks"))
-    mine = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
+    mine = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     # there are no more blocks than texts in them
     dealt = sets.join(F.broadcast(sized) if n <= MOST_SENT_IDS else sized, "block").withColumn("mine", mine)
     others = F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: x != F.col("mine")))
-    dealt = dealt.select("block", F.explode(others).alias("other"), "mine", "id", "shingles").select("block", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "id", "shingles")
+    dealt = dealt.select("block", F.explode(others).alias("other"), "mine", "node", "shingles").select("block", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "shingles")
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        found = search_block(pdf["id"].to_numpy(), [np.frombuffer(b, np.uint64) for b in pdf["shingles"]], percent)
+        pdf = pdf.sort_values("node")
+        found = search_block(pdf["node"].to_numpy(), [np.frombuffer(b, np.uint64) for b in pdf["shingles"]], percent)
         return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
     return dealt.groupBy("block", "i", "j").applyInPandas(search, "u long, v long")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80, k: int = 64) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept): the near-duplicate group of every row of ``docs``.
+    """(doc_id, n_shingles, component_id, kept, set_hi, set_lo): the near-duplicate group of every row of ``docs``.
+
+    set_hi and set_lo name a row's set; they are null where it has none.
 
     Two texts are linked if 100 * |A and B| >= percent * |A or B| on their sets
     of ``shingle_words``-word shingles; component_id is the smallest id reachable
-    over links, and kept says that the row has that id.
+    over links, and kept says that the row has that id.  Ids are of any type that
+    has an order.
 
     * Null, empty and wordless texts: n_shingles 0, a group of their own.
     * A null id: component_id null, kept true; the row links with nothing.
     * Repeated rows have the same component; each is kept if it has its id.
+    * Rows of one id with different texts are documents of their own: each has the
+      links of its text, and may be in a group of its own.
     * An empty table gives an empty result; other columns of ``docs`` are not read.
     """
     prepare_workers(spark)
     scratch = Scratch(spark)
     all_rows = scratch.keep(sketch(docs, id_col, text_col, shingle_words, k, percent), "sketches")
     linked = all_rows.where("n_shingles > 0 AND id IS NOT NULL")
-    classes = scratch.keep(linked.groupBy("set_hi", "set_lo").agg(F.min("id").alias("rep")), "classes")
-    one = linked.join(classes.select("set_hi", "set_lo", F.col("rep").alias("id")), ["set_hi", "set_lo", "id"], "left_semi").dropDuplicates(["id"])
-    one = scratch.keep(one.select("id", "n_shingles", "need", "retained"), "reps")
+    # numbers rise with the smallest id of a class, so the least of a group has the group's smallest
+    least = scratch.keep(linked.groupBy("set_hi", "set_lo").agg(F.min("id").alias("rep")), "least")
+    parts = max(1, least.count() // ROWS_OF_A_FILE)
+    ordered = least.repartitionByRange(parts, "rep", "set_hi", "set_lo").sortWithinPartitions("rep", "set_hi", "set_lo")
+    classes = scratch.keep(ordered.withColumn("node", F.monotonically_increasing_id()), "classes")
+    one = linked.join(classes.withColumnRenamed("rep", "id"), ["set_hi", "set_lo", "id"]).dropDuplicates(["node"])
+    one = scratch.keep(one.select("node", "n_shingles", "need", "retained"), "reps")
     lists = scratch.keep(listed(one), "lists")
-    lengths = lists.groupBy("value").agg(F.count("*").alias("m"), F.min("id").alias("head")).where("m > 1")
-    with_length = lists.join(lengths, "value")
-    pairs = likely_pairs(with_length.where(F.col("m") <= SHORT_LIST), one, k, percent)
-    hot = with_length.where(F.col("m") > SHORT_LIST).select(F.col("head").alias("u"), F.col("id").alias("v")).distinct()
-    blocks = connected_components(pairs.unionByName(hot), scratch, "blocks").select(F.col("node").alias("id"), F.col("component").alias("block"))
-    blocks = scratch.keep(blocks, "block-of")
+    whole = with_lengths(lists, ["value"])
+    short = whole.where(F.col("m") <= SHORT_LIST).select("value", F.lit(0).cast("long").alias("band"), "node", "n")
+    banded = scratch.keep(with_lengths(in_bands(whole.where(F.col("m") > SHORT_LIST), percent), ["value", "band"]), "banded")
+    short = short.unionByName(banded.where(F.col("m") <= SHORT_LIST).select("value", "band", "node", "n"))
+    pairs = likely_pairs(short, one, k, percent)
+    hot = banded.where(F.col("m") > SHORT_LIST).select(F.col("head").alias("u"), F.col("node").alias("v")).distinct()
+    blocks = connected_components(pairs.unionByName(hot), scratch, "blocks").select("node", F.col("component").alias("block"))
+    blocks = scratch.keep(blocks.join(classes.withColumnRenamed("rep", "id"), "node"), "block-of")
     edges = exact_links(docs, blocks, id_col, text_col, shingle_words, percent, scratch)
     groups = scratch.keep(connected_components(edges, scratch, "groups"), "group-of")
-    scratch.drop("reps", "lists", "block-of", "sets")
-    # class -> group over the representatives, then rows -> class
-    named = classes.join(groups, F.col("rep") == F.col("node"), "left").select("set_hi", "set_lo", F.coalesce("component", "rep").alias("component"))
+    scratch.drop("least", "reps", "lists", "banded", "block-of", "sets")
+    # class -> group and its smallest id, then rows -> class
+    heads = groups.join(classes.select(F.col("node").alias("component"), F.col("rep").alias("of_group")), "component").select("node", "of_group")
+    named = classes.join(heads, "node", "left").select("set_hi", "set_lo", F.coalesce("of_group", "rep").alias("component"))
     rows = all_rows.select("id", "n_shingles", *(F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col(c)).alias(c) for c in ("set_hi", "set_lo")))
     with_set = rows.where("set_hi IS NOT NULL").join(named, ["set_hi", "set_lo"], "left")
     alone = rows.where("set_hi IS NULL").withColumn("component", F.col("id"))
     out = with_set.unionByName(alone, allowMissingColumns=True)
-    return out.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"), "set_hi", "set_lo")
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stay if one document of each near-duplicate group does: that of its smallest id.
+
+    Rows without an id stay.  Rows of one id go by their own texts: of those with
+    one set (or, without words, one text) one stays if its group has no smaller id.
+    """
+    scratch = Scratch(spark)
+    groups = scratch.keep(near_duplicates(spark, docs, id_col, text_col, shingle_words, percent), "of-rows").where("doc_id IS NOT NULL").withColumnRenamed("doc_id", id_col)
+    again = scratch.keep(groups.groupBy(id_col).count().where("count > 1").select(id_col), "again")
+    gone = groups.where("NOT kept").select(id_col)
+    out = docs.join(F.broadcast(gone) if gone.count() <= MOST_SENT_IDS else gone, id_col, "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    if again.isEmpty():
+        return out
+    rows = docs.join(again, id_col, "left_semi").select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = list(shingle_sets(batch.column(0).field(text_col).cast(pa.large_string()), shingle_words))
+            names = [np.frombuffer(blake2b(s.tobytes(), digest_size=16).digest(), np.int64).tolist() if len(s) else (None, None) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[i] for x in names], pa.int64()) for i in (0, 1))], names=["row", "set_hi", "set_lo"])
+
+    schema = T.StructType([rows.schema["row"], T.StructField("set_hi", T.LongType()), T.StructField("set_lo", T.LongType())])
+    named = rows.mapInArrow(tidy(each), schema).select("*", F.col("row")[id_col].alias("id"), F.when(F.col("set_hi").isNull(), F.col("row")[text_col]).alias("wordless"))
+    stay = groups.where("kept").select(F.col(id_col).alias("k"), F.col("set_hi").alias("hi"), F.col("set_lo").alias("lo")).distinct()
+    met = named.join(stay, (F.col("id") == F.col("k")) & F.col("set_hi").eqNullSafe(F.col("hi")) & F.col("set_lo").eqNullSafe(F.col("lo")), "left_semi")
+    return out.join(again, id_col, "left_anti").select(*(f"`{c}`" for c in docs.columns)).unionByName(met.dropDuplicates(["id", "set_hi", "set_lo", "wordless"]).select("row.*"))

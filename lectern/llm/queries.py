@@ -27,7 +27,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @_query
 def op4_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(spark, _table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
+    return neardup.near_duplicates(spark, _table(spark, sf_dir, "documents"), shingle_words=2, percent=80).drop("set_hi", "set_lo")
 
 
 ORACLES["op4_minhash_neardup"] = r"""

@@ -107,3 +107,49 @@ def test_nested_pairs_just_over_the_likeness(spark):
         rows += [(2 * i, " ".join(w[:less])), (2 * i + 1, " ".join(w))]
     got = neardup.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), shingle_words=1)
     assert {r.doc_id for r in got.collect() if r.component_id != r.doc_id // 2 * 2} == set()
+
+
+def test_one_id_with_two_texts(spark):
+    """Rows are documents of their own: links of either text are found, and no text is lost."""
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    df = spark.createDataFrame([(5, a), (5, b), (7, b + " x"), (9, a + " y")], "doc_id long, text string")
+    got = neardup.near_duplicates(spark, df).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(5, 5, True), (5, 5, True), (7, 5, False), (9, 5, False)]
+    assert sorted(tuple(r) for r in neardup.one_of_each_group(spark, df).collect()) == sorted([(5, a), (5, b)])
+    df = spark.createDataFrame([(3, b), (5, b), (5, a), (5, a), (6, None), (6, None), (6, ""), (None, a)], "doc_id long, text string")
+    got = [(r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(spark, df).collect() if r.doc_id in (3, 5)]
+    assert sorted(got) == [(3, 3, True), (5, 3, False), (5, 5, True), (5, 5, True)]
+    key = lambda rows: sorted(rows, key=str)
+    assert key(tuple(r) for r in neardup.one_of_each_group(spark, df).collect()) == key([(3, b), (5, a), (6, None), (6, ""), (None, a)])
+
+
+def test_ids_of_other_types(spark):
+    rows = made_documents(60)
+    numbers = brute(rows, 5, 80)
+    df = spark.createDataFrame([(f"{i:09}", t) for i, t, *_ in rows], "doc_id string, text string")
+    assert {int(r.doc_id): (r.n_shingles, int(r.component_id)) for r in neardup.near_duplicates(spark, df).collect()} == numbers
+
+
+def test_boilerplate_makes_no_blocks_beyond_bands(spark, monkeypatch):
+    """Every text has the same 40 words before 60 to 900 of its own, in groups of three near copies: blocks stay small."""
+    monkeypatch.setattr(neardup, "HOT_SHARE", 5)
+    seen = []
+    real = neardup.exact_links
+    monkeypatch.setattr(neardup, "exact_links", lambda docs, blocks, *a: seen.append(blocks.groupBy("block").count().agg(F.max("count")).first()[0]) or real(docs, blocks, *a))
+    rng = random.Random(2)
+    common = [f"common{i}" for i in range(40)]
+    rows = []
+    for i in range(600):
+        own = [f"o{i}x{j}" for j in range(rng.choice([60, 100, 300, 900]))]
+        for k in range(3):
+            rows.append((3 * i + k, " ".join(common + own[: len(own) - k])))
+    got = neardup.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), shingle_words=2).collect()
+    assert all(r.component_id == r.doc_id // 3 * 3 for r in got) and seen[0] <= 3
+
+
+def test_bands_hold_all_sizes_that_allow_the_likeness(spark):
+    sizes = list(range(1, 400))
+    bands = {}
+    for r in neardup.in_bands(spark.createDataFrame([(0, n, n) for n in sizes], "value long, node long, n long"), 80).collect():
+        bands.setdefault(r.n, set()).add(r.band)
+    assert all(bands[a] & bands[b] for a in sizes for b in sizes if a <= b and 100 * a >= 80 * b)
