@@ -13,23 +13,23 @@ from lectern.llm import decontaminate, language, mixing, neardup
 from lectern.llm.shared import Scratch, crc_mod
 
 
-def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is in a learned language; those without letters go."""
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str, wanted: list[str] | None = None, least_score: float = 0.5) -> DataFrame:
+    """Documents in the languages that are wanted, all learned ones unless said; their prediction stands in for a missing lang.
+
+    Those go that have no letter, are in another language, or are in none by the
+    network: no language has half of the probability.  Where no row has a label to
+    learn from, all documents with letters stay.
+    """
     network = language.fit(docs, crc_mod(F.col("doc_id"), 4) != 2)
-    found = language.identify(docs, network)
-    return found.where(F.col("lang_pred") != language.UNKNOWN).select("row.*")
+    if network is None:
+        return docs.where(F.col("text").rlike("\\p{L}"))
+    found = language.identify(docs, network).where(F.col("lang_pred").isin(wanted or network.labels) & (F.col("score") >= least_score))
+    return found.select("row.*", "lang_pred").withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each near-duplicate group (five-word shingles, 0.8)."""
-    groups = Scratch(spark).keep(neardup.near_duplicates(spark, docs, shingle_words=5, percent=80), "groups")
-    gone = groups.where("NOT kept").select("doc_id")
-    out = docs.join(F.broadcast(gone) if gone.count() <= neardup.MOST_SENT_IDS else gone, "doc_id", "left_anti").select(docs.columns)
-    repeated = groups.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
-    if repeated.isEmpty():
-        return out
-    # rows repeated under one id are copies too
-    return out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).unionByName(out.where("doc_id IS NULL"))
+    return neardup.one_of_each_group(spark, docs, shingle_words=5, percent=80)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
