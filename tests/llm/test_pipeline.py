@@ -20,17 +20,25 @@ def docs(spark):
     return spark.read.parquet(f"{SF}/documents.parquet").unionByName(odd, allowMissingColumns=True).withColumn("extra", F.lit(1))
 
 
-def test_language_stage_drops_letterless_texts_only(spark, docs):
+def test_language_stage_keeps_what_is_wanted(spark, docs):
+    docs = docs.withColumn("lang", F.when(F.col("doc_id") % 7 != 1, F.col("lang"))).withColumn("lang_pred", F.lit("x"))
     got = P.keep_known_languages(spark, docs, SF)
     assert got.columns == docs.columns
     network = language.fit(docs, crc_mod(F.col("doc_id"), 4) != 2)
-    said = language.identify(docs, network).select("row.doc_id", "lang_pred", "score").collect()
-    assert {r.doc_id for r in got.collect()} == {r.doc_id for r in said if r.lang_pred != "und"}
-    assert {r.doc_id for r in said} - {r.doc_id for r in got.collect()} >= {10**6, 10**6 + 1, 10**6 + 2}
+    said = {r.doc_id: r for r in language.identify(docs, network).select("row.doc_id", "row.lang", F.col("lang_pred").alias("said"), "score").collect()}
+    rows = {r.doc_id: r for r in got.collect()}
+    assert set(rows) == {i for i, r in said.items() if r.said != "und" and r.score >= 0.5} and not {10**6, 10**6 + 1, 10**6 + 2} & set(rows)
+    assert len(rows) >= 0.99 * (len(said) - 3) and all(r.lang == (said[i].lang or said[i].said) for i, r in rows.items())
+    some = P.keep_known_languages(spark, docs, SF, wanted=["de", "fr"], least_score=0.9)
+    assert {r.doc_id for r in some.collect()} == {i for i, r in said.items() if r.said in ("de", "fr") and r.score >= 0.9}
+
+
+def test_language_stage_without_labels(spark, docs):
+    got = P.keep_known_languages(spark, docs.withColumn("lang", F.lit(None).cast("string")), SF)
     assert got.count() == docs.count() - 3
 
 
-def test_dedup_stage_keeps_one_of_each_group(spark, docs):
+def test_dedup_stage_keeps_one_of_each_group(spark, docs):  # rows of one id with different texts: test_neardup
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     got = P.keep_one_of_each_group(spark, docs, SF)
     assert got.columns == docs.columns
