@@ -1,12 +1,14 @@
 """Main-text extraction by the maximum-scoring subsequence.
 
-A page is a sequence of words and tags.  Words score above zero and tags below,
-with weights that are log-likelihood ratios counted on labelled pages (words in
-links, in short runs or in flagged parts have weights of their own); one linear
-scan finds the contiguous region of the highest score.  The region is widened
-to whole blocks, and to the article or main element that holds its beginning;
-flagged parts inside it (menus, sidebars, notices, adverts, forms, comments...)
-are left out.
+A page is a sequence of words and tags.  Weights are log-likelihood ratios
+counted on labelled pages.  A tag scores below zero.  A word scores by where it
+stands (in a paragraph, a link, a long or short run; inside an article or main
+element, outside one, or on a page without) and by the names of the parts
+around it (elements, classes, ids, roles): above zero, but below in parts whose
+names say that they are something else.  One linear scan finds the contiguous
+region of the highest score; it is grown to whole blocks and over neighbouring
+blocks of its container whose words score above zero.  Parts inside the region
+whose names score too low (adverts, sharing bars, comments ...) are left out.
 """
 
 from __future__ import annotations
@@ -15,7 +17,8 @@ import html as entities
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import pyarrow as pa
@@ -23,187 +26,218 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.llm import markup
+from lectern.llm.labelled_pages import labelled_pages
 from lectern.llm.shared import prepare_workers, tidy
 
-# Element names by their part in a page, and words of class, id and role that name parts which aren't main text.
-INLINE = frozenset("a abbr b bdi bdo cite code del dfn em font i ins kbd mark q s samp small span strong sub sup time tt u var".split())
-CONTAINERS = frozenset("article center div main section table td".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
-BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody tfoot thead title tr ul".split())
-FLAGGED = frozenset("aside button canvas datalist dialog footer form head iframe input label map menu nav noembed noframes noscript object option script search select style svg template textarea title video audio".split())
-WHOLE = frozenset("article main".split())
-PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
-PART_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline comment comments commentlist consent contentinfo cookie cookies copyright disqus dropdown footer gdpr hidden login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toc toolbar tooltip widget widgets".split()
-)
-
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+)>|<[!?/][^>]*+>?|<[a-zA-Z][^>]*+>?""", re.S)
-_NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*(?:display\s*:\s*none|visibility\s*:\s*hidden)""", re.I)
-_PARTS = re.compile(r"[a-z]+|\d+")
+# Element names by what they mean for text.
+BLOCKS = frozenset(["address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "frameset", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option", "p", "pre", "search", "section", "select", "summary", "table", "tbody", "tfoot", "thead", "title", "tr", "ul"])
+UNSEEN = frozenset(["button", "canvas", "datalist", "head", "iframe", "input", "label", "map", "noembed", "noframes", "noscript", "object", "option", "script", "select", "style", "svg", "template", "textarea", "title", "video", "audio"])
+IN_HEAD = frozenset(["base", "link", "meta", "noscript", "object", "script", "style", "template", "title"])
+WHOLE = frozenset(["article", "main"])
+PARAGRAPHS = frozenset(["p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"])
+NAMING = frozenset(["article", "aside", "dialog", "footer", "form", "header", "main", "menu", "nav", "search", "section"])
+CONTAINERS = frozenset(["article", "center", "div", "main", "section", "table", "td"])
+#: First parts of names that say what a thing has or is about, and last parts that say nothing of their own.
+ABOUT = frozenset(["author", "category", "format", "has", "hide", "is", "js", "no", "not", "show", "status", "tag", "toggle", "type", "with", "without"])
+PLACES = frozenset(["area", "block", "body", "bottom", "box", "container", "content", "inner", "item", "items", "left", "list", "main", "outer", "right", "section", "top", "wrap", "wrapper"])
+
 #: Words of a run from which on it counts as long.
 LONG_RUN = 8
-
-
-@lru_cache(maxsize=65536)
-def _attributes_flag(attributes: str) -> bool:
-    if _HIDDEN.search(attributes):
-        return True
-    for m in _NAMES.finditer(attributes):
-        value = re.sub(r"([a-z])([A-Z])", r"\1 \2", m[1] or m[2] or m[3] or "")
-        if not PART_WORDS.isdisjoint(_PARTS.findall(value.lower())):
-            return True
-    return False
-
-
+#: Words that a name must have been seen with for half its weight.
+DOUBT = 40
+#: The score of the names around a word below which it is not main text, and the bounds of what names add.
+APART, LEAST_NAMES, MOST_NAMES = -1.0, -6.0, 1.0
+#: The weight of a tag that no labelled page has.
+OTHER_TAG = -0.3
+
+
+@lru_cache(maxsize=16384)
+def _readings(name: str) -> tuple[str, ...]:
+    """What a class, id or role may be known as, the most telling first."""
+    parts = re.findall("[a-z]{2,}", re.sub("([a-z])([A-Z])", r"\1-\2", name).lower())
+    if not parts:
+        return ()
+    out = ["-".join(parts)]
+    while len(parts) > 1 and parts[-1] in PLACES:
+        parts = parts[:-1]
+        out.append("-".join(parts))
+    if len(parts) > 1 and parts[0] not in ABOUT:
+        out.append(parts[-1])
+    return tuple("." + x for x in out)
+
+
+def _names(tag: str, attributes: str, inside: bool) -> tuple[bool, list[tuple[str, ...]], str]:
+    """(hidden, the readings of each name that an element gives itself, its label on labelled pages)."""
+    hidden, out, label = False, [], ""
+    if tag in NAMING:
+        out.append((f"{tag}@in" if inside and tag not in WHOLE else tag,))
+    for key, value in markup.attributes(attributes) if attributes else ():
+        if key in ("class", "id", "role"):
+            out += [r for x in dict.fromkeys(value.split()) if (r := _readings(x) if len(x) < 100 else ())]
+        elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*+:\s*+none|visibility\s*+:\s*+hidden", value):
+            hidden = True
+        elif key in ("data-main", "data-not"):
+            label = key
+    return hidden, out, label
+
+
+@dataclass
+class Weights:
+    kinds: dict[str, float]  # of words, by where they stand
+    names: dict[str, float]
+    tags: dict[str, float]
+
+    def of_names(self, readings: Iterable[tuple[str, ...]]) -> float:
+        known = (next((self.names[r] for r in x if r in self.names), 0.0) for x in readings)
+        return max(LEAST_NAMES, min(MOST_NAMES, sum(known)))
+
+
+@dataclass
 class Items:
-    """A page's items in order: runs of text and tags, with what region finding needs of each."""
-
-    __slots__ = ("kinds", "words", "texts", "blocks", "wholes", "labels", "holders", "parents")
-
-    def __init__(self):
-        self.kinds: list[str] = []  # of words, or < and a tag's name
-        self.words: list[int] = []
-        self.texts: list[str | None] = []
-        self.blocks: list[int] = []
-        self.wholes: list[int] = []  # number of the outermost article or main, 0 outside
-        self.holders: list[int] = []  # number of the innermost container
-        self.parents: list[int] = [-1]  # of each container; 0 is the page
-        self.labels: list[bool] = []  # inside an element with the attribute data-main (labelled pages only)
-
-
-def parse(page: str) -> Items:
-    """Cuts a page into items; unclosed and stray tags, open quotes and cut ends are taken as browsers do, near enough."""
+    """A page's items in order: runs of words and tags, with what scoring and region finding need of each."""
+
+    kinds: list[str] = field(default_factory=list)  # of words, or a tag with its <
+    words: list[int] = field(default_factory=list)
+    texts: list[str | None] = field(default_factory=list)
+    blocks: list[int] = field(default_factory=list)
+    wholes: list[bool] = field(default_factory=list)  # inside an article or main
+    names: list[float] = field(default_factory=list)  # the score of the names around
+    holders: list[int] = field(default_factory=list)  # number of the innermost container
+    depths: list[int] = field(default_factory=lambda: [0])  # of each container; 0 is the page
+    extents: list[list[int]] = field(default_factory=lambda: [[0, -1]])  # its first and end items
+    labels: list[str] = field(default_factory=list)  # data-main, data-not or nothing
+    around: list[tuple[str, ...]] = field(default_factory=list)  # all names, kept for training only
+
+
+def parse(page: str, weights: Weights | None = None) -> Items:
+    """Cuts a page into items, in linear time; unclosed and stray tags are taken as browsers do, near enough."""
     out = Items()
     stack: list[str] = []
-    flags: list[int] = []  # depths of open flagged elements
-    whole_at: list[tuple[int, int]] = []
-    label_at: list[int] = []
-    holder_at: list[tuple[int, int]] = [(-1, 0)]
-    links = block = wholes = 0
-    at, n = 0, len(page)
+    places: dict[str, list[int]] = {}  # depths at which a name is open
+    # what holds from a depth on: (depth, value)
+    hidden: list[int] = []
+    whole: list[int] = []
+    named: list[tuple[int, float, tuple[str, ...]]] = [(-1, 0.0, ())]
+    holders: list[tuple[int, int]] = [(-1, 0)]
+    labels: list[tuple[int, str]] = [(-1, "")]
+    block = 0
 
     def close(depth: int) -> None:
-        nonlocal links
-        links -= stack[depth:].count("a")
-        del stack[depth:]
-        while flags and flags[-1] >= depth:
-            flags.pop()
-        while whole_at and whole_at[-1][0] >= depth:
-            whole_at.pop()
-        while holder_at[-1][0] >= depth:
-            holder_at.pop()
-        while label_at and label_at[-1] >= depth:
-            label_at.pop()
-
-    def in_paragraph() -> bool:
-        return not PARAGRAPHS.isdisjoint(stack[-5:])
+        while len(stack) > depth:
+            places[stack.pop()].pop()
+        for held in (hidden, whole):
+            while held and held[-1] >= depth:
+                held.pop()
+        for held in (named, labels):
+            while held[-1][0] >= depth:
+                held.pop()
+        while holders[-1][0] >= depth:
+            out.extents[holders.pop()[1]][1] = len(out.kinds)
 
     def add(kind: str, words: int, text: str | None) -> None:
         out.kinds.append(kind)
         out.words.append(words)
         out.texts.append(text)
         out.blocks.append(block)
-        out.wholes.append(whole_at[0][1] if whole_at else 0)
-        out.holders.append(holder_at[-1][1])
-        out.labels.append(bool(label_at))
-
-    while at < n:
-        m = _TAG.search(page, at)
-        end = m.start() if m else n
-        if end > at:
-            text = page[at:end]
-            if "&" in text:
-                text = entities.unescape(text)
+        out.wholes.append(bool(whole))
+        out.names.append(named[-1][1])
+        out.holders.append(holders[-1][1])
+        out.labels.append(labels[-1][1])
+        if weights is None:
+            out.around.append(named[-1][2])
+
+    for what, value, attributes in markup.tokens(page):
+        if what == markup.TEXT:
+            if hidden:
+                continue
+            text = entities.unescape(value) if "&" in value else value
             words = len(text.split())
-            if flags:
-                add("flagged", words, None)
-            elif words or text.isspace():
-                place = "link" if links else "par" if in_paragraph() else "plain"
-                add(place + ("-long" if words >= LONG_RUN else "-short"), words, text)
-        if not m:
-            break
-        at = m.end()
-        name = m[2]
-        if not name:
-            continue
-        name = name.lower()
-        if m[1]:
-            if name in stack:
-                close(len(stack) - 1 - stack[::-1].index(name))
-            elif name == "br":
+            if words or text.isspace():
+                place = "link" if places.get("a") else "par" if not PARAGRAPHS.isdisjoint(stack[-5:]) else "plain"
+                add(f"{place}-{'long' if words >= LONG_RUN else 'short'}", words, text)
+        elif what == markup.CLOSE:
+            if places.get(value):
+                close(places[value][-1])
+            elif value == "br" and not hidden:
                 add("<br", 0, " ")
-            block += name in BLOCKS
-            add("</i" if name in INLINE and in_paragraph() else "</" + name, 0, None)
-            continue
-        attributes = m[3]
-        if name in BLOCKS:
-            block += 1
-            if "p" in stack and name != "option":  # a block ends an open paragraph
-                close(len(stack) - 1 - stack[::-1].index("p"))
-            if name in ("li", "dt", "dd", "tr", "option") and stack and stack[-1] == name:
-                close(len(stack) - 1)
-        depth = len(stack)
-        if name in VOID or attributes.endswith("/") and name in ("path", "circle", "rect"):
-            add("<" + name, 0, " " if name in ("br", "wbr", "hr") and not flags and name != "wbr" else None)
-            continue
-        stack.append(name)
-        if name in FLAGGED or name == "header" and not whole_at or attributes and _attributes_flag(attributes) and name not in ("html", "body"):
-            flags.append(depth)
-        if name in WHOLE and not flags:
-            if not whole_at:
-                wholes += 1
-            whole_at.append((depth, wholes))
-        if name in CONTAINERS:
-            out.parents.append(holder_at[-1][1])
-            holder_at.append((depth, len(out.parents) - 1))
-        if attributes and "data-main" in attributes:
-            label_at.append(depth)
-        links += name == "a"
-        add("<i" if name in INLINE and in_paragraph() else "<" + name, 0, " " if name in ("td", "th") and not flags else None)
-        if name in RAW:
-            stop = re.compile(f"</{name}(?=[\\s/>])[^>]*>?", re.I).search(page, at)
-            at = stop.end() if stop else n
-            close(depth)
-            block += name in BLOCKS
+            block += value in BLOCKS
+            if not hidden:
+                add("</" + value, 0, None)
+        elif what == markup.OPEN:
+            if places.get("head") and value not in IN_HEAD:  # a head without an end tag
+                close(places["head"][-1])
+            if value in BLOCKS:
+                block += 1
+                if places.get("p") and value != "option":  # a block ends an open paragraph
+                    close(places["p"][-1])
+                if value in ("li", "dt", "dd", "tr", "option") and stack and stack[-1] == value:
+                    close(len(stack) - 1)
+            if value in markup.VOID:
+                if not hidden:
+                    add("<" + value, 0, " " if value in ("br", "hr") else None)
+                continue
+            if attributes.endswith("/") and value in ("path", "circle", "rect"):
+                continue
+            depth = len(stack)
+            stack.append(value)
+            places.setdefault(value, []).append(depth)
+            unseen, names, label = _names(value, attributes, bool(whole)) if attributes or value in NAMING else (False, [], "")
+            if unseen or value in UNSEEN:
+                hidden.append(depth)
+            if names and value not in ("html", "body"):
+                known = tuple(r for x in names for r in x)
+                score = max(LEAST_NAMES, min(MOST_NAMES, named[-1][1] + weights.of_names(names))) if weights else 0.0
+                named.append((depth, score, named[-1][2] + known if weights is None else ()))
+            if value in WHOLE and named[-1][1] > APART and not hidden:
+                whole.append(depth)
+            if value in CONTAINERS:
+                out.depths.append(out.depths[holders[-1][1]] + 1)
+                out.extents.append([len(out.kinds), -1])
+                holders.append((depth, len(out.depths) - 1))
+            if label:
+                labels.append((depth, label))
+            if not hidden:
+                add("<" + value, 0, " " if value in ("td", "th") else None)
+    close(0)
+    out.extents[0][1] = len(out.kinds)
     return out
 
 
-# The labelled pages, W standing for ten words; data-main is on what is main text.
-LABELLED_PAGES = [
-    "<html><head><title>W</title></head><body><nav><ul><li><a href=x>a</a></li><li><a href=x>b c</a></li></ul></nav><article data-main><h1>W</h1><p>W W W</p><p>W W <b>W</b></p><p>W W W W W</p></article><footer>a b c d</footer></body></html>",
-    "<body><div class=header><a href=x>site name</a></div><div id=menu><a href=x>one</a> <a href=x>two</a> <a href=x>three</a></div><div id=content data-main><h2>W</h2><p>W W W W</p><p>W <a href=x>some words</a> W W W</p><ul><li>W</li><li>W W</li></ul></div><div id=sidebar><h3>more</h3><ul><li><a href=x>W</a></li><li><a href=x>W</a></li></ul></div></body>",
-    "<body><table><tr><td><a href=x>home</a></td><td><a href=x>news</a></td></tr></table><div data-main><p>W W W W W</p><p>W W W</p><blockquote><p>W W</p></blockquote><p>W</p></div><div><a href=x>next</a> <a href=x>last</a></div><p>all rights kept</p></body>",
-    "<body><header><h1>a site</h1><form><input><button>go</button></form></header><main data-main><h1>W</h1><section><h2>a b c</h2><p>W W W W</p><p>W W</p></section><section><h2>d e</h2><p>W W W</p></section></main><div class=comments><h3>two replies</h3><p>W W</p><p>W</p></div><footer><p>W</p></footer></body>",
-    "<body><div><ul><li><a href=x>a</a><li><a href=x>b</a><li><a href=x>c d</a></ul></div><div class=cookie-notice><p>W W</p><button>fine</button></div><div data-main><h1>a b c d</h1>W W W W<br>W W W<br>W W</div><div class=ad>W</div><div><a href=x>W</a></div></body>",
-    "<body><p><a href=x>up</a> | <a href=x>down</a></p><hr><div data-main><h1>W</h1><p>W W</p><div><p>W W W</p></div><p>W W W W</p></div><hr><div><select><option>a<option>b</select></div><div><span>a</span> <span>b</span></div></body>",
-    "<body><div><a href=x>a</a> <a href=x>b</a></div><div data-main><div><h1>W</h1></div><div><p>W <span>W</span> W <em>a b</em> c <a href=x>d e</a> W</p><p>a b c</p><h3>a b</h3><p>W W <span>a</span> <code>b</code></p><p>a.</p></div></div><p>W W</p><div><span>a</span><span>b</span></div></body>",
-    "<body><div><span>a b</span><a href=x>c</a></div><article data-main><h2>a b</h2><p>W <strong>a</strong> <a href=x>W</a> W</p><p>a b</p><h3>c d e</h3><table><tr><td>a</td><td>b c</td></tr><tr><td>d</td><td>e f</td></tr></table><ol><li>a b</li><li>W</li></ol><p>a b c d e</p></article><div><p><a href=x>W</a></p><p><a href=x>a b</a></p></div></body>",
-]
+def _place(items: Items, i: int, has_whole: bool) -> str:
+    return ("in-" if items.wholes[i] else "out-" if has_whole else "") + items.kinds[i]
+
+
+def _ratios(inside: Counter, outside: Counter) -> dict[str, float]:
+    """The log of how much more often a thing is inside than all things are, drawn to 0 for rare ones."""
+    share = sum(inside.values()) / max(sum(inside.values()) + sum(outside.values()), 1)
+    logit = lambda p: math.log(p / (1 - p))
+    return {k: logit((inside[k] + DOUBT * share) / (inside[k] + outside[k] + DOUBT)) - logit(share) for k in inside.keys() | outside.keys()}
 
 
-def train(pages: list[str]) -> dict[str, float]:
-    """Weights by kind: log of how much more often it is in main text than elsewhere, above zero for words and below for tags."""
-    filler = " ".join(["word"] * 10)
-    inside, outside = Counter(), Counter()
+def train(pages: list[str]) -> Weights:
+    """Weights from pages whose main parts are marked."""
+    kinds, names, tags = (Counter(), Counter()), (Counter(), Counter()), (Counter(), Counter())
     for page in pages:
-        items = parse(re.sub(r"\bW\b", filler, page))
-        for kind, words, label in zip(items.kinds, items.words, items.labels, strict=True):
-            (inside if label else outside)[kind] += max(words, 1)
-    total_in, total_out = sum(inside.values()), sum(outside.values())
-    out = {}
-    for kind in inside.keys() | outside.keys():
-        ratio = math.log((inside[kind] + 0.5) / total_in) - math.log((outside[kind] + 0.5) / total_out)
-        out[kind] = min(ratio, -0.02) if kind[0] == "<" else max(ratio, 0.05)
-    # what is flagged is never given out and parts regions
-    out["flagged"] = -0.1
-    return out
+        items = parse(page)
+        has_whole = any(items.wholes)
+        for i, (kind, words, label) in enumerate(zip(items.kinds, items.words, items.labels, strict=True)):
+            other = label != "data-main"
+            if kind[0] == "<":
+                tags[other][kind] += 1
+            else:
+                kinds[other][_place(items, i, has_whole)] += min(words, 30)
+                for name in dict.fromkeys(items.around[i]):
+                    names[other][name] += min(words, 30)
+    words = _ratios(*kinds)
+    # outside an article that the page has, and in links, a word may speak against main text; else it speaks for it
+    signed = {k: r if k.startswith("out-") or "link" in k else max(r, 0.05) for k, r in words.items()}
+    return Weights(signed, _ratios(*names), {k: max(-1.5, min(r, -0.02)) for k, r in _ratios(*tags).items()})
 
 
 @lru_cache(maxsize=1)
-def default_weights() -> dict[str, float]:
-    return train(LABELLED_PAGES)
+def default_weights() -> Weights:
+    return train(labelled_pages())
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -218,35 +252,52 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return found
 
 
-def _widened(items: Items, first: int, end: int) -> tuple[int, int]:
-    """The innermost container of a region's words, if most of its own words are in the region; else the region."""
-
-    def line(holder: int) -> list[int]:
-        out = []
-        while holder > 0:
-            out.append(holder)
-            holder = items.parents[holder]
-        return out
-
-    real = [i for i, t in enumerate(items.texts) if t is not None and items.words[i]]
-    common = None
-    for holder in {items.holders[i] for i in real if first <= i < end}:
-        up = line(holder)
-        common = up if common is None else [h for h in common if h in up]
-    if not common:
-        return first, end
-    inside = [i for i in real if common[0] in line(items.holders[i])]
-    held = sum(items.words[i] for i in inside if first <= i < end)
-    if 2 * held < sum(items.words[i] for i in inside):
-        return first, end
-    return min(first, inside[0]), max(end, inside[-1] + 1)
-
-
-#: The weight of a tag of a name that no labelled page has.
-OTHER_TAG = -0.5
+def item_scores(items: Items, weights: Weights, by_names: bool = True) -> list[float]:
+    """The score of each item: words times a word's score, or a tag's weight."""
+    has_whole, out = any(items.wholes), []
+    for i, (kind, words) in enumerate(zip(items.kinds, items.words, strict=True)):
+        if kind[0] == "<":
+            out.append(weights.tags.get(kind, OTHER_TAG))
+            continue
+        score = weights.kinds.get(_place(items, i, has_whole), 0.05)
+        if by_names:
+            score = min(score + items.names[i], -0.1) if items.names[i] < APART else score + items.names[i]
+        out.append(words * score)
+    return out
 
 
-def main_text(page: str | None, weights: dict[str, float] | None = None) -> str:
+def _grown(items: Items, scores: list[float], first: int, end: int) -> tuple[int, int]:
+    """A region with the rest of its first and last blocks, and the neighbouring blocks of its container whose words score above zero."""
+    holder = min((items.holders[i] for i in range(first, end)), key=items.depths.__getitem__)
+    least, most = items.extents[holder] if holder else (first, end)
+
+    def grow(at: int, step: int, stop: int) -> int:
+        """From an item on, over blocks; the last item that belongs to the region."""
+        i, kept, block, score = at, at, items.blocks[at], 1.0
+        while i != stop:
+            i += step
+            if i == stop or items.blocks[i] != block:
+                if score < 0:
+                    break
+                if score > 0:
+                    kept = i - step
+                if i == stop:
+                    break
+                block, score = items.blocks[i], 0.0
+            # inside an article, growth passes over parts that will be left out
+            if items.words[i] and items.blocks[i] != items.blocks[at] and not (items.wholes[i] and items.names[i] < APART):
+                score += scores[i]
+        return kept
+
+    own_first, own_end = first, end
+    while own_first and items.blocks[own_first - 1] == items.blocks[first]:
+        own_first -= 1
+    while own_end < len(items.blocks) and items.blocks[own_end] == items.blocks[end - 1]:
+        own_end += 1
+    return min(own_first, grow(first, -1, least - 1)), max(own_end, grow(end - 1, 1, most) + 1)
+
+
+def main_text(page: str | None, weights: Weights | None = None) -> str:
     """The main text: blocks in page order, parted by one line feed, white space inside a block as one space.
 
     Null, empty and textless pages have an empty one.
@@ -254,31 +305,24 @@ def main_text(page: str | None, weights: dict[str, float] | None = None) -> str:
     if not page:
         return ""
     weights = default_weights() if weights is None else weights
-    items = parse(page)
-    other = weights.get("plain-short", 0.05)
-    scores = [w * weights.get(k, other) if k[0] != "<" else weights.get(k, OTHER_TAG) for k, w in zip(items.kinds, items.words, strict=True)]
+    items = parse(page, weights)
+    scores = item_scores(items, weights)
+    apart = [n < APART for n in items.names]
     first, end = best_region(scores)
+    if first == end:  # no part is main text by its names: then by all else
+        apart = [False] * len(apart)
+        scores = item_scores(items, weights, by_names=False)
+        first, end = best_region(scores)
     if first == end:
         return ""
-    held = Counter()
-    for i in range(first, end):
-        if items.texts[i] is not None:
-            held[items.wholes[i]] += items.words[i]
-    whole = held.most_common(1)[0][0] if held else 0
-    if whole:
-        first, end = items.wholes.index(whole), len(items.wholes) - items.wholes[::-1].index(whole)
-    else:
-        first, end = _widened(items, first, end)
-        a, b = items.blocks[first], items.blocks[end - 1]
-        while first and items.blocks[first - 1] == a:
-            first -= 1
-        while end < len(items.blocks) and items.blocks[end] == b:
-            end += 1
+    first, end = _grown(items, scores, first, end)
+    # between the region's first and last words of main text, parts with other names are left out
+    kept = [i for i in range(first, end) if items.words[i] and not apart[i]]
     blocks: list[str] = []
     parts: list[str] = []
     at = None
     for i in range(first, end):
-        if (text := items.texts[i]) is None or whole and items.wholes[i] != whole:
+        if (text := items.texts[i]) is None or apart[i] and kept and kept[0] < i < kept[-1]:
             continue
         if items.blocks[i] != at:
             blocks.append("".join(parts))
@@ -288,7 +332,7 @@ def main_text(page: str | None, weights: dict[str, float] | None = None) -> str:
     return "\n".join(b for b in (" ".join(b.split()) for b in blocks) if b)
 
 
-def extract(pages: DataFrame, html_col: str = "html", weights: dict[str, float] | None = None) -> DataFrame:
+def extract(pages: DataFrame, html_col: str = "html", weights: Weights | None = None) -> DataFrame:
     """Every row of ``pages`` with its main text.
 
     Returns ``row`` (a struct of all columns, so no name can clash) and ``text``

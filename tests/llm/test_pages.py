@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm import fingerprints, maintext, urls, warc
+from lectern.llm import fingerprints, urls, warc
 from lectern.llm.queries import URL_RULES
 from tests.llm.tables import DOCUMENTS, clashing, made_documents
 
@@ -19,45 +19,6 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 <p>Second<script>no()</script> one.</p><div class="comments"><p>Reader says no</p></div><form><input></form><p>End.</article><aside>side</aside><footer>&copy; all</footer></body></html>"""
 
 
-def test_main_text_of_an_article():
-    assert maintext.main_text(PAGE) == "A & title\nFirst para with a link, and more.\nSecond one.\nEnd."
-
-
-@pytest.mark.parametrize("page,want", [(None, ""), ("", ""), ("<p></p>", ""), ("plain text only here", "plain text only here"), ("<p>one two three<p>four five six", "one two three\nfour five six"), ("<script>a", ""), ("<p>x &lt;b&gt; y and z</p", "x <b> y and z"), ('<a href="x>open quote</a><p>Text after it is here.</p>', "Text after it is here.")])
-def test_odd_pages(page, want):
-    assert maintext.main_text(page) == want
-
-
-def test_pages_without_article_tags():
-    body = "<p>" + "</p><p>".join(["A paragraph with quite a few words in it."] * 4) + "</p>"
-    page = f'<body><div id="menu"><a>one</a> <a>two</a></div><div class="entry">{body}<p>End.</p></div><div class="sidebar"><p>other words of no use here at all</p></div></body>'
-    assert maintext.main_text(page) == "\n".join(["A paragraph with quite a few words in it."] * 4 + ["End."])
-
-
-def test_best_region_is_the_best():
-    rng = np.random.default_rng(1)
-    for _ in range(100):
-        s = rng.normal(-0.2, 1, 12).round(2).tolist()
-        a, b = maintext.best_region(s)
-        best = max([0.0] + [sum(s[i:j]) for i in range(12) for j in range(i + 1, 13)])
-        assert abs(sum(s[a:b]) - best) < 1e-9
-
-
-def test_weights_have_their_signs():
-    w = maintext.default_weights()
-    assert all((v < 0) == (k[0] == "<" or k == "flagged") for k, v in w.items())
-
-
-def test_extraction_of_driver_pages(spark):
-    import html
-
-    got = maintext.extract(clashing(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))).select("row.html", "text").collect()
-    for r in got:
-        article = re.search("<article>(.*?)</article>", r.html, re.S)[1]
-        blocks = (" ".join(html.unescape(re.sub("<br>", " ", re.sub("</?b>", "", x))).split()) for x in re.split("</?(?:p|h1)>", article))
-        assert r.text == "\n".join(b for b in blocks if b)
-
-
 @pytest.mark.parametrize(
     "url,host,path,rule,verdict",
     [
