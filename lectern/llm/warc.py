@@ -22,6 +22,7 @@ import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +38,6 @@ MOST_OPENED = 256 << 20
 HEADERS = "array<struct<name:string,value:string>>"
 RECORD = {"type": "string", "record_id": "string", "target_uri": "string", "date": "string", "refers_to": "string", "content_type": "string", "payload_digest": "string", "block_digest": "string", "headers": HEADERS, "block": "binary"}
 _IDS = uuid.uuid5(uuid.NAMESPACE_URL, "warc-record")
-_HEADERS = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
 
 # Elements without visible text, what may stand in a head, and elements that end a line.
 UNSEEN = frozenset(["script", "style", "template", "noscript", "iframe", "head", "textarea", "select", "svg", "title", "noembed", "noframes", "xmp"])
@@ -57,43 +57,55 @@ def record_id(*names: object) -> str:
     return f"<urn:uuid:{uuid.uuid5(_IDS, json.dumps(names))}>"
 
 
-def plain_text(page: str) -> str:
-    """All visible text: a line for each block, white space inside as one space, empty lines left out."""
+def read_page(page: str) -> tuple[dict, str]:
+    """What a metadata record says of an HTML page (title, named metas and links in page order), and its plain text.
+
+    The text is all that is visible: a line for each block, white space inside as
+    one space, empty lines left out.
+    """
+    one_line = lambda s: " ".join(entities.unescape(s).split())
+    title, metas, links = None, [], []
     parts: list[str] = []
     unseen = None  # the element whose end is waited for
-    for kind, value, _ in markup.tokens(page):
-        if unseen == "head" and kind == markup.OPEN and value not in IN_HEAD:
-            unseen = None  # a head without an end tag ends where something else begins
+    for kind, name, value in markup.tokens(page):
+        if kind == markup.TEXT:
+            if not unseen:
+                parts.append(name)
+            continue
+        if kind == markup.OPEN:
+            if unseen == "head" and name not in IN_HEAD:
+                unseen = None  # a head without an end tag ends where something else begins
+            if name in LINKS:
+                found = next(((k, v) for k, v in markup.attributes(value) if k in LINKS[name]), None)
+                if found:
+                    links.append({"path": f"{name.upper()}@/{found[0]}", "url": entities.unescape(found[1])})
+            elif name == "meta":
+                held = dict(reversed(markup.attributes(value)))
+                if held.get("name") and "content" in held:
+                    metas.append({"name": held["name"], "content": one_line(held["content"])})
+        elif kind == markup.CONTENT:
+            if name == "title" and title is None:
+                title = one_line(value)
+            continue
         if unseen:
-            if kind == markup.CLOSE and value == unseen:
+            if kind == markup.CLOSE and name == unseen:
                 unseen = None
                 parts.append(" ")
-        elif kind == markup.TEXT:
-            parts.append(entities.unescape(value).replace("\n", " "))
-        elif kind == markup.OPEN and value in UNSEEN:
-            unseen = value
-        elif kind != markup.CONTENT and value in LINES:
-            parts.append("\n")
-    lines = (" ".join(x.split()) for x in "".join(parts).split("\n"))
-    return "\n".join(x for x in lines if x)
+        elif kind == markup.OPEN and name in UNSEEN:
+            unseen = name
+        elif name in LINES:
+            parts.append("\0")  # which no page text has after the replacement below
+    text = "".join(x if x == "\0" else x.replace("\0", " ") for x in parts)
+    lines = (one_line(x) for x in text.split("\0"))
+    return {"Head": {"Title": title, "Metas": metas}, "Links": links}, "\n".join(x for x in lines if x)
+
+
+def plain_text(page: str) -> str:
+    return read_page(page)[1]
 
 
 def page_facts(page: str) -> dict:
-    """What a metadata record says of an HTML page: title, named metas and links in page order."""
-    text = lambda s: " ".join(entities.unescape(s).split())
-    title, metas, links = None, [], []
-    for kind, name, value in markup.tokens(page):
-        if kind == markup.CONTENT and name == "title" and title is None:
-            title = text(value)
-        elif kind == markup.OPEN and name == "meta":
-            found = dict(reversed(markup.attributes(value)))
-            if found.get("name") and "content" in found:
-                metas.append({"name": found["name"], "content": text(found["content"])})
-        elif kind == markup.OPEN and name in LINKS:
-            found = next(((k, v) for k, v in markup.attributes(value) if k in LINKS[name]), None)
-            if found:
-                links.append({"path": f"{name.upper()}@/{found[0]}", "url": entities.unescape(found[1])})
-    return {"Head": {"Title": title, "Metas": metas}, "Links": links}
+    return read_page(page)[0]
 
 
 def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
@@ -182,7 +194,18 @@ def parse(data: bytes | BinaryIO) -> Iterator[tuple[Headers, bytes]]:
 
 
 def _header_array(rows: list[Headers]) -> pa.Array:
-    return pa.array([[{"name": k, "value": v} for k, v in h] for h in rows], _HEADERS)
+    flat = [x for h in rows for x in h]
+    pairs = pa.StructArray.from_arrays([pa.array([k for k, _ in flat], pa.string()), pa.array([v for _, v in flat], pa.string())], ["name", "value"])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pairs)
+
+
+def _header_rows(column: pa.ListArray) -> Iterator[Headers]:
+    """The headers of each row; none for null, and none without a name or value."""
+    flat, at = column.flatten(), 0
+    pairs = list(zip(flat.field(0).to_pylist(), flat.field(1).to_pylist(), strict=True))
+    for n in column.value_lengths().to_pylist():
+        yield [x for x in pairs[at : at + (n or 0)] if x[0] and x[1] is not None]
+        at += n or 0
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -231,11 +254,11 @@ def derived(headers: Headers, block: bytes) -> list[tuple[Headers, bytes]]:
         facts["Entity-Not-Opened"] = True
     is_html = "html" in kind
     if is_html:
-        facts["HTML-Metadata"] = page_facts(text)
+        facts["HTML-Metadata"], text = read_page(text)
     envelope = {"WARC-Header-Length": sum(len(k) + len(v) + 4 for k, v in headers), "WARC-Header-Metadata": pairs(headers), "Payload-Metadata": {"HTTP-Response-Metadata": facts}}
     out = [("metadata", "application/json", json.dumps({"Envelope": envelope}, ensure_ascii=False).encode("utf-8", "replace"))]
     if body is not None and (is_html or kind.startswith("text/plain")):
-        out.append(("conversion", "text/plain", (plain_text(text) if is_html else text).encode("utf-8", "replace")))
+        out.append(("conversion", "text/plain", text.encode("utf-8", "replace")))
     return [([("WARC-Type", name), ("WARC-Record-ID", record_id(name, source)), *kept, ("WARC-Refers-To", source), ("WARC-Source-Payload-Digest", payload_digest), ("WARC-Block-Digest", digest(made)), ("Content-Type", content), ("Content-Length", str(len(made)))], made) for name, content, made in out]
 
 
@@ -258,8 +281,8 @@ def build_derivatives(responses: DataFrame, key_cols: list[str] | None = None) -
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             which, made = [], []
-            for i, (headers, block) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                new = derived([(h["name"], h["value"]) for h in headers or () if h and h["name"] and h["value"] is not None], bytes(block or b""))
+            for i, (headers, block) in enumerate(zip(_header_rows(batch.column(1)), batch.column(2).to_pylist(), strict=True)):
+                new = derived(headers, bytes(block or b""))
                 which += [i] * len(new)
                 made += new
             found = [dict(h) for h, _ in made]
