@@ -3,7 +3,9 @@
 A host's labels are strings of words written together.  A unigram model splits
 each into its likeliest words (Viterbi; a piece that is no known word costs by
 its length).  Multinomial naive Bayes over the words of host and path says
-whether a URL is to be blocked.  Where rules fit, the longest decides instead.
+whether a URL is to be blocked; all unknown pieces count as one word.  Both
+models are counted on labelled URLs made by rule, of which one in four is to be
+blocked.  Where rules fit, the longest decides instead.
 """
 
 from __future__ import annotations
@@ -20,31 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.llm.labelled_urls import common_counts, labelled_urls
 from lectern.llm.shared import prepare_workers, tidy
 
 ALLOW, BLOCK = "allow", "block"
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])|(?<=[0-9])(?=[a-z])")
 #: Letters of the longest piece that the segmentation considers.
 LONGEST_WORD = 24
-
-# Words that are in URLs of any kind, so they speak for neither side.
-NEUTRAL = frozenset("www m blog example com net org index html htm php en de fr es page ref source utm feed top".split())
-
-# Labelled URL texts that the classifier and the word frequencies are learned from.
-LABELLED = {
-    BLOCK: [
-        "cheap pills online pharmacy no prescription", "buy cheap pills viagra cialis", "online casino bonus free spins", "best casino slots jackpot win", "poker betting odds bet now",
-        "free porn videos xxx adult", "hot sex cams live girls", "xxx tube sex porn", "payday loans fast cash no credit", "get rich quick money earn cash", "replica watches cheap luxury",
-        "weight loss pills diet miracle", "free download crack keygen warez", "torrent pirate movies free stream", "click here win prize free gift", "lottery winner claim prize",
-        "ads ad tracker track click banner pixel", "free bets bet tips odds", "adult rated video", "spam link farm", "escort girls dating hookup", "cheap meds discount drugs pills", "bitcoin doubler invest profit", "spam seo backlinks buy traffic", "adult dating sex chat", "gambling roulette blackjack casino",
-    ],
-    ALLOW: [
-        "news article today world", "post travel photos", "university research science paper", "school education learning students", "recipe food kitchen cooking", "health medicine hospital doctor",
-        "sports football team results", "technology computer software code", "library books reading history", "city government public service", "music concert artist band", "garden plants flowers home",
-        "weather forecast local report", "shop store product review", "help support docs guide", "forum question answer topic", "about contact team company", "wiki page history talk", "museum art gallery exhibition",
-        "market finance business economy", "the mobile site of a city", "family travel guide and map", "open data project archive",
-    ],
-}
+#: What unknown pieces and numbers count as.
+UNKNOWN, NUMBER = "?", "#"
 
 
 def words_of(text: str) -> list[str]:
@@ -53,30 +39,37 @@ def words_of(text: str) -> list[str]:
 
 @dataclass
 class Filter:
-    """Word costs for segmentation, and per word the log odds of blocking."""
+    """Costs of words for segmentation, and per word the log odds of blocking."""
 
     costs: dict[str, float]
     odds: dict[str, float]
     prior: float
-    unknown_cost: float
+    unknown_cost: float  # of a piece that is no word
+    letter_cost: float  # and of each of its letters
 
     def segment(self, label: str) -> tuple[str, ...]:
         """The likeliest words that a string of letters is made of; digits stand by themselves."""
         return tuple(w for part in words_of(label) for w in _split(self, part))
 
-    def log_odds(self, host: str, path: str) -> float:
-        words = [w for label in host.split(".") for w in self.segment(label)]
-        words += [w for part in words_of(path) for w in self.segment(part)]
-        return self.prior + sum(self.odds.get(w, 0.0) for w in words)
+    def words(self, host: str, path: str) -> list[str]:
+        return [w for part in (*host.split("."), *words_of(path)) for w in self.segment(part)]
+
+    def odds_of(self, word: str) -> float:
+        return self.odds.get(word, self.odds[NUMBER if word.isdecimal() else UNKNOWN])
+
+    def log_odds(self, words: list[str]) -> float:
+        return self.prior + sum(map(self.odds_of, words))
 
     def verdict(self, host: str, path: str) -> str:
-        return BLOCK if self.log_odds(host, path) > 0 else ALLOW
+        return BLOCK if self.log_odds(self.words(host, path)) > 0 else ALLOW
 
 
 def _split(model: Filter, text: str) -> list[str]:
+    if text.isdecimal():
+        return [text]
     best: list[tuple[float, int]] = [(0.0, 0)]
     for end in range(1, len(text) + 1):
-        best.append(min((best[start][0] + model.costs.get(piece := text[start:end], model.unknown_cost * (1 + len(piece))), start) for start in range(max(0, end - LONGEST_WORD), end)))
+        best.append(min((best[start][0] + model.costs.get(piece := text[start:end], model.unknown_cost + model.letter_cost * len(piece)), start) for start in range(max(0, end - LONGEST_WORD), end)))
     out, end = [], len(text)
     while end:
         start = best[end][1]
@@ -85,22 +78,33 @@ def _split(model: Filter, text: str) -> list[str]:
     return out[::-1]
 
 
-def train(labelled: dict[str, list[str]]) -> Filter:
-    """Unigram costs (-log p) and naive Bayes log odds with add-one smoothing."""
-    counts = {label: Counter(w for text in texts for w in words_of(text)) for label, texts in labelled.items()}
-    every = counts[ALLOW] + counts[BLOCK] + Counter(NEUTRAL)
-    total = sum(every.values())
-    costs = {w: -math.log(n / total) for w, n in every.items()}
-    size = {label: sum(c.values()) + len(every) for label, c in counts.items()}
-    odds = {w: math.log((counts[BLOCK][w] + 1) / size[BLOCK]) - math.log((counts[ALLOW][w] + 1) / size[ALLOW]) for w in every if w not in NEUTRAL}
-    prior = math.log(len(labelled[BLOCK]) / len(labelled[ALLOW]))
-    # one unknown letter costs more than a rare word, so known words are not broken up
-    return Filter(costs, odds, min(prior, -0.5), math.log(total) * 0.6)
+def train(labelled: list[tuple[list[str], bool]], words: dict[str, int] | None = None, least: int = 3) -> Filter:
+    """Unigram costs (-log p) and naive Bayes log odds with add-one smoothing.
+
+    ``words`` are counts that word costs take in besides.  What comes fewer than
+    ``least`` times is unknown; the cost of an unknown piece follows from how many
+    of these there are, with one of 26 letters at each place.
+    """
+    counts = {True: Counter(), False: Counter()}
+    for held, block in labelled:
+        counts[block].update(NUMBER if w.isdecimal() else w for w in held)
+    every = counts[True] + counts[False]
+    rare = [w for w, n in every.items() if n < least and w != NUMBER]
+    unknown = sum(every[w] for w in rare) + 1
+    for side in counts.values():
+        side[UNKNOWN] = sum(side.pop(w, 0) for w in rare)
+    kept = {w for w, n in every.items() if n >= least} | {UNKNOWN, NUMBER}
+    known = Counter({w: n for w, n in every.items() if n >= least and w != NUMBER}) + Counter(words or {})
+    total = sum(known.values()) + unknown
+    size = {block: sum(c.values()) + len(kept) for block, c in counts.items()}
+    odds = {w: math.log((counts[True][w] + 1) / size[True]) - math.log((counts[False][w] + 1) / size[False]) for w in kept}
+    blocked = sum(block for _, block in labelled)
+    return Filter({w: -math.log(n / total) for w, n in known.items()}, odds, math.log((blocked + 1) / (len(labelled) - blocked + 1)), -math.log(unknown / total), math.log(26))
 
 
 @lru_cache(maxsize=1)
 def default_filter() -> Filter:
-    return train(LABELLED)
+    return train(labelled_urls(), common_counts())
 
 
 #: (verdict, host, path); a rule fits its host and all subdomains of it, if the path starts with the rule's.
@@ -139,12 +143,12 @@ def judge(pages: DataFrame, rules: list[Rule], url_col: str = "url", model: Filt
             if host not in known:
                 if len(known) > 100_000:
                     known.clear()
-                known[host] = tuple(w for label in host.split(".") for w in model.segment(label))
+                known[host] = tuple(model.words(host, ""))
             return known[host]
 
         for frame in frames:
             words = [[*segmented(h), *(w for part in words_of(p) for w in segmented(part))] for h, p in zip(frame["host"], frame["path"], strict=True)]
-            said = [BLOCK if model.prior + sum(model.odds.get(w, 0.0) for w in ws) > 0 else ALLOW for ws in words]
+            said = [BLOCK if model.log_odds(ws) > 0 else ALLOW for ws in words]
             hits = frame["hit"].tolist()
             yield frame.drop(columns="hit").assign(rule=[rules[i][1] + rules[i][2] if i >= 0 else None for i in hits], words=words, verdict=[rules[i][0] if i >= 0 else v for i, v in zip(hits, said, strict=True)])
 
