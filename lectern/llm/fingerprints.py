@@ -8,7 +8,7 @@ value is ln c - r (t - b + 1); the word of the least value, with its t, is the
 sample, and as no two words and t share a value, the value stands for it.  Two texts have the same sample with the probability of their
 generalised Jaccard similarity, sum of least weights over sum of greatest.  The
 likeness read off K samples has a standard deviation of sqrt(p (1 - p) / K):
-0.0625 at 0.5 and 0.05 at 0.8 with 64.
+0.067 at 0.5 and 0.053 at 0.8 with 56.
 
 A text and its edited version share most words: a word of equal weight
 in both draws once for both.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.shared import ascii_lower
 
-SAMPLES = 64
+SAMPLES = 56
 #: Bytes of text of a partition at least and at most, the number of partitions from which on they grow, and buckets of a partition.
 LEAST_PARTITION, MOST_PARTITION, PARTITIONS, BUCKETS = 6_000_000, 512_000_000, 65_536, 3
 
