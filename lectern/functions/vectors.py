@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,3 +24,17 @@ def cosine(a: Column, b: Column) -> Column:
 def unit(a: Column) -> Column:
     n = norm(a)
     return F.transform(a, lambda x: F.try_divide(x.cast("double"), n).cast("float"))
+
+
+def packed(a: Column) -> Column:
+    """The unit vector as four little-endian bytes a number, as ``retrieval.nearest_packed`` reads it; null for zero vectors."""
+
+    def each(vectors: pd.Series) -> pd.Series:
+        out = []
+        for v in vectors:
+            x = np.zeros(0) if v is None else np.asarray(v, np.float64)
+            n = np.sqrt(x @ x)
+            out.append((x / n).astype("<f4").tobytes() if n > 0 else None)
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(each, "binary")(a)

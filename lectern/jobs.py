@@ -42,14 +42,19 @@ class Job:
 
 
 class Jobs:
-    """Submits, runs and remembers jobs; ``load`` and ``save`` keep the log as one JSON text."""
+    """Submits, runs and remembers jobs.
 
-    def __init__(self, workers: int = 1, clock: Callable[[], float] = time.time, load: Callable[[], str | None] = lambda: None, save: Callable[[str], None] = lambda text: None):
-        self._clock, self._save, self._lock = clock, save, threading.RLock()
+    ``load`` gives the JSON texts of all jobs, ``save`` takes a job's id and text,
+    ``drop`` its id: a change writes one job.
+    """
+
+    def __init__(self, workers: int = 1, clock: Callable[[], float] = time.time, load: Callable[[], list[str]] = list, save: Callable[[str, str], None] = lambda job_id, text: None, drop: Callable[[str], None] = lambda job_id: None):
+        self._clock, self._save, self._drop, self._lock = clock, save, drop, threading.RLock()
         self._handlers: dict[str, Callable[[Job], dict]] = {}
         self._pool = ThreadPoolExecutor(workers)
         self._running: dict[str, Future] = {}
-        self._jobs = {j["job_id"]: Job(**j) for j in json.loads(load() or "[]")}
+        held = sorted((Job(**json.loads(text)) for text in load()), key=lambda j: (j.created_at, j.job_id))
+        self._jobs = {j.job_id: j for j in held}
 
     def register(self, kind: str, handler: Callable[[Job], dict]) -> None:
         self._handlers[kind] = handler
@@ -77,7 +82,7 @@ class Jobs:
             for k, v in values.items():
                 setattr(job, k, v)
             job.updated_at = iso(self._clock())
-            self._save(json.dumps([asdict(j) for j in self._jobs.values()]))
+            self._save(job.job_id, json.dumps(asdict(job)))
 
     def _moved(self, job: Job, was: str, **values) -> bool:
         """Sets values only if the status still is ``was``."""
@@ -113,8 +118,9 @@ class Jobs:
 
     def forget(self, kb: str) -> None:
         with self._lock:
-            self._jobs = {k: j for k, j in self._jobs.items() if j.kb != kb}
-            self._save(json.dumps([asdict(j) for j in self._jobs.values()]))
+            for k in [k for k, j in self._jobs.items() if j.kb == kb]:
+                del self._jobs[k]
+                self._drop(k)
 
     def close(self) -> None:
         self._pool.shutdown(wait=True)

@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from types import SimpleNamespace
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern import schemas
@@ -460,21 +460,28 @@ def annotate_text(text: str | None, decoder: str = "context", resolve: Callable[
 
 
 def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", decoder: str = "context", resolve: Callable[[list[Block]], None] | None = None) -> DataFrame:
-    """(id, blocks): the annotated blocks of each cleaned text as an array of structs; ``kept`` marks those that count."""
+    """(id, blocks, error): the annotated blocks of each cleaned text as an array of structs; ``kept`` marks those that count.
+
+    A text that can't be annotated has an error and no blocks.
+    """
     columns = [c.split()[0] for c in schemas.BLOCKS.split(", ")]
 
+    def one(text: str | None) -> tuple[list[dict] | None, str | None]:
+        try:
+            rows = [(b.index, b.raw, b.text, b.heading, b.level, b.role, b.section, b.subsection, float(b.confidence), b.rationale, is_kept(b)) for b in annotate_text(text, decoder, resolve)]
+        except Exception as e:  # a text that can't be annotated fails alone
+            return None, f"annotate: {e}"
+        return [dict(zip(columns, r, strict=True)) for r in rows], None
+
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
-            for text in frame["text"]:
-                rows = [(b.index, b.raw, b.text, b.heading, b.level, b.role, b.section, b.subsection, float(b.confidence), b.rationale, is_kept(b)) for b in annotate_text(text, decoder, resolve)]
-                out.append([dict(zip(columns, r, strict=True)) for r in rows])
-            yield pd.DataFrame({"id": frame["id"], "blocks": out})
+            got = [one(text) for text in frame["text"]]
+            yield pd.DataFrame({"id": frame["id"], "blocks": [g[0] for g in got], "error": pd.Series([g[1] for g in got], dtype=object)})
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
     structs = ",".join(":".join(c.split()) for c in schemas.BLOCKS.split(", "))
-    return rows.mapInPandas(each, f"id {id_type}, blocks array<struct<{structs}>>").withColumnRenamed("id", id_col)
+    return rows.mapInPandas(each, f"id {id_type}, blocks array<struct<{structs}>>, error string").withColumnRenamed("id", id_col)
 
 
 def block_rows(annotated: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -493,3 +500,18 @@ def outline(annotated: DataFrame, id_col: str = "doc_id") -> DataFrame:
     text = F.array_join(F.transform(F.filter("kept", lambda b: (b["section"] == F.col("section")) & ~b["is_heading"]), lambda b: b["text"]), "")
     rows = rows.select(id_col, "kept", F.posexplode(names).alias("ord", "section"))
     return rows.select(id_col, "ord", "section", text.alias("text")).select(id_col, "ord", "section", F.length("text").cast("long").alias("char_count"), "text")
+
+
+def histograms(annotated: DataFrame, id_col: str = "doc_id", low: float = 0.7) -> DataFrame:
+    """(id, roles, sections, doubtful): how many blocks have each role and section, and the numbers of those of low confidence.
+
+    Works on each row's array, so nothing is shuffled.
+    """
+
+    def counted(field: str) -> Column:
+        names = F.transform("blocks", lambda b: b[field])
+        pairs = F.transform(F.array_sort(F.array_distinct(names)), lambda n: F.struct(n.alias("name"), F.size(F.filter(names, lambda x: x == n)).alias("n")))
+        return F.map_from_entries(pairs)
+
+    doubtful = F.transform(F.filter("blocks", lambda b: b["confidence"] < low), lambda b: b["idx"])
+    return annotated.select(id_col, counted("role").alias("roles"), counted("section").alias("sections"), doubtful.alias("doubtful"))

@@ -6,12 +6,13 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.ids import doc_id, point_id
 from lectern.functions.text import clean_markdown
-from lectern.functions.vectors import norm
+from lectern.functions.vectors import norm, packed
 from lectern.operators.annotate import annotate, outline
 from lectern.operators.chunk import ChunkConfig, chunk
 from lectern.operators.metadata import cascade, enrich_abstracts
@@ -38,9 +39,8 @@ def catalog_rows(parsed: DataFrame, recipe: Recipe) -> DataFrame:
     if recipe.abstracts:
         found = enrich_abstracts(found, recipe.abstracts)
     if recipe.keywords:
-        make = F.udf(recipe.keywords, "array<string>")
-        more = F.when(F.col("abstract").isNotNull() & (F.col("title") != ""), make("title", F.substring("abstract", 1, 6000)))
-        found = found.withColumn("keywords", F.when(F.size(more) >= 2, more).otherwise(F.col("keywords")))
+        found = found.withColumn("made", keywords_column(F.col("title"), F.substring("abstract", 1, 6000), recipe.keywords))
+        found = found.withColumn("keywords", F.when(F.size("made") >= 2, F.col("made")).otherwise(F.col("keywords"))).drop("made")
     rows = parsed.select("content_hash", "path", "name", "markdown").join(found, "content_hash")
     file_name = F.concat("name", F.lit(".pdf"))
     return rows.select(
@@ -51,12 +51,33 @@ def catalog_rows(parsed: DataFrame, recipe: Recipe) -> DataFrame:
     )
 
 
-def tables_of(documents: DataFrame, recipe: Recipe) -> dict[str, DataFrame]:
-    """The rows of all tables for new documents (with ``markdown`` and ``source_file``)."""
+def keywords_column(title: Column, abstract: Column, make: Callable[[str, str], list[str]]) -> Column:
+    """Keywords of each row with a title and an abstract, by Arrow batches; none where the model fails."""
+
+    def one(title: str | None, abstract: str | None) -> list[str]:
+        try:
+            return make(title, abstract) if title and abstract else []
+        except Exception:  # a document is complete without keywords
+            return []
+
+    def each(titles: pd.Series, abstracts: pd.Series) -> pd.Series:
+        return pd.Series([one(t, a) for t, a in zip(titles, abstracts, strict=True)], dtype=object)
+
+    return F.pandas_udf(each, "array<string>")(title, abstract)
+
+
+def tables_of(documents: DataFrame, recipe: Recipe, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The rows of all tables for new documents (with ``markdown`` and ``source_file``), and (doc_id, error) of those that failed.
+
+    A document that can't be annotated or embedded fails alone and is in no table.
+    ``keep`` writes a frame and reads it back, so models are asked once.
+    """
     cleaned = documents.withColumn("cleaned", clean_markdown(F.col("markdown")))
-    annotated = annotate(cleaned, "doc_id", "cleaned", resolve=recipe.resolve)
-    chunks = chunk(annotated, recipe.config).withColumn("embedding", embed_column(F.col("content"), recipe.embedder))
+    annotated = keep(annotate(cleaned, "doc_id", "cleaned", resolve=recipe.resolve), "annotated")
+    chunks = chunk(annotated.where("error IS NULL"), recipe.config).withColumn("embedding", embed_column(F.col("content"), recipe.embedder, isolate=True))
     empty = lambda c: F.coalesce(c, F.lit(""))
     payload = documents.select("doc_id", "title", F.lower("title").alias("title_norm"), "year", empty("journal").alias("journal"), F.lower(empty("journal")).alias("journal_norm"), "first_author", F.lower("first_author").alias("first_author_norm"), "author_count", empty("doi").alias("doi"), "source_file", "content_hash", F.date_format("added_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("added_at"), (F.unix_micros("added_at") / 1e6).alias("added_ts"))
-    points = chunks.join(payload, "doc_id").withColumn("point_id", point_id(F.col("doc_id"), F.col("chunk_index"))).withColumn("norm", norm(F.col("embedding")))
-    return {"documents": documents, "points": points, "doc_text": cleaned.select("doc_id", F.col("cleaned").alias("full_text")), "doc_sections": outline(annotated)}
+    points = keep(chunks.join(payload, "doc_id").withColumn("point_id", point_id(F.col("doc_id"), F.col("chunk_index"))).withColumn("norm", norm(F.col("embedding"))).withColumn("packed", packed(F.col("embedding"))), "points")
+    failed = annotated.where("error IS NOT NULL").select("doc_id", "error").unionByName(points.where("embedding IS NULL").select("doc_id", F.lit("embed: the model failed on a chunk").alias("error")).distinct())
+    tables = {"documents": documents, "points": points, "doc_text": cleaned.select("doc_id", F.col("cleaned").alias("full_text")), "doc_sections": outline(annotated.where("error IS NULL"))}
+    return {name: df.join(failed.select("doc_id"), "doc_id", "left_anti") for name, df in tables.items()}, failed

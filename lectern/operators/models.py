@@ -104,11 +104,29 @@ def complete_json(chat: Chat, prompt: str, schema: dict, retries: int = 3) -> di
     raise ValueError("the model gave no JSON object")
 
 
-def embed_column(text: Column, embedder: Embedder, batch: int = 64) -> Column:
-    """Vectors of a text column; the embedder is set up once per worker and batch stream."""
+def embed_column(text: Column, embedder: Embedder, batch: int = 64, isolate: bool = False) -> Column:
+    """Vectors of a text column; the embedder is set up once per worker and batch stream.
+
+    With ``isolate`` a batch that fails is asked text by text, and a text that
+    fails has a null vector.
+    """
+
+    def alone(text: str) -> list[float] | None:
+        try:
+            return in_batches(embedder.embed, [text], 1)[0]
+        except Exception:  # this text fails, others don't
+            return None
+
+    def vectors(texts: list[str]) -> list:
+        if not isolate:
+            return in_batches(embedder.embed, texts, batch)
+        try:
+            return in_batches(embedder.embed, texts, batch)
+        except Exception:
+            return [alone(t) for t in texts]
 
     def each(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
-            yield pd.Series(in_batches(embedder.embed, [t or "" for t in texts], batch), dtype=object)
+            yield pd.Series(vectors([t or "" for t in texts]), dtype=object)
 
     return F.pandas_udf(each, "array<float>")(text)

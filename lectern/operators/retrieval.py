@@ -15,6 +15,7 @@ from datetime import UTC, datetime
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -91,6 +92,85 @@ def nearest(points: DataFrame, query: list[float], k: int, id_col: str = "point_
     return points.select(id_col, score.alias("embed_score")).where("embed_score IS NOT NULL").orderBy(F.desc("embed_score"), id_col).limit(k)
 
 
+def nearest_packed(points: DataFrame, query: list[float], k: int, id_col: str = "point_id", packed_col: str = "packed") -> DataFrame:
+    """(id, embed_score): like ``nearest`` on unit vectors packed as bytes (``vectors.packed``).
+
+    A batch of packed vectors is one matrix without copies; a task multiplies it
+    in single precision, and scores again in double precision those that come
+    near its k best.  k rows a task go on to the merge.
+    """
+    q = np.asarray(query, np.float64)
+    size = float(np.sqrt(q @ q))
+    unit = q / size if size else q
+    id_arrow = to_arrow_type(points.schema[id_col].dataType)
+    id_type = points.schema[id_col].dataType.simpleString()
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        narrow, held = unit.astype(np.float32), None
+        for batch in batches:
+            batch = batch.filter(pc.equal(pc.binary_length(batch.column(1)), 4 * len(unit)))
+            if not len(batch) or not size:
+                continue
+            column = batch.column(1)
+            offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset :]
+            x = np.frombuffer(column.buffers()[2], "<f4", len(batch) * len(unit), int(offsets[0])).reshape(len(batch), -1)
+            near = x @ narrow
+            if len(near) > 4 * k:
+                some = np.flatnonzero(near >= np.partition(near, -k)[-k] - 1e-5)
+            else:
+                some = np.arange(len(near))
+            ids, scores = batch.column(0).take(pa.array(some)).to_numpy(zero_copy_only=False), x[some].astype(np.float64) @ unit
+            if held is not None:
+                ids, scores = np.concatenate([held[0], ids]), np.concatenate([held[1], scores])
+            top = _top(scores, ids, k)
+            held = ids[top], scores[top]
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(held[0], id_arrow), pa.array(held[1])], names=["id", "embed_score"])
+
+    found = points.select(F.col(id_col).alias("id"), F.col(packed_col).alias("v")).mapInArrow(each, f"id {id_type}, embed_score double")
+    return found.orderBy(F.desc("embed_score"), "id").limit(k).withColumnRenamed("id", id_col)
+
+
+#: Cells that a search over cells looks into, unless said otherwise.
+PROBES = 8
+
+
+def centroids(points: DataFrame, n: int, vector_col: str = "embedding", sample: int = 20_000, rounds: int = 8, seed: int = 5) -> np.ndarray:
+    """n unit centres by spherical k-means on a bounded sample: the ``sample`` points of the least hashes."""
+    rows = points.where(F.col(vector_col).isNotNull()).select(vector_col).orderBy(F.xxhash64(vector_col)).limit(sample).toArrow()
+    x = np.array(rows.column(0).to_pylist(), np.float64)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    rng = np.random.default_rng(seed)
+    c = x[rng.choice(len(x), min(n, len(x)), replace=False)]
+    for _ in range(rounds):
+        of = (x @ c.T).argmax(axis=1)
+        sums = np.zeros_like(c)
+        np.add.at(sums, of, x)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        c = np.where(size > 0, sums / np.maximum(size, 1e-300), c)
+    return c
+
+
+def cell_of(vectors: Column, centres: np.ndarray) -> Column:
+    """The number of each vector's nearest centre; -1 for zero vectors and null."""
+
+    def each(parts: pd.Series) -> pd.Series:
+        found = [-1 if v is None or not np.any(v) else int((centres @ np.asarray(v, np.float64)).argmax()) for v in parts]
+        return pd.Series(found, dtype="int32")
+
+    return F.pandas_udf(each, "int")(vectors)
+
+
+def nearest_in_cells(points: DataFrame, centres: np.ndarray, query: list[float], k: int, probes: int = PROBES, cell_col: str = "cell", **of) -> DataFrame:
+    """``nearest`` over the cells of the ``probes`` centres nearest to the query.
+
+    Where points are stored by cell (partitionBy), only those cells are read.
+    With all cells it is exact; with fewer, recall is to be measured.
+    """
+    near = np.argsort(-(centres @ np.asarray(query, np.float64)), kind="stable")[:probes]
+    return nearest(points.where(F.col(cell_col).isin([int(i) for i in near])), query, k, **of)
+
+
 def nearest_batch(points: DataFrame, queries: np.ndarray, k: int, id_col: str = "point_id", vector_col: str = "embedding") -> DataFrame:
     """(query, id, embed_score, rank): the k nearest points of each row of ``queries``.
 
@@ -194,14 +274,18 @@ class Searcher:
         marks = [self.clock()]
         vector = self.embed_query(query)
         marks.append(self.clock())
-        pool = nearest(self.points.where(compile_filter(metadata_filter)), vector, pool_size(top_k), norm_col="norm" if "norm" in self.points.columns else None).collect()
+        kept = self.points.where(compile_filter(metadata_filter))
+        if "packed" in self.points.columns:
+            pool = nearest_packed(kept, vector, pool_size(top_k)).collect()
+        else:
+            pool = nearest(kept, vector, pool_size(top_k), norm_col="norm" if "norm" in self.points.columns else None).collect()
         millis = lambda a, b: round((b - a) * 1000, 3)
         marks.append(self.clock())
         timings = {"embed_ms": millis(*marks[:2]), "search_ms": millis(*marks[1:3]), "rerank_ms": 0.0}
         if not pool:
             return Outcome([], timings)
         # the payload of at most 200 candidates
-        wanted = self.points.where(F.col("point_id").isin([r.point_id for r in pool])).drop("embedding", "norm").collect()
+        wanted = self.points.where(F.col("point_id").isin([r.point_id for r in pool])).drop("embedding", "norm", "packed").collect()
         payload = {r.point_id: r.asDict() for r in wanted}
         rows = [{"content": (p := payload.get(r.point_id, {})).get("content") or "", "metadata": p, "embed_score": r.embed_score, "rerank_score": None} for r in pool]
         warning = None

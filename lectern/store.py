@@ -1,18 +1,24 @@
 """Versioned Parquet tables of knowledge bases.
 
-A write makes a new version of a table and then one manifest that names the
-version of every table: readers see all of a run's changes or none.  A version
-is built from the last one by key, so writing again gives the same rows.
-Manifests go through Hadoop's file system, so a root can be on any store.
+A table is a row of sets of rows, each written once, and of sets of removed
+keys, each of which takes away rows of the sets before it: adding or removing a
+document writes that document's rows or key and nothing else.  What sets there
+are stands in numbered manifests, written once and never changed; the highest
+number counts, so readers see all of a run's changes or none, and a run that
+breaks off anywhere leaves the manifest before it.  Many small sets are written
+together now and then.  Files go through Hadoop's file system, so a root can be
+on any store.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
-from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lectern.errors import KbExists, KbNotFound
 from lectern.schemas import TABLES
@@ -41,8 +47,8 @@ class Files:
             stream.close()
 
     def write(self, path: str, text: str) -> None:
-        """In one step: a file of its own, then a rename over the old one."""
-        own = f"{path}.{uuid.uuid4().hex}"
+        """Whole or not at all: a file of its own, then a rename to a name that must be free."""
+        own = f"{path}.{uuid.uuid4().hex}.part"
         fs, p = self._at(own)
         stream = fs.create(p)
         try:
@@ -50,79 +56,138 @@ class Files:
         finally:
             stream.close()
         _, target = self._at(path)
-        if fs.exists(target):
-            fs.delete(target, False)
-        if not fs.rename(p, target):
-            raise OSError(f"can't write {path}")
+        if fs.exists(target) or not fs.rename(p, target):
+            fs.delete(p, False)
+            raise FileExistsError(f"{path} is there already")
 
     def delete(self, path: str) -> None:
         fs, p = self._at(path)
         fs.delete(p, True)
 
-    def folders(self, path: str) -> list[str]:
+    def _listed(self, path: str, folders: bool) -> list[str]:
         fs, p = self._at(path)
-        return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()) if fs.exists(p) else []
+        return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory() == folders) if fs.exists(p) else []
+
+    def folders(self, path: str) -> list[str]:
+        return self._listed(path, True)
+
+    def files(self, path: str) -> list[str]:
+        return self._listed(path, False)
+
+
+def _names(schema: str) -> list[str]:
+    return [c.strip().split()[0] for c in schema.split(", ")]
 
 
 class Store:
     """Tables of all knowledge bases under a root."""
 
+    #: Sets of a table from which on the next write makes one of them.
+    MOST_SETS = 16
+    #: Manifests that stay for readers that have an older state open.
+    KEPT_MANIFESTS = 3
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark)
 
     def _kb(self, kb: str) -> str:
         return f"{self.root}/kbs/{kb}"
 
+    def _manifests(self, kb: str) -> list[str]:
+        return [n for n in self.files.files(f"{self._kb(kb)}/manifests") if n.endswith(".json")]
+
     def names(self) -> list[str]:
         return self.files.folders(f"{self.root}/kbs")
 
     def exists(self, kb: str) -> bool:
-        return self.files.exists(f"{self._kb(kb)}/manifest.json")
+        return bool(self._manifests(kb))
 
     def manifest(self, kb: str) -> dict:
-        if not self.exists(kb):
+        held = self._manifests(kb)
+        if not held:
             raise KbNotFound(f"kb not found: {kb}")
-        return json.loads(self.files.read(f"{self._kb(kb)}/manifest.json"))
+        return json.loads(self.files.read(f"{self._kb(kb)}/manifests/{held[-1]}"))
 
-    def create(self, kb: str, meta: dict) -> None:
-        if self.exists(kb):
-            raise KbExists(f"kb already exists: {kb}")
-        self.files.write(f"{self._kb(kb)}/manifest.json", json.dumps({"meta": meta, "tables": {}}))
+    def _write_manifest(self, kb: str, manifest: dict) -> None:
+        self.files.write(f"{self._kb(kb)}/manifests/{manifest['number']:012}.json", json.dumps(manifest))
 
-    def drop(self, kb: str) -> None:
+    def create(self, kb: str, meta: dict) -> None:
+        """The first manifest's name must be free, so of two callers one creates it."""
+        try:
+            if self.exists(kb):
+                raise FileExistsError
+            self._write_manifest(kb, {"number": 0, "meta": meta, "tables": {}})
+        except FileExistsError:
+            raise KbExists(f"kb already exists: {kb}") from None
+
+    def drop(self, kb: str, tries: int = 8) -> None:
+        """Without manifests a base is gone for readers; what can't be deleted at once is tried again."""
         self.manifest(kb)
-        self.files.delete(self._kb(kb))
-
-    def read(self, kb: str, table: str) -> DataFrame:
-        schema, _ = TABLES[table]
-        version = self.manifest(kb)["tables"].get(table)
-        return self.spark.createDataFrame([], schema) if version is None else self.spark.read.schema(schema).parquet(f"{self._kb(kb)}/{table}/{version}")
-
-    def publish(self, kb: str, changed: dict[str, DataFrame]) -> None:
-        """Writes new versions of tables, then the manifest.
-
-        The version before stays for readers that have it open; the one before that goes.
+        self.files.delete(f"{self._kb(kb)}/manifests")
+        for attempt in range(tries):
+            try:
+                self.files.delete(self._kb(kb))
+                return
+            except Exception:
+                if attempt + 1 == tries:
+                    raise
+                time.sleep(0.25 * (attempt + 1))
+
+    def _path(self, kb: str, table: str, version: str) -> str:
+        return f"{self._kb(kb)}/{table}/{version}"
+
+    def read(self, kb: str, table: str, manifest: dict | None = None) -> DataFrame:
+        """The rows of a table; with a manifest, as that one has them."""
+        schema, key = TABLES[table]
+        held = (manifest or self.manifest(kb))["tables"].get(table, {"rows": [], "gone": []})
+        if not held["rows"]:
+            return self.spark.createDataFrame([], schema)
+        if not held["gone"]:
+            return self.spark.read.schema(schema).parquet(*(self._path(kb, table, v) for _, v in held["rows"]))
+        sets = [self.spark.read.schema(schema).parquet(self._path(kb, table, v)).withColumn("_number", F.lit(n)) for n, v in held["rows"]]
+        kind = next(c.split(None, 1)[1] for c in schema.split(", ") if c.split()[0] == key)
+        gone = [self.spark.read.schema(f"{key} {kind}").parquet(self._path(kb, table, v)).select(F.col(key).alias("_key"), F.lit(n).alias("_from")) for n, v in held["gone"]]
+        rows, gone = reduce(DataFrame.unionAll, sets), reduce(DataFrame.unionAll, gone).groupBy("_key").agg(F.max("_from").alias("_from"))
+        return rows.join(gone, (F.col(key) == F.col("_key")) & (F.col("_number") < F.col("_from")), "left_anti").drop("_number")
+
+    def publish(self, kb: str, added: dict[str, DataFrame] | None = None, removed: dict[str, DataFrame] | None = None) -> None:
+        """Writes new rows and removed keys of tables, then the manifest that names them.
+
+        Rows of ``added`` take the place of those with the same key; ``removed`` are
+        frames with the key column.  Sets that no kept manifest names go afterwards.
         """
         manifest = self.manifest(kb)
-        stale, before = dict(manifest.get("before", {})), dict(manifest["tables"])
-        for table, df in changed.items():
-            schema, _ = TABLES[table]
-            version = uuid.uuid4().hex
-            names = [c.strip().split()[0] for c in schema.split(", ")]
-            df.select(*names).write.mode("errorifexists").parquet(f"{self._kb(kb)}/{table}/{version}")
-            manifest["tables"][table] = version
-        manifest["before"] = {t: v for t, v in before.items() if t in changed} | {t: v for t, v in stale.items() if t not in changed}
-        self.files.write(f"{self._kb(kb)}/manifest.json", json.dumps(manifest))
-        for table in changed:
-            if table in stale:
-                self.files.delete(f"{self._kb(kb)}/{table}/{stale[table]}")
-
-    def upserted(self, kb: str, table: str, new: DataFrame) -> DataFrame:
-        """The table with rows of ``new`` in place of those of the same key."""
-        _, key = TABLES[table]
-        return self.read(kb, table).join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
-
-    def without(self, kb: str, table: str, doc_ids: Iterable[str]) -> DataFrame:
-        from pyspark.sql import functions as F
-
-        return self.read(kb, table).where(~F.col("doc_id").isin(list(doc_ids)))
+        before = json.loads(json.dumps(manifest))
+        manifest["number"] += 1
+        number, added, removed = manifest["number"], added or {}, removed or {}
+        for table in {**added, **removed}:
+            schema, key = TABLES[table]
+            held = manifest["tables"].setdefault(table, {"rows": [], "gone": []})
+            old = [df.select(key) for df in (removed.get(table), added.get(table)) if df is not None]
+            replaced = reduce(DataFrame.unionAll, old).join(self.read(kb, table, before).select(key), key, "left_semi").distinct()
+            for kind, df in (("gone", replaced if held["rows"] else None), ("rows", added.get(table))):
+                if df is not None:
+                    version = uuid.uuid4().hex
+                    df.select(*(_names(schema) if kind == "rows" else [key])).write.mode("errorifexists").parquet(self._path(kb, table, version))
+                    if kind == "rows" or not self.spark.read.schema(df.select(key).schema).parquet(self._path(kb, table, version)).isEmpty():
+                        held[kind].append([number, version])
+                    else:
+                        self.files.delete(self._path(kb, table, version))
+            if len(held["rows"]) + len(held["gone"]) > self.MOST_SETS:
+                version = uuid.uuid4().hex
+                self.read(kb, table, manifest).write.mode("errorifexists").parquet(self._path(kb, table, version))
+                manifest["tables"][table] = {"rows": [[number, version]], "gone": []}
+        self._write_manifest(kb, manifest)
+        self._clean(kb)
+
+    def _clean(self, kb: str) -> None:
+        """Drops old manifests, and sets that none of the kept ones names."""
+        old = self._manifests(kb)
+        for name in old[: -self.KEPT_MANIFESTS]:
+            self.files.delete(f"{self._kb(kb)}/manifests/{name}")
+        kept = [json.loads(self.files.read(f"{self._kb(kb)}/manifests/{n}"))["tables"] for n in old[-self.KEPT_MANIFESTS :]]
+        for table in TABLES:
+            named = {v for tables in kept for sets in tables.get(table, {}).values() for _, v in sets}
+            for version in self.files.folders(f"{self._kb(kb)}/{table}"):
+                if version not in named:
+                    self.files.delete(self._path(kb, table, version))
