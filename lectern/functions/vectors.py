@@ -26,15 +26,25 @@ def unit(a: Column) -> Column:
     return F.transform(a, lambda x: F.try_divide(x.cast("double"), n).cast("float"))
 
 
+def as_packed(v: object) -> bytes | None:
+    """The unit vector, four little-endian bytes a number; None for null and zero vectors."""
+    x = np.zeros(0) if v is None else np.asarray(v, np.float64)
+    n = np.sqrt(x @ x)
+    return (x / n).astype("<f4").tobytes() if n > 0 else None
+
+
+def as_coarse(packed: bytes | None) -> bytes | None:
+    """A packed vector in whole steps, a byte a number, and the step behind them."""
+    if packed is None:
+        return None
+    x = np.frombuffer(packed, "<f4")
+    step = np.float32(np.abs(x).max() / 127)
+    return np.rint(x / step).astype(np.int8).tobytes() + step.astype("<f4").tobytes()
+
+
 def packed(a: Column) -> Column:
-    """The unit vector as four little-endian bytes a number, as ``retrieval.nearest_packed`` reads it; null for zero vectors."""
+    return F.pandas_udf(lambda vectors: pd.Series([as_packed(v) for v in vectors], dtype=object), "binary")(a)
 
-    def each(vectors: pd.Series) -> pd.Series:
-        out = []
-        for v in vectors:
-            x = np.zeros(0) if v is None else np.asarray(v, np.float64)
-            n = np.sqrt(x @ x)
-            out.append((x / n).astype("<f4").tobytes() if n > 0 else None)
-        return pd.Series(out, dtype=object)
 
-    return F.pandas_udf(each, "binary")(a)
+def coarse(packed: Column) -> Column:
+    return F.pandas_udf(lambda vectors: pd.Series([as_coarse(v) for v in vectors], dtype=object), "binary")(packed)

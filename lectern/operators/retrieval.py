@@ -8,6 +8,7 @@ scored by batches in numpy against a matrix of checked size.
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -32,6 +33,16 @@ EXACT, FOLDED = frozenset(["doc_id", "section", "doi"]), frozenset(["journal", "
 MOST_QUERY_VALUES, MOST_SCORES = 4_000_000, 8_000_000
 
 
+def one_of(name: str, values: list) -> Column:
+    """Whether a column has one of the values; a long list goes to the JVM as one text, not value by value."""
+    if len(values) < 8 or not all(isinstance(v, str) or _is_int(v) for v in values):
+        return F.col(name).isin(values)
+    # $ begins a variable in such texts
+    escaped = str.maketrans({"\\": "\\\\", "'": "\\'", "$": "\\u0024"})
+    said = (f"'{v.translate(escaped)}'" if isinstance(v, str) else str(v) for v in values)
+    return F.expr(f"`{name}` IN ({', '.join(said)})")
+
+
 def _is_int(v: object) -> bool:
     return isinstance(v, int) and not isinstance(v, bool)
 
@@ -67,9 +78,9 @@ def compile_filter(asked: dict | None) -> Column:
     parts = []
     for name, value in (asked or {}).items():
         if name in EXACT:
-            parts.append(F.col(name).isin(_names(name, value)))
+            parts.append(one_of(name, _names(name, value)))
         elif name in FOLDED:
-            parts.append(F.col(f"{name}_norm").isin([v.lower() for v in _names(name, value)]))
+            parts.append(one_of(f"{name}_norm", [v.lower() for v in _names(name, value)]))
         elif name == "year":
             parts.append(_year(value))
         elif name == "added_after":
@@ -92,42 +103,72 @@ def nearest(points: DataFrame, query: list[float], k: int, id_col: str = "point_
     return points.select(id_col, score.alias("embed_score")).where("embed_score IS NOT NULL").orderBy(F.desc("embed_score"), id_col).limit(k)
 
 
-def nearest_packed(points: DataFrame, query: list[float], k: int, id_col: str = "point_id", packed_col: str = "packed") -> DataFrame:
-    """(id, embed_score): like ``nearest`` on unit vectors packed as bytes (``vectors.packed``).
+def coarse_candidates(points: DataFrame, query: list[float], k: int, id_col: str = "point_id", coarse_col: str = "coarse") -> list:
+    """Ids of all points that may be among the k nearest, by coarse vectors (``vectors.coarse``).
 
-    A batch of packed vectors is one matrix without copies; a task multiplies it
-    in single precision, and scores again in double precision those that come
-    near its k best.  k rows a task go on to the merge.
+    A score by coarse vectors is off by the rounding of its numbers, whose
+    standard deviation is step * |query| / sqrt(12).  A task keeps what lies
+    within six of both sides of its k-th score; so does the merge.
     """
     q = np.asarray(query, np.float64)
     size = float(np.sqrt(q @ q))
-    unit = q / size if size else q
+    if not size:
+        return []
+    unit = (q / size).astype(np.float32)
     id_arrow = to_arrow_type(points.schema[id_col].dataType)
-    id_type = points.schema[id_col].dataType.simpleString()
+
+    def kept(scores: np.ndarray, errors: np.ndarray) -> np.ndarray:
+        if len(scores) <= k:
+            return np.arange(len(scores))
+        return np.flatnonzero(scores + errors >= np.partition(scores - errors, -k)[-k])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        narrow, held = unit.astype(np.float32), None
+        held = []
         for batch in batches:
-            batch = batch.filter(pc.equal(pc.binary_length(batch.column(1)), 4 * len(unit)))
-            if not len(batch) or not size:
+            batch = batch.filter(pc.equal(pc.binary_length(batch.column(1)), len(unit) + 4))
+            if not len(batch):
                 continue
-            column = batch.column(1)
-            offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset :]
-            x = np.frombuffer(column.buffers()[2], "<f4", len(batch) * len(unit), int(offsets[0])).reshape(len(batch), -1)
-            near = x @ narrow
-            if len(near) > 4 * k:
-                some = np.flatnonzero(near >= np.partition(near, -k)[-k] - 1e-5)
-            else:
-                some = np.arange(len(near))
-            ids, scores = batch.column(0).take(pa.array(some)).to_numpy(zero_copy_only=False), x[some].astype(np.float64) @ unit
-            if held is not None:
-                ids, scores = np.concatenate([held[0], ids]), np.concatenate([held[1], scores])
-            top = _top(scores, ids, k)
-            held = ids[top], scores[top]
-        if held is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(held[0], id_arrow), pa.array(held[1])], names=["id", "embed_score"])
-
-    found = points.select(F.col(id_col).alias("id"), F.col(packed_col).alias("v")).mapInArrow(each, f"id {id_type}, embed_score double")
+            column, wide = batch.column(1), len(unit) + 4
+            first = int(np.frombuffer(column.buffers()[1], np.int32)[column.offset])
+            rows = np.frombuffer(column.buffers()[2], np.uint8, len(batch) * wide, first).reshape(len(batch), wide)
+            step = np.ascontiguousarray(rows[:, -4:]).view("<f4")[:, 0]
+            scores = (rows[:, :-4].view(np.int8).astype(np.float32) @ unit).astype(np.float64) * step
+            errors = 6 * step.astype(np.float64) / math.sqrt(12) + 1e-6
+            some = kept(scores, errors)
+            held.append((batch.column(0).take(pa.array(some)).to_numpy(zero_copy_only=False), scores[some], errors[some]))
+        if held:
+            ids, scores, errors = (np.concatenate(x) for x in zip(*held, strict=True))
+            some = kept(scores, errors)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some], id_arrow), pa.array(scores[some]), pa.array(errors[some])], names=["id", "score", "error"])
+
+    id_type = points.schema[id_col].dataType.simpleString()
+    found = points.select(F.col(id_col).alias("id"), F.col(coarse_col).alias("v")).mapInArrow(each, f"id {id_type}, score double, error double").toArrow()
+    some = kept(found.column("score").to_numpy(), found.column("error").to_numpy())
+    return found.column("id").take(pa.array(some)).to_pylist()
+
+
+def packed_scores(vectors: list[bytes], query: list[float]) -> np.ndarray:
+    """Cosines of packed vectors and a query."""
+    q = np.asarray(query, np.float64)
+    x = np.frombuffer(b"".join(vectors), "<f4").reshape(len(vectors), -1).astype(np.float64)
+    return x @ (q / np.sqrt(q @ q))
+
+
+def nearest_packed(points: DataFrame, query: list[float], k: int, id_col: str = "point_id", packed_col: str = "packed", coarse_col: str = "coarse") -> DataFrame:
+    """(id, embed_score): like ``nearest``, in two steps.
+
+    Coarse vectors, a quarter of the bytes, say which points come into question;
+    only these are scored by their packed vectors.
+    """
+    wanted = coarse_candidates(points, query, k, id_col, coarse_col)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed_scores(batch.column(1).to_pylist(), query))], names=["id", "embed_score"])
+
+    rows = points.where(one_of(id_col, wanted)).select(F.col(id_col).alias("id"), F.col(packed_col).alias("v"))
+    found = rows.mapInArrow(each, f"id {points.schema[id_col].dataType.simpleString()}, embed_score double")
     return found.orderBy(F.desc("embed_score"), "id").limit(k).withColumnRenamed("id", id_col)
 
 
@@ -274,20 +315,28 @@ class Searcher:
         marks = [self.clock()]
         vector = self.embed_query(query)
         marks.append(self.clock())
+        size = pool_size(top_k)
         kept = self.points.where(compile_filter(metadata_filter))
-        if "packed" in self.points.columns:
-            pool = nearest_packed(kept, vector, pool_size(top_k)).collect()
+        coarse = "coarse" in self.points.columns
+        if coarse:
+            wanted = coarse_candidates(kept, vector, size)
+        else:
+            exact = nearest(kept, vector, size, norm_col="norm" if "norm" in self.points.columns else None).collect()
+            wanted = [r.point_id for r in exact]
+        # the payload of the few that come into question
+        payload = {r.point_id: r.asDict() for r in self.points.where(one_of("point_id", wanted)).drop("embedding", "norm", "coarse").collect()} if wanted else {}
+        if coarse:
+            packed = [p.pop("packed") for p in payload.values()]
+            scored = zip(payload, packed_scores(packed, vector).tolist() if packed else (), strict=True)
+            pool = sorted(scored, key=lambda x: (-x[1], x[0]))[:size]
         else:
-            pool = nearest(kept, vector, pool_size(top_k), norm_col="norm" if "norm" in self.points.columns else None).collect()
+            pool = [(r.point_id, r.embed_score) for r in exact]
         millis = lambda a, b: round((b - a) * 1000, 3)
         marks.append(self.clock())
         timings = {"embed_ms": millis(*marks[:2]), "search_ms": millis(*marks[1:3]), "rerank_ms": 0.0}
         if not pool:
             return Outcome([], timings)
-        # the payload of at most 200 candidates
-        wanted = self.points.where(F.col("point_id").isin([r.point_id for r in pool])).drop("embedding", "norm", "packed").collect()
-        payload = {r.point_id: r.asDict() for r in wanted}
-        rows = [{"content": (p := payload.get(r.point_id, {})).get("content") or "", "metadata": p, "embed_score": r.embed_score, "rerank_score": None} for r in pool]
+        rows = [{"content": (p := payload.get(i, {})).get("content") or "", "metadata": p, "embed_score": score, "rerank_score": None} for i, score in pool]
         warning = None
         start = self.clock()
         try:

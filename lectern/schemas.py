@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 DOCUMENTS = "doc_id string, title string, abstract string, year int, journal string, doi string, first_author string, author_count int, authors array<string>, keywords array<string>, source_path string, content_hash string, added_at timestamp, parse_status string"
-POINTS = "point_id string, doc_id string, chunk_index int, content string, section string, heading_path string, embedding array<float>, norm double, packed binary, title string, title_norm string, year int, journal string, journal_norm string, first_author string, first_author_norm string, author_count int, doi string, source_file string, content_hash string, added_at string, added_ts double"
+POINTS = "point_id string, doc_id string, chunk_index int, content string, section string, heading_path string, embedding array<float>, norm double, packed binary, coarse binary, title string, title_norm string, year int, journal string, journal_norm string, first_author string, first_author_norm string, author_count int, doi string, source_file string, content_hash string, added_at string, added_ts double"
 DOC_TEXT = "doc_id string, full_text string"
 DOC_SECTIONS = "doc_id string, ord int, section string, char_count long, text string"
 PARSE_CACHE = "content_hash string, markdown string"

@@ -265,7 +265,7 @@ def points_in_clusters(spark, n=3000, dim=16, clusters=30, seed=4):
 
 def test_packed_search_equals_the_exact_one(spark):
     v, df = points_in_clusters(spark)
-    rows = df.withColumn("packed", vectors.packed(F.col("embedding"))).persist()
+    rows = df.withColumn("packed", vectors.packed(F.col("embedding"))).withColumn("coarse", vectors.coarse(F.col("packed"))).persist()
     for q in (v[0], v[77], np.zeros(16)):
         got = [(r.point_id, round(r.embed_score, 6)) for r in retrieval.nearest_packed(rows, q.tolist(), 20).collect()]
         want = [(r.point_id, round(r.embed_score, 6)) for r in retrieval.nearest(rows, q.tolist(), 20).collect()]
@@ -319,3 +319,10 @@ def test_histograms_of_roles_and_sections(spark):
     df = spark.createDataFrame([(1, [(0, "a", "X", 0.9), (1, "b", "X", 0.6), (2, "a", "Y", 0.1)]), (2, [])], f"doc_id int, blocks {blocks}")
     got = {r.doc_id: (r.roles, r.sections, r.doubtful) for r in A.histograms(df).collect()}
     assert got == {1: ({"a": 2, "b": 1}, {"X": 2, "Y": 1}, [1, 2]), 2: ({}, {}, [])}
+
+
+def test_long_lists_of_values_mean_what_short_ones_do(spark):
+    odd = ["a'b", 'a"b', "a\\", "\\'", "%", "x\ny", "é", "`", "$", "${x}"]
+    df = spark.createDataFrame([(v,) for v in [*odd, "other", None]], "doc_id string")
+    assert sorted(r.doc_id for r in df.where(retrieval.one_of("doc_id", odd)).collect()) == sorted(odd)
+    assert spark.range(20).where(retrieval.one_of("id", list(range(5, 15)))).count() == 10
