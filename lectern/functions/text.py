@@ -77,6 +77,13 @@ def split_blocks(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, "\n{2,}"), lambda b: strip(b)), lambda b: b != "")
 
 
+def placed_blocks(c: Column) -> Column:
+    """The blocks as (idx, block, ratio): how far down the text each stands, from 0 to 1."""
+    blocks = split_blocks(c)
+    last = F.greatest(F.size(blocks) - 1, F.lit(1))
+    return F.transform(blocks, lambda b, i: F.struct(i.alias("idx"), b.alias("block"), (i / last).alias("ratio")))
+
+
 def heading_level(block: Column) -> Column:
     return F.length(F.regexp_extract(block, r"(?dU)^(#{1,6})\s+(.+)", 1))
 
@@ -130,9 +137,12 @@ def keyword_list(raw: Column) -> Column:
     text = collapse(raw)
     parts = F.when(F.rlike(F.coalesce(raw, F.lit("")), F.lit("[\n;,]")), F.split(F.coalesce(raw, F.lit("")), "[\n;,|]+")).otherwise(F.array(text))
     bare = F.transform(parts, lambda p: F.btrim(F.regexp_replace(collapse(p), r"(?U)^(?:[-*•]|\d+[.)])\s*", ""), F.lit(" .,:;/-_")))
-    good = F.filter(bare, lambda p: (p != "") & (F.length(p) <= 80) & ~F.lower(p).isin(*GENERIC_KEYWORDS) & (_key(p) != ""))
-    first = F.filter(good, lambda p, i: F.array_position(F.transform(good, lambda q: _key(q)), _key(p)) == i + 1)
-    return F.slice(first, 1, 10)
+    good = F.filter(bare, lambda p: (p != "") & (F.length(p) <= 80) & ~F.lower(p).isin(*GENERIC_KEYWORDS))
+    keyed = F.filter(F.transform(good, lambda p: F.struct(_key(p).alias("key"), p.alias("text"))), lambda x: x["key"] != "")
+    none = F.array().cast("array<struct<key:string,text:string>>")
+    # one pass, in which no more than ten are held
+    held = F.aggregate(keyed, none, lambda held, x: F.when((F.size(held) < 10) & ~F.exists(held, lambda h: h["key"] == x["key"]), F.concat(held, F.array(x))).otherwise(held))
+    return F.transform(held, lambda x: x["text"])
 
 
 # Words that are no keywords.

@@ -75,3 +75,10 @@ def nested(documents: DataFrame, authors: DataFrame, keywords: DataFrame, key: s
     empty = F.array().cast("array<string>")
     out = documents.join(a, key, "left").join(k, key, "left")
     return out.withColumn("authors", F.coalesce("authors", empty)).withColumn("keywords", F.coalesce("keywords", empty))
+
+
+def counts(documents: DataFrame, points: DataFrame, by: str | None = None, key: str = "doc_id") -> DataFrame:
+    """(by, doc_count, chunk_count): documents and their points, in all or for each value of a column of documents."""
+    docs = documents.select(key, *([by] if by else []))
+    chunks = points.groupBy(key).agg(F.count("*").alias("n"))
+    return docs.join(chunks, key, "left").groupBy(*([by] if by else [])).agg(F.count("*").alias("doc_count"), F.coalesce(F.sum("n"), F.lit(0)).alias("chunk_count"))

@@ -7,21 +7,25 @@ a conversation a document whose turns are blocks, and so on).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions import ids, vectors
 from lectern.functions import text as X
 from lectern.operators import catalog, retrieval
-from lectern.operators.annotate import annotate, block_rows, outline
+from lectern.operators.annotate import annotate, block_rows, histograms, outline
 from lectern.operators.chunk import ChunkConfig, chunk
 from lectern.operators.ingest import point_id
-from lectern.operators.metadata import find_doi, rebuild_abstracts, title_likeness
+from lectern.operators.metadata import cascade, doi_of, enrich_abstracts, likeness, rebuild_abstracts
 from lectern.operators.models import HashingEmbedder, OverlapReranker, embed_column
-from lectern.session import spread
+from lectern.session import shared_folder, spread
+from lectern.sources import files
+from lectern.store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -79,10 +83,12 @@ def q04_search_like(spark, sf_dir):
 
 @query("SELECT CAST(count(*) AS BIGINT) AS total FROM part p WHERE p_size >= 10 AND EXISTS (SELECT 1 FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey WHERE l.l_partkey = p.p_partkey AND contains(lower(s.s_name), '7'))")
 def q05_search_exists_author(spark, sf_dir):
-    names = table(spark, sf_dir, "supplier").where(X.contains_ci(F.col("s_name"), "7")).select("s_suppkey")
-    authored = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").join(names, F.col("l_suppkey") == F.col("s_suppkey"), "left_semi")
-    docs = parts_as_documents(spark, sf_dir).where(catalog.search_filter(year_from=10))
-    return docs.join(authored, F.col("doc_id") == F.col("l_partkey"), "left_semi").agg(F.count("*").alias("total"))
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    authors = lines.select(F.col("l_partkey").alias("doc_id"), F.col("l_orderkey").alias("position"), F.col("s_name").alias("name"))
+    docs = parts_as_documents(spark, sf_dir)
+    keywords = docs.select("doc_id", F.explode("keywords").alias("keyword"))
+    _, total = catalog.search_documents(catalog.nested(docs.drop("keywords"), authors, keywords), authors="7", year_from=10)
+    return total
 
 
 @query("SELECT doc_id, source FROM documents WHERE (contains(lower(text), 'the') OR contains(lower(source), 'the')) AND (contains(lower(text), 'src1') OR contains(lower(source), 'src1'))")
@@ -175,8 +181,8 @@ _LINES = r"(SELECT doc_id, unnest(b) AS block, generate_subscripts(b, 1) - 1 AS
 
 @query(f"SELECT doc_id, CAST(idx AS INTEGER) AS idx, block, idx / greatest(n - 1, 1)::DOUBLE AS ratio FROM {_LINES}")
 def q16_blocks(spark, sf_dir):
-    last = F.greatest(F.count("*").over(W.partitionBy("doc_id")) - 1, F.lit(1))
-    return line_blocks(spark, sf_dir).withColumn("ratio", F.col("idx") / last)
+    spread = F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.inline(X.placed_blocks(spread)))
 
 
 @query(rf"""SELECT doc_id, CAST(idx AS INTEGER) AS idx,
@@ -196,25 +202,33 @@ def q18_anchor(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(before).alias("anchor"))
 
 
-@query("SELECT conv_id, role AS section, CAST(min(turn) AS BIGINT) AS first_turn, CAST(sum(CASE WHEN turn % 3 = 0 THEN 0 ELSE length(text) END) AS BIGINT) AS char_count FROM conversations GROUP BY conv_id, role")
+def conversations_as_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as annotated documents: a turn is a block, its role the section, every third a heading, every fifth not kept."""
+    turn, text = F.col("turn"), F.coalesce("text", F.lit(""))
+    block = F.struct(turn, turn.cast("int").alias("idx"), (turn % 5 != 4).alias("kept"), (turn % 3 == 0).alias("is_heading"), F.lit(1).alias("heading_level"), F.col("role").alias("role"), F.col("role").alias("section"), text.alias("text"), (turn / 10).alias("confidence"))
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(block)).alias("blocks"))
+
+
+_KEPT = "kept AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, turn % 3 = 0 AS heading FROM conversations WHERE turn % 5 <> 4)"
+_OUTLINE = f"WITH {_KEPT} SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY min(turn)) - 1 AS INTEGER) AS ord, role AS section, CAST(sum(CASE WHEN heading THEN 0 ELSE length(text) END) AS BIGINT) AS char_count, coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE NOT heading), '') AS text FROM kept GROUP BY conv_id, role"
+
+
+@query(f"SELECT conv_id, ord, section, char_count FROM ({_OUTLINE})")
 def q19_outline(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    return c.groupBy("conv_id", F.col("role").alias("section")).agg(F.min("turn").cast("long").alias("first_turn"), F.sum(F.when(F.col("turn") % 3 == 0, 0).otherwise(F.length("text"))).cast("long").alias("char_count"))
+    return outline(conversations_as_documents(spark, sf_dir), "conv_id").drop("text")
 
 
-@query("SELECT conv_id, role AS section, string_agg(text, '' ORDER BY turn) AS content FROM conversations GROUP BY conv_id, role")
+@query(f"SELECT conv_id, section, text AS content FROM ({_OUTLINE})")
 def q20_section_text(spark, sf_dir):
-    texts = F.array_sort(F.collect_list(F.struct("turn", "text")))
-    return table(spark, sf_dir, "conversations").groupBy("conv_id", F.col("role").alias("section")).agg(F.array_join(F.transform(texts, lambda x: x["text"]), "").alias("content"))
+    return outline(conversations_as_documents(spark, sf_dir), "conv_id").select("conv_id", "section", F.col("text").alias("content"))
 
 
-@query("SELECT user_id, CAST(island AS BIGINT) AS island, any_value(event_type) AS event_type, CAST(count(*) AS BIGINT) AS n, CAST(row_number() OVER (PARTITION BY user_id ORDER BY island) - 1 AS BIGINT) AS chunk_index FROM (SELECT user_id, event_type, sum(starts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM (SELECT *, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) THEN 1 ELSE 0 END AS starts FROM events)) GROUP BY user_id, island")
+@query(f"""WITH {_KEPT}, pathed AS (SELECT *, coalesce(last_value(CASE WHEN heading THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn), '') AS path FROM kept),
+body AS (SELECT *, lag(role) OVER w IS DISTINCT FROM role OR lag(path) OVER w IS DISTINCT FROM path AS starts FROM pathed WHERE NOT heading WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+numbered AS (SELECT *, sum(CAST(starts AS INTEGER)) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM body)
+SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY island) - 1 AS INTEGER) AS chunk_index, string_agg(trim(text, E' \\t\\n\\r'), E'\\n\\n' ORDER BY turn) AS content, any_value(role) AS section, any_value(path) AS heading_path FROM numbered WHERE trim(text, E' \\t\\n\\r') <> '' GROUP BY conv_id, island""")
 def q21_islands(spark, sf_dir):
-    by = W.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
-    e = e.withColumn("starts", F.when(F.col("event_type").eqNullSafe(F.lag("event_type").over(by)) & F.lag("event_id").over(by).isNotNull(), 0).otherwise(1))
-    groups = e.withColumn("island", F.sum("starts").over(by)).groupBy("user_id", "island").agg(F.first("event_type").alias("event_type"), F.count("*").alias("n"))
-    return groups.withColumn("chunk_index", (F.row_number().over(W.partitionBy("user_id").orderBy("island")) - 1).cast("long"))
+    return chunk(conversations_as_documents(spark, sf_dir), ChunkConfig(1, 1_000_000, 0), "conv_id")
 
 
 def annotated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,8 +236,22 @@ def annotated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotate(spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n")).alias("text")))
 
 
-@query()
+@query(r"""WITH RECURSIVE p AS (SELECT doc_id, trim(text, E' \t\n\r\x0b\x0c') AS t FROM documents),
+w AS (SELECT doc_id, t, 0 AS turn, 0 AS start, CASE WHEN length(t) <= 800 THEN length(t) ELSE 800 - least(coalesce(nullif(least(sp1, sp2, sp3, sp4, sp5, sp6), 9999), 9999), 9999) + 1 END AS stop0, least(sp1, sp2, sp3, sp4, sp5, sp6) AS sp
+  FROM (SELECT doc_id, t, coalesce(nullif(strpos(r, ' .'), 0), 9999) AS sp1, coalesce(nullif(strpos(r, ' ?'), 0), 9999) AS sp2, coalesce(nullif(strpos(r, ' !'), 0), 9999) AS sp3, coalesce(nullif(strpos(r, chr(10) || '.'), 0), 9999) AS sp4, coalesce(nullif(strpos(r, chr(10) || '?'), 0), 9999) AS sp5, coalesce(nullif(strpos(r, chr(10) || '!'), 0), 9999) AS sp6
+    FROM (SELECT doc_id, t, reverse(substr(t, 1, 800)) AS r FROM p)) WHERE t <> ''
+  UNION ALL
+  SELECT doc_id, t, turn + 1, start, 0, least(sp1, sp2, sp3, sp4, sp5, sp6) FROM (SELECT doc_id, t, turn, start, coalesce(nullif(strpos(r, ' .'), 0), 9999) AS sp1, coalesce(nullif(strpos(r, ' ?'), 0), 9999) AS sp2, coalesce(nullif(strpos(r, ' !'), 0), 9999) AS sp3, coalesce(nullif(strpos(r, chr(10) || '.'), 0), 9999) AS sp4, coalesce(nullif(strpos(r, chr(10) || '?'), 0), 9999) AS sp5, coalesce(nullif(strpos(r, chr(10) || '!'), 0), 9999) AS sp6
+    FROM (SELECT doc_id, t, turn, start, reverse(substr(t, start + 1, 800)) AS r FROM (SELECT doc_id, t, turn, start + CASE WHEN 800 - sp - 1 > 400 THEN 800 - sp + 1 ELSE 800 END - 80 AS start FROM w WHERE start + 800 < length(t)))))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY turn) - 1 AS INTEGER) AS chunk_index, content FROM (SELECT doc_id, turn, trim(substr(t, start + 1, CASE WHEN start + 800 >= length(t) THEN length(t) - start WHEN 800 - sp - 1 > 400 THEN 800 - sp + 1 ELSE 800 END), E' \t\n\r\x0b\x0c') AS content FROM w) WHERE content <> ''""")
 def q22_chunk(spark, sf_dir):
+    block = F.struct(F.lit(True).alias("kept"), F.lit(False).alias("is_heading"), F.lit(0).alias("heading_level"), F.lit("Other").alias("section"), F.col("text").alias("text"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.array(block).alias("blocks"))
+    return chunk(docs, ChunkConfig(1, 800, 80)).select("doc_id", "chunk_index", "content")
+
+
+@query()
+def q22b_chunk_annotated(spark, sf_dir):
     return chunk(annotated_documents(spark, sf_dir), ChunkConfig(200, 800, 80))
 
 
@@ -237,15 +265,14 @@ def q24_point_id(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("chunk_index")).withColumn("point_id", point_id(F.col("doc_id"), F.col("chunk_index")))
 
 
-@query(r"""WITH parts AS (SELECT doc_id, unnest(p) AS k, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, string_split_regex(split_part(text, chr(10), 1) || ',', '[;,|]+') AS p FROM documents)),
+@query(r"""WITH parts AS (SELECT doc_id, unnest(p) AS k, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, string_split_regex(text || ',', '[\n;,|]+') AS p FROM documents)),
 bare AS (SELECT doc_id, i, trim(regexp_replace(trim(regexp_replace(k, '\s+', ' ', 'g')), '^(?:[-*•]|\d+[.)])\s*', ''), ' .,:;/-_') AS k FROM parts),
 keyed AS (SELECT doc_id, i, k, regexp_replace(lower(k), '[^a-z0-9]+', '', 'g') AS key FROM bare WHERE k <> '' AND length(k) <= 80 AND lower(k) NOT IN ('abstract', 'article', 'keyword', 'keywords', 'paper', 'research', 'review', 'study')),
 firsts AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY i) AS turn FROM keyed WHERE key <> ''),
 capped AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS place FROM firsts WHERE turn = 1)
 SELECT d.doc_id, coalesce(string_agg(k, ';' ORDER BY i), '') AS keywords FROM documents d LEFT JOIN capped c ON c.doc_id = d.doc_id AND c.place <= 10 GROUP BY d.doc_id""")
 def q25_keyword_normalise(spark, sf_dir):
-    line = F.concat(F.substring_index("text", "\n", 1), F.lit(","))
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(X.keyword_list(line), ";").alias("keywords"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(X.keyword_list(F.concat("text", F.lit(","))), ";").alias("keywords"))
 
 
 @query(r"SELECT doc_id, TRY_CAST(nullif(regexp_extract(substr(text, 1, 1000), '\b((?:19|20)\d{2})\b', 1), '') AS INTEGER) AS year FROM documents")
@@ -275,8 +302,7 @@ def q29_job_summary(spark, sf_dir):
 @query("SELECT d.source AS kb, CAST(count(DISTINCT d.doc_id) AS BIGINT) AS doc_count, CAST(count(e.vec_id) AS BIGINT) AS chunk_count FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id GROUP BY d.source")
 def q30_kb_counts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("source").alias("kb"), "doc_id")
-    chunks = table(spark, sf_dir, "embeddings").join(docs, F.col("vec_id") == F.col("doc_id")).groupBy("kb").agg(F.count("*").alias("chunk_count"))
-    return docs.groupBy("kb").agg(F.count("*").alias("doc_count")).join(chunks, "kb", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)))
+    return catalog.counts(docs, table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id")), "kb")
 
 
 @query()
@@ -289,17 +315,17 @@ def q32_section_outline(spark, sf_dir):
     return outline(annotated_documents(spark, sf_dir)).drop("text")
 
 
-@query()
+@query("SELECT p_partkey, round(greatest(0.8, 2.0 * length(x) / (length(x) + length(y))), 6)::DOUBLE AS likeness FROM (SELECT p_partkey, lower(p_name) AS x, lower(p_name) || ' and ' || lower(p_brand) AS y FROM (SELECT p_partkey, regexp_replace(p_name, '[^A-Za-z0-9_]+', ' ', 'g') AS p_name, regexp_replace(p_brand, '[^A-Za-z0-9_]+', ' ', 'g') AS p_brand FROM part))")
 def q33_title_likeness(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
-    return p.select("p_partkey", F.udf(lambda a, b: title_likeness(a, b), "double")("p_name", "p_type").alias("likeness"))
+    p = table(spark, sf_dir, "part")
+    longer = F.concat(F.upper("p_name"), F.lit(",  and ("), F.col("p_brand"), F.lit(")."))
+    return p.select("p_partkey", F.round(likeness(F.col("p_name"), longer), 6).alias("likeness"))
 
 
-@query()
+@query("SELECT doc_id, '10.1234/x.' || doc_id AS doi FROM documents")
 def q34_find_doi(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
     text = F.concat(F.col("text"), F.lit("\ndoi: 10.1234/x."), F.col("doc_id"), F.lit(")."))
-    return d.select("doc_id", F.udf(lambda t: find_doi(t), "string")(text).alias("doi"))
+    return table(spark, sf_dir, "documents").select("doc_id", doi_of(text).alias("doi"))
 
 
 @query("SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 5) AS embed_score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) DESC, e.vec_id) <= 10")
@@ -325,10 +351,136 @@ def q36_vector_norm(spark, sf_dir):
 def q37_embed_and_rerank(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", embed_column(F.col("text"), HashingEmbedder()).alias("embedding"), "text")
     pool = retrieval.nearest(docs, HashingEmbedder().embed(["the of and in"])[0], 50, "doc_id").join(docs.select("doc_id", "text"), "doc_id")
-    score: Column = F.udf(lambda t: float(OverlapReranker().score("the of and in", [t])[0]), "double")(F.col("text"))
+    score = F.pandas_udf(lambda texts: pd.Series(OverlapReranker().score("the of and in", texts.tolist())), "double")(F.col("text"))
     return retrieval.rerank(pool.withColumn("rerank_score", score), 10, id_col="doc_id").select("doc_id", "embed_score", "rerank_score")
 
 
+def documents_as_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: every fifth has another ending, every third another beginning."""
+    d = table(spark, sf_dir, "documents")
+    path = F.concat(F.lit("/in/"), F.col("doc_id"), F.when(F.col("doc_id") % 5 == 0, ".txt").otherwise(".pdf"))
+    content = F.concat(F.when(F.col("doc_id") % 3 == 0, "junk").otherwise("%PDF-1.4\n"), F.col("text"))
+    return d.select(path.alias("path"), content.cast("binary").alias("content"))
+
+
+_FILES = "files AS (SELECT doc_id, '/in/' || doc_id || CASE WHEN doc_id % 5 = 0 THEN '.txt' ELSE '.pdf' END AS path, CAST(doc_id AS VARCHAR) AS name, sha256(CASE WHEN doc_id % 3 = 0 THEN 'junk' ELSE '%PDF-1.4' || chr(10) END || text) AS content_hash, CASE WHEN doc_id % 5 = 0 THEN 'not a pdf file' WHEN doc_id % 3 = 0 THEN 'not a pdf header' END AS problem, text FROM documents)"
+
+
+@query(f"WITH {_FILES} SELECT path, name, content_hash, problem FROM files")
+def q38_stage_files(spark, sf_dir):
+    return files.stage(documents_as_files(spark, sf_dir)).select("path", "name", "content_hash", "problem")
+
+
+@query(f"WITH {_FILES}, good AS (SELECT * FROM files WHERE problem IS NULL), known AS (SELECT content_hash FROM files WHERE doc_id % 11 = 0) SELECT content_hash, min(path) AS path FROM good WHERE content_hash NOT IN (SELECT content_hash FROM known) GROUP BY content_hash")
+def q39_new_content(spark, sf_dir):
+    staged = files.stage(documents_as_files(spark, sf_dir))
+    known = staged.where(F.col("name").cast("long") % 11 == 0).select("content_hash")
+    fresh, _ = files.new_content(staged.where("problem IS NULL"), known)
+    return fresh.select("content_hash", "path")
+
+
+@query(f"WITH {_FILES} SELECT content_hash, any_value(CASE WHEN EXISTS (SELECT 1 FROM files k WHERE k.doc_id % 11 = 0 AND k.content_hash = f.content_hash) THEN 'held ' || content_hash ELSE text END) AS markdown FROM files f WHERE problem IS NULL GROUP BY content_hash")
+def q40_parse_through_cache(spark, sf_dir):
+    staged = files.stage(documents_as_files(spark, sf_dir))
+    cache = staged.where(F.col("name").cast("long") % 11 == 0).select("content_hash", F.concat(F.lit("held "), "content_hash").alias("markdown")).distinct()
+    parsed, _ = files.parse(staged.where("problem IS NULL"), cache, files.text_parser)
+    return parsed.select("content_hash", "markdown")
+
+
+@query("SELECT conv_id, (SELECT string_agg(role || ':' || n, ',' ORDER BY role) FROM (SELECT role, count(*) AS n FROM conversations d WHERE d.conv_id = c.conv_id GROUP BY role)) AS roles, coalesce(string_agg(CAST(turn AS VARCHAR), ',' ORDER BY turn) FILTER (WHERE turn / 10.0 < 0.7), '') AS doubtful FROM conversations c GROUP BY conv_id")
+def q41_histograms(spark, sf_dir):
+    found = histograms(conversations_as_documents(spark, sf_dir), "conv_id")
+    roles = F.transform(F.array_sort(F.map_entries("sections")), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string")))
+    return found.select("conv_id", F.array_join(roles, ",").alias("roles"), F.array_join(F.transform("doubtful", lambda i: i.cast("string")), ",").alias("doubtful"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN doc_id % 10 = 0 THEN 'new ' || doc_id ELSE text END AS full_text FROM documents WHERE doc_id % 7 <> 0")
+def q42_store_upsert_remove(spark, sf_dir):
+    """All texts go in, every tenth is replaced, every seventh removed; what the store then has."""
+    store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    store.create("k", {"name": "k"})
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("full_text"))
+    number = F.col("doc_id").cast("long")
+    store.publish("k", {"doc_text": texts})
+    store.publish("k", {"doc_text": texts.where(number % 10 == 0).withColumn("full_text", F.concat(F.lit("new "), "doc_id"))})
+    store.publish("k", removed={"doc_text": texts.where(number % 7 == 0).select("doc_id")})
+    return store.read("k", "doc_text")
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS content_hash, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN CASE WHEN p_partkey % 2 = 0 THEN 'Work ' || p_partkey ELSE 'f' || p_partkey END ELSE 'f' || p_partkey END AS title, CAST(CASE p_partkey % 3 WHEN 0 THEN 1999 WHEN 1 THEN CASE WHEN p_partkey % 2 = 0 THEN 2005 END END AS INTEGER) AS year, CASE p_partkey % 3 WHEN 0 THEN 'local' WHEN 1 THEN CASE WHEN p_partkey % 2 = 0 THEN 'crossref' ELSE 'unresolved' END ELSE 'unresolved' END AS source FROM part")
+def q43_metadata_cascade(spark, sf_dir):
+    p, key = table(spark, sf_dir, "part"), F.col("p_partkey")
+    text = F.when(key % 3 == 0, F.concat(F.lit("# "), "p_name", F.lit("\n\nPublished in 1999 or so"))).when(key % 3 == 1, F.concat(F.lit("see doi: 10.1000/part."), key)).otherwise(F.lit("plain words"))
+    docs = p.select(key.cast("string").alias("content_hash"), F.concat(F.lit("f"), key).alias("name"), text.alias("markdown"))
+    message = F.concat(F.lit('{"title": ["Work '), key, F.lit('"], "issued": {"date-parts": [[2005]]}}'))
+    works = p.where(key % 2 == 0).select(F.concat(F.lit("10.1000/PART."), key).alias("doi"), message.alias("message"))
+    return cascade(docs, works).select("content_hash", "title", "year", "source")
+
+
+@query("SELECT doc_id, CASE WHEN source <> 'src1' AND n_chars % 2 = 0 THEN coalesce(CASE WHEN doc_id % 3 = 0 THEN 'first ' || doc_id END, CASE WHEN doc_id % 5 <> 0 THEN 'second ' || doc_id END) WHEN n_chars % 2 = 1 THEN 'own' END AS abstract FROM documents")
+def q44_enrich_abstracts(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    doi = F.concat(F.lit("10.1/D"), "doc_id")
+    found = d.select("doc_id", doi.alias("doi"), F.when(F.col("source") == "src1", "unresolved").otherwise("crossref").alias("source"), F.when(F.col("n_chars") % 2 == 1, "own").alias("abstract"))
+    say = lambda word, keep: d.where(keep).select(F.lower(doi).alias("doi"), F.concat(F.lit(word), "doc_id").alias("abstract"))
+    return enrich_abstracts(found, [say("first ", F.col("doc_id") % 3 == 0), say("second ", F.col("doc_id") % 5 != 0)]).select("doc_id", "abstract")
+
+
+@query("SELECT o_orderkey AS doc_id FROM orders WHERE o_orderdate >= TIMESTAMP '1996-03-01 12:30:00' AND coalesce(year(o_orderdate), 0) <= 1997 AND lower(o_orderstatus) IN ('f', 'o')")
+def q45_filter_added_after(spark, sf_dir):
+    o = orders_as_documents(spark, sf_dir).withColumn("first_author_norm", F.lower("first_author")).withColumn("year", F.year("added_at")).withColumn("added_ts", F.unix_micros(F.col("added_at").cast("timestamp")) / 1e6)
+    asked = {"added_after": "1996-03-01T12:30:00Z", "year": {"lte": 1997}, "first_author": ["F", "O"]}
+    return o.where(retrieval.compile_filter(asked)).select("doc_id")
+
+
+@query(f"SELECT CAST(vec_id AS VARCHAR) AS point_id, round(s, 5) AS embed_score, length(text) % 7 / 10.0::DOUBLE AS rerank_score FROM (SELECT e.vec_id, d.text, {_COSINE} AS s FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id WHERE d.source IN ('src0', 'src1', 'src2', 'src3') ORDER BY s DESC, CAST(e.vec_id AS VARCHAR) LIMIT 50) WHERE length(text) % 7 / 10.0::DOUBLE >= 0.2 ORDER BY length(text) % 7 DESC, s DESC, CAST(vec_id AS VARCHAR) LIMIT 10")
+def q46_search_chunks(spark, sf_dir):
+    """A search as a user makes it: filter, coarse and exact scores, payload, re-ranking."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.col("source").alias("section"), F.col("text").alias("content"))
+    points = table(spark, sf_dir, "embeddings").join(d, "vec_id").select(F.col("vec_id").cast("string").alias("point_id"), "section", "content", vectors.packed(F.col("embedding")).alias("packed")).withColumn("coarse", vectors.coarse(F.col("packed")))
+    first = first_vector(spark, sf_dir)
+    searcher = retrieval.Searcher(points, lambda q: first, lambda q, texts: [len(t) % 7 / 10 for t in texts])
+    found = searcher.search("any", 10, 0.2, {"section": ["src0", "src1", "src2", "src3"]}).chunks
+    rows = [(c["metadata"]["point_id"], round(c["embed_score"], 5), c["rerank_score"]) for c in found]
+    return spark.createDataFrame(rows, "point_id string, embed_score double, rerank_score double")
+
+
+@query(f"SELECT vec_id, round({_COSINE}, 6) AS embed_score FROM embeddings e ORDER BY {_COSINE} DESC, vec_id LIMIT 50")
+def q47_knn_all_cells(spark, sf_dir):
+    """The search over cells, looking into all of them, which is exact; tests measure the recall of fewer."""
+    points = table(spark, sf_dir, "embeddings")
+    centres = retrieval.centroids(points, 16)
+    held = points.withColumn("cell", retrieval.cell_of(F.col("embedding"), centres))
+    got = retrieval.nearest_in_cells(held, centres, first_vector(spark, sf_dir), 50, probes=16, id_col="vec_id")
+    return got.select("vec_id", F.round("embed_score", 6).alias("embed_score"))
+
+
+@query("SELECT vec_id, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 4) AS first, round(embedding[64]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 4) AS last FROM embeddings")
+def q48_unit_vectors(spark, sf_dir):
+    unit = vectors.unit(F.transform("embedding", lambda x: (x * 3).cast("float")))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(unit[0].cast("double"), 4).alias("first"), F.round(unit[63].cast("double"), 4).alias("last"))
+
+
+@query(r"SELECT doc_id, CAST(idx AS INTEGER) AS idx, CAST(idx % 4 AS INTEGER) AS level, block AS text, lower(regexp_replace(block, '\s+', ' ', 'g')) AS key FROM " + _LINES)
+def q49_headings(spark, sf_dir):
+    b = line_blocks(spark, sf_dir).withColumn("block", F.concat(F.repeat(F.lit("#"), F.col("idx") % 4), F.when(F.col("idx") % 4 > 0, F.lit("  ")).otherwise(F.lit("")), F.col("block")))
+    text = X.block_text(F.col("block"))
+    return b.select("doc_id", "idx", X.heading_level(F.col("block")).alias("level"), text.alias("text"), X.heading_key(text).alias("key"))
+
+
+@query("SELECT p_partkey AS doc_id, p_name AS title, p_brand || ',' || p_type AS keywords FROM part WHERE p_partkey = 17")
+def q50_get_document(spark, sf_dir):
+    docs = parts_as_documents(spark, sf_dir).withColumn("keywords", F.array("abstract", "journal"))
+    return catalog.get_document(docs, 17).select("doc_id", "title", F.array_join("keywords", ",").alias("keywords"))
+
+
+@query("SELECT sha256(text) AS content_hash, CAST(doc_id AS BIGINT) AS doc_id FROM documents WHERE sha256(text) = (SELECT sha256(text) FROM documents WHERE doc_id = 5)")
+def q51_find_by_hash(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    wanted = d.where("doc_id = 5").select(ids.content_hash(F.col("text")).alias("h")).first().h
+    return catalog.find_by_hash(d.select(ids.content_hash(F.col("text")).alias("content_hash"), "doc_id"), wanted)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of new content, cut into chunks, joined to vectors; the filtered pool in stable re-rank order."""
     docs = table(spark, sf_dir, "documents")
