@@ -450,16 +450,16 @@ def repair_issues(blocks: list[Block]) -> tuple[list[tuple[str, int | None, str]
     return issues, bool(issues) or any(b.role_confidence < 0.7 for b in blocks)
 
 
-def annotate_text(text: str | None, decoder: str = "context", resolve: Callable[[list[Block]], None] | None = None) -> list[Block]:
-    """All blocks of a cleaned text, annotated; ``resolve`` may change those of doubtful section."""
-    doc = recover_roles(blocks_of(text or ""))
+def annotate_text(text: str | None, decoder: str = "context", resolve: Callable[[list[Block]], None] | None = None, recover: Callable[[list[Block]], Facts] | None = None) -> list[Block]:
+    """All blocks of a cleaned text, annotated; ``recover`` says their roles, ``resolve`` may change those of doubtful section."""
+    doc = (recover or recover_roles)(blocks_of(text or ""))
     DECODERS[decoder](doc)
     if resolve:
         resolve(doc.blocks)
     return doc.blocks
 
 
-def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", decoder: str = "context", resolve: Callable[[list[Block]], None] | None = None) -> DataFrame:
+def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", decoder: str = "context", resolve: Callable[[list[Block]], None] | None = None, recover: Callable[[list[Block]], Facts] | None = None) -> DataFrame:
     """(id, blocks, error): the annotated blocks of each cleaned text as an array of structs; ``kept`` marks those that count.
 
     A text that can't be annotated has an error and no blocks.
@@ -468,7 +468,7 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
 
     def one(text: str | None) -> tuple[list[dict] | None, str | None]:
         try:
-            rows = [(b.index, b.raw, b.text, b.heading, b.level, b.role, b.section, b.subsection, float(b.confidence), b.rationale, is_kept(b)) for b in annotate_text(text, decoder, resolve)]
+            rows = [(b.index, b.raw, b.text, b.heading, b.level, b.role, b.section, b.subsection, float(b.confidence), b.rationale, is_kept(b)) for b in annotate_text(text, decoder, resolve, recover)]
         except Exception as e:  # a text that can't be annotated fails alone
             return None, f"annotate: {e}"
         return [dict(zip(columns, r, strict=True)) for r in rows], None

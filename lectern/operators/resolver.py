@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections import Counter
 from collections.abc import Callable
 from hashlib import blake2b
 
+from pyarrow import fs
+
 from lectern.operators import vocabulary as V
 from lectern.operators.annotate import Block, is_author_line
 from lectern.operators.models import Chat
@@ -18,7 +21,7 @@ SCHEMA = {
     "required": ["items"],
     "properties": {"items": {"type": "array", "items": {"type": "object", "required": ["block_index", "decision", "section_type", "confidence", "rationale"], "properties": {"block_index": {"type": "integer"}, "decision": {"enum": list(DECISIONS)}, "section_type": {"enum": list(V.SECTIONS)}, "confidence": {"type": "number"}, "clear_subsection": {"type": "boolean"}, "rationale": {"type": "string"}}}}},
 }
-SETTLED_ROLES = frozenset("title ack_meta supplementary_meta front_matter reference_entry figure_caption table_caption".split())
+SETTLED_ROLES = frozenset(["title", "ack_meta", "supplementary_meta", "front_matter", "reference_entry", "figure_caption", "table_caption"])
 
 
 def candidates(blocks: list[Block], most: int = MOST_CANDIDATES) -> list[dict]:
@@ -71,7 +74,33 @@ def apply(blocks: list[Block], items: list[dict], apply_from: float = APPLY_FROM
             b.subsection = "" if item.get("clear_subsection") else b.subsection
 
 
-def resolver(chat: Chat | None, cache: dict[str, list[dict]] | None = None) -> Callable[[list[Block]], None] | None:
+class FolderCache:
+    """Decisions kept as files of a folder that all workers reach, one a key; they outlive workers and runs."""
+
+    def __init__(self, folder: str):
+        self.folder = folder.rstrip("/")
+
+    def _at(self, key: str) -> tuple[fs.FileSystem, str]:
+        return fs.FileSystem.from_uri(f"{self.folder}/{key}.json")
+
+    def get(self, key: str) -> list[dict] | None:
+        store, path = self._at(key)
+        try:
+            with store.open_input_stream(path) as f:
+                return json.loads(f.read())
+        except (FileNotFoundError, ValueError):
+            return None
+
+    def __setitem__(self, key: str, items: list[dict]) -> None:
+        store, path = self._at(key)
+        store.create_dir(path.rpartition("/")[0], recursive=True)
+        own = f"{path}.{uuid.uuid4().hex}"
+        with store.open_output_stream(own) as f:
+            f.write(json.dumps(items).encode())
+        store.move(own, path)
+
+
+def resolver(chat: Chat | None, cache: FolderCache | dict[str, list[dict]] | None = None) -> Callable[[list[Block]], None] | None:
     """What ``annotate`` takes as ``resolve``; any failure leaves the blocks as they are."""
     if chat is None:
         return None
@@ -81,7 +110,7 @@ def resolver(chat: Chat | None, cache: dict[str, list[dict]] | None = None) -> C
         if not asked:
             return
         key = cache_key(asked)
-        items = (cache or {}).get(key)
+        items = None if cache is None else cache.get(key)
         if items is None:
             try:
                 got = chat.complete(prompt_of(asked), SCHEMA)

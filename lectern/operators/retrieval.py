@@ -26,9 +26,12 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from lectern.errors import InvalidFilter
 from lectern.functions.vectors import dot, norm
+from lectern.operators.models import in_batches
 
 FIELDS = ("doc_id", "section", "doi", "journal", "title", "first_author", "year", "added_after")
 EXACT, FOLDED = frozenset(["doc_id", "section", "doi"]), frozenset(["journal", "title", "first_author"])
+#: Texts that a re-ranker gets at once.
+RERANK_BATCH = 128
 #: Values of one block of queries' vectors that go to all tasks at most, and scores made at once.
 MOST_QUERY_VALUES, MOST_SCORES = 4_000_000, 8_000_000
 
@@ -340,7 +343,7 @@ class Searcher:
         warning = None
         start = self.clock()
         try:
-            scores = self.score(query, [r["content"] for r in rows])
+            scores = in_batches(lambda part: self.score(query, part), [r["content"] for r in rows], RERANK_BATCH)
             for row, s in zip(rows, scores, strict=True):
                 row["rerank_score"] = float(s)
             by = "rerank_score"

@@ -16,19 +16,19 @@ SECTION_OF_HEADING = {
     "data and materials availability": "Author_Info", "data availability": "Author_Info", "code availability": "Author_Info",
 }
 SECTIONS = ("Abstract", "Introduction", "Results", "Discussion", "Methods", "Conclusion", "References", "Supplementary", "Acknowledgments", "Author_Info", "Other")
-CANONICAL_HEADINGS = frozenset("abstract|introduction|background|results|discussion|results and discussion|methods|materials and methods|methodology|experimental procedures|experimental section|conclusion|conclusions|references|references and notes|bibliography".split("|"))
-ACK_HEADINGS = frozenset("acknowledgments|acknowledgements|funding|author contributions|competing interests|conflict of interest|data availability|data and materials availability|code availability".split("|"))
-SUPPLEMENT_HEADINGS = frozenset("supplementary material|supplementary materials|supplementary data|supplementary information|supporting information|extended data".split("|"))
+CANONICAL_HEADINGS = frozenset(["abstract", "introduction", "background", "results", "discussion", "results and discussion", "methods", "materials and methods", "methodology", "experimental procedures", "experimental section", "conclusion", "conclusions", "references", "references and notes", "bibliography"])
+ACK_HEADINGS = frozenset(["acknowledgments", "acknowledgements", "funding", "author contributions", "competing interests", "conflict of interest", "data availability", "data and materials availability", "code availability"])
+SUPPLEMENT_HEADINGS = frozenset(["supplementary material", "supplementary materials", "supplementary data", "supplementary information", "supporting information", "extended data"])
 FRONT_HEADINGS = frozenset(["these authors contributed equally to this work."])
 SUMMARY_LABELS = frozenset(["abstract", "summary", "article info"])
 
 # Parts of heading texts that hint at a section, in the order they are tried.
 HEADING_CUES = (
-    ("Results", "result results predict prediction identify identifies construction design characterization effect effects regulation regulates promotes reveals revealed find finds".split()),
-    ("Methods", "method methods experimental procedure protocol assay simulation simulations analysis calculation calculations statistics statistical materials".split()),
+    ("Results", ["result", "results", "predict", "prediction", "identify", "identifies", "construction", "design", "characterization", "effect", "effects", "regulation", "regulates", "promotes", "reveals", "revealed", "find", "finds"]),
+    ("Methods", ["method", "methods", "experimental", "procedure", "protocol", "assay", "simulation", "simulations", "analysis", "calculation", "calculations", "statistics", "statistical", "materials"]),
     ("Conclusion", ["conclusion"]),
-    ("Discussion", "discussion model implication implications perspective perspectives outlook dynamics structure location composition function".split()),
-    ("Introduction", "overview background introduction context".split()),
+    ("Discussion", ["discussion", "model", "implication", "implications", "perspective", "perspectives", "outlook", "dynamics", "structure", "location", "composition", "function"]),
+    ("Introduction", ["overview", "background", "introduction", "context"]),
 )
 
 # Patterns of body texts that hint at a section, in the order they are tried, with confidences.

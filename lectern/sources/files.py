@@ -55,8 +55,15 @@ def parse(staged: DataFrame, cache: DataFrame, parser: Parser) -> tuple[DataFram
 
 def pick_output(entries: DataFrame, stem: str) -> DataFrame:
     """The best of a parser's output files (path, content): ``<stem>/auto/<stem>.md``, else the first .md by path that isn't blank."""
-    preferred = F.col("path").endswith(f"{stem}/auto/{stem}.md")
-    return entries.where(F.col("path").endswith(".md") & (F.trim("content") != "")).orderBy(F.desc(preferred), "path").limit(1)
+    return pick_outputs(entries.withColumn("stem", F.lit(stem))).drop("stem")
+
+
+def pick_outputs(entries: DataFrame) -> DataFrame:
+    """``pick_output`` for each ``stem`` of (stem, path, content), in one aggregation."""
+    preferred = F.col("path").endswith(F.concat("stem", F.lit("/auto/"), "stem", F.lit(".md")))
+    good = entries.where(F.col("path").endswith(".md") & (F.trim("content") != ""))
+    best = good.groupBy("stem").agg(F.min(F.struct(~preferred, "path", "content")).alias("b"))
+    return best.select("stem", "b.path", "b.content")
 
 
 def answer_text(answers: DataFrame, stem: str) -> DataFrame:

@@ -326,3 +326,28 @@ def test_long_lists_of_values_mean_what_short_ones_do(spark):
     df = spark.createDataFrame([(v,) for v in [*odd, "other", None]], "doc_id string")
     assert sorted(r.doc_id for r in df.where(retrieval.one_of("doc_id", odd)).collect()) == sorted(odd)
     assert spark.range(20).where(retrieval.one_of("id", list(range(5, 15)))).count() == 10
+
+
+def test_resolver_decisions_outlive_a_run(tmp_path):
+    from lectern.operators import annotate as A
+    from lectern.operators import resolver as R
+
+    class Chat:
+        asked = 0
+
+        def complete(self, prompt, json_schema):
+            Chat.asked += 1
+            return {"items": [{"block_index": 1, "decision": "override", "section_type": "Results", "confidence": 0.9, "rationale": "r"}]}
+
+    text = "# A title of some length here\n\n## Strange words\n\nA paragraph of body text that stands below it, long enough."
+    said = []
+    for _ in range(2):
+        cache = R.FolderCache(f"file://{tmp_path}/cache")
+        said.append([(b.section, b.rationale) for b in A.annotate_text(text, resolve=R.resolver(Chat(), cache))])
+    assert said[0] == said[1] and (Chat.asked == 1 or not R.candidates(A.annotate_text(text)))
+
+
+def test_outputs_of_many_parses_are_picked_at_once(spark):
+    rows = [("a", "/o/a/auto/a.md", "best"), ("a", "/o/a/0.md", "no"), ("b", "/o/b/z.md", "z"), ("b", "/o/b/y.md", "y"), ("b", "/o/b/x.md", " "), ("c", "/o/c/c.txt", "t")]
+    got = files.pick_outputs(spark.createDataFrame(rows, "stem string, path string, content string"))
+    assert {(r.stem, r.content) for r in got.collect()} == {("a", "best"), ("b", "y")}
