@@ -32,8 +32,9 @@ from lectern.llm.shared import Scratch, prepare_workers, tidy
 from lectern.llm.words import text_chunks, word_hashes
 
 BLOCK_WORDS = 128
-#: Slots of a shard at least; with more slots than MOST_SHARDS of these, shards grow.
-SHARD_SLOTS, MOST_SHARDS = 4096, 4096
+#: Slots of a shard at least; shards grow with more slots than MOST_SHARDS of these, or with so many sources
+#: that the draws of all shards, which the driver makes, were more than MOST_DRAWS.
+SHARD_SLOTS, MOST_SHARDS, MOST_DRAWS = 4096, 4096, 2_000_000
 #: Rows of a source that one bucket of the prefix sum holds about: a share of all rows, within bounds.
 BUCKET_SHARE, LEAST_BUCKET, MOST_BUCKET = 20_000, 200, 20_000
 #: Totals of buckets sent to all tasks at most; with more, a shuffled join takes their place.
@@ -44,17 +45,17 @@ ROUNDS = 4
 
 def targets(sizes: list[int], weights: list[float], share: float = 1.5, most: float = 2.0) -> list[float]:
     """Splits ``share`` of all sizes by weight; none goes over ``most`` times its size, the excess is shared again."""
-    total, out, open_ = share * sum(sizes), [0.0] * len(sizes), [i for i, n in enumerate(sizes) if n > 0]
+    out, open_, left = [0.0] * len(sizes), [i for i, n in enumerate(sizes) if n > 0], share * sum(sizes)
     while open_:
-        left = total - sum(out[i] for i in range(len(sizes)) if i not in open_)
         of = sum(weights[i] for i in open_)
-        over = [i for i in open_ if left * weights[i] / of > most * sizes[i]]
+        over = {i for i in open_ if left * weights[i] / of > most * sizes[i]}
         if not over:
             for i in open_:
                 out[i] = left * weights[i] / of
             break
         for i in over:
             out[i] = most * sizes[i]
+        left -= sum(out[i] for i in over)
         open_ = [i for i in open_ if i not in over]
     return out
 
@@ -82,7 +83,8 @@ def make_plan(sizes: dict[str | None, int], weights: tuple[float, ...] = (5, 2,
     target = targets(size, [weights[i % len(weights)] for i in range(len(names))], share, most)
     words = [min(round(t), math.floor(most * n)) for t, n in zip(target, size, strict=True)]
     slots = [w // n * math.ceil(n / block_words) + math.ceil(w % n / block_words) if n else 0 for w, n in zip(words, size, strict=True)]
-    shard = max(SHARD_SLOTS, math.ceil(sum(slots) / MOST_SHARDS))
+    shards = max(1, min(MOST_SHARDS, MOST_DRAWS // max(len(names), 1)))
+    shard = max(SHARD_SLOTS, math.ceil(sum(slots) / shards))
     rng, left, drawn = np.random.default_rng(seed), np.array(slots, np.int64), []
     while left.sum() > shard:
         got = np.zeros_like(left)
@@ -193,8 +195,9 @@ def mix(spark: SparkSession, docs: DataFrame, doc_col: str = "doc_id", text_col:
     numbers = spark.createDataFrame([(i, s, plan.sizes[i], plan.words[i]) for i, s in enumerate(plan.sources)], "source_no int, source_name string, source_size long, source_words long")
     first = np.cumsum(plan.drawn, axis=0) - plan.drawn
     at = np.cumsum(plan.drawn, axis=1) - plan.drawn
-    cells = [(int(h), int(i), int(plan.drawn[h, i]), int(first[h, i]), int(at[h, i])) for h, i in zip(*np.nonzero(plan.drawn), strict=True)]
-    drawn = spark.createDataFrame(cells, "shard int, source_no int, slots long, first long, at long").repartition(max(1, min(len(cells), spark.sparkContext.defaultParallelism)), "shard", "source_no")
+    h, i = np.nonzero(plan.drawn)
+    cells = pa.table({"shard": pa.array(h, pa.int32()), "source_no": pa.array(i, pa.int32()), **{name: pa.array(x[h, i], pa.int64()) for name, x in (("slots", plan.drawn), ("first", first), ("at", at))}})
+    drawn = spark.createDataFrame(cells).repartition(max(1, min(len(cells), spark.sparkContext.defaultParallelism)), "shard", "source_no")
     slots = drawn.join(F.broadcast(numbers), "source_no").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)).alias("k"))
     blocks, full, j = F.ceil(F.col("source_size") / block_words), F.floor(F.col("source_size") / block_words), F.col("first") + F.col("k")
     slots = slots.select("shard", (F.col("at") + F.col("k")).alias("slot"), "source_no", "source_name", "source_words", "source_size", F.floor(j / blocks).alias("lap"), (j % blocks).alias("index"), full.alias("full"))

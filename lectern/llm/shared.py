@@ -2,31 +2,19 @@
 
 Long plans are cut by writing a table to the folder named by
 ``spark.checkpoint.dir`` and reading it back: the files survive lost executors
-and are computed once.  A folder of our own is set only where none is set.
+and are computed once.  A folder of our own is set only where none is set and
+Spark is one process.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.session import ship_package
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; where unset (as in tests), a temporary one of our own."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        where = held.get() if held.isDefined() else None
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="lectern-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
+from lectern.session import shared_folder, ship_package
 
 
 #: Bytes of an Arrow batch that goes to a Python worker, which holds several copies of it.
@@ -64,7 +52,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/lectern-{uuid.uuid4().hex}"
+        self.root = f"{shared_folder(spark)}/lectern-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"

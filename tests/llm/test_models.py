@@ -194,6 +194,11 @@ def test_mix_takes_what_is_planned(spark, block_words):
     assert sorted(map(tuple, again.collect()), key=str) == sorted(map(tuple, got), key=str)
 
 
+def test_draws_of_very_many_sources_are_bounded():
+    plan = mixing.make_plan({f"s{i}": 1000 for i in range(50_000)})
+    assert plan.drawn.size <= mixing.MOST_DRAWS + 50_000 and (plan.drawn.sum(axis=0) == plan.slots).all()
+
+
 def test_mix_of_repeated_rows_nulls_and_nothing(spark):
     df = spark.createDataFrame([(1, "a b c", None), (1, "a b c", None), (None, "d e", None), (2, None, "x")], "doc_id long, text string, source string")
     parts, texts, plan = mixing.mix(spark, df, block_words=2)
