@@ -17,6 +17,8 @@ from functools import lru_cache
 RAW = frozenset(["script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp"])
 VOID = frozenset(["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"])
 
+#: A tag without quotes, whose end is its first >.
+_PLAIN = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)([^>"']*+)>""")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
 _INSIDE = re.compile(r"""[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+""")
 _QUOTED = re.compile(r""""[^"]*+"|'[^']*+'""")
@@ -71,25 +73,32 @@ def tokens(page: str) -> Iterator[tuple[int, str, str]]:
     """
     ends, n, begin, at = _Ends(page), len(page), 0, 0
     while (lt := page.find("<", at)) >= 0:
-        mark = page[lt + 1 : lt + 2]
-        name = _NAME.match(page, lt + 2 if mark == "/" else lt + 1)
-        if not name and mark not in ("!", "?", "/"):
-            at = lt + 1
-            continue
+        if found := _PLAIN.match(page, lt):
+            slash, tag, inside = found.groups()
+            end = found.end()
+        else:
+            slash = page.startswith("/", lt + 1)
+            name = _NAME.match(page, lt + 1 + slash)
+            if not name and not page.startswith(("!", "?", "/"), lt + 1):
+                at = lt + 1
+                continue
+            if name:
+                stop = ends.find(name.end())
+                tag, inside, end = name[0], page[name.end() : stop], min(stop + 1, n)
+            else:  # a comment or the like
+                mark = "-->" if page.startswith("<!--", lt) else ">"
+                stop = page.find(mark, lt + 2)
+                tag, inside, end = "", "", n if stop < 0 else stop + len(mark)
         if lt > begin:
             yield TEXT, page[begin:lt], ""
-        if not name:
-            stop = "-->" if page.startswith("<!--", lt) else ">"
-            end = page.find(stop, lt + 2)
-            at = begin = n if end < 0 else end + len(stop)
+        at = begin = end
+        if not tag:
             continue
-        end = ends.find(name.end())
-        at = begin = min(end + 1, n)
-        tag = name[0].lower()
-        if mark == "/":
+        tag = tag.lower()
+        if slash:
             yield CLOSE, tag, ""
             continue
-        yield OPEN, tag, page[name.end() : end]
+        yield OPEN, tag, inside
         if tag in RAW:
             stop = _end_tag(tag).search(page, at)
             yield CONTENT, tag, page[at : stop.start() if stop else n]

@@ -96,7 +96,8 @@ def read_page(page: str) -> tuple[dict, str]:
         elif name in LINES:
             parts.append("\0")  # which no page text has after the replacement below
     text = "".join(x if x == "\0" else x.replace("\0", " ") for x in parts)
-    lines = (one_line(x) for x in text.split("\0"))
+    text = entities.unescape(text) if "&" in text else text
+    lines = (" ".join(x.split()) for x in text.split("\0"))
     return {"Head": {"Title": title, "Metas": metas}, "Links": links}, "\n".join(x for x in lines if x)
 
 
