@@ -32,8 +32,8 @@ from lectern.llm import arrays
 from lectern.llm.shared import Scratch, prepare_workers, tidy
 from lectern.llm.words import ALNUM, hash_spans, mix, text_chunks, word_hashes
 
-#: Benchmark words whose windows are in one file, about.
-PIECE_WORDS = 1_000_000
+#: Benchmark words whose windows are in one file, about, and files at least, so that no task has most of them.
+PIECE_WORDS, LEAST_PIECES = 1_000_000, 16
 _CHECK = np.uint64(0xA0761D6478BD642F)
 
 
@@ -205,7 +205,7 @@ def contaminated_spans(spark: SparkSession, docs: DataFrame, benchmark: DataFram
     items = benchmark.where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("string").alias("id"), F.col(item_text_col).cast("string").alias("text"))
     # a word takes two bytes with what parts it from the next, so this bounds the words
     size = items.agg(F.sum((F.octet_length("text").cast("long") + 1) / 2)).first()[0] or 0
-    pieces, root = max(1, math.ceil(size / piece_words)), Scratch(spark).path("benchmark")
+    pieces, root = max(LEAST_PIECES, math.ceil(size / piece_words)), Scratch(spark).path("benchmark")
     index = Index(root, pieces, gram, window, store_benchmark(items, gram, window, pieces, root))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     spans_type = T._parse_datatype_string(SPANS)
