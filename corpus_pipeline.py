@@ -24,7 +24,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str, want
     if network is None:
         return docs.where(F.col("text").rlike("\\p{L}"))
     found = language.identify(docs, network).where(F.col("lang_pred").isin(wanted or network.labels) & (F.col("score") >= least_score))
-    return found.select("row.*", "lang_pred").withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+    return found.select(*(F.coalesce(F.col("row")[c], F.col("lang_pred")).alias(c) if c == "lang" else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
