@@ -144,3 +144,50 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op2_weighted_sampling_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
+
+
+# --- what of the results SQL can express, through the same operators
+
+
+@_query
+def part6_host_path_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_url_filters(spark, sf_dir).select("page_id", "host", "path", "rule")
+
+
+ORACLES["part6_host_path_rule"] = r"""
+WITH parts AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+cut AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts)
+SELECT page_id, host, path, CASE WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1' WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+  WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/' WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/' WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule FROM cut
+"""
+
+
+@_query
+def part2_edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_weighted_sampling_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+ORACLES["part2_edited_texts"] = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT doc_id, text, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next FROM t WINDOW w AS (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, sha256(substr(text, 1, length(text) - length(text) // 3) || substr(next, 1, length(text) // 3)) AS edited_sha256 FROM n
+"""
+
+
+@_query
+def part5_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_mixing_weights(spark, sf_dir).select("doc_id", "size", "source_size")
+
+
+ORACLES["part5_sizes"] = r"""
+WITH s AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents)
+SELECT doc_id, size, CAST(sum(size) OVER (PARTITION BY source) AS BIGINT) AS source_size FROM s
+"""
+
+
+@_query
+def part8_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_token_counts(spark, sf_dir).select("doc_id", "n_bytes")
+
+
+ORACLES["part8_bytes"] = "SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_bytes FROM documents"

@@ -69,7 +69,7 @@ def test_stages_take_empty_tables(spark, docs):
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_cover_their_tables(spark, name):
-    table = "pages" if name.startswith(("op1_", "op6_", "op10_")) else "documents"
+    table = "pages" if name.startswith(("op1_", "op6_", "op10_", "part6_")) else "documents"
     key = "page_id" if table == "pages" else "doc_id"
     got = queries.QUERIES[name](spark, SF)
     rows = got.collect()
