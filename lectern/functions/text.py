@@ -79,9 +79,9 @@ def split_blocks(c: Column) -> Column:
 
 def placed_blocks(c: Column) -> Column:
     """The blocks as (idx, block, ratio): how far down the text each stands, from 0 to 1."""
-    blocks = split_blocks(c)
-    last = F.greatest(F.size(blocks) - 1, F.lit(1))
-    return F.transform(blocks, lambda b, i: F.struct(i.alias("idx"), b.alias("block"), (i / last).alias("ratio")))
+    # bound to a variable, as an expression would be made again for every block
+    placed = lambda blocks: F.transform(blocks, lambda b, i: F.struct(i.alias("idx"), b.alias("block"), (i / F.greatest(F.size(blocks) - 1, F.lit(1))).alias("ratio")))
+    return F.transform(F.array(split_blocks(c)), placed)[0]
 
 
 def heading_level(block: Column) -> Column:
