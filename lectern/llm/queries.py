@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontaminate, fingerprints, language, maintext, mixing, neardup, ngrams, tokens, urls, warc
+from lectern.llm import annular_codes, decontaminate, fingerprints, language, maintext, mixing, neardup, ngrams, sort_means, tokens, urls, warc
 from lectern.llm.shared import Scratch, crc_mod
 from lectern.session import spread
 
@@ -146,6 +146,79 @@ def op2_weighted_sampling_fingerprints(spark: SparkSession, sf_dir: str) -> Data
     return fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+#: Labels whose sums go to all tasks at most; of more, both sides are dealt by label, where Spark splits a label of very many rows.
+MOST_SENT_LABELS = 100_000
+
+
+@_query
+def op11_annular_norm_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    found = annular_codes.compress(spark, vectors.select("vec_id", "label", "embedding"))
+    if found is None:
+        return vectors.limit(0).select("vec_id", F.lit("").alias("code"), *(F.lit(0).cast("long").alias(c) for c in ("error", "label_error")), F.lit("").alias("codebooks_sha256"))
+    sums = Scratch(spark).keep(found.vectors.groupBy(F.col("row.label").alias("of")).agg(F.sum("error").alias("label_error")), "labels")
+    if sums.count() <= MOST_SENT_LABELS:
+        sums = F.broadcast(sums)
+    rows = found.vectors.select("row.vec_id", "code", "error", F.col("row.label").alias("label")).join(sums, F.col("label").eqNullSafe(F.col("of")))
+    return rows.select("vec_id", "code", "error", "label_error", F.lit(found.digest()).alias("codebooks_sha256"))
+
+
+@_query
+def op13_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    found = sort_means.cluster(spark, vectors.select("vec_id", "embedding"))
+    schema = "of int, cluster_inertia long, centroid_sha256 string"
+    told = list(zip(range(len(found.inertia)), found.inertia.tolist(), found.digests(), strict=True)) if found else []
+    rows = found.vectors if found else vectors.limit(0).select(F.struct("vec_id").alias("row"), F.lit(0).alias("cluster"), F.lit(0).cast("long").alias("distance"))
+    total = F.lit(int(found.inertia.sum()) if found else 0).cast("long")
+    # a row a centroid
+    rows = rows.join(F.broadcast(spark.createDataFrame(told, schema)), F.col("cluster") == F.col("of"))
+    return rows.select("row.vec_id", "cluster", "distance", "cluster_inertia", total.alias("inertia"), "centroid_sha256")
+
+
+def _op13_sql(k: int = 40, rounds: int = 5) -> str:
+    """Plain k-means, a step of the CTE a round; integers as doubles, which hold them exactly."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS (SELECT vec_id, v, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT x.vec_id, x.v, y.c, x.q + y.q - 2 * list_inner_product(x.v, y.v) AS d FROM x, c{i} y) GROUP BY vec_id, v)")
+        if i < rounds:
+            means = f"SELECT c, list(m ORDER BY p) AS v FROM (SELECT c, p, floor(sum(u) / count(*)) AS m FROM (SELECT c, unnest(v) AS u, generate_subscripts(v, 1) AS p FROM a{i}) GROUP BY c, p) GROUP BY c"
+            steps.append(f"m{i} AS ({means}), c{i + 1} AS (SELECT c, v, list_inner_product(v, v) AS q FROM (SELECT c{i}.c, coalesce(m{i}.v, c{i}.v) AS v FROM c{i} LEFT JOIN m{i} ON m{i}.c = c{i}.c))")
+    return f"""
+WITH x AS MATERIALIZED (SELECT vec_id, v, list_inner_product(v, v) AS q FROM (SELECT vec_id, list_transform(embedding, lambda e: floor(256 * CAST(e AS DOUBLE))) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: coalesce(isfinite(e), false))) = 64)),
+c0 AS (SELECT CAST(row_number() OVER (ORDER BY h) - 1 AS INTEGER) AS c, v, q FROM (SELECT sha256('2:' || vec_id) AS h, v, q FROM x ORDER BY h LIMIT {k})),
+{", ".join(steps).replace(" AS (SELECT vec_id, v, arg", " AS MATERIALIZED (SELECT vec_id, v, arg")}
+SELECT vec_id, c AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(list_transform(c{rounds}.v, lambda e: CAST(CAST(e AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (c)
+"""
+
+
+ORACLES["op13_sort_means"] = _op13_sql()
+
+
+def _op11_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Every part against every entry, a step of the CTE a round; integers as doubles, which hold them exactly."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT vec_id, p, v, arg_min(e, (d, e)) AS e, min(d) AS d FROM (SELECT x.vec_id, x.p, x.v, y.e, x.q + y.q - 2 * list_inner_product(x.v, y.v) AS d FROM x JOIN c{i} y ON x.p = y.p) GROUP BY vec_id, p, v)")
+        if i < rounds:
+            means = f"SELECT p, e, list(m ORDER BY s) AS v FROM (SELECT p, e, s, floor(sum(u) / count(*)) AS m FROM (SELECT p, e, unnest(v) AS u, generate_subscripts(v, 1) AS s FROM a{i}) GROUP BY p, e, s) GROUP BY p, e"
+            steps.append(f"m{i} AS ({means}), c{i + 1} AS (SELECT p, e, v, list_inner_product(v, v) AS q FROM (SELECT c{i}.p, c{i}.e, coalesce(m{i}.v, c{i}.v) AS v FROM c{i} LEFT JOIN m{i} ON m{i}.p = c{i}.p AND m{i}.e = c{i}.e))")
+    return f"""
+WITH whole AS (SELECT vec_id, label, list_transform(embedding, lambda e: floor(1024 * CAST(e AS DOUBLE))) AS v FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda e: coalesce(isfinite(e), false))) = len(embedding)),
+x AS MATERIALIZED (SELECT vec_id, p, v, list_inner_product(v, v) AS q FROM (SELECT vec_id, p, list_slice(v, p * len(v) // {parts} + 1, (p + 1) * len(v) // {parts}) AS v FROM whole, (SELECT unnest(range({parts})) AS p))),
+c0 AS (SELECT p, CAST(row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS INTEGER) AS e, v, q FROM x QUALIFY e < {entries}),
+{", ".join(steps)},
+sums AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id),
+books AS (SELECT sha256(string_agg(array_to_string(list_transform(v, lambda u: CAST(CAST(u AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM sums JOIN whole USING (vec_id), books
+"""
+
+
+ORACLES["op11_annular_norm_codes"] = _op11_sql()
+
+
 # --- what of the results SQL can express, through the same operators
 
 
