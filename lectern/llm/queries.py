@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import annular_codes, decontaminate, fingerprints, language, maintext, mixing, neardup, ngrams, sort_means, tokens, urls, warc
+from lectern.llm import annular_codes, decontaminate, fingerprints, language, maintext, mixing, neardup, ngrams, pieces, sort_means, tokens, urls, warc
 from lectern.llm.shared import Scratch, crc_mod
 from lectern.session import spread
 
@@ -163,6 +163,16 @@ def op11_annular_norm_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", "code", "error", "label_error", F.lit(found.digest()).alias("codebooks_sha256"))
 
 
+@_query
+def op12_sentencepiece_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    words = pieces.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    found = pieces.decode(spark, pieces.encode(spark, _table(spark, sf_dir, "documents").select("doc_id", "text"), words), words)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return found.select("row.doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @_query
 def op13_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
