@@ -22,7 +22,7 @@ def ascii_fold(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]++|(?<![\s\x1c-\x1f])[\s\x1c-\x1f]++\z", "")
 
 
 def collapse(c: Column) -> Column:
@@ -63,9 +63,10 @@ def fulltext(columns: list[Column], query: str | None) -> Column | None:
 
 def clean_markdown(c: Column) -> Column:
     """Without images, figure and table lines, HTML and pipe tables; blank text is empty, else one line feed ends it."""
-    t = F.regexp_replace(c, r"(?dU)!\[.*?\]\(.*?\)\s*", "")
+    # where an opening has no end, no later one has: what is left is passed over at once
+    t = F.regexp_replace(c, r"(?dU)!\[(?>.*?\]\()(?>.*?\))\s*+|(!\[.*+)", "$1")
     t = F.regexp_replace(t, r"(?dmiuU)^(?:Figure|Fig\.)\s+S?\d+.*$", "")
-    t = F.regexp_replace(t, r"(?is)<table.*?</table>", "")
+    t = F.regexp_replace(t, r"(?is)<table(?>.*?</table>)|(<table.*+)", "$1")
     t = F.array_join(F.filter(F.split(t, "\n"), lambda line: ~F.startswith(strip(line), F.lit("|"))), "\n")
     t = F.regexp_replace(t, r"(?dmiuU)^Table\s+S?\d+.*$", "")
     t = F.concat(strip(F.regexp_replace(t, r"\n{3,}", "\n\n")), F.lit("\n"))

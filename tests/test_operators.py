@@ -1,5 +1,6 @@
 import hashlib
 import json
+import time
 import uuid
 from datetime import datetime
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from lectern.errors import ConfigError, InvalidFilter
 from lectern.functions import ids, vectors
 from lectern.functions import text as X
+from lectern.functions.references import unescape
 from lectern.jobs import Jobs
 from lectern.operators import catalog, models, retrieval
 from lectern.operators import metadata as M
@@ -106,6 +108,39 @@ def test_catalog_sorts_and_pages(spark):
     assert catalog.get_document(docs, "a").count() == 1 and catalog.get_document(docs, "x").isEmpty()
 
 
+@pytest.mark.parametrize("text,want", [("&#" + "9" * 5000 + ";x", "�x"), ("&#" + "0" * 5000 + "65;", "A"), ("&#000", "�"), ("&amp;&#x41;&eacute;&#8364", "&Aé€"), ("a & b &#; &#z", "a & b &#; &#z"), ("&#12345678", "�")])
+def test_references_of_any_length(text, want):
+    assert unescape(text) == want and M.plain_abstract(text) == M.squeeze(want)
+
+
+@pytest.mark.parametrize("text", ["10.1234/ab" + "." * 200_000 + "x", "10.1234/ab" + ")" * 200_000 + "x", "10.1234/" * 25_000, "10.1234/a" + "<" * 200_000, "10.1234/a\n" * 20_000, "10.1234/" + "A" * 200_000 + "1", "10.1234/a" + "\n" * 200_000 + "b"])
+def test_dois_in_hostile_texts_take_linear_time(text):
+    began = time.time()
+    M.find_doi(text)
+    assert time.time() - began < 2
+
+
+def test_words_that_begin_a_doi_are_joined_as_the_pattern_says():
+    import random
+    import re
+
+    rng = random.Random(1)
+    for _ in range(3000):
+        text = "".join(rng.choice(["10.1234/", "a", "\n", " ", "10.", "x/10.12345/", "\t\n"]) for _ in range(rng.randrange(14)))
+        assert M.unbroken(text) == re.sub(r"(10\.\d{4,9}/\S*)\s*\n\s*(\S+)", r"\1\2", text), repr(text)
+
+
+@pytest.mark.parametrize("piece,ends", [("![", ""), ("![](", ""), ("![", "](x) y"), ("<table", ""), ("<table", "</table>z"), (" ", "x"), ("\u2003", "x")])
+def test_cleaning_hostile_texts_takes_linear_time(spark, piece, ends):
+    text = "a" + piece * 60_000 + ends
+    df = spark.createDataFrame([(text,)], "t string")
+    began = time.time()
+    got = df.select(X.clean_markdown(F.col("t"))).first()[0]
+    assert time.time() - began < 5
+    want = {"](x) y": "ay", "</table>z": "az"}.get(ends, text.strip())
+    assert got == want + "\n"
+
+
 @pytest.mark.parametrize("raw,want", [("10.1000/abc(1).", "10.1000/abc"), ("10.1000/abc(1", "10.1000/abc"), ("10.1000/abc))", "10.1000/abc"), ("10.1000/a<b>c</b>", "10.1000/ac"), ("10.1000/ab%20c]", "10.1000/abc")])
 def test_trim_doi(raw, want):
     assert M.trim_doi(raw) == want
