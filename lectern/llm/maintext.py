@@ -13,7 +13,6 @@ whose names score too low (adverts, sharing bars, comments ...) are left out.
 
 from __future__ import annotations
 
-import html as entities
 import math
 import re
 from collections import Counter
@@ -26,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.functions.references import unescape
 from lectern.llm import markup
 from lectern.llm.labelled_pages import labelled_pages
 from lectern.llm.shared import prepare_workers, tidy
@@ -151,7 +151,7 @@ def parse(page: str, weights: Weights | None = None) -> Items:
         if what == markup.TEXT:
             if hidden:
                 continue
-            text = entities.unescape(value) if "&" in value else value
+            text = unescape(value) if "&" in value else value
             words = len(text.split())
             if words or text.isspace():
                 place = "link" if places.get("a") else "par" if not PARAGRAPHS.isdisjoint(stack[-5:]) else "plain"

@@ -11,9 +11,9 @@ the same records.  Each record is made from one row, so nothing is shuffled.
 from __future__ import annotations
 
 import base64
+import codecs
 import gzip
 import hashlib
-import html as entities
 import io
 import json
 import re
@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions.references import unescape
 from lectern.llm import markup
 from lectern.llm.shared import prepare_workers, tidy
 
@@ -46,6 +47,9 @@ LINES = frozenset(["address", "article", "aside", "blockquote", "body", "br", "c
 LINKS = {"a": ("href",), "link": ("href",), "img": ("src",), "script": ("src",), "iframe": ("src",)}
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w-]+)", re.I)
 
+#: Codings of Python's that no page is in: of names, of source text, and one that always fails.
+NO_CHARSETS = frozenset(["idna", "punycode", "undefined", "unicode-escape", "unicode_escape", "raw-unicode-escape", "raw_unicode_escape"])
+
 Headers = list[tuple[str, str]]
 
 
@@ -63,7 +67,7 @@ def read_page(page: str) -> tuple[dict, str]:
     The text is all that is visible: a line for each block, white space inside as
     one space, empty lines left out.
     """
-    one_line = lambda s: " ".join(entities.unescape(s).split())
+    one_line = lambda s: " ".join(unescape(s).split())
     title, metas, links = None, [], []
     parts: list[str] = []
     unseen = None  # the element whose end is waited for
@@ -78,7 +82,7 @@ def read_page(page: str) -> tuple[dict, str]:
             if name in LINKS:
                 found = next(((k, v) for k, v in markup.attributes(value) if k in LINKS[name]), None)
                 if found:
-                    links.append({"path": f"{name.upper()}@/{found[0]}", "url": entities.unescape(found[1])})
+                    links.append({"path": f"{name.upper()}@/{found[0]}", "url": unescape(found[1])})
             elif name == "meta":
                 held = dict(reversed(markup.attributes(value)))
                 if held.get("name") and "content" in held:
@@ -96,7 +100,7 @@ def read_page(page: str) -> tuple[dict, str]:
         elif name in LINES:
             parts.append("\0")  # which no page text has after the replacement below
     text = "".join(x if x == "\0" else x.replace("\0", " ") for x in parts)
-    text = entities.unescape(text) if "&" in text else text
+    text = unescape(text) if "&" in text else text
     lines = (" ".join(x.split()) for x in text.split("\0"))
     return {"Head": {"Title": title, "Metas": metas}, "Links": links}, "\n".join(x for x in lines if x)
 
@@ -134,29 +138,65 @@ def unchunked(payload: bytes) -> bytes:
     return b"".join([*out, payload[at:]])
 
 
-def opened(payload: bytes, http: Headers, most: int = MOST_OPENED) -> bytes | None:
-    """A payload without transfer and content codings; None if it can't be opened or would be larger than ``most``."""
+def inflated(payload: bytes, bits: int, most: int) -> tuple[bytes | None, bool]:
+    """(what is packed, whether it is whole) of all gzip members of a payload; None where it is larger than ``most``.
+
+    Bytes after the last member are passed over.  A payload that is cut off, or
+    damaged in a later member, gives what comes before.
+    """
+    out, size, at, step = [], 0, 0, 0
+    while True:
+        packed, step = zlib.decompressobj(bits), 512
+        try:
+            while not packed.eof and at < len(payload):
+                part = packed.decompress(payload[at : at + step], most + 1 - size)
+                out.append(part)
+                size += len(part)
+                if size > most:
+                    return None, False
+                at += len(payload[at : at + step]) - len(packed.unused_data)
+                step = min(2 * step, 1 << 20)  # short members are not read far beyond their ends
+        except zlib.error:
+            if len(out) == 0 or not size:
+                raise
+            return b"".join(out), False
+        if not packed.eof or not payload.startswith(b"\x1f\x8b", at):
+            return b"".join(out), packed.eof
+
+
+def opened(payload: bytes, http: Headers, most: int = MOST_OPENED) -> tuple[bytes | None, bool]:
+    """(payload without transfer and content codings, whether it is whole); None if it can't be opened or would be larger than ``most``."""
     listed = lambda name: [x.strip().lower() for k, v in http if k.lower() == name for x in v.split(",") if x.strip()]
+    whole = True
     if "chunked" in listed("transfer-encoding"):
         payload = unchunked(payload)
     for coding in reversed(listed("content-encoding")):
         if coding == "identity":
             continue
         if coding not in ("gzip", "x-gzip", "deflate"):
-            return None
+            return None, whole
         for bits in (47,) if coding != "deflate" else (47, -15):
-            packed = zlib.decompressobj(bits)
             try:
-                out = packed.decompress(payload, most + 1)
+                payload, ended = inflated(payload, bits, most)
                 break
             except zlib.error:
                 continue
         else:
-            return None
-        if len(out) > most:
-            return None
-        payload = out
-    return payload
+            return None, whole
+        if payload is None:
+            return None, whole
+        whole &= ended
+    return payload, whole
+
+
+def decoded(data: bytes, charset: str) -> str:
+    """The text of a payload; of a charset that is unknown or none of a text's, as UTF-8."""
+    try:
+        if codecs.lookup(charset).name in NO_CHARSETS:
+            charset = "utf-8"
+        return data.decode(charset, "replace")
+    except (LookupError, ValueError):  # among them UnicodeError
+        return data.decode("utf-8", "replace")
 
 
 def serialize(headers: Headers, block: bytes) -> bytes:
@@ -164,6 +204,15 @@ def serialize(headers: Headers, block: bytes) -> bytes:
     return b"".join([b"WARC/1.0\r\n", *(f"{k}: {v}\r\n".encode() for k, v in headers), b"\r\n", block, b"\r\n\r\n"])
 
 
+def _block(source: BinaryIO, size: int) -> bytes | None:
+    """So many bytes, taken as they come, as a length may say more than is there; None if there are fewer."""
+    parts = []
+    while size and (part := source.read(min(size, 1 << 20))):
+        parts.append(part)
+        size -= len(part)
+    return None if size else b"".join(parts)
+
+
 def parse(data: bytes | BinaryIO) -> Iterator[tuple[Headers, bytes]]:
     """The (headers, block) of every record of a WARC file, gzipped or not.
 
@@ -185,9 +234,9 @@ def parse(data: bytes | BinaryIO) -> Iterator[tuple[Headers, bytes]]:
                     continue
                 name, _, value = text.partition(":")
                 headers.append([name.strip(), value.strip()])
-            size = next((int(v) for k, v in headers if k.lower() == "content-length" and v.isdecimal()), 0)
-            block = source.read(size)
-            if not line or len(block) < size:
+            said = next((v for k, v in headers if k.lower() == "content-length" and re.fullmatch("[0-9]+", v)), "0").lstrip("0") or "0"
+            size = int(said) if len(said) <= 15 else -1
+            if size < 0 or not line or (block := _block(source, size)) is None:
                 return
             yield [(k, v) for k, v in headers], block
     except (EOFError, zlib.error, gzip.BadGzipFile):
@@ -240,12 +289,8 @@ def derived(headers: Headers, block: bytes) -> list[tuple[Headers, bytes]]:
     source = of.get("warc-record-id") or record_id("unnamed", digest(block))
     status, http, payload = split_http(block)
     kind = next((v for k, v in http if k.lower() == "content-type"), "").lower()
-    body = opened(payload, http)
-    charset = m[1] if (m := _CHARSET.search(kind)) else "utf-8"
-    try:
-        text = (body or b"").decode(charset, "replace")
-    except LookupError:
-        text = (body or b"").decode("utf-8", "replace")
+    body, whole = opened(payload, http)
+    text = decoded(body or b"", m[1] if (m := _CHARSET.search(kind)) else "utf-8")
     payload_digest = of.get("warc-payload-digest") or digest(payload)
     kept = [(k, of[k.lower()]) for k in ("WARC-Target-URI", "WARC-Date") if k.lower() in of]
     parts = status.split(None, 2)
@@ -253,6 +298,8 @@ def derived(headers: Headers, block: bytes) -> list[tuple[Headers, bytes]]:
     facts = {"Status": parts[1] if len(parts) > 1 else None, "Reason": parts[2] if len(parts) > 2 else None, "Headers": pairs(http), "Entity-Length": len(payload), "Entity-Digest": digest(payload)}
     if body is None:
         facts["Entity-Not-Opened"] = True
+    elif not whole:
+        facts["Entity-Cut-Off"] = True
     is_html = "html" in kind
     if is_html:
         facts["HTML-Metadata"], text = read_page(text)
@@ -271,7 +318,8 @@ def build_derivatives(responses: DataFrame, key_cols: list[str] | None = None) -
     refers_to, content_type, payload_digest (the source's), block_digest, headers
     (in order, for ``serialize``) and block.  Rows that aren't responses give
     none, nor do null headers; a null block is empty.  A payload that can't be
-    opened has a metadata record only.  Repeated rows each give their records; an
+    opened has a metadata record only; of one that is cut off, what is there is taken,
+    and the metadata record says so.  A charset that is unknown or no text's counts as UTF-8.  Repeated rows each give their records; an
     empty table gives an empty result.
     """
     prepare_workers(responses.sparkSession)

@@ -84,7 +84,7 @@ def test_what_cannot_be_opened_has_metadata_only():
     for coding in (b"br", b"gzip", b"deflate"):
         [(_, facts)] = warc.derived([("WARC-Type", "response")], http % coding)
         assert json.loads(facts)["Envelope"]["Payload-Metadata"]["HTTP-Response-Metadata"]["Entity-Not-Opened"]
-    assert warc.opened(gzip.compress(b"a" * 5000), [("Content-Encoding", "gzip")], 4999) is None
+    assert warc.opened(gzip.compress(b"a" * 5000), [("Content-Encoding", "gzip")], 4999) == (None, True)
     assert warc.unchunked(b"plain text") == b"plain text"
 
 
@@ -99,6 +99,70 @@ def test_plain_text(page, want):
     assert warc.plain_text(page) == want
 
 
+def http_response(body, *headers):
+    return b"HTTP/1.1 200 OK\r\n" + b"".join(h.encode() + b"\r\n" for h in headers) + b"\r\n" + body
+
+
+def made_of(body, *headers):
+    """(facts, text) of a response's derived records."""
+    made = warc.derived([("WARC-Type", "response"), ("WARC-Record-ID", "<x>")], http_response(body, *headers))
+    facts = json.loads(made[0][1])["Envelope"]["Payload-Metadata"]["HTTP-Response-Metadata"]
+    return facts, made[1][1].decode() if len(made) > 1 else None
+
+
+def test_gzip_members_and_cut_payloads():
+    packed = lambda *parts: b"".join(gzip.compress(p) for p in parts)
+    plain = "Content-Type: text/plain"
+    coded = (plain, "Content-Encoding: gzip")
+    facts, text = made_of(packed(b"aaa", b"", b"bbb") + b"\0\0\0", *coded)
+    assert text == "aaabbb" and "Entity-Cut-Off" not in facts
+    long = packed(bytes(range(256)) * 3000)
+    facts, text = made_of(long[: len(long) // 2], *coded)
+    assert facts["Entity-Cut-Off"] and text
+    damaged = packed(b"aaa") + packed(b"b" * 3000)[:15] + b"\xff" * 40
+    assert made_of(damaged, *coded)[0]["Entity-Cut-Off"] and made_of(damaged, *coded)[1].startswith("aaa")
+    assert made_of(b"no gzip at all", *coded)[0]["Entity-Not-Opened"]
+    many = packed(b"x") * 60_000
+    began = time.time()
+    assert warc.opened(many, [("Content-Encoding", "gzip")])[0] == b"x" * 60_000 and time.time() - began < 8
+    assert warc.opened(many, [("Content-Encoding", "gzip")], 59_999)[0] is None and warc.opened(many, [("Content-Encoding", "gzip")], 60_000)[1]
+    raw = zlib.compressobj(wbits=-15)
+    assert made_of(raw.compress(b"raw") + raw.flush(), plain, "Content-Encoding: deflate")[1] == "raw"
+
+
+@pytest.mark.parametrize("charset", ["undefined", "idna", "punycode", "unicode_escape", "hex", "rot13", "nothing", "utf-99", "é", "mbcs"])
+def test_odd_charsets_count_as_utf_8(charset):
+    assert made_of("é\\ud800".encode(), f"Content-Type: text/plain; charset={charset}")[1] == "é\\ud800"
+
+
+@pytest.mark.parametrize("charset", ["latin-1", "windows-1252", "utf-16", "shift_jis", "utf-7"])
+def test_charsets_of_texts(charset):
+    assert made_of("abc".encode(charset), f"Content-Type: text/plain; charset={charset}")[1] == "abc"
+
+
+@pytest.mark.parametrize("length", ["9" * 14, "9" * 20, "9" * 5000, "٣", "-3", "1e3"])
+def test_lengths_beyond_what_is_there_end_a_file(length):
+    whole = warc.serialize([("WARC-Type", "response"), ("Content-Length", "3")], b"abc")
+    odd = f"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: {length}\r\n\r\nabc\r\n\r\n".encode()
+    found = [b for _, b in warc.parse(whole + odd)]
+    assert found[0] == b"abc" and found[1:] in ([], [b""])  # a length that is no number is none
+    assert [b for _, b in warc.parse(warc.serialize([("Content-Length", "0003")], b"abc"))] == [b"abc"]
+
+
+HOSTILE_PAGES = ["<p>a &#" + "9" * 5000 + "; b", "<title>&#" + "0" * 5000 + "65;</title><p>&#" + "0" * 5000 + "66", "<p>&#x" + "f" * 9000 + ";", "<meta name=a content='&#" + "8" * 6000 + "'>", "<a href='/?&#" + "7" * 6000 + "'>x</a>"]
+
+
+def test_pages_with_endless_references_stop_no_job(spark):
+    from lectern.llm import maintext
+
+    pages = spark.createDataFrame([*enumerate([f"http://a.example/{i}" for i in range(len(HOSTILE_PAGES))])], "page_id int, url string")
+    pages = pages.join(spark.createDataFrame([*enumerate(HOSTILE_PAGES)], "page_id int, html string"), "page_id")
+    made = warc.build_derivatives(warc.responses_of_pages(pages), ["page_id"]).where("type = 'conversion'").collect()
+    said = {r.key.page_id: bytes(r.block).decode() for r in made}
+    assert said[0] == "a � b" and said[1] == "B" and said[2] == "�" and len(said) == len(HOSTILE_PAGES)
+    assert maintext.extract(pages).count() == len(HOSTILE_PAGES)
+
+
 HOSTILE = ['<meta name=a "', "<title>", "<a ", '<a ">" ', "<a '\">", "<script>x</script", "<head>", "<svg>", "<!--", "</", "<a href=", "&#", "a=\"'", "<meta " + "\t" * 9, "<p " + "x=" * 9]
 
 
