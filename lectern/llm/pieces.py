@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import codecs
 import re
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
@@ -38,7 +39,7 @@ from lectern.llm.shared import prepare_workers, tidy
 #: The sign that stands for a space.
 SPACE = "▁"
 #: What a worker keeps: cuts of so many characters at most, so many of them, and so many answers on neighbours.
-LONGEST_KEPT, MOST_KEPT, MOST_ANSWERS = 64, 300_000, 400_000
+LONGEST_KEPT, MOST_KEPT, MOST_ANSWERS = 64, 500_000, 1_000_000
 
 
 def best_pair(parts: list[str], score: dict[str, float]) -> int | None:
@@ -71,11 +72,12 @@ class Vocabulary:
     silent: frozenset[int]  # ids that decode to nothing
     reached: list[str]  # pieces that the merge procedure makes of their own text
     _made: dict = field(default_factory=dict, repr=False)
+    _characters: dict = field(default_factory=dict, repr=False)
     _answers: dict = field(default_factory=dict, repr=False)
     _kept: dict = field(default_factory=dict, repr=False)
 
     def __getstate__(self):
-        return {k: self.__dict__[k] for k in ("pieces", "score", "ids", "byte_ids", "unknown", "silent", "reached")} | {"_made": {}, "_answers": {}, "_kept": {}}
+        return {k: self.__dict__[k] for k in ("pieces", "score", "ids", "byte_ids", "unknown", "silent", "reached")} | {"_made": {}, "_characters": {}, "_answers": {}, "_kept": {}}
 
     # --- cutting
 
@@ -89,23 +91,40 @@ class Vocabulary:
         ways = (f"{SPACE}*[^\\W\\d_{odd}]+|{SPACE}*(?:[^\\w{SPACE}{alone}]|[_{odd}])+|{SPACE}+|\\d|[{alone}]+", f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+|[{alone}]+", "(?s).+")
         return next(w for w in map(re.compile, ways) if all(w.fullmatch(p) and w.match(p).end() == len(p) for p in self.score))
 
-    # --- encoding
+    # --- encoding: pieces and characters that are none are numbers here, in order of first use for the latter
+
+    @cached_property
+    def _texts(self) -> list[str]:
+        return list(self.reached)
+
+    @cached_property
+    def _sizes(self) -> list[int]:
+        return [len(p) for p in self._texts]
 
     @cached_property
     def _automaton(self):
         import ahocorasick
 
         a = ahocorasick.Automaton()
-        for p in self.reached:
-            a.add_word(p, len(p))
+        for i, p in enumerate(self.reached):
+            a.add_word(p, i)
         a.make_automaton()
         return a
 
     @cached_property
-    def _shorter(self) -> dict[str, str]:
-        """The longest piece that begins another one; a character at last, whether it is a piece or not."""
-        known = set(self.reached)
-        return {p: next((p[:n] for n in range(len(p) - 1, 1, -1) if p[:n] in known), p[0]) for p in self.reached if len(p) > 1}
+    def _shorter(self) -> list[int | None]:
+        """For each piece the longest one that begins it; a character at last, whether it is a piece or not."""
+        known = {p: i for i, p in enumerate(self.reached)}
+        return [next((known[p[:n]] for n in range(len(p) - 1, 0, -1) if p[:n] in known), None if len(p) == 1 else self._character(p[0])) for p in self.reached]
+
+    def _character(self, c: str) -> int:
+        """The number of a character that is no piece."""
+        held = self._characters.get(c)
+        if held is None:
+            held = self._characters[c] = len(self._texts)
+            self._texts.append(c)
+            self._sizes.append(1)
+        return held
 
     def _steps(self, piece: str) -> tuple[list[float | None], list[str], list[str]]:
         """How a piece comes about: the score of each joining in it, then none, and its first and last part before each."""
@@ -122,22 +141,16 @@ class Vocabulary:
         return held
 
     def fit(self, a: str, b: str) -> bool:
-        """Whether two neighbours, put together and merged anew, give these two again; answers are kept."""
-        if len(self._answers) >= MOST_ANSWERS:
-            self._answers.clear()
-        answer = self._answers[a, b] = self._fit(a, b)
-        return answer
-
-    def _fit(self, a: str, b: str) -> bool:
-        """The two are put together and merged anew, as far as it takes to see what happens at their border.
+        """Whether two neighbours, put together and merged anew, give these two again.
 
         Each comes about as it does alone until a joining across their border is better
-        than the next one in the left, and no worse than the next one in the right.
+        than the next one in the left, and no worse than the next one in the right; so
+        the merging is followed no further than it takes to see that.
         """
         (left, _, last), (right, first, _) = self._steps(a), self._steps(b)
-        i = j = 0
+        score, i, j = self.score, 0, 0
         while True:
-            across, in_a, in_b = self.score.get(last[i] + first[j]), left[i], right[j]
+            across, in_a, in_b = score.get(last[i] + first[j]), left[i], right[j]
             if across is not None and (in_a is None or across > in_a) and (in_b is None or across >= in_b):
                 return False
             if in_b is None or in_a is not None and in_a >= in_b:
@@ -147,66 +160,86 @@ class Vocabulary:
             else:
                 j += 1
 
-    def split(self, text: str) -> list[str]:
-        """The pieces and unknown characters of a text that isn't empty."""
-        longest = [1] * len(text)
-        for end, n in self._automaton.iter(text):  # shorter ones at a place end earlier
-            longest[end - n + 1] = n
-        failed = bytearray(len(text) // 8 + 1)
-        out: list[str] = []
-        at, shorter, fit, answers = 0, self._shorter, self.fit, self._answers
-        piece: str | None = text[: longest[0]]
+    def split(self, text: str) -> list[int]:
+        """Numbers of the pieces and unknown characters of a text that isn't empty."""
+        shorter, sizes, answers, texts = self._shorter, self._sizes, self._answers, self._texts
+        longest: list[int | None] = [None] * len(text)
+        for end, t in self._automaton.iter(text):  # shorter ones at a place end earlier
+            longest[end - sizes[t] + 1] = t
+        if None in longest:
+            longest = [self._character(c) if t is None else t for t, c in zip(longest, text, strict=True)]
+        pieces, stop, at, before = len(shorter), len(text), 0, -1
+        failed: bytearray | None = None  # a bit a place at which no piece ends
+        out: list[int] = []
+        t: int | None = longest[0]
         while True:
-            while piece is not None:
-                end = at + len(piece)
-                if not failed[end >> 3] >> (end & 7) & 1:
-                    if not out:
+            while t is not None:
+                end = at + sizes[t]
+                if failed is None or not failed[end >> 3] >> (end & 7) & 1:
+                    if before < 0:
                         break
-                    fits = answers.get((out[-1], piece))
-                    if fits or fits is None and fit(out[-1], piece):
+                    pair = before << 21 | t  # a number is below that of all characters and pieces
+                    fits = answers.get(pair)
+                    if fits is None:
+                        if len(answers) >= MOST_ANSWERS:
+                            answers.clear()
+                        fits = answers[pair] = self.fit(texts[before], texts[t])
+                    if fits:
                         break
-                piece = shorter.get(piece)
-            if piece is None:
-                if not out:
-                    raise RuntimeError("the merge procedure has no result")  # it always has one
-                failed[at >> 3] |= 1 << (at & 7)
-                last = out.pop()
-                at -= len(last)
-                piece = shorter.get(last)
+                t = shorter[t] if t < pieces else None
+            if t is not None:
+                out.append(t)
+                if end == stop:
+                    return out
+                at, before = end, t
+                t = longest[at]
                 continue
-            out.append(piece)
-            at = end
-            if at == len(text):
-                return out
-            piece = text[at : at + longest[at]]
+            if before < 0:
+                raise RuntimeError("the merge procedure has no result")  # it always has one
+            failed = failed or bytearray(stop // 8 + 1)
+            failed[at >> 3] |= 1 << (at & 7)
+            last = out.pop()
+            at -= sizes[last]
+            before = out[-1] if out else -1
+            t = shorter[last] if last < pieces else None
+
+    @cached_property
+    def _coded(self) -> list[int]:
+        return [self.ids[p] for p in self.reached]
 
     def ids_of(self, part: str) -> list[int]:
         """Ids of a part; a character that is no piece goes byte by byte."""
+        coded = self._coded
+        found = self.split(part)
+        if max(found) < len(coded):
+            return [coded[t] for t in found]
         out: list[int] = []
-        for p in self.split(part):
-            if (i := self.ids.get(p)) is not None:
-                out.append(i)
+        for t in found:
+            if t < len(coded):
+                out.append(coded[t])
             else:
-                out += [self.byte_ids[b] for b in p.encode()] if self.byte_ids else [self.unknown]
+                out += [self.byte_ids[b] for b in self._texts[t].encode()] if self.byte_ids else [self.unknown]
         return out
 
+    def _packed(self, part: str) -> bytes:
+        """The ids of a part, four bytes each; those of a short one are kept."""
+        ids = self.ids_of(part)
+        held = struct.pack(f"<{len(ids)}i", *ids)
+        if len(part) <= LONGEST_KEPT:
+            if len(self._kept) >= MOST_KEPT:
+                self._kept.clear()
+            self._kept[part] = held
+        return held
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, bounds of each text's)."""
-        found, ids = self.cuts.findall, []
+        cut, kept, packed, out = self.cuts.findall, self._kept.get, self._packed, []
         bounds = np.zeros(len(texts) + 1, np.int64)
         for i, text in enumerate(texts):
             if text:
-                for part in found(SPACE + text.replace(" ", SPACE)):
-                    held = self._kept.get(part)
-                    if held is None:
-                        held = self.ids_of(part)
-                        if len(part) <= LONGEST_KEPT:
-                            if len(self._kept) >= MOST_KEPT:
-                                self._kept.clear()
-                            self._kept[part] = held
-                    ids += held
-            bounds[i + 1] = len(ids)
-        return np.array(ids, np.int32), bounds
+                out.append(b"".join([kept(p) or packed(p) for p in cut(SPACE + text.replace(" ", SPACE))]))
+                bounds[i + 1] = len(out[-1]) // 4
+        return np.frombuffer(b"".join(out), "<i4"), np.cumsum(bounds)
 
     # --- decoding
 
