@@ -26,6 +26,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from lectern.errors import InvalidFilter
 from lectern.functions.vectors import dot, norm
+from lectern.operators.cells import Cells
 from lectern.operators.models import in_batches
 
 FIELDS = ("doc_id", "section", "doi", "journal", "title", "first_author", "year", "added_after")
@@ -106,48 +107,83 @@ def nearest(points: DataFrame, query: list[float], k: int, id_col: str = "point_
     return points.select(id_col, score.alias("embed_score")).where("embed_score IS NOT NULL").orderBy(F.desc("embed_score"), id_col).limit(k)
 
 
-def coarse_candidates(points: DataFrame, query: list[float], k: int, id_col: str = "point_id", coarse_col: str = "coarse") -> list:
-    """Ids of all points that may be among the k nearest, by coarse vectors (``vectors.coarse``).
+def coarse_scores(points: DataFrame, query: list[float], k: int, id_col: str, coarse_col: str, most: int, least: float | None = None, packed_col: str | None = None) -> DataFrame:
+    """(id, score, error) by coarse vectors, of each task those rows that may be among its k nearest, ``most`` and one at most.
 
-    A score by coarse vectors is off by the rounding of its numbers, whose
-    standard deviation is step * |query| / sqrt(12).  A task keeps what lies
-    within six of both sides of its k-th score; so does the merge.
+    A score by coarse vectors is off by the rounding of its numbers, whose standard
+    deviation is step * |query| / sqrt(12); ``error`` is six times that.  With ``least`` and
+    ``packed_col`` the rows whose score and error reach ``least`` are scored by their packed vectors instead,
+    however many they are, and the k best of each batch are given.
     """
     q = np.asarray(query, np.float64)
-    size = float(np.sqrt(q @ q))
-    if not size:
-        return []
-    unit = (q / size).astype(np.float32)
+    unit = (q / np.sqrt(q @ q)).astype(np.float32)
+    wide = len(unit) + 4
     id_arrow = to_arrow_type(points.schema[id_col].dataType)
 
     def kept(scores: np.ndarray, errors: np.ndarray) -> np.ndarray:
         if len(scores) <= k:
             return np.arange(len(scores))
-        return np.flatnonzero(scores + errors >= np.partition(scores - errors, -k)[-k])
+        some = np.flatnonzero(scores + errors >= np.partition(scores - errors, -k)[-k])
+        if len(some) > most + 1:
+            some = some[np.argpartition(-(scores + errors)[some], most)[: most + 1]]
+        return some
+
+    def scored(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        column = batch.column(1)
+        first = int(np.frombuffer(column.buffers()[1], np.int32)[column.offset])
+        rows = np.frombuffer(column.buffers()[2], np.uint8, len(batch) * wide, first).reshape(len(batch), wide)
+        step = np.ascontiguousarray(rows[:, -4:]).view("<f4")[:, 0].astype(np.float64)
+        return (rows[:, :-4].view(np.int8).astype(np.float32) @ unit).astype(np.float64) * step, 6 * step / math.sqrt(12) + 1e-6
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
+        ids, scores, errors = [np.zeros(0, object)], np.zeros(0), np.zeros(0)
         for batch in batches:
-            batch = batch.filter(pc.equal(pc.binary_length(batch.column(1)), len(unit) + 4))
+            batch = batch.filter(pc.equal(pc.binary_length(batch.column(1)), wide))
             if not len(batch):
                 continue
-            column, wide = batch.column(1), len(unit) + 4
-            first = int(np.frombuffer(column.buffers()[1], np.int32)[column.offset])
-            rows = np.frombuffer(column.buffers()[2], np.uint8, len(batch) * wide, first).reshape(len(batch), wide)
-            step = np.ascontiguousarray(rows[:, -4:]).view("<f4")[:, 0]
-            scores = (rows[:, :-4].view(np.int8).astype(np.float32) @ unit).astype(np.float64) * step
-            errors = 6 * step.astype(np.float64) / math.sqrt(12) + 1e-6
-            some = kept(scores, errors)
-            held.append((batch.column(0).take(pa.array(some)).to_numpy(zero_copy_only=False), scores[some], errors[some]))
-        if held:
-            ids, scores, errors = (np.concatenate(x) for x in zip(*held, strict=True))
+            s, e = scored(batch)
+            if packed_col:
+                some = np.flatnonzero(s + e >= least)
+                exact = packed_scores(batch.column(2).take(pa.array(some)).to_pylist(), query) if len(some) else np.zeros(0)
+                names = np.array(batch.column(0).take(pa.array(some)).to_pylist(), object)
+                top = _top(exact, names, k)
+                yield _rows(names[top], exact[top], np.zeros(len(top)))
+                continue
+            some = kept(s, e)
+            ids.append(np.array(batch.column(0).take(pa.array(some)).to_pylist(), object))
+            scores, errors = np.concatenate([scores, s[some]]), np.concatenate([errors, e[some]])
+            if len(scores) > 4 * (most + 1):
+                some, ids = kept(scores, errors), [np.concatenate(ids)]
+                ids, scores, errors = [ids[0][some]], scores[some], errors[some]
+        if len(scores):
             some = kept(scores, errors)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[some], id_arrow), pa.array(scores[some]), pa.array(errors[some])], names=["id", "score", "error"])
+            yield _rows(np.concatenate(ids)[some], scores[some], errors[some])
+
+    def _rows(ids: np.ndarray, scores: np.ndarray, errors: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids.tolist(), id_arrow), pa.array(scores), pa.array(errors)], names=["id", "score", "error"])
+
+    columns = [F.col(id_col).alias("id"), F.col(coarse_col).alias("v"), *([F.col(packed_col).alias("p")] if packed_col else [])]
+    return points.select(*columns).mapInArrow(each, f"id {points.schema[id_col].dataType.simpleString()}, score double, error double")
 
-    id_type = points.schema[id_col].dataType.simpleString()
-    found = points.select(F.col(id_col).alias("id"), F.col(coarse_col).alias("v")).mapInArrow(each, f"id {id_type}, score double, error double").toArrow()
-    some = kept(found.column("score").to_numpy(), found.column("error").to_numpy())
-    return found.column("id").take(pa.array(some)).to_pylist()
+
+#: Points that come into question after the coarse step and are fetched to the driver at most; of more, only the k best are.
+MOST_CANDIDATES = 2000
+
+
+def coarse_candidates(points: DataFrame, query: list[float], k: int, id_col: str = "point_id", coarse_col: str = "coarse", most: int = MOST_CANDIDATES) -> tuple[list, float, bool]:
+    """(ids of points that may be among the k nearest, the score they have at least, whether these are all).
+
+    No more than ``most`` leave a task or come to the driver, those of the highest
+    scores.  Where equal or nearly equal vectors are more than that, the flag says so.
+    """
+    found = coarse_scores(points, query, k, id_col, coarse_col, most)
+    top = found.orderBy(F.desc(F.col("score") + F.col("error")), "id").limit(most + 1).toArrow()
+    scores, errors = top.column("score").to_numpy(), top.column("error").to_numpy()
+    if len(scores) <= k:
+        return top.column("id").to_pylist(), -math.inf, True
+    least = float(np.partition(scores - errors, -k)[-k])
+    some = np.flatnonzero(scores + errors >= least)
+    return top.column("id").take(pa.array(some)).to_pylist(), least, len(some) <= most
 
 
 def packed_scores(vectors: list[bytes], query: list[float]) -> np.ndarray:
@@ -157,22 +193,40 @@ def packed_scores(vectors: list[bytes], query: list[float]) -> np.ndarray:
     return x @ (q / np.sqrt(q @ q))
 
 
-def nearest_packed(points: DataFrame, query: list[float], k: int, id_col: str = "point_id", packed_col: str = "packed", coarse_col: str = "coarse") -> DataFrame:
+def nearest_packed(points: DataFrame, query: list[float], k: int, id_col: str = "point_id", packed_col: str = "packed", coarse_col: str = "coarse", most: int = MOST_CANDIDATES) -> DataFrame:
     """(id, embed_score): like ``nearest``, in two steps.
 
     Coarse vectors, a quarter of the bytes, say which points come into question;
-    only these are scored by their packed vectors.
+    only these are scored by their packed vectors.  Where they are too many to be named,
+    as many equal vectors are, each batch of points is scored where it lies.  A point of the k is missed
+    only if its rounding errors add up to over six standard deviations, about one in a billion.
     """
-    wanted = coarse_candidates(points, query, k, id_col, coarse_col)
+    if not np.any(query):
+        return points.select(F.col(id_col), F.lit(0.0).alias("embed_score")).limit(0)
+    wanted, least, all_named = coarse_candidates(points, query, k, id_col, coarse_col, most)
+    if all_named:
+        found = nearest_of(points, wanted, query, k, id_col, packed_col)
+    else:
+        found = nearest_reaching(points, least, query, k, id_col, packed_col, coarse_col)
+    return found.withColumnRenamed("id", id_col)
+
+
+def nearest_of(points: DataFrame, ids: list, query: list[float], k: int, id_col: str = "point_id", packed_col: str = "packed") -> DataFrame:
+    """(id, embed_score): the k nearest of the points with these ids, by packed vectors."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed_scores(batch.column(1).to_pylist(), query))], names=["id", "embed_score"])
 
-    rows = points.where(one_of(id_col, wanted)).select(F.col(id_col).alias("id"), F.col(packed_col).alias("v"))
-    found = rows.mapInArrow(each, f"id {points.schema[id_col].dataType.simpleString()}, embed_score double")
-    return found.orderBy(F.desc("embed_score"), "id").limit(k).withColumnRenamed("id", id_col)
+    rows = points.where(one_of(id_col, ids)).select(F.col(id_col).alias("id"), F.col(packed_col).alias("v"))
+    return rows.mapInArrow(each, f"id {points.schema[id_col].dataType.simpleString()}, embed_score double").orderBy(F.desc("embed_score"), "id").limit(k)
+
+
+def nearest_reaching(points: DataFrame, least: float, query: list[float], k: int, id_col: str = "point_id", packed_col: str = "packed", coarse_col: str = "coarse") -> DataFrame:
+    """(id, embed_score): the k nearest of the points whose coarse score may reach ``least``, however many."""
+    found = coarse_scores(points, query, k, id_col, coarse_col, MOST_CANDIDATES, least, packed_col)
+    return found.select("id", F.col("score").alias("embed_score")).orderBy(F.desc("embed_score"), "id").limit(k)
 
 
 #: Cells that a search over cells looks into, unless said otherwise.
@@ -199,8 +253,12 @@ def cell_of(vectors: Column, centres: np.ndarray) -> Column:
     """The number of each vector's nearest centre; -1 for zero vectors and null."""
 
     def each(parts: pd.Series) -> pd.Series:
-        found = [-1 if v is None or not np.any(v) else int((centres @ np.asarray(v, np.float64)).argmax()) for v in parts]
-        return pd.Series(found, dtype="int32")
+        out = np.full(len(parts), -1, np.int32)
+        good = np.flatnonzero([v is not None and len(v) == centres.shape[1] for v in parts])
+        if len(good):
+            x = np.stack(parts.iloc[good].to_list()).astype(np.float64)
+            out[good] = np.where(np.any(x, axis=1), (x @ centres.T).argmax(axis=1), -1)
+        return pd.Series(out)
 
     return F.pandas_udf(each, "int")(vectors)
 
@@ -305,12 +363,52 @@ class Outcome:
 
 @dataclass
 class Searcher:
-    """Chunk search over a table of points with injected models."""
+    """Chunk search over a table of points with injected models.
+
+    With ``cells`` a search looks into the ``probes`` cells nearest to its query (as
+    many as were measured to be enough, unless said), twice as many if it has a
+    filter, and into all others if these hold too few points.
+    """
 
     points: DataFrame
     embed_query: Callable[[str], list[float]]
     score: Callable[[str, list[str]], list[float]]
     clock: Callable[[], float] = field(default=time.perf_counter)
+    cells: Cells | None = None
+    probes: int | None = None
+
+    def _nearest(self, points: DataFrame, vector: list[float], size: int) -> list[tuple[str, float, dict]]:
+        """(id, cosine, payload) of the nearest points."""
+        if not np.any(vector):
+            return []
+        fetched = lambda ids, *less: {r.point_id: r.asDict() for r in points.where(one_of("point_id", ids)).drop("embedding", "norm", "coarse", *less).collect()} if ids else {}
+        if "coarse" not in points.columns:
+            found = [(r.point_id, r.embed_score) for r in nearest(points, vector, size, norm_col="norm" if "norm" in points.columns else None).collect()]
+        else:
+            wanted, least, all_named = coarse_candidates(points, vector, size)
+            if all_named and len(wanted) <= 8 * size:
+                # these few are scored from what is fetched anyway
+                payload = fetched(wanted)
+                scores = packed_scores([p.pop("packed") for p in payload.values()], vector).tolist() if payload else []
+                return sorted(((i, s, payload[i]) for i, s in zip(payload, scores, strict=True)), key=lambda x: (-x[1], x[0]))[:size]
+            if all_named:
+                exact = nearest_of(points, wanted, vector, size)
+            else:
+                exact = nearest_reaching(points, least, vector, size)
+            found = [(r["id"], r.embed_score) for r in exact.collect()]
+        payload = fetched([i for i, _ in found], *(["packed"] if "packed" in points.columns else []))
+        return [(i, s, payload[i]) for i, s in found]
+
+    def _pool(self, vector: list[float], size: int, asked: dict | None) -> list[tuple[str, float, dict]]:
+        kept = self.points.where(compile_filter(asked))
+        if self.cells is None or len(self.cells.numbers) == 1:
+            return self._nearest(kept, vector, size)
+        order = self.cells.near(vector)
+        n = (self.probes or self.cells.probes) * (2 if asked else 1)
+        found = self._nearest(kept.where(F.col("cell").isin(order[:n])), vector, size)
+        if len(found) < size and n < len(order):
+            found = sorted(found + self._nearest(kept.where(F.col("cell").isin(order[n:])), vector, size), key=lambda x: (-x[1], x[0]))[:size]
+        return found
 
     def search(self, query: str, top_k: int = 10, min_score: float | None = None, metadata_filter: dict | None = None) -> Outcome:
         if not query or not 1 <= top_k <= 50 or min_score is not None and not 0 <= min_score <= 1:
@@ -318,28 +416,13 @@ class Searcher:
         marks = [self.clock()]
         vector = self.embed_query(query)
         marks.append(self.clock())
-        size = pool_size(top_k)
-        kept = self.points.where(compile_filter(metadata_filter))
-        coarse = "coarse" in self.points.columns
-        if coarse:
-            wanted = coarse_candidates(kept, vector, size)
-        else:
-            exact = nearest(kept, vector, size, norm_col="norm" if "norm" in self.points.columns else None).collect()
-            wanted = [r.point_id for r in exact]
-        # the payload of the few that come into question
-        payload = {r.point_id: r.asDict() for r in self.points.where(one_of("point_id", wanted)).drop("embedding", "norm", "coarse").collect()} if wanted else {}
-        if coarse:
-            packed = [p.pop("packed") for p in payload.values()]
-            scored = zip(payload, packed_scores(packed, vector).tolist() if packed else (), strict=True)
-            pool = sorted(scored, key=lambda x: (-x[1], x[0]))[:size]
-        else:
-            pool = [(r.point_id, r.embed_score) for r in exact]
+        pool = self._pool(vector, pool_size(top_k), metadata_filter)
         millis = lambda a, b: round((b - a) * 1000, 3)
         marks.append(self.clock())
         timings = {"embed_ms": millis(*marks[:2]), "search_ms": millis(*marks[1:3]), "rerank_ms": 0.0}
         if not pool:
             return Outcome([], timings)
-        rows = [{"content": (p := payload.get(i, {})).get("content") or "", "metadata": p, "embed_score": score, "rerank_score": None} for i, score in pool]
+        rows = [{"content": p.get("content") or "", "metadata": {k: v for k, v in p.items() if k != "cell"}, "embed_score": score, "rerank_score": None} for _, score, p in pool]
         warning = None
         start = self.clock()
         try:
