@@ -36,10 +36,15 @@ def list_documents(documents: DataFrame, sort: str = "added", page: int = 1, pag
     return paged(documents, [how(column), F.asc("doc_id")], page, page_size).select(*ROW)
 
 
+def searched_fields() -> list[Column]:
+    """What a full-text query looks into."""
+    return [F.col("title"), F.col("abstract"), F.array_join(F.col("keywords"), " ")]
+
+
 def search_filter(query: str | None = None, title: str | None = None, authors: str | None = None, journal: str | None = None, year_from: int | None = None, year_to: int | None = None) -> Column:
     """The conjunction of what is asked for; empty texts ask for nothing, a zero year bounds."""
     parts = []
-    if query and (c := fulltext([F.col("title"), F.col("abstract"), F.array_join(F.col("keywords"), " ")], query)) is not None:
+    if query and (c := fulltext(searched_fields(), query)) is not None:
         parts.append(c)
     if title:
         parts.append(contains_ci(F.col("title"), title))

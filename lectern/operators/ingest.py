@@ -14,7 +14,9 @@ from lectern.functions.ids import doc_id, point_id
 from lectern.functions.text import clean_markdown
 from lectern.functions.vectors import coarse, norm, packed
 from lectern.operators.annotate import annotate, outline
+from lectern.operators.catalog import searched_fields
 from lectern.operators.chunk import ChunkConfig, chunk
+from lectern.operators.grams import gram_rows
 from lectern.operators.metadata import cascade, enrich_abstracts
 from lectern.operators.models import Embedder, HashingEmbedder, embed_column
 
@@ -79,5 +81,5 @@ def tables_of(documents: DataFrame, recipe: Recipe, keep: Callable[[DataFrame, s
     payload = documents.select("doc_id", "title", F.lower("title").alias("title_norm"), "year", empty("journal").alias("journal"), F.lower(empty("journal")).alias("journal_norm"), "first_author", F.lower("first_author").alias("first_author_norm"), "author_count", empty("doi").alias("doi"), "source_file", "content_hash", F.date_format("added_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("added_at"), (F.unix_micros("added_at") / 1e6).alias("added_ts"))
     points = keep(chunks.join(payload, "doc_id").withColumn("point_id", point_id(F.col("doc_id"), F.col("chunk_index"))).withColumn("norm", norm(F.col("embedding"))).withColumn("packed", packed(F.col("embedding"))).withColumn("coarse", coarse(F.col("packed"))), "points")
     failed = annotated.where("error IS NOT NULL").select("doc_id", "error").unionByName(points.where("embedding IS NULL").select("doc_id", F.lit("embed: the model failed on a chunk").alias("error")).distinct())
-    tables = {"documents": documents, "points": points, "doc_text": cleaned.select("doc_id", F.col("cleaned").alias("full_text")), "doc_sections": outline(annotated.where("error IS NULL"))}
+    tables = {"documents": documents, "points": points, "doc_text": cleaned.select("doc_id", F.col("cleaned").alias("full_text")), "doc_sections": outline(annotated.where("error IS NULL")), "grams": gram_rows(documents, searched_fields())}
     return {name: df.join(failed.select("doc_id"), "doc_id", "left_anti") for name, df in tables.items()}, failed

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import ids, vectors
 from lectern.functions import text as X
-from lectern.operators import catalog, retrieval
+from lectern.operators import catalog, grams, retrieval
 from lectern.operators.annotate import annotate, block_rows, histograms, outline
 from lectern.operators.chunk import ChunkConfig, chunk
 from lectern.operators.ingest import point_id
@@ -492,3 +492,20 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool = retrieval.nearest(points, first_vector(spark, sf_dir), 50, "vec_id").join(points.select("vec_id", "content"), "vec_id")
     ranked = pool.withColumn("rerank_score", F.length("content") / 800.0)
     return retrieval.rerank(ranked, 10, id_col="vec_id").select("vec_id", "embed_score", "rerank_score", F.substring("content", 1, 80).alias("begins"))
+
+
+@query(ORACLES["q06_search_fulltext"])
+def q52_search_fulltext_index(spark, sf_dir):
+    """The rows of q06 by way of a trigram index: lists intersected, then a left-semi join."""
+    fields = [F.col("text"), F.col("source")]
+    docs = table(spark, sf_dir, "documents")
+    index = grams.build(spark, docs, fields, f"{shared_folder(spark)}/grams-{uuid.uuid4().hex}")
+    return grams.search(docs, fields, index, 'The "SRC1" of').select("doc_id", "source")
+
+
+@query("SELECT doc_id, source FROM documents WHERE contains(lower(text), 'tion') AND contains(lower(source), 'rc2') OR contains(lower(source), 'tion') AND contains(lower(text), 'rc2') OR contains(lower(text), 'tion') AND contains(lower(text), 'rc2')")
+def q53_search_fulltext_index_rare(spark, sf_dir):
+    fields = [F.col("text"), F.col("source")]
+    docs = table(spark, sf_dir, "documents")
+    index = grams.build(spark, docs, fields, f"{shared_folder(spark)}/grams-{uuid.uuid4().hex}")
+    return grams.search(docs, fields, index, "TION rc2").select("doc_id", "source")

@@ -17,13 +17,19 @@ GRAMS = "gram string, field int, doc_id string"
 
 
 class Table(NamedTuple):
-    """``key``: by what rows are replaced and removed; ``order``: how rows lie in files; ``cell``: the column of folders; ``looked_up``: columns with Bloom filters."""
+    """A table's columns and how it is stored.
+
+    ``key``: by what rows are replaced and removed; ``order``: how rows lie in files;
+    ``looked_up``: columns with Bloom filters; ``cell``: the column of folders;
+    ``leader``: a table with a row for each key, which says what keys are there.
+    """
 
     schema: str
     key: str
     order: tuple[str, ...]
     looked_up: tuple[str, ...]
     cell: str | None = None
+    leader: str | None = None
 
 
 #: Tables of a knowledge base by name.
@@ -33,5 +39,5 @@ TABLES = {
     "doc_text": Table(DOC_TEXT, "doc_id", ("doc_id",), ("doc_id",)),
     "doc_sections": Table(DOC_SECTIONS, "doc_id", ("doc_id", "ord"), ("doc_id",)),
     "parse_cache": Table(PARSE_CACHE, "content_hash", ("content_hash",), ("content_hash",)),
-    "grams": Table(GRAMS, "doc_id", ("gram", "doc_id"), ("doc_id",)),
+    "grams": Table(GRAMS, "doc_id", ("gram", "doc_id"), ("gram",), leader="documents"),
 }

@@ -284,7 +284,8 @@ class Store:
         before = json.loads(json.dumps(manifest))
         manifest["number"] += 1
         number, added, removed = manifest["number"], dict(added or {}), removed or {}
-        for table in {**added, **removed}:
+        gone_now: dict[str, dict | None] = {}
+        for table in sorted({**added, **removed}, key=lambda t: TABLES[t].leader is not None):
             of = TABLES[table]
             held = manifest["tables"].setdefault(table, {"rows": [], "gone": []})
             new = None
@@ -295,8 +296,13 @@ class Store:
                     rows = rows.drop(of.cell).withColumn(of.cell, cells.of(F.col("packed")) if cells else F.lit(0))
                 new = self._write(kb, table, rows, 0, number, manifest)
             names = [df.select(of.key) for df in (removed.get(table), self._scan(kb, table, [new]) if new else None) if df is not None]
-            replaced = self._replaced(kb, table, before, reduce(DataFrame.unionAll, names)) if names else None
+            if of.leader in gone_now:  # lists have no order by key: their leader's keys are theirs
+                led = gone_now[of.leader]
+                replaced = self._gone(kb, of.leader, [led]).select("_key") if led and before["tables"].get(table, {}).get("rows") else None
+            else:
+                replaced = self._replaced(kb, table, before, reduce(DataFrame.unionAll, names)) if names else None
             gone = self._write_gone(kb, table, replaced.withColumn("_from", F.lit(number)), 0, number) if replaced is not None else None
+            gone_now[table] = gone
             held["gone"] += [gone] if gone else []
             held["rows"] += [new] if new else []
             if new and of.cell:
