@@ -77,6 +77,17 @@ class Jobs:
             self._running[job.job_id] = self._pool.submit(self._run, job)
         return job.job_id
 
+    def again(self, job_id: str) -> None:
+        """Runs a job again that failed, was cancelled or interrupted."""
+        with self._lock:
+            job = self.get(job_id)
+            if job.status not in ENDED or job.status == "succeeded":
+                raise ValueError(f"a job that is {job.status} can't be run again")
+            if job.type not in self._handlers:
+                raise ValueError(f"no handler for jobs of type {job.type}")
+            self._set(job, status="pending", error=None)
+            self._running[job_id] = self._pool.submit(self._run, job)
+
     def _set(self, job: Job, **values) -> None:
         with self._lock:
             for k, v in values.items():

@@ -16,7 +16,36 @@ Parser = Callable[[bytes], str]
 
 def scan_folder(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
     """(path, content) of all files of a folder tree that fit the pattern, as Spark's readers see it."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder).select("path", "content")
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(_escaped(folder)).select("path", "content")
+
+
+def listing(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
+    """(path, length, modified) of all files of a folder tree that fit the pattern; no file is opened."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(_escaped(folder))
+    return found.select("path", "length", F.col("modificationTime").alias("modified"))
+
+
+def deal(listed: DataFrame, per_batch: int, batch_bytes: int, target: str) -> tuple[DataFrame, int]:
+    """Deals listed files out to batches of about so many files and bytes, and writes (batch, path, length, modified) in order of batches.
+
+    A file's batch follows from its path, so dealing again gives the same.  Returns
+    the reader of what was written and the number of batches.
+    """
+    told = listed.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first()
+    batches = max(1, -(-told.n // per_batch), -(-told.bytes // batch_bytes))
+    dealt = listed.select(F.pmod(F.xxhash64("path"), F.lit(batches)).cast("int").alias("batch"), "path", "length", "modified")
+    dealt.repartitionByRange("batch", "path").sortWithinPartitions("batch", "path").write.mode("overwrite").parquet(target)
+    return listed.sparkSession.read.schema(dealt.schema).parquet(target), batches
+
+
+def load(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, content) of the files of these paths."""
+    return spark.read.format("binaryFile").load([_escaped(p) for p in paths]).select("path", "content")
+
+
+def _escaped(path: str) -> str:
+    """A path whose signs of patterns stand for themselves."""
+    return "".join(f"\\{c}" if c in "{}[]*?\\" else c for c in path)
 
 
 def stage(files: DataFrame, magic: bytes = b"%PDF-") -> DataFrame:
@@ -29,13 +58,17 @@ def stage(files: DataFrame, magic: bytes = b"%PDF-") -> DataFrame:
 
 def new_content(staged: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(files whose content the catalog lacks, one of each content by path; files that repeat content)."""
-    first = staged.groupBy("content_hash").agg(F.min("path").alias("path"))
-    fresh = staged.join(first, ["content_hash", "path"], "left_semi").join(documents, "content_hash", "left_anti")
-    return fresh, staged.join(fresh.select("path"), "path", "left_anti")
+    facts = staged.drop("content")  # which are not read to tell files apart
+    first = facts.groupBy("content_hash").agg(F.min("path").alias("path"))
+    new = facts.join(first, ["content_hash", "path"], "left_semi").join(documents.select("content_hash"), "content_hash", "left_anti")
+    return staged.join(new.select("path"), "path", "left_semi"), facts.join(new.select("path"), "path", "left_anti")
+
 
+def parse(staged: DataFrame, cache: DataFrame, parser: Parser, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> tuple[DataFrame, DataFrame]:
+    """(content_hash, markdown, error) of all files, and what is to be added to the cache; only what the cache lacks is parsed.
 
-def parse(staged: DataFrame, cache: DataFrame, parser: Parser) -> tuple[DataFrame, DataFrame]:
-    """(content_hash, markdown, error) of all files, and what is to be added to the cache; only what the cache lacks is parsed."""
+    ``keep`` writes what was parsed and reads it back, so a parser is asked once.
+    """
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -48,7 +81,7 @@ def parse(staged: DataFrame, cache: DataFrame, parser: Parser) -> tuple[DataFram
             yield pd.DataFrame(rows, columns=["content_hash", "markdown", "error"])
 
     schema = f"{schemas.PARSE_CACHE}, error string"
-    missed = staged.select("content_hash", "content").dropDuplicates(["content_hash"]).join(cache, "content_hash", "left_anti").mapInPandas(each, schema)
+    missed = keep(staged.select("content_hash", "content").dropDuplicates(["content_hash"]).join(cache, "content_hash", "left_anti").mapInPandas(each, schema), "parsed")
     hits = cache.join(staged.select("content_hash").distinct(), "content_hash", "left_semi").withColumn("error", F.lit(None).cast("string"))
     return hits.unionByName(missed), missed
 

@@ -62,14 +62,16 @@ class Files:
         finally:
             stream.close()
 
-    def write(self, path: str, text: str) -> None:
-        """Whole or not at all, to a name that must be free: of two writers one gets it.
+    def write(self, path: str, text: str, again: bool = False) -> None:
+        """Whole or not at all, to a name that must be free (unless it is written ``again``): of two writers one gets it.
 
         On an object store a file is seen when it is closed, and creating without
         overwriting is one step there.  Elsewhere a file of our own gets the name: by
         a link where files are local, by a rename otherwise; both fail on a name that is taken.
         """
         fs, target = self._at(path)
+        if again:
+            fs.delete(target, False)
         if str(fs.getScheme()) in OBJECT_STORES:
             self._put(fs, target, text, path)
             return
@@ -220,6 +222,18 @@ class Store:
             return self.spark.createDataFrame([], TABLES[table].schema)
         return self._live(kb, table, held, held["rows"])
 
+    def matching(self, kb: str, table: str, column: str, values: DataFrame, manifest: dict | None = None) -> DataFrame:
+        """The rows of a table whose column has one of the values of a frame's one column.
+
+        Few values are named, so the files' filters tell which row groups have them; more are joined.
+        """
+        values = values.select(F.col(values.columns[0]).alias("_value")).where("_value IS NOT NULL").distinct()
+        few = [r[0] for r in values.limit(MOST_LISTED + 1).collect()]
+        rows = self.read(kb, table, manifest)
+        if len(few) <= MOST_LISTED:
+            return rows.where(one_of(column, few))
+        return rows.join(values, F.col(column) == F.col("_value"), "left_semi")
+
     def cells(self, kb: str, manifest: dict | None = None) -> Cells | None:
         """The cells of a base's points; none while there are too few to have any."""
         held = (manifest or self.manifest(kb)).get("cells")
@@ -273,14 +287,16 @@ class Store:
             return there.where(one_of("_key", [r["_key"] for r in keys.collect()])).distinct()
         return keys.join(there, "_key", "left_semi")
 
-    def publish(self, kb: str, added: dict[str, DataFrame] | None = None, removed: dict[str, DataFrame] | None = None) -> None:
+    def publish(self, kb: str, added: dict[str, DataFrame] | None = None, removed: dict[str, DataFrame] | None = None, note: dict | None = None) -> None:
         """Writes new rows and removed keys of tables, then the manifest that names them.
 
         Rows of ``added`` take the place of those with the same key; ``removed`` are
         frames with the key column.  Points get their cells.  Levels that are full are written together, and sets
-        that no kept manifest names go afterwards.
+        that no kept manifest names go afterwards.  The manifest keeps the ``note``
+        until the next one, so what it says is known exactly if the change was made.
         """
         manifest = self.manifest(kb)
+        manifest["note"] = note
         before = json.loads(json.dumps(manifest))
         manifest["number"] += 1
         number, added, removed = manifest["number"], dict(added or {}), removed or {}
