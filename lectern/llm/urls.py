@@ -29,6 +29,8 @@ ALLOW, BLOCK = "allow", "block"
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])|(?<=[0-9])(?=[a-z])")
 #: Letters of the longest piece that the segmentation considers.
 LONGEST_WORD = 24
+#: Letters of words that are met inside others by chance, and from which on a word beside one is no such piece itself.
+EASILY_MET, SHORT = 4, 3
 #: What unknown pieces and numbers count as.
 UNKNOWN, NUMBER = "?", "#"
 
@@ -54,6 +56,23 @@ class Filter:
     def words(self, host: str, path: str) -> list[str]:
         return [w for part in (*host.split("."), *words_of(path)) for w in self.segment(part)]
 
+    def evidence(self, host: str, path: str) -> list[str]:
+        """The words that count: a short one that speaks for blocking does so only where it surely is a word."""
+        return [w for label in (*host.split("."), path) for part in words_of(label) for w in self.firm(_split(self, part))]
+
+    def firm(self, pieces: list[str]) -> list[str]:
+        """Pieces of letters written together; short ones that speak for blocking are unknown unless known words, none of them short itself, are on both sides.
+
+        Three letters turn up inside other words by chance (essex, better), and the pieces
+        around them then are short or no words.  At an end of the letters nothing has to be there.
+        """
+        sure = [w in self.costs and len(w) >= SHORT for w in pieces]
+        out = []
+        for i, w in enumerate(pieces):
+            chance = len(pieces) > 1 and len(w) <= EASILY_MET and self.odds_of(w) > 0 and not all(sure[j] for j in (i - 1, i + 1) if 0 <= j < len(pieces))
+            out.append(UNKNOWN if chance else w)
+        return out
+
     def odds_of(self, word: str) -> float:
         return self.odds.get(word, self.odds[NUMBER if word.isdecimal() else UNKNOWN])
 
@@ -61,7 +80,7 @@ class Filter:
         return self.prior + sum(map(self.odds_of, words))
 
     def verdict(self, host: str, path: str) -> str:
-        return BLOCK if self.log_odds(self.words(host, path)) > 0 else ALLOW
+        return BLOCK if self.log_odds(self.evidence(host, path)) > 0 else ALLOW
 
 
 def _split(model: Filter, text: str) -> list[str]:
@@ -137,18 +156,21 @@ def judge(pages: DataFrame, rules: list[Rule], url_col: str = "url", model: Filt
     rows = rows.withColumn("hit", F.coalesce(*(fitting(i, *rules[i][1:]) for i in ranked), F.lit(-1)))
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, tuple[str, ...]] = {}
+        known: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {}
 
-        def segmented(host: str) -> tuple[str, ...]:
-            if host not in known:
+        def segmented(part: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+            """(words, those that count) of a run of letters and digits."""
+            if part not in known:
                 if len(known) > 100_000:
                     known.clear()
-                known[host] = tuple(model.words(host, ""))
-            return known[host]
+                pieces = _split(model, part)
+                known[part] = tuple(pieces), tuple(model.firm(pieces))
+            return known[part]
 
         for frame in frames:
-            words = [[*segmented(h), *(w for part in words_of(p) for w in segmented(part))] for h, p in zip(frame["host"], frame["path"], strict=True)]
-            said = [BLOCK if model.log_odds(ws) > 0 else ALLOW for ws in words]
+            held = [[segmented(part) for label in (*h.split("."), p) for part in words_of(label)] for h, p in zip(frame["host"], frame["path"], strict=True)]
+            words = [[w for pieces, _ in parts for w in pieces] for parts in held]
+            said = [BLOCK if model.log_odds([w for _, firm in parts for w in firm]) > 0 else ALLOW for parts in held]
             hits = frame["hit"].tolist()
             yield frame.drop(columns="hit").assign(rule=[rules[i][1] + rules[i][2] if i >= 0 else None for i in hits], words=words, verdict=[rules[i][0] if i >= 0 else v for i, v in zip(hits, said, strict=True)])
 
