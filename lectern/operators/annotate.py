@@ -9,6 +9,7 @@ following body text, heading counts...) is computed once per document.
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -459,26 +460,28 @@ def annotate_text(text: str | None, decoder: str = "context", resolve: Callable[
     return doc.blocks
 
 
-def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", decoder: str = "context", resolve: Callable[[list[Block]], None] | None = None, recover: Callable[[list[Block]], Facts] | None = None) -> DataFrame:
+def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", decoder: str = "context", resolve: Callable[[list[Block]], None] | None = None, recover: Callable[[list[Block]], Facts] | None = None, decided: tuple[str, Callable[[list[Block], list[dict]], None]] | None = None) -> DataFrame:
     """(id, blocks, error): the annotated blocks of each cleaned text as an array of structs; ``kept`` marks those that count.
 
-    A text that can't be annotated has an error and no blocks.
+    A text that can't be annotated has an error and no blocks.  ``decided`` names a
+    column of decisions (JSON) on the text's blocks, and what puts them into effect.
     """
     columns = [c.split()[0] for c in schemas.BLOCKS.split(", ")]
 
-    def one(text: str | None) -> tuple[list[dict] | None, str | None]:
+    def one(text: str | None, items: str | None) -> tuple[list[dict] | None, str | None]:
+        by = (lambda blocks: decided[1](blocks, json.loads(items))) if items else resolve
         try:
-            rows = [(b.index, b.raw, b.text, b.heading, b.level, b.role, b.section, b.subsection, float(b.confidence), b.rationale, is_kept(b)) for b in annotate_text(text, decoder, resolve, recover)]
+            rows = [(b.index, b.raw, b.text, b.heading, b.level, b.role, b.section, b.subsection, float(b.confidence), b.rationale, is_kept(b)) for b in annotate_text(text, decoder, by, recover)]
         except Exception as e:  # a text that can't be annotated fails alone
             return None, f"annotate: {e}"
         return [dict(zip(columns, r, strict=True)) for r in rows], None
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            got = [one(text) for text in frame["text"]]
+            got = [one(text, items) for text, items in zip(frame["text"], frame["items"], strict=True)]
             yield pd.DataFrame({"id": frame["id"], "blocks": [g[0] for g in got], "error": pd.Series([g[1] for g in got], dtype=object)})
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (F.col(decided[0]) if decided else F.lit(None).cast("string")).alias("items"))
     id_type = rows.schema["id"].dataType.simpleString()
     structs = ",".join(":".join(c.split()) for c in schemas.BLOCKS.split(", "))
     return rows.mapInPandas(each, f"id {id_type}, blocks array<struct<{structs}>>, error string").withColumnRenamed("id", id_col)

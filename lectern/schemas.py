@@ -13,6 +13,7 @@ BLOCKS = "idx int, raw_text string, text string, is_heading boolean, heading_lev
 CHUNKS = "chunk_index int, content string, section string, heading_path string"
 METADATA = "title string, year int, journal string, doi string, authors array<string>, abstract string, source string, keywords array<string>"
 
+DECISIONS = "key string, items string"
 GRAMS = "gram string, field int, doc_id string"
 
 
@@ -39,5 +40,6 @@ TABLES = {
     "doc_text": Table(DOC_TEXT, "doc_id", ("doc_id",), ("doc_id",)),
     "doc_sections": Table(DOC_SECTIONS, "doc_id", ("doc_id", "ord"), ("doc_id",)),
     "parse_cache": Table(PARSE_CACHE, "content_hash", ("content_hash",), ("content_hash",)),
+    "decisions": Table(DECISIONS, "key", ("key",), ("key",)),
     "grams": Table(GRAMS, "doc_id", ("gram", "doc_id"), ("gram",), leader="documents"),
 }

@@ -7,6 +7,8 @@ import json
 import sys
 from typing import IO
 
+from pyspark.sql import SparkSession
+
 from lectern.engine import TOOLS, Engine
 
 # The protocol's version, and error codes of JSON-RPC.
@@ -71,3 +73,19 @@ def serve(engine: Engine, source: IO[str] = sys.stdin, sink: IO[str] = sys.stdou
         if reply is not None:
             sink.write(json.dumps(reply, ensure_ascii=False) + "\n")
             sink.flush()
+
+
+def main(arguments: list[str] | None = None) -> None:
+    """``python -m lectern.server [CONFIG]``: an engine from settings, served over standard input and output."""
+    from lectern.session import local_session
+    from lectern.sources.settings import Settings
+
+    given = sys.argv[1:] if arguments is None else arguments
+    settings = Settings.load(given[0] if given else None)
+    # a session that is there (spark-submit) is used; else one on this machine
+    spark = SparkSession.getActiveSession() or local_session()
+    serve(Engine.from_settings(spark, settings))
+
+
+if __name__ == "__main__":
+    main()

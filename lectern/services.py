@@ -177,13 +177,30 @@ def work_of_doi(doi: str | None, transport: Transport = urllib_transport) -> dic
 
 def header_of_pdf(content: bytes, service: str, transport: Transport = urllib_transport) -> dict | None:
     """The fields of a PDF's header as a TEI service gives them, or None."""
+    tei = tei_of_pdf(content, service, transport)
+    return None if tei is None else parse_tei(tei)
+
+
+def tei_of_pdf(content: bytes, service: str, transport: Transport = urllib_transport) -> str | None:
+    """A PDF's header in TEI, or None."""
     mark = uuid.uuid4().hex
     body = f'--{mark}\r\nContent-Disposition: form-data; name="input"; filename="a.pdf"\r\nContent-Type: application/pdf\r\n\r\n'.encode() + content + f"\r\n--{mark}--\r\n".encode()
     try:
         status, data = transport("POST", f"{service.rstrip('/')}/api/processHeaderDocument", {"Content-Type": f"multipart/form-data; boundary={mark}", "Accept": "application/xml"}, body, HEADER_SECONDS)
     except OSError:
         return None
-    return parse_tei(data.decode("utf-8", "replace")) if status == 200 else None
+    return data.decode("utf-8", "replace") if status == 200 else None
+
+
+def headers_table(contents: DataFrame, service: str, transport: Transport = urllib_transport) -> DataFrame:
+    """(content_hash, tei) of files (content_hash, content), as ``metadata.cascade`` takes it; misses are left out."""
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            got = [tei_of_pdf(bytes(c), service, transport) for c in f["content"]]
+            yield pd.DataFrame({"content_hash": f["content_hash"], "tei": pd.Series(got, dtype=object, index=f.index)}).dropna()
+
+    return contents.select("content_hash", "content").mapInPandas(each, "content_hash string, tei string")
 
 
 def _fitting(answers: list[tuple[object, object, object]], title: str | None, year: int | None) -> str | None:

@@ -13,7 +13,7 @@ from lectern.errors import ConfigError
 #: What may be chosen, and what a choice needs.
 BACKENDS = {"parser_backend": {"text", "library", "command", "service"}, "embed_backend": {"builtin", "api"}, "rerank_backend": {"builtin", "api"}, "chat_backend": {"none", "api"}}
 NEEDED = {"embed_backend": ("api", "embed_base_url"), "rerank_backend": ("api", "rerank_base_url"), "chat_backend": ("api", "chat_base_url")}
-NEEDED_BY_PARSER = {"service": "parser_url", "command": "parser_command"}
+NEEDED_BY_PARSER = {"service": "parser_url", "command": "parser_command", "library": "parser_library"}
 
 
 @dataclass(frozen=True)
@@ -29,6 +29,7 @@ class Settings:
     parser_backend: str = "text"
     parser_url: str = ""
     parser_command: str = ""
+    parser_library: str = ""  # module:function
     embed_backend: str = "builtin"
     embed_base_url: str = ""
     embed_api_key: str = ""
