@@ -37,8 +37,10 @@ BLOCK_WORDS = 128
 SHARD_SLOTS, MOST_SHARDS, MOST_DRAWS = 4096, 4096, 2_000_000
 #: Rows of a source that one bucket of the prefix sum holds about: a share of all rows, within bounds.
 BUCKET_SHARE, LEAST_BUCKET, MOST_BUCKET = 20_000, 200, 20_000
-#: Totals of buckets sent to all tasks at most; with more, a shuffled join takes their place.
-MOST_SENT_TOTALS = 200_000
+#: Totals of buckets, and sources, sent to all tasks at most; with more, a shuffled join takes their place.
+MOST_SENT_TOTALS = MOST_SENT_SOURCES = 200_000
+#: Slots that are numbered through in one array, and those of one task, about.
+SLOTS_OF_A_ROW, SLOTS_OF_A_TASK = 4096, 2_000_000
 WORD = "[^\\x20\\x09-\\x0D]+"
 ROUNDS = 4
 
@@ -60,6 +62,11 @@ def targets(sizes: list[int], weights: list[float], share: float = 1.5, most: fl
     return out
 
 
+def sent(df: DataFrame, rows: int, most: int) -> DataFrame:
+    """A small side of a join: sent to all tasks only if it has so many rows at most."""
+    return F.broadcast(df) if rows <= most else df
+
+
 @dataclass
 class Plan:
     """Per source, in order (None is the null source): sizes, targets and words to take; and slots by shard."""
@@ -136,12 +143,11 @@ def placed(docs: DataFrame, doc_col: str, text_col: str, source_col: str, scratc
     counted = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     held = min(max(sum(r["n"] for r in counted) // BUCKET_SHARE, LEAST_BUCKET), MOST_BUCKET)
     many = [(r["source"], math.ceil(r["n"] / held)) for r in counted]
-    cut = F.broadcast(docs.sparkSession.createDataFrame(many, "cut_source string, buckets int"))
+    cut = sent(docs.sparkSession.createDataFrame(many, "cut_source string, buckets int"), len(many), MOST_SENT_SOURCES)
     in_buckets = lambda df: df.join(cut, F.col("source").eqNullSafe(F.col("cut_source"))).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tie"), F.col("buckets"))).drop("cut_source", "buckets")
     before = F.sum("n").over(W.partitionBy("s").orderBy("b").rowsBetween(W.unboundedPreceding, -1))
     totals = in_buckets(sized).groupBy(F.col("source").alias("s"), F.col("bucket").alias("b")).agg(F.sum("size").alias("n")).select("s", "b", F.coalesce(before, F.lit(0)).alias("base"))
-    if sum(n for _, n in many) <= MOST_SENT_TOTALS:
-        totals = F.broadcast(totals)
+    totals = sent(totals, sum(n for _, n in many), MOST_SENT_TOTALS)
     within = F.sum("size").over(W.partitionBy("source", "bucket").orderBy("doc_id", "tie").rowsBetween(W.unboundedPreceding, -1))
     rows = docs.select(*named, text.alias("text")) if with_text else sized
     rows = in_buckets(rows).withColumn("within", F.coalesce(within, F.lit(0)))
@@ -197,15 +203,20 @@ def mix(spark: SparkSession, docs: DataFrame, doc_col: str = "doc_id", text_col:
     at = np.cumsum(plan.drawn, axis=1) - plan.drawn
     h, i = np.nonzero(plan.drawn)
     cells = pa.table({"shard": pa.array(h, pa.int32()), "source_no": pa.array(i, pa.int32()), **{name: pa.array(x[h, i], pa.int64()) for name, x in (("slots", plan.drawn), ("first", first), ("at", at))}})
-    drawn = spark.createDataFrame(cells).repartition(max(1, min(len(cells), spark.sparkContext.defaultParallelism)), "shard", "source_no")
-    slots = drawn.join(F.broadcast(numbers), "source_no").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)).alias("k"))
+    # a row for each run of slots, dealt to as many tasks as there are slots, then one for each slot
+    runs = spark.createDataFrame(cells).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / SLOTS_OF_A_ROW))).alias("run"))
+    tasks = max(spark.sparkContext.defaultParallelism, math.ceil(sum(plan.slots) / SLOTS_OF_A_TASK))
+    runs = runs.repartition(tasks, "shard", "source_no", "run")
+    begin = F.col("run") * SLOTS_OF_A_ROW
+    numbered_runs = runs.join(sent(numbers, len(plan.sources), MOST_SENT_SOURCES), "source_no")
+    slots = numbered_runs.select("*", F.explode(F.sequence(begin, F.least(begin + SLOTS_OF_A_ROW, "slots") - 1)).alias("k"))
     blocks, full, j = F.ceil(F.col("source_size") / block_words), F.floor(F.col("source_size") / block_words), F.col("first") + F.col("k")
     slots = slots.select("shard", (F.col("at") + F.col("k")).alias("slot"), "source_no", "source_name", "source_words", "source_size", F.floor(j / blocks).alias("lap"), (j % blocks).alias("index"), full.alias("full"))
     key = F.xxhash64(F.lit(seed), "source_no", "lap").bitwiseAND(F.lit((1 << 40) - 1))
     permute = F.pandas_udf(_permuted_series, "long")
     block = F.when(F.col("index") < F.col("full"), permute(F.least("index", F.greatest(F.col("full") - 1, F.lit(0))), F.greatest("full", F.lit(1)), key)).otherwise(F.col("full"))
     slots = slots.select("shard", "slot", "source_no", F.col("source_name").alias("source"), block.alias("block"), (F.col("source_words") - F.col("lap") * F.col("source_size") - F.col("index") * block_words).alias("room"))
-    numbered = texts.where("size > 0").join(F.broadcast(numbers.select("source_no", "source_name")), F.col("source").eqNullSafe(F.col("source_name"))).drop("source", "source_name")
+    numbered = texts.where("size > 0").join(sent(numbers.select("source_no", "source_name"), len(plan.sources), MOST_SENT_SOURCES), F.col("source").eqNullSafe(F.col("source_name"))).drop("source", "source_name")
     if with_text:
         id_type = docs.schema[doc_col].dataType.simpleString()
         parts = numbered.select("source_no", "doc_id", "start", "text").mapInArrow(tidy(_cut(block_words)), f"source_no int, block long, doc_id {id_type}, start long, first_word long, n long, text string")

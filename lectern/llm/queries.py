@@ -89,7 +89,7 @@ def op5_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = parts.groupBy("source", "start").agg(F.sum("n_words").alias("taken")).select(F.col("source").alias("s"), F.col("start").alias("a"), "taken")
     rows = texts.join(taken, (F.col("size") > 0) & F.col("source").eqNullSafe(F.col("s")) & (F.col("start") == F.col("a")), "left")
     named = spark.createDataFrame(list(zip(plan.sources, plan.sizes, plan.targets, strict=True)), "name string, source_size long, target double")
-    rows = rows.join(F.broadcast(named), F.col("source").eqNullSafe(F.col("name")), "left")
+    rows = rows.join(mixing.sent(named, len(plan.sources), mixing.MOST_SENT_SOURCES), F.col("source").eqNullSafe(F.col("name")), "left")
     return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 

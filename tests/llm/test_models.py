@@ -199,6 +199,20 @@ def test_draws_of_very_many_sources_are_bounded():
     assert plan.drawn.size <= mixing.MOST_DRAWS + 50_000 and (plan.drawn.sum(axis=0) == plan.slots).all()
 
 
+def test_mix_of_more_sources_than_are_sent_and_in_short_arrays(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, " ".join("w" * rng.randint(0, 1) + "x" for _ in range(rng.choice([0, 5, 40, 300]))), rng.choice(["hot", "hot", f"s{i % 17}", None])) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    key = lambda mixed: sorted(map(str, mixed[0].collect()))
+    want = key(mixing.mix(spark, df, block_words=4))
+    for name, value in (("MOST_SENT_SOURCES", 3), ("MOST_SENT_TOTALS", 3), ("SLOTS_OF_A_ROW", 7)):
+        monkeypatch.setattr(mixing, name, value)
+    mixed = mixing.mix(spark, df, block_words=4)
+    assert key(mixed) == want and len(want) > 500
+    plan = mixed[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
 def test_mix_of_repeated_rows_nulls_and_nothing(spark):
     df = spark.createDataFrame([(1, "a b c", None), (1, "a b c", None), (None, "d e", None), (2, None, "x")], "doc_id long, text string, source string")
     parts, texts, plan = mixing.mix(spark, df, block_words=2)
