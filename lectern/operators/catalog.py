@@ -28,6 +28,28 @@ def paged(rows: DataFrame, order: list[Column], page: int, page_size: int) -> Da
     return rows.orderBy(*order).offset((page - 1) * page_size).limit(page_size)
 
 
+def after(sort: str, value: object, doc_id: str) -> Column:
+    """Whether a row comes after the one with this sort value and id, in the order of ``list_documents``."""
+    how, name = SORTS[sort]
+    c, later = F.col(name), F.col("doc_id") > doc_id
+    if how is F.desc:  # nulls come last
+        return c.isNull() & later if value is None else (c < F.lit(value)) | (c == F.lit(value)) & later | c.isNull()
+    return c.isNull() & later | c.isNotNull() if value is None else (c > F.lit(value)) | (c == F.lit(value)) & later
+
+
+def documents_after(documents: DataFrame, sort: str = "added", last: tuple[object, str] | None = None, page_size: int = 20) -> DataFrame:
+    """The page of ``list_documents`` that follows the row of a sort value and id (None: the first).
+
+    However far on it is, a task keeps a page of rows and no more; with page
+    numbers it has to sort out all rows before.
+    """
+    if sort not in SORTS:
+        raise ValueError(f"sort must be one of {', '.join(SORTS)}")
+    how, column = SORTS[sort]
+    rows = documents if last is None else documents.where(after(sort, *last))
+    return paged(rows, [how(column), F.asc("doc_id")], 1, page_size).select(*ROW)
+
+
 def list_documents(documents: DataFrame, sort: str = "added", page: int = 1, page_size: int = 20) -> DataFrame:
     """A page of all documents: newest first, or by title or year ascending with nulls first; ties by id."""
     if sort not in SORTS:

@@ -21,7 +21,8 @@ from lectern.operators import catalog, grams, retrieval
 from lectern.operators.annotate import annotate, block_rows, histograms, outline
 from lectern.operators.chunk import ChunkConfig, chunk
 from lectern.operators.ingest import point_id
-from lectern.operators.metadata import cascade, doi_of, enrich_abstracts, likeness, rebuild_abstracts
+from lectern.operators.metadata import cascade, doi_of, enrich_abstracts, likeness, parse_works, rebuild_abstracts
+from lectern.operators.segments import Blocks, with_context
 from lectern.operators.models import HashingEmbedder, OverlapReranker, embed_column
 from lectern.session import shared_folder, spread
 from lectern.sources import files
@@ -198,8 +199,8 @@ def q17_signals(spark, sf_dir):
 
 @query("SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS anchor FROM conversations")
 def q18_anchor(spark, sf_dir):
-    before = W.partitionBy("conv_id").orderBy("turn").rowsBetween(W.unboundedPreceding, -1)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(before).alias("anchor"))
+    blocks = Blocks(("conv_id",), "turn")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", blocks.last_before(F.col("turn"), F.col("role") == "user").alias("anchor"))
 
 
 def conversations_as_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -509,3 +510,34 @@ def q53_search_fulltext_index_rare(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     index = grams.build(spark, docs, fields, f"{shared_folder(spark)}/grams-{uuid.uuid4().hex}")
     return grams.search(docs, fields, index, "TION rc2").select("doc_id", "source")
+
+
+@query("""WITH b AS (SELECT conv_id, turn, role AS section, coalesce(text, '') AS text, turn % 3 = 0 AS heading FROM conversations),
+w AS (SELECT *, last_value(CASE WHEN heading THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS anchor, sum(CASE WHEN heading THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS segment FROM b)
+SELECT conv_id, turn, anchor, CAST(segment AS BIGINT) AS segment,
+  (SELECT arg_max(p.section, p.turn) FROM b p WHERE p.conv_id = w.conv_id AND p.turn < w.turn AND p.section IS DISTINCT FROM w.section) AS previous_section,
+  (SELECT arg_min(n.section, n.turn) FROM b n WHERE n.conv_id = w.conv_id AND n.turn > w.turn AND n.section IS DISTINCT FROM w.section) AS next_section,
+  coalesce((SELECT string_agg(t, '|' ORDER BY turn) FROM (SELECT substr(n.text, 1, 20) AS t, n.turn FROM b n WHERE n.conv_id = w.conv_id AND n.turn > w.turn AND n.turn <= w.turn + 8 AND NOT n.heading
+    AND n.turn < coalesce((SELECT min(h.turn) FROM b h WHERE h.conv_id = w.conv_id AND h.turn > w.turn AND h.heading), 1000000000) ORDER BY n.turn LIMIT 2)), '') AS body_sample FROM w""")
+def q54_block_context(spark, sf_dir):
+    """Windows over blocks: nearest heading, segment, sections around, the body that follows."""
+    heading = F.col("turn") % 3 == 0
+    rows = with_context(table(spark, sf_dir, "conversations"), Blocks(("conv_id",), "turn"), heading, F.col("role"), F.coalesce("text", F.lit("")), ~heading, letters=20)
+    return rows.select("conv_id", "turn", "anchor", "segment", "previous_section", "next_section", F.array_join("body_sample", "|").alias("body_sample"))
+
+
+@query("""WITH m AS (SELECT p_partkey AS k, p_name AS name, p_size AS size FROM part)
+SELECT CAST(k AS VARCHAR) AS doi, CASE k % 4 WHEN 0 THEN 'Work ' || name WHEN 1 THEN name WHEN 2 THEN '' ELSE '' END AS title,
+  CAST(CASE WHEN k % 4 = 3 THEN NULL WHEN k % 3 = 0 THEN 1900 + size WHEN k % 3 = 1 THEN 2000 END AS INTEGER) AS year,
+  CASE k % 4 WHEN 0 THEN 'Ann Ek;' || name WHEN 1 THEN 'Ek' ELSE '' END AS authors, CASE WHEN k % 4 = 0 THEN 'a;' || size ELSE '' END AS keywords FROM m""")
+def q55_work_answers(spark, sf_dir):
+    """Answers of a bibliographic service as VARIANT: lists and texts, years in order, authors of all forms, what is no JSON."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    dated = lambda name, year: F.concat(F.lit(f'"{name}": {{"date-parts": [['), year, F.lit("]]}"))
+    year = F.when(k % 3 == 0, F.concat(dated("issued", F.lit("1")), F.lit(", "), dated("published-print", (F.lit(1900) + F.col("p_size")).cast("string")))).when(k % 3 == 1, dated("created", F.lit("2000"))).otherwise(F.lit('"issued": {"date-parts": [["2001"]]}'))
+    quoted = F.concat(F.lit('"'), "p_name", F.lit('"'))
+    body = F.when(k % 4 == 0, F.concat(F.lit('"title": ["Work '), "p_name", F.lit('"], "author": [{"given": "Ann", "family": "Ek"}, '), quoted, F.lit(', 5], "subject": ["a", '), F.concat(F.lit('"'), F.col("p_size"), F.lit('"')), F.lit(", 7], ")))
+    body = body.when(k % 4 == 1, F.concat(F.lit('"title": '), quoted, F.lit(', "author": [{"family": "Ek"}, {}], "subject": "a", '))).otherwise(F.lit('"title": {"x": 1}, "author": 3, '))
+    message = F.when(k % 4 == 3, F.lit("[no json")).otherwise(F.concat(F.lit("{"), body, year, F.lit("}")))
+    got = parse_works(p.select(k.cast("string").alias("doi"), message.alias("message")), "doi", "message", "work")
+    return got.select(F.col("key").alias("doi"), "title", "year", F.array_join("authors", ";").alias("authors"), F.array_join("keywords", ";").alias("keywords"))

@@ -108,6 +108,19 @@ def test_catalog_sorts_and_pages(spark):
     assert catalog.get_document(docs, "a").count() == 1 and catalog.get_document(docs, "x").isEmpty()
 
 
+@pytest.mark.parametrize("sort", ["added", "title", "year"])
+def test_pages_by_cursor_are_those_by_number(spark, sort):
+    rows = [(f"d{i:02}", [None, "B", "A", "A"][i % 4], [None, 1999, 2001][i % 3], [datetime(2020, 1, 1), datetime(2021, 5, 5, 1, 2, 3, 456789), None][i % 3]) for i in range(23)]
+    docs = spark.createDataFrame(rows, "doc_id string, title string, year int, added_at timestamp").withColumns({"journal": F.lit(None).cast("string"), "first_author": F.lit(""), "doi": F.lit(None).cast("string")}).persist()
+    got, last = [], None
+    while page := catalog.documents_after(docs, sort, last, 4).collect():
+        got += [r.doc_id for r in page]
+        last = page[-1][catalog.SORTS[sort][1]], page[-1].doc_id
+    assert got == [r.doc_id for r in catalog.list_documents(docs, sort, 1, 100).collect()]
+    with pytest.raises(ValueError):
+        catalog.documents_after(docs, "size")
+
+
 @pytest.mark.parametrize("text,want", [("&#" + "9" * 5000 + ";x", "�x"), ("&#" + "0" * 5000 + "65;", "A"), ("&#000", "�"), ("&amp;&#x41;&eacute;&#8364", "&Aé€"), ("a & b &#; &#z", "a & b &#; &#z"), ("&#12345678", "�")])
 def test_references_of_any_length(text, want):
     assert unescape(text) == want and M.plain_abstract(text) == M.squeeze(want)
