@@ -11,6 +11,9 @@ from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 from datetime import UTC, datetime
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from lectern.errors import JobNotFound
 
 STATUSES = ("pending", "running", "succeeded", "failed", "cancelled", "interrupted")
@@ -135,3 +138,9 @@ class Jobs:
 
     def close(self) -> None:
         self._pool.shutdown(wait=True)
+
+
+def summary(jobs: DataFrame) -> DataFrame:
+    """(type, kb, jobs, done, failed, last_job): of jobs as rows (job_id, type, kb, status, done), how many there are of a type and base, their documents, and failures."""
+    failed = F.sum(F.when(F.col("status").isin("failed", "interrupted"), 1).otherwise(0))
+    return jobs.groupBy("type", "kb").agg(F.count("*").alias("jobs"), F.coalesce(F.sum("done"), F.lit(0)).cast("long").alias("done"), failed.cast("long").alias("failed"), F.max("job_id").alias("last_job"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import ids, vectors
 from lectern.functions import text as X
+from lectern.jobs import summary
 from lectern.operators import catalog, grams, retrieval
 from lectern.operators.annotate import annotate, block_rows, histograms, outline
 from lectern.operators.chunk import ChunkConfig, chunk
@@ -24,6 +25,7 @@ from lectern.operators.ingest import point_id
 from lectern.operators.metadata import cascade, doi_of, enrich_abstracts, likeness, parse_works, rebuild_abstracts
 from lectern.operators.segments import Blocks, with_context
 from lectern.operators.models import HashingEmbedder, OverlapReranker, embed_column
+from lectern.schemas import POINTS
 from lectern.session import shared_folder, spread
 from lectern.sources import files
 from lectern.store import Store
@@ -541,3 +543,63 @@ def q55_work_answers(spark, sf_dir):
     message = F.when(k % 4 == 3, F.lit("[no json")).otherwise(F.concat(F.lit("{"), body, year, F.lit("}")))
     got = parse_works(p.select(k.cast("string").alias("doi"), message.alias("message")), "doi", "message", "work")
     return got.select(F.col("key").alias("doi"), "title", "year", F.array_join("authors", ";").alias("authors"), F.array_join("keywords", ";").alias("keywords"))
+
+
+@query(r"""WITH RECURSIVE l AS (SELECT p_partkey // 40 AS doc, row_number() OVER (PARTITION BY p_partkey // 40 ORDER BY p_partkey) AS i, p_name AS t FROM part),
+g AS (SELECT doc, i, length(t) AS n, 1 AS c FROM l WHERE i = 1 UNION ALL SELECT l.doc, l.i, CASE WHEN g.n + 2 + length(l.t) <= 50 THEN g.n + 2 + length(l.t) ELSE length(l.t) END, CASE WHEN g.n + 2 + length(l.t) <= 50 THEN g.c ELSE g.c + 1 END FROM g JOIN l ON l.doc = g.doc AND l.i = g.i + 1),
+packed AS (SELECT g.doc, g.c, string_agg(l.t, E'\n\n' ORDER BY l.i) AS t FROM g JOIN l ON l.doc = g.doc AND l.i = g.i GROUP BY g.doc, g.c),
+m AS (SELECT doc, c, length(t) AS n, 1 AS k FROM packed WHERE c = 1 UNION ALL SELECT p.doc, p.c, CASE WHEN m.n < 60 THEN m.n + 2 + length(p.t) ELSE length(p.t) END, CASE WHEN m.n < 60 THEN m.k ELSE m.k + 1 END FROM m JOIN packed p ON p.doc = m.doc AND p.c = m.c + 1)
+SELECT CAST(m.doc AS BIGINT) AS doc_id, CAST(m.k - 1 AS INTEGER) AS chunk_index, string_agg(p.t, E'\n\n' ORDER BY p.c) AS content FROM m JOIN packed p ON p.doc = m.doc AND p.c = m.c GROUP BY m.doc, m.k""")
+def q56_chunk_merge_forward(spark, sf_dir):
+    """Paragraphs packed up to a limit, and chunks that are too small joined with what follows."""
+    block = F.struct("p_partkey", F.lit(True).alias("kept"), F.lit(False).alias("is_heading"), F.lit(0).alias("heading_level"), F.lit("Other").alias("section"), F.col("p_name").alias("text"))
+    docs = table(spark, sf_dir, "part").groupBy(F.floor(F.col("p_partkey") / 40).alias("doc_id")).agg(F.array_sort(F.collect_list(block)).alias("blocks"))
+    return chunk(docs, ChunkConfig(60, 50, 0)).select("doc_id", "chunk_index", "content")
+
+
+@query(rf"""SELECT doc_id, CAST(idx AS INTEGER) AS idx, CAST(regexp_matches(block, '(?i)\b(department|university|institute|school|hospital|laboratory|centre|center)\b') AS INTEGER) AS affiliation,
+  CAST(regexp_matches(block, '(?i)\b(received|accepted|published|editorial decision|revised)\b') AS INTEGER) AS received, CAST(regexp_matches(block, '(?i)\b(summary|research article summary|significance)\b') AS INTEGER) AS summary,
+  CAST(regexp_matches(block, '(?i)\b(shown from top to bottom|scale bar|cells were treated|left to right)\b') AS INTEGER) AS caption FROM {_LINES}""")
+def q57_signals_of_words(spark, sf_dir):
+    """The four signals that words give; q17 has the others."""
+    s = X.signals(F.col("block"))
+    named = {"affiliation": "has_affiliation_keywords", "received": "has_received_dates", "summary": "looks_like_summary_heading", "caption": "looks_like_caption_body"}
+    return line_blocks(spark, sf_dir).select("doc_id", "idx", *(s[v].cast("int").alias(k) for k, v in named.items()))
+
+
+@query("SELECT event_type AS kind, CAST(event_id % 7 AS INTEGER) AS base, CAST(count(*) AS BIGINT) AS jobs, CAST(sum(event_id % 11) AS BIGINT) AS done, CAST(sum(CASE WHEN event_id % 5 = 4 THEN 1 ELSE 0 END) AS BIGINT) AS failed, CAST(max(event_id) AS BIGINT) AS last_job FROM events GROUP BY ALL")
+def q58_jobs_by_kind(spark, sf_dir):
+    """What the engine's summary of jobs says of events taken as jobs."""
+    e, i = table(spark, sf_dir, "events"), F.col("event_id")
+    rows = e.select(i.cast("long").alias("job_id"), F.col("event_type").alias("type"), (i % 7).cast("int").alias("kb"), F.when(i % 5 == 4, "failed").otherwise("succeeded").alias("status"), (i % 11).cast("long").alias("done"))
+    return summary(rows).select(F.col("type").alias("kind"), F.col("kb").alias("base"), "jobs", "done", "failed", "last_job")
+
+
+def stored_points(spark: SparkSession, sf_dir: str) -> Store:
+    """All vectors as points of a base whose cells are small: in three changes, every tenth document replaced, every seventh removed."""
+    store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", cell_points=150)
+    store.create("k", {"name": "k"})
+    kinds = dict(c.split(None, 1) for c in POINTS.split(", "))
+    packed = vectors.packed(F.col("embedding"))
+    given = {"point_id": F.col("vec_id").cast("string"), "doc_id": F.floor(F.col("vec_id") / 5).cast("string"), "chunk_index": (F.col("vec_id") % 5).cast("int"), "year": F.col("label").cast("int"), "packed": packed, "coarse": vectors.coarse(packed), "content": F.concat(F.lit("old "), "vec_id")}
+    points = table(spark, sf_dir, "embeddings").select(*(given.get(n, F.lit(None).cast(k)).alias(n) for n, k in kinds.items()))
+    number = F.col("doc_id").cast("long")
+    store.publish("k", {"points": points.where(number % 2 == 0)})
+    store.publish("k", {"points": points.where(number % 2 == 1)})
+    store.publish("k", {"points": points.where(number % 10 == 0).withColumn("content", F.replace("content", F.lit("old"), F.lit("new")))}, {"points": points.where(number % 7 == 0).select("doc_id").distinct()})
+    return store
+
+
+@query("SELECT CAST(vec_id AS VARCHAR) AS point_id, CAST(vec_id // 5 AS VARCHAR) AS doc_id, CASE WHEN vec_id // 5 % 10 = 0 THEN 'new ' ELSE 'old ' END || vec_id AS content, label AS year FROM embeddings WHERE vec_id // 5 % 7 <> 0 OR vec_id // 5 % 10 = 0")
+def q59_store_points(spark, sf_dir):
+    """What the base has after points were added, replaced and removed, and cells divided."""
+    return stored_points(spark, sf_dir).read("k", "points").select("point_id", "doc_id", "content", "year")
+
+
+@query(f"SELECT CAST(vec_id AS VARCHAR) AS point_id, round({_COSINE}, 5) AS embed_score FROM embeddings e WHERE vec_id // 5 % 7 <> 0 OR vec_id // 5 % 10 = 0 ORDER BY {_COSINE} DESC, CAST(vec_id AS VARCHAR) LIMIT 50")
+def q60_search_stored_cells(spark, sf_dir):
+    """The nearest stored points, looking into all cells, which is exact; tests measure the recall of fewer."""
+    store, first = stored_points(spark, sf_dir), first_vector(spark, sf_dir)
+    searcher = retrieval.Searcher(store.read("k", "points"), lambda q: first, lambda q, texts: [0.0] * len(texts), cells=store.cells("k"), probes=1 << 20)
+    found = searcher.search("any", 50).chunks
+    return spark.createDataFrame([(c["metadata"]["point_id"], round(c["embed_score"], 5)) for c in found], "point_id string, embed_score double")
