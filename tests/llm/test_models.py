@@ -32,6 +32,39 @@ def test_language_held_out_accuracy_and_odd_texts(spark):
     assert np.array_equal(again.filters, network.filters)
 
 
+def plain_language(network, text):
+    """(label, score) by loops: windows of the lower-cased bytes, each filter's largest response, softmax, mean by bytes."""
+    data = (text or "").lower().encode()
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+    total = np.zeros(len(network.labels))
+    for start in range(0, len(data), language.WINDOW):
+        window = data[start : start + language.WINDOW]
+        wide = max(language.WIDTHS)
+        codes = list(window) + [0] * (language.WINDOW - len(window) + wide - 1)
+        rows = [network.embed[c] for c in codes]
+        hidden = []
+        for f in range(network.filters.shape[1]):
+            w = language.WIDTHS[f // language.FILTERS]
+            kernel = network.filters[: w * language.EMBED, f].reshape(w, language.EMBED)
+            best = max(sum(float(rows[at + i] @ kernel[i]) for i in range(w)) for at in range(language.WINDOW))
+            hidden.append(max(best + float(network.bias[f]), 0.0))
+        z = np.array(hidden) @ network.out + network.out_bias
+        total += np.exp(z - z.max()) / np.exp(z - z.max()).sum() * len(window)
+    mean = total / len(data)
+    return network.labels[int(mean.argmax())], round(float(mean.max()), 6)
+
+
+def test_language_predictions_equal_a_plain_forward_pass(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    network = language.fit(docs, crc_mod(F.col("doc_id"), 4) != 2, rows_per_label=60)
+    rows = [(i, t[:700]) for i, t in enumerate(r.text for r in docs.orderBy("doc_id").limit(14).collect()) if t] + [(90, None), (91, ""), (92, "12 !"), (93, "Ω é" * 50), (94, "x"), (95, "a" * 128), (96, "b" * 129)]
+    got = {r.row.doc_id: (r.lang_pred, r.score) for r in language.identify(spark.createDataFrame(rows, "doc_id int, text string"), network).collect()}
+    for i, text in rows:
+        label, score = plain_language(network, text)
+        assert got[i][0] == label and abs(got[i][1] - score) < 1e-4, (i, text)
+
+
 def test_language_without_labels(spark):
     docs = spark.createDataFrame([(1, "a text", None)], "doc_id int, text string, lang string")
     assert language.fit(docs, F.lit(True)) is None
