@@ -24,6 +24,7 @@ class Settings:
     rerank_batch: int = 128
     job_workers: int = 1
     crossref_enabled: bool = True
+    connector_per_second: float = 0.0  # requests to a bibliographic service; 0: as fast as they go
     keywords_enabled: bool = True
     annotation_resolver_enabled: bool = False
     parser_backend: str = "text"

@@ -11,8 +11,8 @@ from lectern.operators import decisions
 from lectern.operators.ingest import Recipe
 from lectern.operators.metadata import chat_keywords
 from lectern.operators.models import Chat, Embedder, HashingEmbedder, OverlapReranker, Reranker
-from lectern.services import HttpChat, HttpEmbedder, HttpReranker, Transport, abstracts_table, headers_table, urllib_transport, works_table
-from lectern.sources import files, parsers
+from lectern.services import HttpChat, HttpEmbedder, HttpReranker, Transport, abstracts_table, headers_table, urllib_transport
+from lectern.sources import files, parsers, works_source
 from lectern.sources.settings import Settings
 
 
@@ -55,7 +55,7 @@ def recipe(spark: SparkSession, settings: Settings, transport: Transport = urlli
     model = chat(settings, transport)
 
     def works(dois: DataFrame) -> DataFrame:
-        return works_table(dois, transport)
+        return works_source.works(spark, dois, transport, settings.connector_per_second)
 
     def headers(contents: DataFrame) -> DataFrame:
         return headers_table(contents, settings.header_url, transport)

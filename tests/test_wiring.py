@@ -10,6 +10,7 @@ from lectern import server, wiring
 from lectern.engine import Engine
 from lectern.errors import ConfigError
 from lectern.services import HttpEmbedder
+from lectern.sources import works_source
 from lectern.sources.settings import Settings
 from tests.papers import ARTICLE, pdf
 
@@ -126,3 +127,34 @@ def test_the_server_starts_from_settings(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(server, "serve", lambda engine: out.write(json.dumps([engine.list_kbs(), engine.root])))
     server.main([str(config)])
     assert json.loads(out.getvalue()) == [{"kbs": []}, str(tmp_path / "kbs")]
+
+
+def test_works_are_a_format_read_by_ranges_of_keys(spark, tmp_path, monkeypatch):
+    seen = tmp_path / "seen"
+    seen.mkdir()
+
+    class Service:
+        def __call__(self, method, url, headers, body, seconds):
+            import time as clock
+            import uuid
+
+            doi = url.rsplit("/", 1)[1].replace("%2F", "/")
+            (seen / uuid.uuid4().hex).write_text(f"{doi} {clock.time()}")
+            n = int(doi.split("/d")[1])
+            if n % 5 == 1:
+                return 404, b""
+            if n % 5 == 2:
+                return 200, b"no json"
+            if n % 5 == 3 and sum(p.read_text().startswith(doi + " ") for p in seen.iterdir()) < 2:
+                raise OSError("lost")  # the first time
+            return 200, json.dumps({"message": {"title": [f"T{n}"]}}).encode()
+
+    monkeypatch.setattr(works_source, "KEYS_OF_A_PARTITION", 10)
+    dois = spark.createDataFrame([(f"10.1/d{i}",) for i in range(30)] * 2 + [(None,)], "doi string")
+    found = works_source.works(spark, dois, Service(), per_second=30)
+    assert found.rdd.getNumPartitions() == 3
+    got = {r.doi: json.loads(r.message)["title"][0] for r in found.collect()}
+    assert got == {f"10.1/d{i}": f"T{i}" for i in range(30) if i % 5 not in (1, 2)}
+    asked = sorted(float(p.read_text().split()[1]) for p in seen.iterdir())
+    assert len(asked) == 36 and asked[-1] - asked[0] >= 0.8 * 9 / 10  # ten keys a partition at ten a second
+    assert works_source.works(spark, dois.limit(0), Service()).count() == 0
