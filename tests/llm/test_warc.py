@@ -5,10 +5,11 @@ import json
 import time
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import pytest
 
-from lectern.llm import markup, warc
+from lectern.llm import markup, queries, warc
 from tests.llm.tables import clashing
 from tests.llm.test_pages import PAGE
 
@@ -202,3 +203,62 @@ def test_tokens_hold_the_whole_page_and_find_ends_as_a_plain_scan_does():
             assert ends.find(at) == plain_end(page, at), page
         list(markup.tokens(page))
         assert len(ends.lost) <= 3
+
+
+class Plain(HTMLParser):
+    """Text and title of a page by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.parts, self.hidden, self.title = [], None, None
+
+    def handle_starttag(self, tag, attrs):
+        if self.hidden == "head" and tag not in warc.IN_HEAD:
+            self.hidden = None
+        if tag == "title" and self.title is None:
+            self.title = ""
+        if self.hidden:
+            self.inside = tag
+            return
+        if tag in warc.UNSEEN:
+            self.hidden = self.inside = tag
+        elif tag in warc.LINES:
+            self.parts.append("\0")
+
+    def handle_endtag(self, tag):
+        self.inside = None
+        if self.hidden:
+            if tag == self.hidden:
+                self.hidden = None
+                self.parts.append(" ")
+        elif tag in warc.LINES:
+            self.parts.append("\0")
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.parts.append(data.replace("\0", " "))
+        elif self.inside == "title":
+            self.title += data
+
+
+def test_query_equals_a_plain_builder(spark):
+    sf = "/root/testdata/sf0.001"
+    pages = {r.page_id: r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    got = queries.op10_warc_derivatives(spark, sf).collect()
+    assert Counter((r.page_id, r.type) for r in got) == Counter((i, t) for i in pages for t in ("metadata", "conversion"))
+    refers: dict = {}
+    for r in got:
+        page = pages[r.page_id]
+        plain = Plain()
+        plain.feed(page.html or "")
+        plain.close()
+        payload = (page.html or "").encode()
+        assert refers.setdefault(r.page_id, r.refers_to) == r.refers_to and r.record_id != r.refers_to and r.target_uri == page.url
+        assert r.payload_digest == warc.digest(payload) and r.block_digest == warc.digest(r.content.encode()) and r.content_length == len(r.content.encode()) and r.date == warc.PAGE_DATE
+        if r.type == "conversion":
+            lines = (" ".join(x.split()) for x in "".join(plain.parts).split("\0"))
+            assert r.content_type == "text/plain" and r.content == "\n".join(x for x in lines if x)
+        else:
+            facts = json.loads(r.content)["Envelope"]["Payload-Metadata"]["HTTP-Response-Metadata"]
+            assert facts["Entity-Length"] == len(payload) and facts["HTML-Metadata"]["Head"]["Title"] == (None if plain.title is None else " ".join(plain.title.split()))
+    assert len(set(refers.values())) == len(pages) and len({r.record_id for r in got}) == 2 * len(pages)
