@@ -603,3 +603,15 @@ def q60_search_stored_cells(spark, sf_dir):
     searcher = retrieval.Searcher(store.read("k", "points"), lambda q: first, lambda q, texts: [0.0] * len(texts), cells=store.cells("k"), probes=1 << 20)
     found = searcher.search("any", 50).chunks
     return spark.createDataFrame([(c["metadata"]["point_id"], round(c["embed_score"], 5)) for c in found], "point_id string, embed_score double")
+
+
+@query("SELECT p_partkey AS doc_id, CASE WHEN p_partkey % 8 = 7 THEN NULL WHEN p_partkey % 8 = 6 THEN '10.1371/journal.pone.' || p_partkey ELSE '10.1000/part' || p_partkey || 'x' END AS doi FROM part")
+def q61_doi_junk_tails(spark, sf_dir):
+    """DOIs of texts: words, numbers, signs and names that stick to their ends, broken lines, components, and what is none."""
+    k = F.col("p_partkey")
+    plain = F.concat(F.lit("10.1000/part"), k, F.lit("x"))
+    ends = [" and so on", "OPEN", "/123456", ").", ".Received", "(see", None, None]
+    text = F.when(k % 8 == 7, F.lit("https://doi.org/10.1074/jbc")).when(k % 8 == 6, F.concat(F.lit("doi:10.1371/journal.\npone."), k, F.lit(".g001")))
+    for i, end in enumerate(ends[:6]):
+        text = text.when(k % 8 == i, F.concat(F.lit("see https://doi.org/"), plain, F.lit(end)))
+    return table(spark, sf_dir, "part").select(k.alias("doc_id"), doi_of(text).alias("doi"))
