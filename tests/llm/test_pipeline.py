@@ -69,8 +69,8 @@ def test_stages_take_empty_tables(spark, docs):
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_cover_their_tables(spark, name):
-    table = "pages" if name.startswith(("op1_", "op6_", "op10_", "part6_")) else "documents"
-    key = "page_id" if table == "pages" else "doc_id"
+    table = "pages" if name.startswith(("op1_", "op6_", "op10_", "part6_")) else "embeddings" if name.startswith(("op11_", "op13_")) else "documents"
+    key = {"pages": "page_id", "embeddings": "vec_id"}.get(table, "doc_id")
     got = queries.QUERIES[name](spark, SF)
     rows = got.collect()
     ids = [r[key] for r in rows]
@@ -78,7 +78,7 @@ def test_queries_cover_their_tables(spark, name):
     assert len(ids) == (2 if name.startswith("op10_") else 1) * len(set(ids))
     if name in queries.ORACLES:
         con = duckdb.connect()
-        for t in ("documents", "pages", "benchmark"):
+        for t in ("documents", "pages", "benchmark", "embeddings"):
             con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
         want = con.sql(queries.ORACLES[name])
         columns = sorted(got.columns)
@@ -87,6 +87,6 @@ def test_queries_cover_their_tables(spark, name):
 
 
 def test_entry_registers_them():
-    assert {f"op{n}_" for n in range(1, 11)} == {q.split("_")[0] + "_" for q in entry.queries() if q.startswith("op")}
+    assert {f"op{n}_" for n in range(1, 14)} == {q.split("_")[0] + "_" for q in entry.queries() if q.startswith("op")}
     assert "pipeline" in entry.queries() and "pipeline" not in entry.oracle_sql()
     assert neardup.SHORT_LIST and decontaminate.PIECE_WORDS
