@@ -4,8 +4,8 @@ A vector is cut into parts, and each part is coded by the nearest entry of its
 own codebook.  Entries are sorted by norm.  A part starts at the entry whose norm
 is next to its own; as no entry whose norm differs by more than the best distance
 so far can be nearer, a binary search gives the interval of norms that is left.
-The interval is looked at from the inside out, a few entries at a time, and cut
-anew by what was found, until all of it was seen.  Its ends are included, so equal
+The interval is looked at from the inside out and cut anew by what was found,
+until all of it was seen.  Its ends are included, so equal
 distances are all compared and go to the lower index.
 
 Codebooks are means of what is assigned to their entries: each task adds up
@@ -24,13 +24,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.integer_vectors import exact, floor_means, integer_rows, squared, sums_of, unpacked
+from lectern.llm.integer_vectors import EXACT_DOUBLE, exact, floor_means, integer_rows, squared, sums_of, unpacked
 from lectern.llm.shared import Scratch, prepare_workers, tidy
 
 #: Entries on each side of a part's norm that are looked at before the interval is cut anew.
-STEP = 8
-#: Parts searched at once; bounds the temporaries.
-PARTS_AT_ONCE = 4096
+STEP = 16
+#: Rows, of like norms, whose distances are worked out together.
+ROWS_TOGETHER = 256
+#: A distance beyond all others, in doubles and longs.
+FAR = 1 << 62
 
 
 def parts_of(dims: int, parts: int) -> list[slice]:
@@ -50,41 +52,61 @@ class Codebook:
 
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         """(index of the nearest entry, squared distance) of each row, and how many distances it took."""
-        found = [self._nearest(x[i : i + PARTS_AT_ONCE]) for i in range(0, len(x), PARTS_AT_ONCE)] or [(np.zeros(0, np.int64), np.zeros(0, np.int64), 0)]
-        index, distance, taken = zip(*found, strict=True)
-        return np.concatenate(index), np.concatenate(distance), sum(taken)
-
-    def _nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         x, e = exact(x, self.entries)
-        n = np.sqrt(np.einsum("ij,ij->i", x, x).astype(np.float64))
-        right = np.minimum(np.searchsorted(self.norms, n), len(e) - 1)
-        best, index = squared(x, e[right]), self.order[right]
-        left, right = right - 1, right + 1  # next to be seen on either side
-        taken, open_ = len(x), np.arange(len(x))
-        while len(open_):
-            reach = np.sqrt(best[open_].astype(np.float64))
-            # norms and roots are rounded: an interval that is wider by more than that loses nothing
-            slack = 1e-9 * (n[open_] + reach + 1)
-            low = np.searchsorted(self.norms, n[open_] - reach - slack, side="left")
-            high = np.searchsorted(self.norms, n[open_] + reach + slack, side="right")
-            first, last = np.maximum(low, left[open_] - STEP + 1), np.minimum(high, right[open_] + STEP)
-            for start, size in ((first, np.maximum(left[open_] + 1 - first, 0)), (right[open_], np.maximum(last - right[open_], 0))):
-                row = np.repeat(np.arange(len(open_)), size)
-                place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size - start, size)
-                if not len(row):
-                    continue
-                taken += len(row)
-                d = squared(x[open_[row]], e[place])
-                # the least distance and, of equal ones, the lowest index of each row: the first by that order
-                by = np.lexsort((self.order[place], d, row))
-                by = by[np.concatenate([[True], row[by[1:]] != row[by[:-1]]])]
-                of, d, i = open_[row[by]], d[by], self.order[place[by]]
-                better = (d < best[of]) | (d == best[of]) & (i < index[of])
-                best[of[better]], index[of[better]] = d[better], i[better]
-            left[open_], right[open_] = np.minimum(left[open_], first - 1), np.maximum(right[open_], last)
-            open_ = open_[(left[open_] >= low) | (right[open_] < high)]
+        q, s = np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", e, e)
+        n = np.sqrt(q.astype(np.float64))
+        index, best, taken = np.zeros(len(x), np.int64), np.zeros(len(x), x.dtype), 0
+        # rows of like norms have like intervals, so the distances of some together are one product of matrices
+        by_norm = np.argsort(n, kind="stable")
+        for start in range(0, len(x), ROWS_TOGETHER):
+            rows = by_norm[start : start + ROWS_TOGETHER]
+            index[rows], best[rows], some = self._nearest(x[rows], q[rows], n[rows], e, s)
+            taken += some
         return index, best.astype(np.int64), taken
 
+    def _nearest(self, x: np.ndarray, q: np.ndarray, n: np.ndarray, e: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        ranked = (-2.0 * len(e) * x, e.T, len(e) * s + self.order) if x.dtype == np.float64 and 4 * float(max(q.max(), s.max())) * len(e) < EXACT_DOUBLE else None
+        at = np.minimum(np.searchsorted(self.norms, n), len(e) - 1)
+        best, index, taken = squared(x, e[at]), self.order[at], len(x)
+
+        def look(a: int, b: int) -> int:
+            """Looks at entries a to b, of each row at those within its interval."""
+            reach = np.sqrt(best.astype(np.float64))
+            # norms and roots are rounded: an interval that is wider by more than that loses nothing
+            slack = 1e-9 * (n + reach + 1)
+            low, high = np.searchsorted(self.norms, n - reach - slack, side="left"), np.searchsorted(self.norms, n + reach + slack, side="right")
+            a, b = max(a, int(low.min())), min(b, int(high.max()))
+            if a >= b:
+                return 0
+            if int(low.max()) <= a and int(high.min()) >= b:
+                inside, seen = None, len(x) * (b - a)
+            else:
+                place = np.arange(a, b)
+                inside = (place >= low[:, None]) & (place < high[:, None])
+                seen = int(inside.sum())
+            if ranked is not None:
+                # distance and index as one number: of equal distances the lowest index is the least
+                d = ranked[0] @ ranked[1][:, a:b]
+                d += ranked[2][a:b]
+                if inside is not None:
+                    d[~inside] = FAR
+                least, which = np.divmod(d.min(axis=1) + q * len(e), len(e))
+                which = which.astype(np.int64)
+            else:
+                d = q[:, None] + s[a:b] - 2 * (x @ e[a:b].T)
+                if inside is not None:
+                    d[~inside] = FAR
+                least = d.min(axis=1)
+                which = np.where(d == least[:, None], self.order[a:b], len(e)).min(axis=1)
+            better = (least < best) | (least == best) & (which < index)
+            best[better], index[better] = least[better], which[better]
+            return seen
+
+        first, last = max(0, int(at.min()) - STEP), min(len(e), int(at.max()) + STEP + 1)
+        for a, b in ((first, last), (0, first), (last, len(e))):  # from the inside out, the interval cut anew each time
+            taken += look(a, b)
+        return index, best, taken
+
 
 @dataclass
 class Codes:
