@@ -1,13 +1,19 @@
 """MinHash near-dedup with bottom-k sketches from one hash function.
 
 Texts of the same shingle set form a class, of which one text goes on; classes
-are numbered in the order of their smallest id.  A sketch holds the k smallest shingle hashes of a set.  Inverted lists of the
-retained values generate overlaps: values are ranked by rarity and a text is
+are numbered in the order of their smallest id.  A sketch holds the k smallest shingle hashes of a set.  A
+hash also says in which of ``PARTS`` parts a shingle falls, and the few smallest
+of each part make one number: alike sets agree in a number, others hardly ever,
+however large the corpus and however common single shingles are.  Texts of one
+number form a list; a long list is cut into bands of sizes that allow the
+likeness.  Texts of lists that are still long, and small sets, for which the
+search is to be exact, go on to inverted lists of the
+retained values: values are ranked by rarity and a text is
 listed only under its rarest values, so many that two texts whose sketches
-share as much as 0.8-alike sets do must meet in a list (prefix filter).  A long
-list is cut into bands of sizes that allow the likeness.  Short lists give
+share as much as 0.8-alike sets do must meet in a list (prefix filter).  Short lists give
 pairs, which the union-sketch estimate filters with a margin of over five
-standard deviations; the members of a list that is still long are taken as one
+standard deviations; the members of a list of a retained value that is long in
+its band are taken as one
 block.  Blocks are the components of what is left.  The exact step searches
 each block for links on full shingle sets, breadth first, with one mark array
 per text, so neither pairs nor lists of a group are ever written out; a large
@@ -32,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm.shared import ROWS_OF_A_FILE, Scratch, connected_components, prepare_workers, tidy
-from lectern.llm.words import shingle_hashes, text_chunks, word_hashes
+from lectern.llm.words import mix, shingle_hashes, text_chunks, word_hashes
 
 #: Longest list of which pairs are made; longer ones become blocks.
 SHORT_LIST = 32
@@ -43,6 +49,8 @@ MOST_SENT_IDS = 300_000
 #: A value that makes up more than one part in so many of all retained ones is hot; there are fewer of these than that.
 HOT_SHARE = 50_000
 SIGN = np.uint64(1 << 63)
+#: Parts of a set of which each gives a number, and the chance at most that two sets just alike enough agree in none.
+PARTS, MOST_MISSED = 32, 1e-7
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -65,28 +73,55 @@ def least_shared(n: int, k: int, percent: int) -> int:
     return max(1, min(math.ceil(min(n, k) * percent / 100), math.floor(k * p - 5.5 * math.sqrt(k * p * (1 - p)))))
 
 
+def part_depth(percent: int) -> int:
+    """How many of the least hashes of a part make its number: as many as ``MOST_MISSED`` allows, 0 if even one is too many."""
+    return max((d for d in range(1, 9) if (1 - (percent / 100) ** d) ** PARTS <= MOST_MISSED), default=0)
+
+
+def part_numbers(s: np.ndarray, depth: int) -> np.ndarray:
+    """A number for each part of a set (sorted hashes) that has members, of the part and its ``depth`` least members."""
+    part = (mix(s) >> np.uint64(64 - PARTS.bit_length() + 1)).astype(np.uint8)
+    order = np.argsort(part, kind="stable")
+    part, s = part[order].astype(np.int64), s[order]
+    count = np.bincount(part, minlength=PARTS)
+    rank = np.arange(len(s)) - (np.cumsum(count) - count)[part]
+    least = rank < depth
+    cells = np.zeros((PARTS, depth), np.uint64)
+    cells[part[least], rank[least]] = s[least]
+    out = np.arange(PARTS, dtype=np.uint64)
+    for j in range(depth):
+        out = mix(out * np.uint64(0x2545F4914F6CDD1D) + cells[:, j])
+    return out[count > 0].view(np.int64)
+
+
 def sketch(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, k: int, percent: int) -> DataFrame:
-    """(id, n_shingles, set_hi, set_lo, need, retained): the sketch of each text; set_hi/lo name its set."""
+    """(id, n_shingles, set_hi, set_lo, need, retained, parts): the sketch of each text; set_hi/lo name its set.
+
+    ``parts`` has the numbers of its parts; sets so small that all sets like them are retained whole have none.
+    """
+    depth = part_depth(percent)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, names, need, kept = [], [], [], []
+            n, names, need, kept, parts = [], [], [], [], []
             for s in shingle_sets(batch.column(1), shingle_words):
                 n.append(len(s))
                 names.append(blake2b(s.tobytes(), digest_size=16).digest())
                 need.append(least_shared(len(s), k, percent) if len(s) else 0)
                 kept.append(s[:k].copy())
+                parts.append(part_numbers(s, depth) if depth and 100 * len(s) > k * percent else np.empty(0, np.int64))
             named = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in kept])]).astype(np.int32)
+            offsets, of_parts = (pa.array(np.concatenate([[0], np.cumsum([len(x) for x in xs])]).astype(np.int32)) for xs in (kept, parts))
             # the sign bit flipped, so that signed order is the order of the hashes
             values = (np.concatenate(kept) ^ SIGN).view(np.int64) if kept else np.empty(0, np.int64)
+            numbers = np.concatenate(parts) if parts else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(named[:, 0].copy()), pa.array(named[:, 1].copy()), pa.array(need, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
-                names=["id", "n_shingles", "set_hi", "set_lo", "need", "retained"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(named[:, 0].copy()), pa.array(named[:, 1].copy()), pa.array(need, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(values)), pa.ListArray.from_arrays(of_parts, pa.array(numbers))],
+                names=["id", "n_shingles", "set_hi", "set_lo", "need", "retained", "parts"],
             )
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(tidy(each), f"id {rows.schema['id'].dataType.simpleString()}, n_shingles long, set_hi long, set_lo long, need int, retained array<long>")
+    return rows.mapInArrow(tidy(each), f"id {rows.schema['id'].dataType.simpleString()}, n_shingles long, set_hi long, set_lo long, need int, retained array<long>, parts array<long>")
 
 
 def listed(sketches: DataFrame) -> DataFrame:
@@ -119,6 +154,15 @@ def in_bands(lists: DataFrame, percent: int) -> DataFrame:
     return lists.select("value", F.explode(F.array(band, band + 1)).alias("band"), "node", "n")
 
 
+def by_length(lists: DataFrame, percent: int, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of lists that are short, or are in their band; rows of those that are long there), both (value, band, node, n, head)."""
+    whole = scratch.keep(with_lengths(lists, ["value"]), name)
+    short = whole.where(F.col("m") <= SHORT_LIST).select("value", F.lit(0).cast("long").alias("band"), "node", "n", "head")
+    banded = with_lengths(in_bands(whole.where(F.col("m") > SHORT_LIST), percent), ["value", "band"])
+    banded = scratch.keep(banded, f"{name}-banded").select("value", "band", "node", "n", "head", "m")
+    return short.unionByName(banded.where(F.col("m") <= SHORT_LIST).drop("m")), banded.where(F.col("m") > SHORT_LIST).drop("m")
+
+
 def likely_pairs(lists: DataFrame, sketches: DataFrame, k: int, percent: int) -> DataFrame:
     """(u, v): pairs in short lists whose sizes allow the likeness and whose union sketch shows it."""
     members = lists.groupBy("value", "band").agg(F.array_sort(F.collect_list(F.struct("node", "n"))).alias("m"))
@@ -233,19 +277,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     ordered = least.repartitionByRange(parts, "rep", "set_hi", "set_lo").sortWithinPartitions("rep", "set_hi", "set_lo")
     classes = scratch.keep(ordered.withColumn("node", F.monotonically_increasing_id()), "classes")
     one = linked.join(classes.withColumnRenamed("rep", "id"), ["set_hi", "set_lo", "id"]).dropDuplicates(["node"])
-    one = scratch.keep(one.select("node", "n_shingles", "need", "retained"), "reps")
-    lists = scratch.keep(listed(one), "lists")
-    whole = with_lengths(lists, ["value"])
-    short = whole.where(F.col("m") <= SHORT_LIST).select("value", F.lit(0).cast("long").alias("band"), "node", "n")
-    banded = scratch.keep(with_lengths(in_bands(whole.where(F.col("m") > SHORT_LIST), percent), ["value", "band"]), "banded")
-    short = short.unionByName(banded.where(F.col("m") <= SHORT_LIST).select("value", "band", "node", "n"))
-    pairs = likely_pairs(short, one, k, percent)
-    hot = banded.where(F.col("m") > SHORT_LIST).select(F.col("head").alias("u"), F.col("node").alias("v")).distinct()
+    one = scratch.keep(one.select("node", "n_shingles", "need", "retained", "parts"), "reps")
+    agreed, crowded = by_length(one.select(F.explode("parts").alias("value"), "node", F.col("n_shingles").alias("n")), percent, scratch, "agreed")
+    # two linked texts that meet in no short list are both in long ones, or are both small
+    rest = one.where(F.col("n_shingles") <= k).unionByName(one.where(F.col("n_shingles") > k).join(crowded.select("node").distinct(), "node", "left_semi"))
+    rest = scratch.keep((rest if part_depth(percent) else one).drop("parts"), "rest")
+    short, long = by_length(scratch.keep(listed(rest), "lists"), percent, scratch, "valued")
+    pairs = likely_pairs(agreed.unionByName(short), one, k, percent)
+    hot = long.select(F.col("head").alias("u"), F.col("node").alias("v")).distinct()
     blocks = connected_components(pairs.unionByName(hot), scratch, "blocks").select("node", F.col("component").alias("block"))
     blocks = scratch.keep(blocks.join(classes.withColumnRenamed("rep", "id"), "node"), "block-of")
     edges = exact_links(docs, blocks, id_col, text_col, shingle_words, percent, scratch)
     groups = scratch.keep(connected_components(edges, scratch, "groups"), "group-of")
-    scratch.drop("least", "reps", "lists", "banded", "block-of", "sets")
+    scratch.drop("least", "reps", "agreed", "agreed-banded", "rest", "lists", "valued", "valued-banded", "block-of", "sets")
     # class -> group and its smallest id, then rows -> class
     heads = groups.join(classes.select(F.col("node").alias("component"), F.col("rep").alias("of_group")), "component").select("node", "of_group")
     named = classes.join(heads, "node", "left").select("set_hi", "set_lo", F.coalesce("of_group", "rep").alias("component"))

@@ -153,3 +153,32 @@ def test_bands_hold_all_sizes_that_allow_the_likeness(spark):
     for r in neardup.in_bands(spark.createDataFrame([(0, n, n) for n in sizes], "value long, node long, n long"), 80).collect():
         bands.setdefault(r.n, set()).add(r.band)
     assert all(bands[a] & bands[b] for a in sizes for b in sizes if a <= b and 100 * a >= 80 * b)
+
+
+def test_common_shingles_make_no_blocks(spark, monkeypatch):
+    """Texts of so few words that every shingle is in a sixth of them, not alike: they aren't searched all with all."""
+    seen = []
+    real = neardup.exact_links
+    monkeypatch.setattr(neardup, "exact_links", lambda docs, blocks, *a: seen.append(blocks.groupBy("block").count().agg(F.max("count")).first()[0]) or real(docs, blocks, *a))
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"w{rng.randrange(40)}" for _ in range(300))) for i in range(800)]
+    rows += [(800 + i, f"{rows[i][1]} w1 w2 w3") for i in range(10)]
+    got = neardup.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), shingle_words=2).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i - 800 if i >= 800 else i for i in range(810)}
+    assert seen == [2]
+
+
+def test_part_numbers():
+    """Equal exactly where the least members of a part are, and two sets of likeness 0.8 agree in some."""
+    rng = np.random.default_rng(3)
+    depth = neardup.part_depth(80)
+    assert depth == 4 and neardup.part_depth(20) == 0
+    for n in (52, 300, 5000):
+        for _ in range(30):
+            both = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+            a, b = np.sort(rng.permutation(both)[: n * 9 // 10]), both
+            parts = lambda s: {int(p): s[neardup.mix(s) >> np.uint64(59) == p][:depth].tolist() for p in np.unique(neardup.mix(s) >> np.uint64(59))}
+            x, y = parts(a), parts(b)
+            same = sum(x.get(p) == y[p] for p in y)
+            got = np.intersect1d(neardup.part_numbers(a, depth), neardup.part_numbers(b, depth))
+            assert len(neardup.part_numbers(a, depth)) == len(x) and len(got) == same > 0
