@@ -14,17 +14,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.session import shared_folder, ship_package
-
-
-#: Bytes of an Arrow batch that goes to a Python worker, which holds several copies of it.
-BATCH_BYTES = 4 << 20
+from lectern.session import bound_batches, shared_folder, ship_package
 
 
 def prepare_workers(spark: SparkSession) -> None:
     """Bounds the batches of this session's Python operators by size, as texts may be long, and sends them this package."""
     ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    bound_batches(spark)
 
 
 def tidy(each):

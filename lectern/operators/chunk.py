@@ -6,11 +6,14 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from lectern import schemas
+from lectern.session import bound_batches
 
 # What ends a sentence.
 SENTENCE_ENDS = (". ", "? ", "! ", ".\n", "?\n", "!\n")
@@ -87,11 +90,16 @@ def chunk(annotated: DataFrame, cfg: ChunkConfig | None = None, id_col: str = "d
     """(id, chunk_index, content, section, heading_path) of annotated documents; a document is a row, so nothing is shuffled."""
     cfg = cfg or ChunkConfig()
 
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(i, *c.values()) for i, blocks in zip(frame["id"], frame["kept"], strict=True) for c in chunk_blocks(blocks, cfg)]
-            yield pd.DataFrame(rows, columns=["id", "chunk_index", "content", "section", "heading_path"])
+    bound_batches(annotated.sparkSession)
+    fields = list(to_arrow_schema(StructType.fromDDL(schemas.CHUNKS)))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [chunk_blocks(blocks.as_py() or (), cfg) for blocks in batch.column(1)]
+            of = pa.array([i for i, chunks in enumerate(found) for _ in chunks], pa.int64())
+            columns = [pa.array([c[f.name] for chunks in found for c in chunks], f.type) for f in fields]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), *columns], names=["id", *(f.name for f in fields)])
 
     narrow = F.transform(F.filter("blocks", lambda b: b["kept"]), lambda b: F.struct(b["is_heading"].alias("is_heading"), b["heading_level"].alias("heading_level"), b["section"].alias("section"), b["text"].alias("text")))
     rows = annotated.select(F.col(id_col).alias("id"), narrow.alias("kept"))
-    return rows.mapInPandas(each, f"id {rows.schema['id'].dataType.simpleString()}, {schemas.CHUNKS}").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(each, f"id {rows.schema['id'].dataType.simpleString()}, {schemas.CHUNKS}").withColumnRenamed("id", id_col)

@@ -25,6 +25,15 @@ def ship_package(spark: SparkSession) -> None:
     _sent.add(app)
 
 
+#: Bytes of an Arrow batch that goes to a Python worker, which holds several copies of it.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the batches of this session's Python operators by size, as texts may be long and a batch has 10,000 rows otherwise."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """A table as it is read, dealt out to all cores if it has fewer files and row groups than there are cores.
 
