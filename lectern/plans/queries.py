@@ -22,7 +22,7 @@ from lectern.operators import catalog, grams, retrieval
 from lectern.operators.annotate import annotate, block_rows, histograms, outline
 from lectern.operators.chunk import ChunkConfig, chunk
 from lectern.operators.ingest import point_id
-from lectern.operators.metadata import cascade, doi_of, enrich_abstracts, likeness, parse_works, rebuild_abstracts
+from lectern.operators.metadata import cascade, doi_of, enrich_abstracts, inverted_index, likeness, parse_works, rebuild_abstracts
 from lectern.operators.segments import Blocks, with_context
 from lectern.operators.models import HashingEmbedder, OverlapReranker, embed_column
 from lectern.schemas import POINTS
@@ -291,8 +291,7 @@ def q27_html_text(spark, sf_dir):
 @query(r"SELECT doc_id, trim(regexp_replace(text, '[ \n]+', ' ', 'g')) AS abstract FROM documents")
 def q28_inverted_index(spark, sf_dir):
     words = F.filter(F.split("text", "[ \n]+"), lambda w: w != "")
-    placed = table(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(words).alias("place", "token"))
-    index = placed.groupBy("doc_id", "token").agg(F.collect_list("place").alias("places")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "places"))).alias("index"))
+    index = inverted_index(table(spark, sf_dir, "documents").select("doc_id", words.alias("words")), "doc_id", "words")
     return rebuild_abstracts(index, "doc_id", "index")
 
 

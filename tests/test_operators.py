@@ -399,3 +399,19 @@ def test_outputs_of_many_parses_are_picked_at_once(spark):
     rows = [("a", "/o/a/auto/a.md", "best"), ("a", "/o/a/0.md", "no"), ("b", "/o/b/z.md", "z"), ("b", "/o/b/y.md", "y"), ("b", "/o/b/x.md", " "), ("c", "/o/c/c.txt", "t")]
     got = files.pick_outputs(spark.createDataFrame(rows, "stem string, path string, content string"))
     assert {(r.stem, r.content) for r in got.collect()} == {("a", "best"), ("b", "y")}
+
+
+def test_inverted_index_without_shuffle(spark):
+    from lectern.operators.metadata import inverted_index, rebuild_abstracts
+
+    texts = {1: "b a b  c a b", 2: "", 3: None, 4: "x", 5: "é Z é z " * 50}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").select("doc_id", F.filter(F.split("text", "[ \n]+"), lambda w: w != "").alias("words"))
+    found = inverted_index(docs, "doc_id", "words")
+    want = {i: None if t is None else {w: [j for j, x in enumerate(t.split()) if x == w] for w in t.split()} for i, t in texts.items()}
+    assert {r.doc_id: r["index"] for r in found.collect()} == want
+    whole = rebuild_abstracts(found, "doc_id", "index")
+    assert {r.doc_id: r.abstract for r in whole.collect()} == {i: None if t is None else " ".join(t.split()) for i, t in texts.items()}
+    assert "Exchange" not in whole._jdf.queryExecution().executedPlan().toString()
+    from lectern.plans.queries import QUERIES
+
+    assert "Exchange" not in QUERIES["q28_inverted_index"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
