@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern import schemas
+from lectern.session import bound_batches
 
 #: A parser takes a file's bytes and gives its markdown.
 Parser = Callable[[bytes], str]
@@ -80,6 +81,7 @@ def parse(staged: DataFrame, cache: DataFrame, parser: Parser, keep: Callable[[D
                     rows.append((digest, None, f"parse: {e}"))
             yield pd.DataFrame(rows, columns=["content_hash", "markdown", "error"])
 
+    bound_batches(staged.sparkSession)
     schema = f"{schemas.PARSE_CACHE}, error string"
     missed = keep(staged.select("content_hash", "content").dropDuplicates(["content_hash"]).join(cache, "content_hash", "left_anti").mapInPandas(each, schema), "parsed")
     hits = cache.join(staged.select("content_hash").distinct(), "content_hash", "left_semi").withColumn("error", F.lit(None).cast("string"))

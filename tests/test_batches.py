@@ -31,3 +31,11 @@ def test_chunk(unbounded):
 def test_chunk_of_texts_without_blocks(unbounded):
     failed = annotate(papers(unbounded)).withColumn("blocks", F.when(F.col("doc_id") == 1, F.col("blocks")))
     assert {r.doc_id for r in chunk(failed, ChunkConfig(1, 30, 0)).collect()} == {1}
+
+
+def test_parse(unbounded):
+    from lectern.sources import files
+
+    staged = unbounded.createDataFrame([("a", b"%PDF-1\nx"), ("b", b"y")], "content_hash string, content binary")
+    got, _ = files.parse(staged, unbounded.createDataFrame([], "content_hash string, markdown string"), files.text_parser)
+    assert sorted((r.content_hash, r.markdown) for r in got.collect()) == [("a", "x"), ("b", "y")]
