@@ -11,9 +11,11 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.session import bound_batches
+
 
 class Embedder(Protocol):
     dim: int
@@ -129,4 +131,5 @@ def embed_column(text: Column, embedder: Embedder, batch: int = 64, isolate: boo
         for texts in parts:
             yield pd.Series(vectors([t or "" for t in texts]), dtype=object)
 
+    bound_batches(SparkSession.active())
     return F.pandas_udf(each, "array<float>")(text)

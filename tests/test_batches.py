@@ -39,3 +39,10 @@ def test_parse(unbounded):
     staged = unbounded.createDataFrame([("a", b"%PDF-1\nx"), ("b", b"y")], "content_hash string, content binary")
     got, _ = files.parse(staged, unbounded.createDataFrame([], "content_hash string, markdown string"), files.text_parser)
     assert sorted((r.content_hash, r.markdown) for r in got.collect()) == [("a", "x"), ("b", "y")]
+
+
+def test_embed(unbounded):
+    from lectern.operators.models import HashingEmbedder, embed_column
+
+    got = unbounded.range(3).select(embed_column(F.lit("one two"), HashingEmbedder()).alias("v")).collect()
+    assert [r.v for r in got] == [HashingEmbedder().embed(["one two"])[0]] * 3
