@@ -121,3 +121,21 @@ def test_groups_keep_sections_apart():
 def test_unsafe_configs_are_refused(cfg):
     with pytest.raises(ValueError):
         ChunkConfig(*cfg)
+
+
+def test_phrases_are_what_the_patterns_are():
+    """Also with letters that count as ASCII ones without case; the pattern isn't tried on a text without a phrase."""
+    import re
+
+    from lectern.operators import vocabulary as V
+
+    plain = r"\b(in summary|left to right|kinds|this study shows)\b"
+    found = V.Phrases(plain)
+    texts = ["In Summary", "inſummary", "in ſummary", "İn summary", "ın summary", "within summary", "left to right-", "left to\nright", "Kinds", "kind", "", "xkinds kinds", "This ſtudy showſ", "this study showsx"]
+    assert [bool(found.search(t)) for t in texts] == [bool(re.search(plain, t, re.I)) for t in texts]
+    assert any(found.search(t) for t in texts[2:]) and not all(found.search(t) for t in texts)
+    found.pattern = None
+    assert found.search("a long text without any of them " * 100) is None
+    with pytest.raises(ValueError):
+        V.Phrases(r"\b(we (?:used|found))\b")
+    assert A.is_preamble("KEY  WORDS : x") and A.is_preamble("to a.b@c.de") and not A.is_preamble("a @ b")
