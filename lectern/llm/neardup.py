@@ -33,7 +33,7 @@ from hashlib import blake2b
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -148,19 +148,42 @@ def with_lengths(lists: DataFrame, by: list[str]) -> DataFrame:
     return lists.join(lists.groupBy(*by).agg(F.count("*").alias("m"), F.min("node").alias("head")).where("m > 1"), by)
 
 
+def size_band(percent: int) -> Column:
+    """The band of sizes that ``n`` lies in; sizes that allow the likeness lie in one or in neighbours."""
+    return F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) - 1e-9) if percent < 100 else F.col("n")
+
+
 def in_bands(lists: DataFrame, percent: int) -> DataFrame:
-    """(value, band, node, n): rows under two bands of sizes each, so that two sizes that allow the likeness share one."""
-    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) - 1e-9) if percent < 100 else F.col("n")
-    return lists.select("value", F.explode(F.array(band, band + 1)).alias("band"), "node", "n")
+    """The rows under two bands of sizes each, so that two sizes (n) that allow the likeness share one."""
+    band = size_band(percent)
+    return lists.withColumn("band", F.explode(F.array(band, band + 1)))
+
+
+def band_lengths(lists: DataFrame, percent: int) -> DataFrame:
+    """(value, own, within): for the rows of a list whose size is in band ``own``, both bands they are under, with length and least node.
+
+    Counted from one row a list and band, so a list of very many rows is not dealt out by band.
+    """
+    sizes = lists.groupBy("value", "own").agg(F.count("*").alias("rows"), F.min("node").alias("least"), F.min("n").alias("n"))
+    band = Window.partitionBy("value", "band")
+    both = in_bands(sizes, percent).select("value", "own", F.struct("band", F.sum("rows").over(band).alias("m"), F.min("least").over(band).alias("head")).alias("of"))
+    return both.groupBy("value", "own").agg(F.collect_list("of").alias("within"))
 
 
 def by_length(lists: DataFrame, percent: int, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
-    """(rows of lists that are short, or are in their band; rows of those that are long there), both (value, band, node, n, head)."""
+    """Rows (value, band, node, n, head) of lists that are short, or are in their band; (node, heads): least nodes of the bands of lists that are long there.
+
+    A row of a long list meets the lengths of both its bands at once.  They are sent to all tasks while they
+    are few, so that rows of a value stay where they are.
+    """
     whole = scratch.keep(with_lengths(lists, ["value"]), name)
     short = whole.where(F.col("m") <= SHORT_LIST).select("value", F.lit(0).cast("long").alias("band"), "node", "n", "head")
-    banded = with_lengths(in_bands(whole.where(F.col("m") > SHORT_LIST), percent), ["value", "band"])
-    banded = scratch.keep(banded, f"{name}-banded").select("value", "band", "node", "n", "head", "m")
-    return short.unionByName(banded.where(F.col("m") <= SHORT_LIST).drop("m")), banded.where(F.col("m") > SHORT_LIST).drop("m")
+    long = whole.where(F.col("m") > SHORT_LIST).select("value", size_band(percent).alias("own"), "node", "n")
+    lengths = scratch.keep(band_lengths(long, percent), f"{name}-lengths")
+    banded = scratch.keep(long.join(F.broadcast(lengths) if lengths.count() <= MOST_SENT_IDS else lengths, ["value", "own"]), f"{name}-banded")
+    few = banded.select("value", "node", "n", F.explode(F.filter("within", lambda b: (b["m"] > 1) & (b["m"] <= SHORT_LIST))).alias("b"))
+    heads = F.array_distinct(F.transform(F.filter("within", lambda b: b["m"] > SHORT_LIST), lambda b: b["head"]))
+    return short.unionByName(few.select("value", "b.band", "node", "n", "b.head")), banded.select("node", heads.alias("heads")).where(F.size("heads") > 0).distinct()
 
 
 def likely_pairs(lists: DataFrame, sketches: DataFrame, k: int, percent: int) -> DataFrame:
@@ -284,12 +307,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     rest = scratch.keep((rest if part_depth(percent) else one).drop("parts"), "rest")
     short, long = by_length(scratch.keep(listed(rest), "lists"), percent, scratch, "valued")
     pairs = likely_pairs(agreed.unionByName(short), one, k, percent)
-    hot = long.select(F.col("head").alias("u"), F.col("node").alias("v")).distinct()
+    hot = long.select(F.explode("heads").alias("u"), F.col("node").alias("v")).distinct()
     blocks = connected_components(pairs.unionByName(hot), scratch, "blocks").select("node", F.col("component").alias("block"))
     blocks = scratch.keep(blocks.join(classes.withColumnRenamed("rep", "id"), "node"), "block-of")
     edges = exact_links(docs, blocks, id_col, text_col, shingle_words, percent, scratch)
     groups = scratch.keep(connected_components(edges, scratch, "groups"), "group-of")
-    scratch.drop("least", "reps", "agreed", "agreed-banded", "rest", "lists", "valued", "valued-banded", "block-of", "sets")
+    scratch.drop("least", "reps", "agreed", "agreed-lengths", "agreed-banded", "rest", "lists", "valued", "valued-lengths", "valued-banded", "block-of", "sets")
     # class -> group and its smallest id, then rows -> class
     heads = groups.join(classes.select(F.col("node").alias("component"), F.col("rep").alias("of_group")), "component").select("node", "of_group")
     named = classes.join(heads, "node", "left").select("set_hi", "set_lo", F.coalesce("of_group", "rep").alias("component"))

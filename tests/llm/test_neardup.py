@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -182,3 +183,57 @@ def test_part_numbers():
             same = sum(x.get(p) == y[p] for p in y)
             got = np.intersect1d(neardup.part_numbers(a, depth), neardup.part_numbers(b, depth))
             assert len(neardup.part_numbers(a, depth)) == len(x) and len(got) == same > 0
+
+
+def near_copies(n):
+    """Texts made of one by words put in other words' places and words left out at the end: near copies of several sizes."""
+    rng = random.Random(n)
+    rows = []
+    for i in range(n):
+        w = [f"w{j}" for j in range(rng.randint(150, 200))]
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w), None, None, 0))
+    return rows
+
+
+def test_rows_of_long_lists_are_met_once(spark, monkeypatch):
+    """A row of a long list makes one row where it meets the lengths of its bands, whatever the size of the group."""
+    made = {}
+    keep = Scratch.keep
+
+    def counted(self, df, name):
+        out = keep(self, df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Scratch, "keep", counted)
+    rows = near_copies(300)
+    got = neardup.near_duplicates(spark, spark.createDataFrame(rows, DOCUMENTS), shingle_words=2).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 2, 80)
+    assert 0 < made["agreed-banded"] <= made["agreed"] and 0 < made["valued-banded"] <= made["valued"]
+
+
+@pytest.mark.parametrize("percent", [60, 80, 100])
+@pytest.mark.parametrize("most_sent", [0, neardup.MOST_SENT_IDS])
+def test_lengths_of_bands(spark, monkeypatch, percent, most_sent):
+    """Lists, their least nodes and those that stay long are as counted plainly, with lengths sent to tasks and without."""
+    monkeypatch.setattr(neardup, "MOST_SENT_IDS", most_sent)
+    rng = random.Random(5)
+    rows = [(v, node, rng.choice([60, 70, 90, 91, 300, rng.randint(52, 400)])) for v, m in enumerate((1, 2, 32, 33, 90, 400)) for node in rng.sample(range(1000), m)]
+    short, long = neardup.by_length(spark.createDataFrame(rows, "value long, node long, n long"), percent, Scratch(spark), "some")
+    lists, plain = {}, {}
+    for v, node, n in rows:
+        lists.setdefault(v, []).append((node, n))
+    for v, members in lists.items():
+        if len(members) <= 32:
+            plain[v, 0] = members
+            continue
+        for node, n in members:
+            own = n if percent == 100 else math.floor(math.log(n) / math.log(100 / percent) - 1e-9)
+            for band in (own, own + 1):
+                plain.setdefault((v, band), []).append((node, n))
+    want = {(*at, node, n, min(members)[0]) for at, members in plain.items() if 1 < len(members) <= 32 for node, n in members}
+    edges = {(min(members)[0], node) for members in plain.values() if len(members) > 32 for node, _ in members}
+    assert edges and sorted((r.value, r.band, r.node, r.n, r.head) for r in short.collect()) == sorted(want)
+    assert {(head, r.node) for r in long.collect() for head in r.heads} == edges
